@@ -57,7 +57,8 @@ def compare(spark, con, sf_dir, run, sql):
         return len(got), f"COLUMNS {columns} != {expected_columns}"
     odd = {n: (mine[n], kinds[n]) for n in columns if mine[n] != kinds[n]}
     if len(got) != len(expected):
-        return len(got), f"ROWS {len(got)} != {len(expected)}; {[x for x in got if x not in set(expected)][:2]} / {[x for x in expected if x not in set(got)][:2]}"
+        extra, missing = sorted(set(got) - set(expected))[:2], sorted(set(expected) - set(got))[:2]
+        return len(got), f"ROWS {len(got)} != {len(expected)}; extra {extra} missing {missing}"
     if got != expected:
         bad = [(a, b) for a, b in zip(got, expected) if a != b]
         return len(got), f"VALUES {len(bad)}: {bad[0]}"

@@ -35,6 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def utc(moment):
+    """A zone-less timestamp read as UTC, whatever the session's time zone."""
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", start, moment.cast("timestamp_ntz")))
+
+
 def digest(spark_side: bool, label: str, length: int, id_: str) -> str:
     """Hex digits derived from a table key, in either dialect."""
     seed = f"'{label}' || cast({id_} as string)"
