@@ -61,7 +61,8 @@ def compare(spark, con, sf_dir, run, sql):
         return len(got), f"ROWS {len(got)} != {len(expected)}; extra {extra} missing {missing}"
     if got != expected:
         bad = [(a, b) for a, b in zip(got, expected) if a != b]
-        return len(got), f"VALUES {len(bad)}: {bad[0]}"
+        diff = [(c, x, y) for c, x, y in zip(columns, *bad[0]) if x != y]
+        return len(got), f"VALUES {len(bad)}: {diff}"
     return len(got), "ok" + (f" types {odd}" if odd else "")
 
 

@@ -24,9 +24,10 @@ def reassemble(df: DataFrame, keys: list[str], seq: str, value: str, rows: int =
     placed = numbered(df.select(*keys, seq, value), keys, seq, "_row")
     pieces = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.coalesce(F.col(value), F.lit("")).alias("v"))))
     return (
-        placed.withColumn("segment", F.floor(F.col("_row") / rows))
-        .groupBy(*keys, "segment")
+        placed.withColumn("_segment", F.floor(F.col("_row") / rows))
+        .groupBy(*keys, "_segment")
         .agg(F.array_join(F.transform(pieces, lambda p: p["v"]), "").alias("text"), F.count("*").alias("n_chunks"))
+        .withColumnRenamed("_segment", "segment")
     )
 
 

@@ -18,10 +18,13 @@ SHORT_ATTEMPTS = 15  # fixed value: one hex digit behind the 8-digit hash, then
 TokenGenerator = Callable[[Column, Column, Column], Column]
 
 
-def sightings(found: DataFrame, source: str, seen_at: Column, order: list[str], name: Column | None = None) -> DataFrame:
+def sightings(
+    found: DataFrame, source: str, seen_at: Column, order: list[str], name: Column | None = None,
+    scope: list[str] | None = None,
+) -> DataFrame:
     """Findings as registration events with a total order."""
     return found.select(
-        F.col("value").alias("secret"), "type", F.lit(source).alias("source"), seen_at.alias("seen_at"),
+        *(scope or []), F.col("value").alias("secret"), "type", F.lit(source).alias("source"), seen_at.alias("seen_at"),
         (F.lit(None).cast("string") if name is None else normalize_name(name)).alias("name"),
         F.struct(*order).alias("ord"),
     )
