@@ -61,14 +61,14 @@ def test_window_equals_batch_for_whole_tokens(spark, tmp_path):
 
 def test_sessions_over_batches(spark, tmp_path):
     secret = "hunter2hunter2"
-    turns = [[("s", 0, f"hello {secret}"), ("t", 0, "x")], [("s", 1, f"password = {secret}; ok")], [("s", 2, f"and {secret}!"), ("t", 1, secret)]]
+    turns = [[("s", 0, f"hello {secret}\n"), ("t", 0, "x")], [("s", 1, f"password = {secret}; ok\n")], [("s", 2, f"and {secret}!"), ("t", 1, secret)]]
     stream = feed(spark, tmp_path, turns, "s string, seq long, text string")
     windows = jobs.window_stream(stream, ["s"], "seq", "text")
     sink = jobs.mask_sessions_to(spark, ["s"], "seq", "text", "id", str(tmp_path / "vault"), str(tmp_path / "masked"))
     jobs.start_batches(windows, sink, str(tmp_path / "ck")).awaitTermination()
     got = {(r["s"], r["seq"]): r["masked_text"] for r in spark.read.parquet(str(tmp_path / "masked")).collect()}
     token = spark.read.parquet(str(tmp_path / "vault")).first()["token"]
-    assert got == {("s", 0): f"hello {secret}", ("s", 1): f"password = {token}; ok", ("s", 2): f"and {token}!", ("t", 0): "x", ("t", 1): secret}
+    assert got == {("s", 0): f"hello {secret}\n", ("s", 1): f"password = {token}; ok\n", ("s", 2): f"and {token}!", ("t", 0): "x", ("t", 1): secret}
 
 
 def test_dictionary_is_refused_not_cut(spark):

@@ -33,7 +33,8 @@ def reassemble(df: DataFrame, keys: list[str], seq: str, value: str, rows: int =
 
 _TYPES = "|".join(SECRET_TYPES)
 _BODY = rf"__VAULT_(?:{_TYPES})_[0-9a-f]{{8,9}}"
-_UNFINISHED = rf"(?:{_BODY})*(?:__VAULT_(?:{_TYPES})_[0-9a-f]{{0,9}}_?|__VAULT_[A-Z_]*|__VAULT|__VAUL|__VAU|__VA|__V|__|_)\z"
+# A beginning of a token at the end of a text, with the tokens before it that share one or both underscores with it.
+UNFINISHED = rf"(?:{_BODY}_?)*(?:__VAULT_(?:{_TYPES})_[0-9a-f]{{0,9}}_?|__VAULT_[A-Z_]*|__VAULT|__VAUL|__VAU|__VA|__V|__|_)\z"
 
 
 def token_safe(segments: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,7 +42,7 @@ def token_safe(segments: DataFrame, keys: list[str]) -> DataFrame:
     one by one. A run of tokens that share their underscores moves as a whole."""
     last = running(segments.withColumn("_rev", -F.col("segment")), keys, "_rev",
                    sums={"_later": F.lit(1).cast("long")})
-    held = F.when(F.col("_later") > 0, F.regexp_extract("text", _UNFINISHED, 0)).otherwise("")
+    held = F.when(F.col("_later") > 0, F.regexp_extract("text", UNFINISHED, 0)).otherwise("")
     cut = last.withColumn("_held", held).withColumn("_held", F.when(
         (F.col("_held") != "") & (F.col("_held") == F.col("text")) & (F.length("text") > 64),
         F.raise_error(F.lit("a segment is one unbroken run of tokens"))).otherwise(F.col("_held")))

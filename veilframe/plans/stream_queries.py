@@ -10,7 +10,7 @@ from veilframe.operators.audit import recent
 from veilframe.operators.chunks import reassemble
 from veilframe.plans.registry import SESSION, Injected, query, utc
 from veilframe.plans.traffic_queries import _PLANTED_TURN, _C, _said, _tokenised, sql_token
-from veilframe.plans.vault_queries import scratch
+from veilframe.session import shared_folder
 from veilframe.streaming import jobs
 
 PIECE = 11
@@ -46,8 +46,8 @@ def _joined(pieces):
 def stream_replace_chunks(spark, sf):
     chunks = stream_chunks(spark, sf, F.col("text"))
     replaced = jobs.replace_stream(chunks, ["conv_id", "turn"], [("la ", "LA_"), ("th", "<t>")])
-    out = scratch(spark, "replaced")
-    replaced.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "ckpt")).trigger(
+    out = shared_folder(spark, "replaced")
+    replaced.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_folder(spark, "ckpt")).trigger(
         availableNow=True).start().awaitTermination()
     return _joined(spark.read.schema(replaced.schema).parquet(out).withColumnRenamed("piece", "restored"))
 
@@ -66,8 +66,8 @@ def stream_bidirectional(spark, sf):
         "conv_id", "turn", "direction", F.size("p").alias("n"), F.posexplode("p").alias("seq", "chunk")).select(
         "conv_id", "turn", "direction", F.col("seq").cast("long").alias("seq"), "chunk", (F.col("seq") == F.col("n") - 1).alias("is_last"))
     moved = jobs.bidirectional_stream(chunks, ["conv_id", "turn", "direction"], "direction", [("the", token)])
-    out = scratch(spark, "moved")
-    moved.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "ckpt")).trigger(
+    out = shared_folder(spark, "moved")
+    moved.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_folder(spark, "ckpt")).trigger(
         availableNow=True).start().awaitTermination()
     return _joined(spark.read.schema(moved.schema).parquet(out).withColumnRenamed("piece", "restored"))
 
@@ -77,8 +77,8 @@ def stream_restore_chunks(spark, sf):
     """Tokens torn by chunk borders are held back whole and restored by join with the vault."""
     _, vault = _tokenised(spark, sf)
     pieces = jobs.token_pieces(stream_chunks(spark, sf, _tokenised_text()), ["conv_id", "turn"])
-    out = scratch(spark, "restored")
-    jobs.start_batches(pieces, jobs.restore_to(vault, ["conv_id", "turn"], out), scratch(spark, "ckpt")).awaitTermination()
+    out = shared_folder(spark, "restored")
+    jobs.start_batches(pieces, jobs.restore_to(vault, ["conv_id", "turn"], out), shared_folder(spark, "ckpt")).awaitTermination()
     return _joined(spark.read.parquet(out))
 
 
@@ -90,9 +90,9 @@ def stream_restore_events(spark, sf):
     payload = F.to_json(F.struct(F.array(F.struct(F.lit(0).alias("index"), F.struct(
         F.col("chunk").alias("content")).alias("delta"))).alias("choices")))
     lines = stream_chunks(spark, sf, _tokenised_text()).withColumn("line", F.concat(F.lit("data: "), payload))
-    out = scratch(spark, "events")
+    out = shared_folder(spark, "events")
     jobs.start_batches(jobs.sse_pieces(lines, ["conv_id", "turn"], "openai"),
-                       jobs.restore_to(vault, ["conv_id", "turn"], out), scratch(spark, "ckpt")).awaitTermination()
+                       jobs.restore_to(vault, ["conv_id", "turn"], out), shared_folder(spark, "ckpt")).awaitTermination()
     placed = spark.read.parquet(out).withColumn("place", F.col("seq") * 2 + F.col("synthetic").cast("long"))
     return reassemble(placed, ["conv_id", "turn", "field_key"], "place", "restored").select(
         "conv_id", "turn", "field_key", "text")
@@ -105,9 +105,9 @@ def stream_session_mask(spark, sf):
     """Rolling detection as state, registration and masking per micro-batch."""
     said = stream_table(spark, sf, "conversations").select("conv_id", "turn", F.expr(_said(True)).alias("text"))
     windows = jobs.window_stream(said, ["conv_id"], "turn", "text")
-    vault, out = scratch(spark, "vault"), scratch(spark, "masked")
+    vault, out = shared_folder(spark, "vault"), shared_folder(spark, "masked")
     sink = jobs.mask_sessions_to(spark, ["conv_id"], "turn", "text", SESSION, vault, out, DetectOptions(patterns=False, entropy=False))
-    jobs.start_batches(windows, sink, scratch(spark, "ckpt")).awaitTermination()
+    jobs.start_batches(windows, sink, shared_folder(spark, "ckpt")).awaitTermination()
     return spark.read.parquet(out).select("conv_id", "turn", "masked_text")
 
 
@@ -120,13 +120,13 @@ def stream_audit(spark, sf):
     events = stream_table(spark, sf, "events").select(
         F.col("event_type").alias("secret"), F.lit("GENERIC").alias("type"), F.lit("stdin").alias("source"), seen.alias("seen_at"),
         F.lit(None).cast("string").alias("name"), F.struct("ts", "event_id").alias("ord"))
-    out = scratch(spark, "ledger")
+    out = shared_folder(spark, "ledger")
 
     def sink(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     jobs.ledger_stream(events).writeStream.outputMode("update").foreachBatch(sink).option(
-        "checkpointLocation", scratch(spark, "ckpt")).trigger(availableNow=True).start().awaitTermination()
+        "checkpointLocation", shared_folder(spark, "ckpt")).trigger(availableNow=True).start().awaitTermination()
     states = spark.read.parquet(out).groupBy("id").agg(F.max_by(F.struct("created_at", "last_seen_at", "seen_count"), "batch_id").alias("r"))
     ledger = states.select("id", "r.*")
     return recent(ledger).select("id", F.unix_micros("created_at").alias("created_us"),

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from veilframe.config import DETECTION_WINDOW
 from veilframe.functions import rules
-from veilframe.operators.chunks import _UNFINISHED
+from veilframe.operators.chunks import UNFINISHED
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -26,7 +26,7 @@ class TokenHold:
     """Cuts text where no token can be torn; knows the grammar only, so it works with a vault of any size."""
 
     def __init__(self) -> None:
-        self.unfinished = re.compile(_UNFINISHED.replace(r"\z", r"\Z"))
+        self.unfinished = re.compile(UNFINISHED.replace(r"\z", r"\Z"))
 
     def cut(self, text: str) -> tuple[str, str]:
         hit = self.unfinished.search(text, max(0, len(text) - 4096))
