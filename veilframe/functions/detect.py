@@ -161,7 +161,7 @@ def entropy_spans(text: Column, threshold: float | None = None) -> Column:
         return F.when(seen, kept).otherwise(F.concat(kept, F.array(s)))
 
     return let(F.concat(hexes, runs), lambda both: F.when(F.size(both) < 2, both).otherwise(
-        F.aggregate(F.array_sort(both), no_candidates(), step)))
+        F.aggregate(F.sort_array(both), no_candidates(), step)))
 
 
 def detect(text: Column, options: DetectOptions = DetectOptions()) -> Column:
@@ -196,7 +196,7 @@ def may_hold_secret(text: Column, options: DetectOptions = DetectOptions()) -> C
 
 def infer_type(name: Column, secret: Column, custom: tuple[CustomRule, ...] = ()) -> Column:
     """Type of a secret registered by hand: a provider rule that covers it entirely, else words in its name."""
-    spans = F.array_sort(provider_spans(secret, custom))
+    spans = F.sort_array(provider_spans(secret, custom))
     whole = F.filter(spans, lambda s: (s["start"] == 0) & (s["end"] == F.length(secret)))
     n = F.lower(name)
 

@@ -86,8 +86,8 @@ def resolve_overlaps(candidates: Column) -> Column:
         return F.when(clash, taken).otherwise(F.concat(taken, F.array(x)))
 
     def settle(found: Column) -> Column:
-        taken = F.aggregate(F.array_sort(found), no_candidates(), step)
-        return as_findings(F.array_sort(F.transform(taken, lambda t: F.struct(
+        taken = F.aggregate(F.sort_array(found), no_candidates(), step)
+        return as_findings(F.sort_array(F.transform(taken, lambda t: F.struct(
             t["start"].alias("start"), t["end"].alias("end"), t["stage"].alias("stage"), t["ord"].alias("ord"),
             t["value"].alias("value"), t["type"].alias("type"), t["confidence"].alias("confidence"),
             t["pattern_id"].alias("pattern_id"), t["value_start"].alias("value_start"),
@@ -121,7 +121,7 @@ def replace_matches(text: Column, regex: Column | str, replacement) -> Column:
 
 def alternation(values: Column) -> Column:
     """A regex that matches any of the given literals, longest first and equal lengths in text order."""
-    ordered = F.array_sort(
+    ordered = F.sort_array(
         F.transform(values, lambda v: F.struct((-F.length(v)).alias("rank"), v.alias("v")))
     )
     quoted = F.transform(ordered, lambda s: F.concat(

@@ -22,7 +22,7 @@ def reassemble(df: DataFrame, keys: list[str], seq: str, value: str, rows: int =
     neither a task nor a cell can take a stream of any length; concatenating the segments in order gives the whole.
     """
     placed = numbered(df.select(*keys, seq, value), keys, seq, "_row")
-    pieces = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.coalesce(F.col(value), F.lit("")).alias("v"))))
+    pieces = F.sort_array(F.collect_list(F.struct(F.col(seq).alias("s"), F.coalesce(F.col(value), F.lit("")).alias("v"))))
     return (
         placed.withColumn("_segment", F.floor(F.col("_row") / rows))
         .groupBy(*keys, "_segment")
@@ -106,7 +106,7 @@ def system_runs(messages: DataFrame, thread: list[str], order: str, role: str, t
     runs = running(starts, thread, order, lasts={"_open": F.col("_start")})
     run = runs.withColumn("first_order", F.coalesce("_start", "_open"))
     placed = numbered(run, [*thread, "first_order"], order, "_row").withColumn("_part", F.floor(F.col("_row") / rows))
-    pieces = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
+    pieces = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
     texts = F.filter(F.transform(pieces, lambda p: F.coalesce(p["t"], F.lit(""))), lambda t: t != "")
     return placed.groupBy(*thread, "first_order", role, "_part").agg(
         F.array_join(texts, "\n\n").alias("text"), F.count("*").alias("n_merged")).drop("_part")

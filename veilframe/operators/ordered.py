@@ -87,7 +87,7 @@ def rolling_text(
     spread = placed.withColumn("_home", home).withColumn("_bucket", F.explode(F.sequence(home, last)))
     reach = Window.partitionBy(*keys, "_bucket").orderBy("_end").rangeBetween(-(window - 1), Window.currentRow)
     pieces = F.collect_list(F.when(F.col("_piece") != "", F.struct("_end", "_piece"))).over(reach)
-    text_so_far = F.array_join(F.transform(F.array_sort(pieces), lambda p: p["_piece"]), "")
+    text_so_far = F.array_join(F.transform(F.sort_array(pieces), lambda p: p["_piece"]), "")
     return (
         spread.withColumn(name, F.right(text_so_far, F.lit(window)))
         .filter(F.col("_bucket") == F.col("_home"))

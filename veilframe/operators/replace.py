@@ -49,28 +49,27 @@ def replace_scoped(
 
     ``rules`` (scope, source, target) is a stored table or a checkpointed result. With ``order`` and ``since`` a rule
     counts only for rows at or after its registration. ``keys`` identify a row. Rows for which ``gate`` is false are
-    known to hold no source and skip the join.
+    known to hold no source: where the rules are too large to be broadcast, such rows skip the shuffle of the join.
     """
-    if gate is not None:
-        skipped = df.filter(~F.coalesce(gate, F.lit(False)))
-        done = replace_scoped(df.filter(gate), rules, scope, keys, text, out, count, order, since, map_rules)
-        plain = skipped.withColumn(out, F.col(text))
-        return done.unionByName(plain.withColumn(count, F.lit(0)) if count else plain)
-
     width = F.length("source") + F.length("target")
     sizes = rules.groupBy(*scope).agg(F.count("*").alias("n"), F.sum(width.cast("long")).alias("bytes"))
     facts = sizes.agg(
         F.sum("bytes").alias("bytes"), F.sum("n").alias("rules"),
         F.count_if(F.col("n") > map_rules).alias("big")).first()
+    size_bytes = (facts["bytes"] or 0) + 64 * (facts["rules"] or 0)
+    if gate is not None and (facts["big"] or size_bytes > BROADCAST_LIMIT_BYTES):
+        hopeful = F.coalesce(gate, F.lit(False))
+        plain = df.filter(~hopeful).withColumn(out, F.col(text))
+        done = replace_scoped(df.filter(hopeful), rules, scope, keys, text, out, count, order, since, map_rules)
+        return done.unionByName(plain.withColumn(count, F.lit(0)) if count else plain)
     if not facts["big"]:
-        return _replace_by_maps(df, rules, scope, text, out, count, order, since,
-                                (facts["bytes"] or 0) + 64 * (facts["rules"] or 0))
+        return _replace_by_maps(df, rules, scope, text, out, count, order, since, size_bytes)
 
     big = cut_lineage(sizes.filter(F.col("n") > map_rules).select(*scope))
     side, _ = broadcast_if_small(big, F.lit(64))
     few_rules = rules.join(side, scope, "left_anti")
-    few = _replace_by_maps(df.join(side, scope, "left_anti"), few_rules, scope, text, out, count, order, since,
-                           (facts["bytes"] or 0) + 64 * (facts["rules"] or 0))
+    few = _replace_by_maps(
+        df.join(side, scope, "left_anti"), few_rules, scope, text, out, count, order, since, size_bytes)
     many = _replace_by_search(
         df.join(side, scope, "left_semi"), rules.join(side, scope, "left_semi"), scope, keys, text, out, count,
         order, since)

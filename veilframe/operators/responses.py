@@ -9,7 +9,8 @@ from veilframe.functions.spans import let
 from veilframe.functions.sse import typed_number, typed_string
 from veilframe.functions.text import record_id
 from veilframe.operators.chunks import reassemble
-from veilframe.operators.ordered import running, SEGMENT_ROWS
+from veilframe.operators.ordered import SEGMENT_ROWS, running
+from veilframe.session import cut_lineage
 
 DELTA = "struct<kind:string,index:bigint,id:string,name:string,text:string>"
 
@@ -69,6 +70,7 @@ def response_events(lines: DataFrame, stream: list[str], seq: str, line: str, ro
         *stream, seq, "sub", "ended_before", "p.*",
         (F.col("lines_before") + F.when((F.col("p.kind") == "tool") & F.col("in_line"), 1).otherwise(0))
         .alias("content_before"))
+    deltas = cut_lineage(deltas)  # read by every kind of event below
     stream_key = F.concat_ws(":", *stream)
     message_id = F.concat(F.lit("msg_"), record_id(stream_key))
 

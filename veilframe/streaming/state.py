@@ -86,16 +86,20 @@ class FieldStream(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.position = handle.getValueState("position", "next_seq long, timer long")
+        # How many entries the two maps hold is kept here, so that they are asked only when there is something in them.
+        self.position = handle.getValueState("position", "next_seq long, timer long, n_early long, n_tails long")
         self.early = handle.getMapState("early", "seq long", "fields string, is_last boolean")
         self.tails = handle.getMapState("tails", "field_key string", "tail string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def _load(self, key):
         cutter = self.cutters[key[self.pick] if self.pick is not None else None]
-        state = self.position.get() if self.position.exists() else None
-        expected = int(state[0]) if state else 0
-        tails = {k[0]: v[0] for k, v in self.tails.iterator()} if self.tails.exists() else {}
-        loaded = set(tails)
+        expected, timer, n_early, n_tails = self.position.get() if self.position.exists() else (0, 0, 0, 0)
+        tails = {k[0]: v[0] for k, v in self.tails.iterator()} if n_tails else {}
+        return cutter, int(expected), int(timer), int(n_early), tails
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        cutter, expected, timer, n_early, tails = self._load(key)
+        stored, known = set(tails), expected > 0 or n_early > 0
         out: list[tuple] = []
         ended = False
         for batch in rows:
@@ -103,15 +107,18 @@ class FieldStream(StatefulProcessor):
                     batch["seq"], batch["field_keys"], batch["field_values"], batch["is_last"]), key=lambda r: r[0]):
                 seq = int(seq)
                 if seq > expected:
-                    self.early.updateValue((seq,), (json.dumps([list(keys), list(values)]), bool(is_last)))
+                    if not self.early.containsKey((seq,)):
+                        self.early.updateValue((seq,), (json.dumps([list(keys), list(values)]), bool(is_last)))
+                        n_early += 1
                     continue
                 if seq < expected:
                     continue  # a repeated delivery
                 ended |= self._take(cutter, tails, out, seq, keys, values, bool(is_last))
                 expected += 1
-                while self.early.containsKey((expected,)):
+                while n_early and self.early.containsKey((expected,)):
                     fields, last = self.early.getValue((expected,))
                     self.early.removeKey((expected,))
+                    n_early -= 1
                     keys, values = json.loads(fields)
                     ended |= self._take(cutter, tails, out, expected, keys, values, bool(last))
                     expected += 1
@@ -119,34 +126,35 @@ class FieldStream(StatefulProcessor):
                 yield self._frame(key, out)
                 out = []
         if ended:
-            yield from self._close(key, cutter, tails, expected)
+            if known and timer:
+                self.handle.deleteTimer(timer)
+            yield from self._close(key, cutter, tails, expected, known or n_early > 0, n_early > 0, bool(stored))
             return
-        for k in loaded - {k for k, v in tails.items() if v}:
+        held = {k: v for k, v in tails.items() if v}
+        for k in stored - set(held):
             self.tails.removeKey((k,))
-        for k, v in tails.items():
-            if v:
-                self.tails.updateValue((k,), (v,))
-        timer = 0
+        for k, v in held.items():
+            self.tails.updateValue((k,), (v,))
         if self.idle_ms is not None:
-            if state and state[1]:
-                self.handle.deleteTimer(int(state[1]))
+            if timer:
+                self.handle.deleteTimer(timer)
             timer = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
             self.handle.registerTimer(timer)
-        self.position.update((expected, timer))
+        self.position.update((expected, timer, n_early, len(held)))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        cutter = self.cutters[key[self.pick] if self.pick is not None else None]
-        tails = {k[0]: v[0] for k, v in self.tails.iterator()} if self.tails.exists() else {}
-        expected = int(self.position.get()[0]) if self.position.exists() else 0
+        """An idle stream is closed: what waited for a missing chunk is taken in order, then the rest comes out."""
+        cutter, expected, _, n_early, tails = self._load(key)
+        stored = bool(tails)
         out: list[tuple] = []
-        waiting = sorted((int(k[0]), v[0], v[1]) for k, v in self.early.iterator()) if self.early.exists() else []
+        waiting = sorted((int(k[0]), v[0], v[1]) for k, v in self.early.iterator()) if n_early else []
         for seq, fields, last in waiting:
             keys, values = json.loads(fields)
             self._take(cutter, tails, out, seq, keys, values, bool(last))
             expected = seq + 1
         if out:
             yield self._frame(key, out)
-        yield from self._close(key, cutter, tails, expected)
+        yield from self._close(key, cutter, tails, expected, True, n_early > 0, stored)
 
     def _take(self, cutter, tails, out, seq, keys, values, is_last) -> bool:
         for k, v in zip(keys, values):
@@ -154,11 +162,11 @@ class FieldStream(StatefulProcessor):
             out.append((seq, k, piece, False))
         return is_last
 
-    def _close(self, key, cutter, tails, expected) -> Iterator[pd.DataFrame]:
+    def _close(self, key, cutter, tails, expected, has_position, has_early, has_tails) -> Iterator[pd.DataFrame]:
         rest = [(expected - 1, k, cutter.last(v), True) for k, v in tails.items() if v]
-        self.position.clear()
-        self.early.clear()
-        self.tails.clear()
+        for present, state in ((has_position, self.position), (has_early, self.early), (has_tails, self.tails)):
+            if present:
+                state.clear()
         if rest:
             yield self._frame(key, rest)
 
