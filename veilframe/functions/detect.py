@@ -144,10 +144,12 @@ def entropy_kind_spans(text: Column, kind: str, regex: str, ordinal: int, thresh
         end = m["at"] + F.length(m["g1"])
         return candidate(ENTROPY_STAGE, ordinal, m["g1"], F.lit("GENERIC"), "low", kind, m["at"], end, m["at"], end)
 
-    kept = F.filter(
-        F.transform(located_matches(text, regex, 1), hit), lambda s: is_random_run(kind, s["value"], threshold))
+    def keep(wanted: Column) -> Column:
+        spans = F.transform(located_matches(text, regex, 1), hit)
+        return _gated(F.exists(wanted, lambda w: w), F.filter(spans, lambda s, i: F.get(wanted, i)))
+
     runs = F.regexp_extract_all(text, F.lit(regex), F.lit(1))
-    return _gated(F.exists(runs, lambda run: is_random_run(kind, run, threshold)), kept)
+    return let(F.transform(runs, lambda run: is_random_run(kind, run, threshold)), keep)
 
 
 def entropy_spans(text: Column, threshold: float | None = None) -> Column:

@@ -8,8 +8,18 @@ treats accented letters as word characters.
 from __future__ import annotations
 
 # --- fixed values -----------------------------------------------------------------------------------------------
-SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
-INLINE_SPACE = r"\t\x0B\f \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+WIDE_BLANK = r"\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+ASCII_BLANK = r"\t\x0B\f "
+SPACE = ASCII_BLANK + r"\n\r" + WIDE_BLANK
+INLINE_SPACE = ASCII_BLANK + WIDE_BLANK
+
+
+def not_in(ascii_part: str, wide_part: str) -> str:
+    """Any run of characters outside two sets. Java tests one class of mixed ASCII and wide characters several times
+    slower than the two classes apart."""
+    return rf"(?:[\x00-\x7F&&[^{ascii_part}]]++|[^\x00-\x7F{wide_part}]++)++"
+
+
 AWS_ID = r"(?:AKIA|AGPA|AROA|AIPA)[A-Z0-9]{16}"
 AWS_SECRET = r"[A-Za-z0-9/+=]{40}"
 AWS_ANCHORS = ("AKIA", "AGPA", "AROA", "AIPA")
@@ -42,19 +52,25 @@ PATTERNS = (
      r"(-----BEGIN ((?:RSA |EC |OPENSSH )?PRIVATE KEY)-----[\s\S]*?-----END \2-----"
      r"|-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----)", ("-----BEGIN ",)),
     ("db_connection", "DBCONN",
-     rf"((?:mysql|postgres(?:ql)?|mongodb|redis)://[^:{SPACE}'\"]+:[^@{SPACE}'\"]+@[^{SPACE}'\"]+)", ("://",)),
+     r"((?:mysql|postgres(?:ql)?|mongodb|redis)://" + not_in(r":\t\n\x0B\f\r '\"", WIDE_BLANK) + ":"
+     + not_in(r"@\t\n\x0B\f\r '\"", WIDE_BLANK) + "@" + not_in(r"\t\n\x0B\f\r '\"", WIDE_BLANK) + ")", ("://",)),
 )
 
 # Keyword context: group 1 is the keyword, group 2 the raw value in a look-ahead, because scanning goes on right
 # behind the operator and a value may itself hold another keyword.
-HARD_STOP = r"\n\r,;，；、)\]}\"'"
+ASCII_STOP = r"\n\r,;)\]}\"'"
+WIDE_STOP = "，；、"
 HAN = r"[\p{IsHan}&&[\u0000-\uFFFF]]"
 IDENT = r"[A-Za-z0-9_-]"
 CONNECTOR = rf"(?:(?i:and|or|but)(?!{IDENT})[{INLINE_SPACE}]*+)?+"
 FIELD_NAME = rf"(?:[A-Za-z_]{IDENT}*+|{HAN}++)"
 FIELD_OPERATOR = rf"(?:[=:：是为]|(?i:is)(?!{IDENT}))"
 NEXT_FIELD = rf"[{INLINE_SPACE}]++{CONNECTOR}{FIELD_NAME}[{INLINE_SPACE}]*+{FIELD_OPERATOR}"
-VALUE = rf"(?:\"[^\"\r\n]+\"|'[^'\r\n]+'|(?:(?!{NEXT_FIELD})[^{HARD_STOP}])++)"
+# Only a blank can begin the next field, so only there the value looks ahead.
+VALUE = (
+    r"(?:\"[^\"\r\n]+\"|'[^'\r\n]+'|(?:" + not_in(ASCII_STOP + ASCII_BLANK, WIDE_STOP + WIDE_BLANK)
+    + rf"|(?!{NEXT_FIELD})[{INLINE_SPACE}])++)"
+)
 VALUE_AHEAD = rf"(?=((?:{VALUE})?+))"
 
 # (rule id, regex, literals of which every match contains one; those of the English rule in lower case)

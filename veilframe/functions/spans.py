@@ -24,11 +24,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+MARK = "\u0001"
+
+
+def gaps_between(text: Column, rx: Column) -> Column:
+    """Texts between the matches. ``split`` compiles its regex anew for every row, the replacing function once per
+    task: so matches are replaced by a mark, and the mark is split at. A text that holds the mark is split directly."""
+    marked = F.split(F.regexp_replace(text, rx, F.lit(MARK)), F.lit(MARK), -1)
+    return F.when(F.contains(text, F.lit(MARK)), F.split(text, rx, -1)).otherwise(marked)
+
+
 def located_matches(text: Column, regex: Column | str, groups: int) -> Column:
     """All non-overlapping matches, left to right: array of (at, full, g1..gN).
 
-    The gaps that ``split`` leaves between matches plus the matches themselves give every position in one fold. A
-    zero-width match at the very start has no gap of its own and is left out. Texts without a match cost one scan.
+    The gaps between matches plus the matches themselves give every position in one fold. A zero-width match at the
+    very start may have no gap of its own; it is then left out. Texts without a match cost one scan.
     """
     rx = F.lit(regex) if isinstance(regex, str) else regex
     names = [f"g{i}" for i in range(1, groups + 1)]
@@ -55,7 +65,7 @@ def located_matches(text: Column, regex: Column | str, groups: int) -> Column:
 
     def locate(fulls: Column) -> Column:
         parts = F.struct(
-            F.split(text, rx, -1).alias("gap"), fulls.alias("full"),
+            gaps_between(text, rx).alias("gap"), fulls.alias("full"),
             *[F.regexp_extract_all(text, rx, F.lit(i + 1)).alias(n) for i, n in enumerate(names)],
         )
         return F.when(F.size(fulls) == 0, none).otherwise(let(parts, fold))
