@@ -52,5 +52,6 @@ def job_stats(handled: DataFrame, text: str, masked: str, vault: DataFrame, firs
     )
     size = vault.agg(F.count("*").alias("registered_secrets"))
     seen = first_seen.agg(F.count("*").alias("detected_secrets"))
-    one = F.lit(1).alias("_one")
-    return inputs.select("*", one).join(size.select("*", one), "_one").join(seen.select("*", one), "_one").drop("_one")
+    names = ["masked_inputs", "restored_outputs", "registered_secrets", "detected_secrets"]
+    rows = inputs.unionByName(size, allowMissingColumns=True).unionByName(seen, allowMissingColumns=True)
+    return rows.agg(*[F.max(n).alias(n) for n in names])

@@ -14,20 +14,13 @@ BLOCK_SPAN = 50_000
 SEGMENT_ROWS = 4096
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & left[k].eqNullSafe(right[k])
-    return condition
-
-
 def running(
     df: DataFrame, keys: list[str], order: str, sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None, span: int = BLOCK_SPAN,
 ) -> DataFrame:
     """Add, for every row, values over the *earlier* rows of its key: sums, and last non-null values."""
     sums, lasts = sums or {}, lasts or {}
-    keyed = df.withColumn("_block", F.floor(F.col(order) / span))
+    keyed = df.withColumn("_block", F.col(order) - F.pmod(F.col(order), F.lit(span)))
     by_block = [*keys, "_block"]
     earlier = Window.partitionBy(*by_block).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = keyed.select(

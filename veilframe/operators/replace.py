@@ -17,7 +17,7 @@ from veilframe.functions.spans import alternation, let, replace_matches
 from veilframe.session import BROADCAST_LIMIT_BYTES, broadcast_if_small, cut_lineage
 
 MAP_RULES = 256
-MAX_FILTER_BITS = 1 << 31
+MAX_FILTER_BITS = 1 << 28  # 32 MB; a fuller filter passes more candidates, never fewer
 
 
 def replace_with_pairs(text: Column, pairs: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from veilframe.config import DetectOptions
@@ -68,11 +68,16 @@ def inspected_body(body: Column) -> Column:
 
 
 def mask_traffic(log: DataFrame, keys: list[str], session: str, seen_at: Column,
-                 options: DetectOptions = DetectOptions(), default_provider: str | None = None) -> Masked:
-    """Route logged requests; mask the bodies that are text, leave the others as they are."""
+                 options: DetectOptions = DetectOptions(), default_provider: str | None = None,
+                 observation: Observation | None = None) -> Masked:
+    """Route logged requests; mask the bodies that are text, leave the others as they are. ``observation`` receives the
+    number and the characters of the inspected bodies while the job runs."""
     routed = log.withColumn("route", route_provider(F.col("path"), F.col("headers"), default_provider)).withColumn(
         "is_text", is_text_content(F.col("headers")) & (F.length("body") > 0) & F.col("route.error").isNull())
     text_rows = routed.filter("is_text").withColumn("_seen_body", inspected_body(F.col("body")))
+    if observation is not None:
+        text_rows = text_rows.observe(
+            observation, F.count("*").alias("n_bodies"), F.sum(F.length("body").cast("long")).alias("n_characters"))
     found = cut_lineage(skip_token_values(findings(text_rows, keys, "_seen_body", options)).withColumn(
         "source", F.lit("proxy")))
     events = sightings(found.withColumn("_seen", seen_at), "proxy", F.col("_seen"), [*keys, "start"])

@@ -1,6 +1,6 @@
 """The stored vault: a Parquet table of encrypted entries.
 
-Every write draws a salt and derives an AES-256 key from the password (scrypt). A row holds the salt's name and the
+Every write draws a few salts and derives an AES-256 key per salt from the password (scrypt). A row holds the salt's name and the
 entry as AES-GCM ciphertext; the cipher's tag makes a wrong password or a changed row an error. Keys travel as the
 rows of a one-column table that is joined by salt name, so they appear in no plan, log or event.
 """
@@ -22,6 +22,7 @@ KEY_BYTES = 32
 SALT_BYTES = 16
 SCRYPT = {"n": 2**14, "r": 8, "p": 1}
 # ----------------------------------------------------------------------------------------------------------------
+SALTS = 4  # per write
 ENTRY = "struct<token:string,secret:string,type:string,created_us:bigint,hit_count:bigint,name:string,source:string>"
 
 
@@ -30,8 +31,8 @@ def derive_key(password: str, salt: bytes) -> bytes:
 
 
 def _key_ring(spark: SparkSession, password: str, salts: list[str]) -> DataFrame:
-    rows = [(s, bytearray(derive_key(password, bytes.fromhex(s)))) for s in salts]
-    return F.broadcast(spark.createDataFrame(rows, "salt string, key binary"))
+    rows = [(i, s, bytearray(derive_key(password, bytes.fromhex(s)))) for i, s in enumerate(salts)]
+    return F.broadcast(spark.createDataFrame(rows, "slot int, salt string, key binary"))
 
 
 def _entry() -> Column:
@@ -40,9 +41,9 @@ def _entry() -> Column:
 
 
 def write_vault(vault: DataFrame, path: str, password: str, mode: str = "overwrite") -> None:
-    salt = random_source.token_bytes(SALT_BYTES).hex()
-    ring = _key_ring(vault.sparkSession, password, [salt])
-    sealed = vault.select(F.lit(salt).alias("salt"), _entry().alias("entry")).join(ring, "salt").select(
+    ring = _key_ring(vault.sparkSession, password, [random_source.token_bytes(SALT_BYTES).hex() for _ in range(SALTS)])
+    slot = F.pmod(F.hash("token"), F.lit(SALTS))
+    sealed = vault.select(slot.alias("slot"), _entry().alias("entry")).join(ring, "slot").select(
         "salt", F.aes_encrypt(F.encode("entry", "UTF-8"), "key", F.lit("GCM")).alias("sealed"))
     sealed.write.mode(mode).parquet(path)
 
@@ -76,8 +77,8 @@ def unreadable_rows(spark: SparkSession, path: str, password: str) -> DataFrame:
 
 
 def _open(spark: SparkSession, sealed: DataFrame, password: str, strict: bool) -> DataFrame:
-    salts = [r["salt"] for r in sealed.select("salt").distinct().collect()]  # one per write
-    ring = _key_ring(spark, password, salts)
+    salts = [r["salt"] for r in sealed.select("salt").distinct().collect()]  # a few per write
+    ring = _key_ring(spark, password, salts).drop("slot")
     decrypt = F.aes_decrypt if strict else F.try_aes_decrypt
     plain = decrypt("sealed", "key", F.lit("GCM")).cast("string")
     return sealed.join(ring, "salt").select("salt", "sealed", F.from_json(plain, ENTRY).alias("e"))

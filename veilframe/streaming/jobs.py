@@ -121,20 +121,20 @@ def mask_sessions_to(
             batch.select(*session).distinct(), session, "left_semi")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        from veilframe.session import cut_lineage
-
-        batch = cut_lineage(batch)
+        batch = batch.persist()
         old = known_before(batch, batch_id)
         found = skip_token_values(findings(batch, [*session, order], "window_text", options))
         fresh = found.join(old.select(*session, F.col("secret").alias("value")), [*session, "value"], "left_anti")
-        fresh = cut_lineage(fresh.withColumn("_seen", F.timestamp_seconds(F.col(order).cast("double"))))
+        fresh = fresh.withColumn("_seen", F.timestamp_seconds(F.col(order).cast("double"))).persist()
         vault = build_vault(sightings(fresh, "stdin", F.col("_seen"), [order, "start"], scope=session), session_id, scope=session)
         first = fresh.groupBy(*session, F.col("value").alias("secret")).agg(F.min(order).cast("long").alias("first_order"))
         grown = vault.join(first, [*session, "secret"]).select(*session, "secret", "token", "type", "first_order")
         grown.write.mode("overwrite").parquet(f"{vault_path}/batch_id={batch_id}")
-        known = cut_lineage(old.unionByName(grown))
+        known = old.unionByName(spark.read.schema(grown.schema).parquet(f"{vault_path}/batch_id={batch_id}"))
         masked = mask_as_of(batch, known, session, [*session, order], order, "first_order", text, "masked_text")
         masked.drop("window_text").write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        fresh.unpersist()
+        batch.unpersist()
 
     return handle
 
