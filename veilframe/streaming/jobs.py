@@ -81,11 +81,13 @@ def start_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], c
 
 def restore_to(vault: DataFrame, keys: list[str], path: str) -> Callable[[DataFrame, int], None]:
     """Sink of pieces: every micro-batch is joined with the vault and written to its own folder, so that a repeated
-    batch replaces itself."""
+    batch replaces itself. The batch is held while it is joined, so that the stateful step before it runs once."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
         restored = restore(batch, vault, [*keys, "seq", "field_key", "synthetic"], "piece", "restored")
         restored.drop("piece").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.unpersist()
 
     return handle
 
