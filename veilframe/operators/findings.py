@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +17,18 @@ from veilframe.session import broadcast_if_small
 def findings(df: DataFrame, keys: list[str], text: Column | str, options: DetectOptions = DetectOptions()) -> DataFrame:
     """Detect and explode. Narrow: no shuffle, and only the text column leaves the scan besides the keys."""
     check_custom_rules(df.sparkSession, options.custom_rules)
-    column = F.col(text) if isinstance(text, str) else text
-    return df.select(*keys, F.explode(detect(column, options)).alias("f")).select(*keys, "f.*")
+    if isinstance(text, str):
+        spans = detect_named(text, options, df.sparkSession.sparkContext.applicationId)
+    else:
+        spans = detect(text, options)
+    return df.select(*keys, F.explode(spans).alias("f")).select(*keys, "f.*")
+
+
+@lru_cache(maxsize=64)
+def detect_named(text: str, options: DetectOptions, application: str) -> Column:
+    """The detection expression over a column name. It has some thousand nodes and is built from Python call by call,
+    which takes seconds; an unresolved expression fits every table of the application, so it is built once."""
+    return detect(F.col(text), options)
 
 
 def skip_token_values(found: DataFrame) -> DataFrame:

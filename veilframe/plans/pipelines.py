@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from veilframe.config import DetectOptions
-from veilframe.functions.detect import detect, infer_type, may_hold_secret
+from veilframe.functions.detect import infer_type, may_hold_secret
 from veilframe.functions.http import is_text_content, route_provider
 from veilframe.functions.text import strip_tokens, unescape_json_text, vault_token
 from veilframe.operators.audit import audit_ledger
-from veilframe.operators.findings import exclude_records, exclude_types, findings, skip_token_values
+from veilframe.operators.findings import (
+    detect_named, exclude_records, exclude_types, findings, skip_token_values,
+)
 from veilframe.operators.mask import mask, mask_spans
 from veilframe.operators.vault import build_vault, sightings
 from veilframe.session import cut_lineage
@@ -55,7 +57,8 @@ def mask_rows(df: DataFrame, keys: list[str], text: str, out: str, session: Colu
               options: DetectOptions = DetectOptions()) -> DataFrame:
     """Detect and rewrite in one narrow pass: one scan, no shuffle. Every row is a session of its own, so two rows
     give the same secret different tokens."""
-    found = F.filter(detect(F.col(text), options), lambda f: ~F.startswith(f["value"], F.lit("__VAULT_")))
+    spans = detect_named(text, options, df.sparkSession.sparkContext.applicationId)
+    found = F.filter(spans, lambda f: ~F.startswith(f["value"], F.lit("__VAULT_")))
     staged = df.withColumn("_found", found)
     return staged.select(
         *df.columns, mask_spans(F.col(text), F.col("_found"), session, vault_token).alias(out),
