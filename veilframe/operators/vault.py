@@ -64,7 +64,10 @@ def assign_tokens(
     entries: DataFrame, session: str | Column, generator: TokenGenerator = vault_token, scope: list[str] | None = None,
 ) -> DataFrame:
     """Tokens, made unique: within one base token the first entry keeps it, the next 15 append their rank in hex, later
-    ones take a longer hash. Longer hashes may meet by chance, so uniqueness is checked and settled."""
+    ones take a longer hash. Longer hashes may meet by chance, so uniqueness is checked and settled.
+
+    Entries with one base token are numbered together, so a generator of one's own has to spread secrets over tokens as
+    a hash does."""
     scope = scope or []
     session = F.lit(session) if isinstance(session, str) else session
     based = entries.withColumn(

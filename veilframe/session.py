@@ -21,6 +21,8 @@ def build_session(app: str = "veilframe", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Detection expressions have thousands of nodes; recording the call site of each takes most of their building time.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.redaction.regex", "(?i)secret|password|token|access[.]?key|vault")
     )
     if master:
