@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import exact, language, packing
+from veilframe.llm import exact, jaccard, language, packing
 from veilframe.llm.common import table
 
 QUERIES = {}
@@ -49,3 +49,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language.language_of(F.col("text"), profiles)
     return docs.select("doc_id", language.held_out().alias("held_out"), found.alias("found")).select(
         "doc_id", "held_out", "found.lang_pred", "found.score")
+
+
+@query("op10_ngram_jaccard_join")
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
