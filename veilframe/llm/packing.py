@@ -24,7 +24,7 @@ from veilframe.session import cut_lineage
 CAPACITY = 1024
 SLACK = 4
 WHOLE = 1 << 62  # sequence numbers from here on hold one whole piece of one document
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 1_200_000
 _TOKENS = "p int, row bigint, id bigint, n_tokens bigint, k bigint, whole_before bigint, ids binary"
 _tokenizers: dict[str, tuple] = {}
 
@@ -40,25 +40,37 @@ class _Encoder:
         self.tokenizer.encode_special_tokens = True
         self.words: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def encode(self, text: str) -> bytes:
-        if "  " in text:
-            return self._encode([text])[0]
-        first, *rest = text.split(" ")
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids whose token starts with a blank
+        for token, i in self.tokenizer.get_vocab().items():
+            self.opens[i] = token[0] == "\u0120"
+        self.blank = self._encode([" "])[0].tobytes()
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, missing: list[str]) -> None:
+        """Tokenise new words, many in one text: each starts with the only blank that it has."""
+        lines = [" " + " ".join(missing[i:i + 64]) for i in range(0, len(missing), 64)]
+        ids = np.concatenate(self._encode(lines))
+        raw, bounds = ids.tobytes(), (np.append(np.flatnonzero(self.opens[ids]), len(ids)) * 4).tolist()
+        self.words.update(zip(missing, map(raw.__getitem__, map(slice, bounds, bounds[1:]))))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [t.split(" ") if "  " not in t else None for t in texts]
+        needed: set[str] = set()
+        needed.update(*[x[1:] for x in split if x])
         words = self.words
-        try:
-            tail = b"".join([words[w] for w in rest])
-        except KeyError:
-            missing = [w for w in dict.fromkeys(rest) if w not in words]
-            if len(words) + len(missing) > _CACHE_WORDS:
-                words.clear()
-                missing = list(dict.fromkeys(rest))
-            words.update(zip(missing, self._encode([" " + w for w in missing])))
-            tail = b"".join([words[w] for w in rest])
-        return (self._encode([first])[0] if first else b"") + tail
+        needed.discard("")
+        missing = [w for w in needed if w not in words]
+        if len(words) + len(missing) > _CACHE_WORDS:
+            words.clear()
+            missing = list(needed)
+        if missing:
+            self._learn(missing)
+        words[""] = self.blank
+        heads = self._encode([t if x is None else x[0] for t, x in zip(texts, split)])
+        find = words.__getitem__
+        return [h.tobytes() + b"".join(map(find, x[1:])) if x else h.tobytes() for h, x in zip(heads, split)]
 
 
 def _encoder(path: str) -> _Encoder:
@@ -78,8 +90,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
         seen, whole, row = np.zeros(capacity, np.int64), 0, 0
         for batch in batches:
             texts, names = batch.column("text"), batch.column("id")
-            for at in range(0, batch.num_rows, 512):
-                ids = [encoder.encode(t or "") + end for t in texts.slice(at, 512).to_pylist()]
+            for at in range(0, batch.num_rows, 128):
+                ids = [x + end for x in encoder.encode([t or "" for t in texts.slice(at, 128).to_pylist()])]
                 out = np.empty((5, len(ids)), np.int64)
                 for i, x in enumerate(ids):
                     n = len(x) // 4
@@ -88,7 +100,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
                     whole += n // capacity
                     row += 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[4].astype(np.int32)), pa.array(out[0]), names.slice(at, 512), pa.array(out[1]),
+                    [pa.array(out[4].astype(np.int32)), pa.array(out[0]), names.slice(at, 128), pa.array(out[1]),
                      pa.array(out[2]), pa.array(out[3]), pa.array(ids, pa.binary())],
                     ["p", "row", "id", "n_tokens", "k", "whole_before", "ids"])
 
