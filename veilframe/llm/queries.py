@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import exact, jaccard, language, packing
+from veilframe.llm import embeddings, exact, jaccard, language, packing, warc
 from veilframe.llm.common import table
+from veilframe.session import shared_folder
 
 QUERIES = {}
 ORACLES = {}
@@ -54,3 +55,27 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_ngram_jaccard_join")
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@query("op4_embedding_near_dedup", """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+              AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+    links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+              WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+    reach(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+    SELECT e.vec_id, (SELECT count(*) FROM links WHERE x = e.vec_id) AS n_links, min(r.y) AS component_id,
+           e.vec_id = min(r.y) AS kept
+    FROM embeddings e JOIN reach r ON r.x = e.vec_id GROUP BY e.vec_id""")
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_warc", """
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+           CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id <> max(page_id) OVER g THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id <> max(page_id) OVER g THEN max(page_id) OVER g END AS refers_to
+    FROM pages WINDOW g AS (PARTITION BY coalesce(html, ''))""")
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"), shared_folder(spark, "warc"))
