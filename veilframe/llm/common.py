@@ -120,6 +120,18 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return hashes, np.searchsorted(starts, bounds, side="left").astype(np.int64)
 
 
+_RAW_BYTES = [random_words(11, 256), random_words(12, 256)]
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
+    """A 64-bit hash of each byte range; ``which`` picks one of two independent ones."""
+    up, down = _powers(len(data))
+    total = np.empty(len(data) + 1, U64)
+    total[0] = 0
+    np.cumsum(_RAW_BYTES[which][data] * up[:len(data)], dtype=U64, out=total[1:])
+    return mix((total[end] - total[start]) * down[np.minimum(start, len(down) - 1)] + (end - start).astype(U64) * _FACTOR)
+
+
 def shingles(words: np.ndarray, bounds: np.ndarray, size: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of ``size`` words in a row, in order, with the bounds of the rows.
 

@@ -19,58 +19,99 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilframe.llm.common import U64, byte_hashes, pieces, utf8
 from veilframe.session import cut_lineage
 
 CAPACITY = 1024
 SLACK = 4
 WHOLE = 1 << 62  # sequence numbers from here on hold one whole piece of one document
-_CACHE_WORDS = 1_200_000
+_CACHE_WORDS = 2_000_000
+_CHUNK = 1 << 20
 _TOKENS = "p int, row bigint, id bigint, n_tokens bigint, k bigint, whole_before bigint, ids binary"
 _tokenizers: dict[str, tuple] = {}
 
 
 class _Encoder:
-    """Token ids as little-endian 32-bit words. A blank between words opens a pre-token, so a text without two blanks in
-    a row is the chain of its blank-led words, and each distinct word is tokenised once per cache."""
+    """Token ids of texts, from a table of known pieces.
+
+    A blank opens a pre-token, so a text without two blanks in a row is the chain of its pieces, each up to the next
+    blank; only pieces not seen before are tokenised, many in one call. A text with two blanks in a row is one piece.
+    Pieces are known by two 64-bit hashes of their bytes. The table is bounded: when it is full it starts anew.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
-
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids whose token starts with a blank
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token[0] == "\u0120"
-        self.blank = self._encode([" "])[0].tobytes()
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.checks = np.zeros(0, U64), np.zeros(0, U64)
+        self.start, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, missing: list[str]) -> None:
-        """Tokenise new words, many in one text: each starts with the only blank that it has."""
-        lines = [" " + " ".join(missing[i:i + 64]) for i in range(0, len(missing), 64)]
-        ids = np.concatenate(self._encode(lines))
-        raw, bounds = ids.tobytes(), (np.append(np.flatnonzero(self.opens[ids]), len(ids)) * 4).tolist()
-        self.words.update(zip(missing, map(raw.__getitem__, map(slice, bounds, bounds[1:]))))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") if "  " not in t else None for t in texts]
-        needed: set[str] = set()
-        needed.update(*[x[1:] for x in split if x])
-        words = self.words
-        needed.discard("")
-        missing = [w for w in needed if w not in words]
-        if len(words) + len(missing) > _CACHE_WORDS:
-            words.clear()
-            missing = list(needed)
-        if missing:
-            self._learn(missing)
-        words[""] = self.blank
-        heads = self._encode([t if x is None else x[0] for t, x in zip(texts, split)])
-        find = words.__getitem__
-        return [h.tobytes() + b"".join(map(find, x[1:])) if x else h.tobytes() for h, x in zip(heads, split)]
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _tokens(self, found: list[bytes], blank_led: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some pieces laid end to end, and their sizes; the blank-led pieces come first in ``found``."""
+        led = int(blank_led.sum())
+        lines = [b"".join(found[i:min(i + 64, led)]).decode() for i in range(0, led, 64)]
+        encoded = self._encode(lines)
+        ids = np.concatenate([*encoded, np.zeros(0, np.uint32)])
+        sizes = np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids)))
+        alone = self._encode([x.decode() for x in found[led:]])
+        return np.concatenate([ids, *alone]).astype(np.uint32), np.r_[sizes, [len(x) for x in alone]].astype(np.int64)
+
+    def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts given as bytes and bounds, end to end, and the bounds of the texts in ids."""
+        n, rows = len(data), len(bounds) - 1
+        if n == 0:
+            return np.zeros(0, np.uint32), np.zeros(rows + 1, np.int64)
+        blank = data == 0x20
+        row = np.repeat(np.arange(rows), np.diff(bounds))
+        twice = np.flatnonzero(blank[1:] & blank[:-1] & (row[1:] == row[:-1]))
+        whole = np.zeros(rows, bool)
+        whole[row[twice]] = True
+        opens = blank & ~whole[row]
+        opens[bounds[:-1][np.diff(bounds) > 0]] = True
+        start = np.flatnonzero(opens)
+        end = np.append(start[1:], n)
+        keys, checks = (byte_hashes(data, start, end, i) for i in range(2))
+        order = np.argsort(keys)
+        head = np.r_[True, keys[order][1:] != keys[order][:-1]]
+        first = order[head]
+        distinct, which = keys[first], np.empty(len(keys), np.int64)
+        which[order] = np.cumsum(head) - 1
+        at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
+        known = (self.keys[at] == distinct) & (self.checks[at] == checks[first]) if len(self.keys) else np.zeros(len(distinct), bool)
+        missing = np.flatnonzero(~known)
+        if len(missing):
+            if len(self.keys) + len(missing) > _CACHE_WORDS or len(self.pool) > 4 * _CACHE_WORDS:
+                self.forget()
+                missing = np.arange(len(distinct))
+            place = first[missing]
+            led = blank[start[place]] & ~whole[row[start[place]]]
+            order = np.argsort(~led, kind="stable")
+            missing, place, led = missing[order], place[order], led[order]
+            raw = data.tobytes()
+            ids, sizes = self._tokens([raw[a:b] for a, b in zip(start[place].tolist(), end[place].tolist())], led)
+            merged = np.concatenate([self.keys, distinct[missing]])
+            order = np.argsort(merged, kind="stable")
+            self.keys = merged[order]
+            self.checks = np.concatenate([self.checks, checks[place]])[order]
+            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(sizes) - sizes])[order]
+            self.size = np.concatenate([self.size, sizes])[order]
+            self.pool = np.concatenate([self.pool, ids])
+            at = np.searchsorted(self.keys, distinct)
+        size, source = self.size[at][which], self.start[at][which]
+        total = np.cumsum(size)
+        out = self.pool[np.repeat(source - (total - size), size) + np.arange(total[-1])]
+        pieces_before = np.searchsorted(start, bounds)
+        return out, np.r_[0, total][pieces_before]
 
 
 def _encoder(path: str) -> _Encoder:
@@ -89,19 +130,20 @@ def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
         encoder, part = _encoder(tokenizer_path), TaskContext.get().partitionId()
         seen, whole, row = np.zeros(capacity, np.int64), 0, 0
         for batch in batches:
-            texts, names = batch.column("text"), batch.column("id")
-            for at in range(0, batch.num_rows, 128):
-                ids = [x + end for x in encoder.encode([t or "" for t in texts.slice(at, 128).to_pylist()])]
-                out = np.empty((5, len(ids)), np.int64)
-                for i, x in enumerate(ids):
-                    n = len(x) // 4
+            data, bounds = utf8(batch.column("text"))
+            for a, b in pieces(bounds, _CHUNK):
+                ids, at = encoder.encode(data[bounds[a]:bounds[b]], bounds[a:b + 1] - bounds[a])
+                raw, limits = ids.tobytes(), (at * 4).tolist()
+                out = np.empty((5, b - a), np.int64)
+                for i, n in enumerate((np.diff(at) + 1).tolist()):
                     out[:, i] = (part << 40) + row, n, seen[n % capacity], whole, part
                     seen[n % capacity] += 1
                     whole += n // capacity
                     row += 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[4].astype(np.int32)), pa.array(out[0]), names.slice(at, 128), pa.array(out[1]),
-                     pa.array(out[2]), pa.array(out[3]), pa.array(ids, pa.binary())],
+                    [pa.array(out[4].astype(np.int32)), pa.array(out[0]), batch.column("id").slice(a, b - a), pa.array(out[1]),
+                     pa.array(out[2]), pa.array(out[3]),
+                     pa.array([raw[x:y] + end for x, y in zip(limits, limits[1:])], pa.binary())],
                     ["p", "row", "id", "n_tokens", "k", "whole_before", "ids"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -267,7 +309,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         return F.substring(F.col("ids"), (start * 4 + 1).cast("int"), (length * 4).cast("int"))
 
     whole = (F.col("n_tokens") / capacity).cast("bigint")
-    pieces = tokens.where(F.col("n_tokens") >= capacity).select(
+    fronts = tokens.where(F.col("n_tokens") >= capacity).select(
         "id", "n_tokens", "p", "whole_before", "ids", F.explode(F.sequence(F.lit(0), whole - 1)).alias("j")).select(
         F.col("id").alias(id_col), (F.col("j") * capacity).alias("start"), F.lit(capacity).cast("bigint").alias("length"),
         F.col("n_tokens").alias("doc_tokens"),
@@ -277,7 +319,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     rest = tails.join(placed, "row").select(
         F.col("id").alias(id_col), (whole * capacity + F.col("cut")).alias("start"), "length",
         F.col("n_tokens").alias("doc_tokens"), "sequence_id", "offset", words(F.col("cut"), F.col("length")).alias("ids"))
-    return pieces.unionByName(rest)
+    return fronts.unionByName(rest)
 
 
 def sequences(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
