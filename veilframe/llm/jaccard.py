@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import U64, mix, pieces, shingles, signed, utf8, word_hashes
+from veilframe.llm.common import U64, free_name, mix, pieces, shingles, signed, utf8, word_hashes
 from veilframe.llm.graph import Sets, components, each_group
 from veilframe.session import cut_lineage
 
@@ -309,15 +309,8 @@ def _verified(members: DataFrame, rule: Rule) -> DataFrame:
     return components(edges.union(more))
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
-    """Per row its identifier, ``n_shingles`` and ``component_id``: the least identifier that links reach, its own included.
-
-    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case; a text with fewer than ``size`` words is one shingle. Null,
-    empty and wordless texts have no shingle and link with nothing. Equal sets link, whatever the texts. Rows that repeat
-    an identifier are taken for what their texts are; a null identifier counts as none, and a component that has no
-    other gives null. Other columns are not read. Empty in, empty out.
-    """
-    rule = Rule(size, percent)
+def _classified(docs: DataFrame, id_col: str, text_col: str, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """The described rows (id, h1, h2, sig, n, ...), and sig, root and component_id of every class with shingles."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("h1"),
                        F.xxhash64(text, F.lit(1)).alias("h2"), text.alias("text"))
@@ -335,7 +328,36 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = rows.select("h1", "h2", "text").join(members, ["h1", "h2"]).dropDuplicates(["h1", "h2"]).select("family", "sig", "text")
     linked = cut_lineage(_verified(texts, rule))
     least = classes.join(linked, F.col("sig") == F.col("node"), "left").select("sig", "least_id", F.coalesce("root", "sig").alias("root"))
-    labels = least.join(least.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("sig", "component_id")
+    return described, least.join(least.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select(
+        "sig", "root", "component_id")
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
+    """Per row its identifier, ``n_shingles`` and ``component_id``: the least identifier that links reach, its own included.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case; a text with fewer than ``size`` words is one shingle. Null,
+    empty and wordless texts have no shingle and link with nothing. Equal sets link, whatever the texts. Rows that repeat
+    an identifier are taken for what their texts are; a null identifier counts as none, and a component that has no
+    other gives null. Other columns are not read. Empty in, empty out.
+    """
+    described, labels = _classified(docs, id_col, text_col, Rule(size, percent))
     return described.select("id", "sig", "n").join(labels, "sig", "left").select(
         F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with their columns, but one row only of each component: that of the least identifier (rows
+    without one come last, then the text's hash decides). Rows without shingles all stay; of rows that repeat both
+    identifier and text one stays."""
+    described, labels = _classified(docs, id_col, text_col, Rule(size, percent))
+    rank = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0).cast("bigint")).alias("id"), "h1", "h2")
+    rooted = described.where("n > 0").select("sig", rank.alias("rank")).join(labels.select("sig", "root"), "sig")
+    best = rooted.groupBy("root").agg(F.min("rank").alias("best"))
+    key, h1, h2 = (free_name(docs.columns, c) for c in ("row_key", "hash_1", "hash_2"))
+    nothing = F.lit(np.iinfo(np.int64).min)
+    gone = rooted.join(best, "root").where("rank <> best").select(
+        F.when(F.col("rank.none"), nothing).otherwise(F.col("rank.id")).alias(key), F.col("rank.h1").alias(h1), F.col("rank.h2").alias(h2)).distinct()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = docs.withColumns({key: F.coalesce(F.col(id_col).cast("bigint"), nothing), h1: F.xxhash64(text), h2: F.xxhash64(text, F.lit(1))})
+    return keyed.join(gone, [key, h1, h2], "left_anti").dropDuplicates([key, h1, h2]).select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import embeddings, exact, jaccard, language, packing, warc
+from veilframe.llm import embeddings, exact, jaccard, language, mixing, packing, warc
 from veilframe.llm.common import table
 from veilframe.session import shared_folder
 
@@ -79,3 +79,11 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM pages WINDOW g AS (PARTITION BY coalesce(html, ''))""")
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"), shared_folder(spark, "warc"))
+
+
+@query("op9_mix_to_targets")
+def op9_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = mixing.learn_domains(mixing.domains_of_labels(docs, table(spark, sf_dir, "labels")))
+    return mixing.mix_rates(docs, model, mixing.TARGETS).select(
+        "doc_id", "n_tokens", F.map_from_arrays(F.array(*[F.lit(d) for d in model.domains]), "posterior").alias("posterior"), "rate", "copies")
