@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import embeddings, exact, jaccard, language, mixing, packing, warc
+from veilframe.llm import embeddings, exact, jaccard, language, mixing, packing, scoring, warc
 from veilframe.llm.common import table
 from veilframe.session import shared_folder
 
@@ -87,3 +87,8 @@ def op9_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = mixing.learn_domains(mixing.domains_of_labels(docs, table(spark, sf_dir, "labels")))
     return mixing.mix_rates(docs, model, mixing.TARGETS).select(
         "doc_id", "n_tokens", F.map_from_arrays(F.array(*[F.lit(d) for d in model.domains]), "posterior").alias("posterior"), "rate", "copies")
+
+
+@query("op8_masked_pseudo_likelihood")
+def op8_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.pseudo_likelihood(table(spark, sf_dir, "documents"))
