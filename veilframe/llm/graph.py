@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,34 +17,76 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _settled(edges: DataFrame) -> bool:
+    """Whether (a, b) are stars around their least nodes: every a has one b, and no b is an a."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("a_side"), F.lit(0).alias("b_side")).union(
+        edges.select("b", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("node").agg(F.sum("a_side").alias("x"), F.max("b_side").alias("y"))
+    return seen.where("x > 1 OR (x = 1 AND y = 1)").isEmpty()
+
+
+def _contract(chunk: int):
+    """Within a task and ``chunk`` edges, replace the edges by stars around the least node of each component."""
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        ends = pa.chunked_array([*table.column("a").chunks, *table.column("b").chunks]).combine_chunks().dictionary_encode()
+        names = ends.dictionary
+        rank = np.empty(len(names), np.int64)
+        order = pc.sort_indices(names).to_numpy()
+        rank[order] = np.arange(len(names))
+        place = rank[ends.indices.to_numpy()]
+        half = len(place) // 2
+        sets = Sets(len(names))
+        for x, y in zip(place[:half].tolist(), place[half:].tolist()):
+            sets.join(x, y)
+        root = np.array([sets.find(i) for i in range(len(names))])
+        other = np.flatnonzero(root != np.arange(len(names)))
+        ordered = names.take(pa.array(order))
+        return pa.RecordBatch.from_arrays([ordered.take(pa.array(other)), ordered.take(pa.array(root[other]))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= chunk:
+                yield stars(held)
+                held, size = [], 0
+        if size:
+            yield stars(held)
+
+    return run
+
+
+def components(edges: DataFrame, chunk: int = 200_000) -> DataFrame:
     """``node`` and ``root`` (the least node that it reaches) for all nodes on the edges (a, b).
 
-    Large-star and small-star rounds: every round links the neighbours of a node to its least neighbour, so paths shrink
-    by halves, and the edges never outnumber those at the start. Minima are pre-aggregated; no neighbourhood is gathered.
-    Each round is a written table. Null ends are ignored; loops count as nodes; no edges give no rows.
+    Edges are contracted to stars within tasks of at most ``chunk`` edges. If more than one task was needed, large-star and
+    small-star rounds follow: each links the neighbours of a node to its least neighbour, so paths shrink by halves.
+    Minima are pre-aggregated; no neighbourhood is gathered. Each round is a written table. Null ends are ignored; loops
+    count as nodes; no edges give no rows.
     """
-    edges = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")
-    now = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    loops = edges.where("a = b").select(F.col("a").alias("node"), F.col("b").alias("root"))
-    state = None
+    edges = cut_lineage(edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b"))
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    schema = f"a {edges.schema['a'].dataType.simpleString()}, b {edges.schema['b'].dataType.simpleString()}"
     while True:
+        tasks = -(-now.count() // chunk)
+        now = cut_lineage(now.coalesce(max(tasks, 1)).mapInArrow(_contract(chunk), schema))
+        if tasks <= 1 or _settled(now):
+            break
         both = _both(now)
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = cut_lineage(large.where("a <> b"))
         below = large.groupBy("a").agg(F.min("b").alias("m"))
-        linked = large.join(below, "a")
-        small = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).union(below.select("a", F.col("m").alias("b")))
+        small = large.join(below, "a").select(F.explode(F.array(
+            F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
         now = cut_lineage(small.where("a <> b").distinct())
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if state == seen:
-            break
-        state = seen
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    known = stars.union(roots)
-    return known.union(loops.distinct().join(known.select("node"), "node", "left_anti"))
+    own = now.select(F.col("b").alias("node")).union(edges.where("a = b").select("a")).select("node", F.col("node").alias("root"))
+    # A looped node is its own root only where no star has it.
+    return stars.union(own).groupBy("node").agg(F.min("root").alias("root"))
 
 
 def each_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.RecordBatch | None], schema: str,

@@ -174,7 +174,13 @@ def _key_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([_sig_array(edges[:, :2]), _sig_array(edges[:, 2:])], ["a", "b"])
 
 
-def _edge_batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+def _star_batch(sets: Sets, sig: list[bytes]) -> pa.RecordBatch:
+    """Edges from the least node of each set to its others."""
+    heads: dict[int, bytes] = {}
+    for i, s in enumerate(sig):
+        root = sets.find(i)
+        heads[root] = min(s, heads.get(root, s))
+    pairs = sorted({(s, heads[sets.find(i)]) for i, s in enumerate(sig) if s != heads[sets.find(i)]})
     return pa.RecordBatch.from_arrays(
         [pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], ["a", "b"])
 
@@ -191,13 +197,12 @@ def _leaf_join(rule: Rule):
         sig = rows.column("sig").to_pylist()
         counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.int32).reshape(-1, GROUPS)
         n, side = counts.sum(axis=1), rows.column("side").to_numpy()
-        sets, edges = Sets(len(sig)), []
+        union = Sets(len(sig))
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         for at, i in enumerate(left):
             for j in _bounded(counts, n, i, right if len(right) else left[at + 1:], rule):
-                if sets.join(int(i), int(j)):
-                    edges.append((sig[i], sig[j]))
-        return _edge_batch(edges)
+                union.join(int(i), int(j))
+        return _star_batch(union, sig)
 
     return work
 
@@ -256,7 +261,7 @@ def _verify(rule: Rule):
         sets = [s for part in _sets(rows.column("text").combine_chunks(), rule) for s in part]
         counts = np.array([group_counts(s) for s in sets])
         n = np.array([len(s) for s in sets])
-        union, edges, heads = Sets(len(sig)), [], {}
+        union, linked, heads = Sets(len(sig)), Sets(len(sig)), {}
         for i, c in enumerate(known):
             if c is not None:
                 union.join(heads.setdefault(c, i), i)
@@ -270,8 +275,8 @@ def _verify(rule: Rule):
                 place = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 if rule.links(int((large[place] == small).sum()), n[i], n[j]):
                     union.join(int(i), int(j))
-                    edges.append((sig[i], sig[j]))
-        return _edge_batch(edges)
+                    linked.join(int(i), int(j))
+        return _star_batch(linked, sig)
 
     return work
 
