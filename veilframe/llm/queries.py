@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import embeddings, exact, jaccard, language, mixing, packing, scoring, suffixes, warc
+from veilframe.llm import embeddings, exact, jaccard, language, mixing, packing, passages, scoring, suffixes, warc
 from veilframe.llm.common import table
 from veilframe.session import shared_folder
 
@@ -100,3 +100,8 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, s: total + s["end"] - s["start"])
     return removed.select("doc_id", "n_bytes", size.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
                           F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_compact_windows")
+def op3_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passage_dedup(table(spark, sf_dir, "documents"))
