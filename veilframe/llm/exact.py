@@ -115,7 +115,7 @@ def _first_runs(rounds: int, largest: bool):
                 entries[:, 7] = 1
                 held.append(entries)
                 size += n
-                if size >= 1 << 20:  # a run of its own: any number of runs per task may be merged later
+                if size >= 1 << 18:  # a run of its own: any number of runs per task may be merged later
                     yield from sender.add(_sorted_fold(np.concatenate(held), largest))
                     yield from sender.flush()
                     held, size = [], 0

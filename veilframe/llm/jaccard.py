@@ -27,7 +27,7 @@ from veilframe.session import cut_lineage
 
 GROUPS = 64
 LEAF = 256
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
 _EDGES = "a binary, b binary"
 _ROWS = "id bigint, h1 bigint, h2 bigint, sig binary, n int, counts binary, keys binary"
 
@@ -128,7 +128,7 @@ def _stars(keys: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Before the shuffle: one row per key and some million keys, and edges for the rest."""
+    """Before the shuffle: one row per key and million keys, and edges for the rest."""
 
     def send(keys: list[np.ndarray], sig: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         k, s = np.concatenate(keys), np.concatenate(sig)
@@ -150,7 +150,7 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys.append(np.frombuffer(b"".join(batch.column("keys").to_pylist()), U64))
         sig.append(np.repeat(_sigs(batch.column("sig")).astype(U64), sizes, axis=0))
         held += len(keys[-1])
-        if held > 4 << 20:
+        if held > 1 << 20:
             yield from send(keys, sig)
             keys, sig, held = [], [], 0
     if held:

@@ -64,10 +64,10 @@ class DomainModel:
 
 
 def learn_domains(labelled: DataFrame, text_col: str = "text", domain_col: str = "domain", per_domain: int = PER_DOMAIN,
-                  buckets: int = BUCKETS, steps: int = 300) -> DomainModel:
+                  buckets: int = BUCKETS, steps: int = 300, sizes: dict[str, int] | None = None) -> DomainModel:
     """Softmax regression on about ``per_domain`` rows of each domain, chosen by a hash of the text (all, if there are fewer);
-    ``per_domain`` bounds what reaches the driver. Rows with null text or domain teach nothing. With no rows at all there is
-    one domain, named unknown."""
+    ``per_domain`` bounds what reaches the driver. ``sizes`` are the domains' sizes in the corpus, if ``labelled`` is a sample
+    already. Rows with null text or domain teach nothing. With no rows at all there is one domain, named unknown."""
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(domain_col).cast("string").alias("domain")).where(
         "text IS NOT NULL AND domain IS NOT NULL")
     counts = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
@@ -93,7 +93,7 @@ def learn_domains(labelled: DataFrame, text_col: str = "text", domain_col: str =
     weights = np.zeros((buckets + 1, len(domains)), np.float32)
     momentum = np.zeros_like(weights)
     # Classes weigh by their size in the corpus, so that posteriors are calibrated to it.
-    weight = np.array([counts[d] for d in domains])[y] / np.bincount(y, minlength=len(domains))[y]
+    weight = np.array([(sizes or counts).get(d, counts[d]) for d in domains])[y] / np.bincount(y, minlength=len(domains))[y]
     weight = (weight / weight.sum()).astype(np.float32)[:, None]
     target = np.eye(len(domains), dtype=np.float32)[y]
     for _ in range(steps):
@@ -192,11 +192,21 @@ def rate_of(posterior: Column, descent: Descent) -> Column:
     return rate(posterior)
 
 
-def domains_of_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, domain) of the labelled documents: toxic, high or low (quality). Null labels teach nothing."""
+def domain_model(docs: DataFrame, labels: DataFrame, per_domain: int = PER_DOMAIN) -> DomainModel:
+    """A classifier of the domains that the labels name: toxic, high or low (quality). Null labels teach nothing.
+
+    Of each domain about ``per_domain`` labels are taken, by a hash of the identifier, before they meet the documents; so few
+    rows are broadcast, and no text is shuffled. Labels that repeat count once.
+    """
     named = labels.select(F.col("doc_id").cast("bigint").alias("label_id"), F.when(F.col("toxic") == 1, "toxic").when(
-        F.col("quality") == 1, "high").when(F.col("quality") == 0, "low").alias("domain")).where("domain IS NOT NULL")
-    return docs.select(F.col("doc_id").cast("bigint").alias("label_id"), "text").join(named, "label_id").select("text", "domain")
+        F.col("quality") == 1, "high").when(F.col("quality") == 0, "low").alias("domain")).where(
+        "domain IS NOT NULL AND label_id IS NOT NULL").distinct()
+    sizes = {r["domain"]: r["n"] for r in named.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    if sizes:
+        share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_domain / n))])
+        named = named.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < share[F.col("domain")] * (1 << 30))
+    found = docs.select(F.col("doc_id").cast("bigint").alias("label_id"), "text").join(F.broadcast(named), "label_id")
+    return learn_domains(found.select("text", "domain"), per_domain=per_domain, sizes=sizes)
 
 
 TARGETS = {"high": 0.90, "low": 0.08, "toxic": 0.02}

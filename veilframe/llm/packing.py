@@ -25,8 +25,8 @@ from veilframe.session import cut_lineage
 CAPACITY = 1024
 SLACK = 4
 WHOLE = 1 << 62  # sequence numbers from here on hold one whole piece of one document
-_CACHE_WORDS = 2_000_000
-_CHUNK = 1 << 20
+_CACHE_WORDS = 600_000
+_CHUNK = 1 << 19
 _TOKENS = "p int, row bigint, id bigint, n_tokens bigint, k bigint, whole_before bigint, ids binary"
 _tokenizers: dict[str, tuple] = {}
 
@@ -60,7 +60,7 @@ class _Encoder:
         """The ids of some pieces laid end to end, and their sizes; the blank-led pieces come first in ``found``."""
         led = int(blank_led.sum())
         lines = [b"".join(found[i:min(i + 64, led)]).decode() for i in range(0, led, 64)]
-        encoded = self._encode(lines)
+        encoded = [x for i in range(0, len(lines), 128) for x in self._encode(lines[i:i + 128])]
         ids = np.concatenate([*encoded, np.zeros(0, np.uint32)])
         sizes = np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids)))
         alone = self._encode([x.decode() for x in found[led:]])

@@ -84,7 +84,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_mix_to_targets")
 def op9_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = mixing.learn_domains(mixing.domains_of_labels(docs, table(spark, sf_dir, "labels")))
+    model = mixing.domain_model(docs, table(spark, sf_dir, "labels"))
     return mixing.mix_rates(docs, model, mixing.TARGETS).select(
         "doc_id", "n_tokens", F.map_from_arrays(F.array(*[F.lit(d) for d in model.domains]), "posterior").alias("posterior"), "rate", "copies")
 

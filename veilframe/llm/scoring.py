@@ -231,7 +231,7 @@ def _known(network: Network, distinct: np.ndarray) -> np.ndarray:
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row its identifier, ``n_tokens``, ``log_likelihood`` and ``per_token`` under the network of this very corpus.
 
-    Rows that repeat, and equal texts, get equal scores; null identifiers stay null; other columns are not read. Empty in,
+    Rows that repeat, and equal texts, get equal scores up to rounding; null identifiers stay null; other columns are not read. Empty in,
     empty out.
     """
     network = train(cut_lineage(window_counts(docs, text_col)))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import free_name
+from veilframe.session import broadcast_if_small, cut_lineage
 
 END = "\r\n\r\n"
 REVISIT_BYTES = 1000
@@ -25,7 +26,7 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 _STEP = 1 << 16
 _MOST_HEADER = 1 << 20
-_START = re.compile(rb"(?:\A|(?<=\n))WARC/[0-9]\.[0-9]+\r\n|\x1f\x8b\x08")
+_START = re.compile(rb"WARC/[0-9]\.[0-9]+\r\n|\x1f\x8b\x08")
 _RECORDS = ("path string, offset bigint, length bigint, kind string, reason string, record_type string, record_id string, "
             "target_uri string, date string, refers_to string, payload_digest string, payload_bytes bigint, payload binary")
 
@@ -44,6 +45,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         payload.alias("payload"), F.octet_length(payload).alias("n"), F.sha2(payload, 256).alias("key"))
     groups = rows.where(F.col("n") >= REVISIT_BYTES).groupBy("key", "n").agg(
         F.max("id").alias("first"), F.count("*").alias("copies")).where("copies > 1 AND first IS NOT NULL").drop("copies")
+    # The groups are a narrow table; only when they are measured to be small do the pages stay where they are.
+    groups, _ = broadcast_if_small(cut_lineage(groups), F.lit(100))
     found = rows.join(groups, ["key", "n"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     http = F.concat(F.lit(_HTTP), F.col("n").cast("string"), F.lit(END))
