@@ -9,10 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
+BATCH_BYTES = 4 << 20
 _FACTOR = U64(0x9E3779B97F4A7C15)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows with whole texts travel to Python in batches of some megabytes, whatever their number."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

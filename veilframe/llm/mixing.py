@@ -236,11 +236,16 @@ def mix_rates(docs: DataFrame, model: DomainModel, targets: dict[str, float], id
 def mix_documents(docs: DataFrame, model: DomainModel, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text",
                   budget: float | None = None) -> DataFrame:
     """The documents, each as often as its ``copies`` say, with their columns."""
-    member, times = free_name(docs.columns, "member"), free_name(docs.columns, "times")
+    times = free_name(docs.columns, "times")
     found = cut_lineage(docs.select(memberships(F.col(text_col), model).alias("m")).select("m.n_tokens", "m.posterior"))
     descent = fit_rates(found, model.domains, targets, budget)
-    rate = rate_of(F.col(member)["posterior"], descent)
+
+    @F.arrow_udf("double")
+    def rate(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0), *(
+            descent.rates(model.posterior(x).astype(np.float64)) for x, _ in _feature_chunks(texts, len(model.weights) - 1))]))
+
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")), F.lit(1 << 30)) / (1 << 30)
-    rated = docs.withColumn(member, memberships(F.col(text_col), model)).withColumn(times, rate)
+    rated = docs.withColumn(times, rate(F.col(text_col).cast("string")))
     count = (F.floor(times) + (draw < F.col(times) - F.floor(times)).cast("bigint")).cast("int")
     return rated.where(count > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), count)).alias(times)).select(*docs.columns)
