@@ -260,6 +260,14 @@ def test_long_texts_are_cut_with_overlap(monkeypatch):
     assert sorted(starts) == list(range(len(text) - 199)) == sorted(x for w in whole for x in w)
 
 
+def test_a_bucket_may_hold_one_suffix():
+    row = pa.table({"lead": [b"a" * suffixes.LEAD], "before": [b"xy"], "after": [b"b" * 5], "band": pa.array([1], pa.int32()),
+                    "least": pa.array([26], pa.int32()), "most": pa.array([28], pa.int32())})
+    assert suffixes.repeated_masks(row).tolist() == [0]
+    pair = pa.concat_tables([row, row])
+    assert suffixes.repeated_masks(pair).tolist() == [0b111 << 26] * 2
+
+
 def test_multikey_sort():
     rng = np.random.default_rng(2)
     words = rng.integers(0, 3, (500, 6)).astype(np.uint64)

@@ -151,6 +151,8 @@ def repeated_masks(rows: pa.Table) -> np.ndarray:
             hashed = hashed + _LEFT[before[order, BAND - e]] * _FACTORS[e]
         segment = np.r_[0, np.cumsum(common < LENGTH - e)].astype(U64)
         here = np.flatnonzero((least[order] <= e) & (most[order] >= e))
+        if len(here) < 2:
+            continue
         key = mix(hashed[here] + mix(segment[here] + U64(1)))
         turn = np.argsort(key)
         same = key[turn][1:] == key[turn][:-1]
