@@ -1,4 +1,4 @@
-"""Detectors against boundary cases and against the Python model."""
+"""Detectors on generated positives and near misses, and on boundary cases."""
 
 from __future__ import annotations
 
@@ -47,12 +47,81 @@ def random_text() -> str:
     return "".join(parts)
 
 
-def test_against_model(spark):
-    texts = [random_text() for _ in range(6000)]
-    got = run(spark, texts)
-    wrong = [(t, g, model.detect(t)) for t, g in zip(texts, got) if g != model.detect(t)]
+HEX, ALNUM = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def some(letters: str, n: int) -> str:
+    return "".join(RANDOM.choices(letters, k=n))
+
+
+# Each maker gives a text, and what must be found in it: (value, type, rule), or nothing for a near miss.
+def provider_case():
+    n = RANDOM.randint(0, 9)
+    makers = [
+        ("github_pat", "APIKEY", "ghp_" + some(ALNUM, 36), "ghp_" + some(ALNUM, 35)),
+        ("openai_key", "APIKEY", "sk-" + some(ALNUM, 20 + n), "sk-" + some(ALNUM, 19 - n)),
+        ("openai_project", "APIKEY", "sk-proj-" + some(ALNUM + "-_", 40 + n), "sk-proj-" + some(ALNUM, 15)),
+        ("anthropic_key", "APIKEY", "sk-ant-api03-" + some(ALNUM + "-_", 80 + n), "sk-ant-api3-" + some("ab", 12)),
+        ("stripe_live", "APIKEY", "sk_live_" + some(ALNUM, 24 + n), "sk_live_" + some(ALNUM, 23 - n)),
+        ("slack_token", "APIKEY", "xox" + some("baprs", 1) + "-" + some(ALNUM, 10 + n), "xoxz-" + some(ALNUM, 12)),
+        ("aws_access", "APIKEY", some(["AKIA", "AROA", "AGPA", "AIPA"], 1) + some("ABC123", 16), "AKIA" + some("abc", 16)),
+        ("jwt_token", "JWT", "eyJ" + some(ALNUM, 9) + "." + some(ALNUM, 9) + "." + some(ALNUM, 9), "eyJ" + some(ALNUM, 9) + "." + some(ALNUM, 9)),
+        ("db_connection", "DBCONN", some(["mysql", "postgres", "postgresql", "mongodb", "redis"], 1) + "://u:" + some(HEX, 8) + "@host/x", "postgres://host/x"),
+    ]
+    rule, kind, good, miss = RANDOM.choice(makers)
+    return RANDOM.choice([(good, [(good, kind, rule)])] * 2 + [(miss, [])])
+
+
+KEYWORDS = {"password": "PASSWORD", "Passwd": "PASSWORD", "api_key": "APIKEY", "api-key": "APIKEY", "APIKEY": "GENERIC", "token": "BEARER_TOKEN",
+            "secret": "GENERIC", "密码": "PASSWORD", "口令": "PASSWORD", "密钥": "APIKEY"}
+
+
+def context_case():
+    word = RANDOM.choice([w for w in KEYWORDS if w != "APIKEY"])
+    wide = word[0] > "z"
+    rule = "context_cn_keyword" if wide else "context_en_keyword"
+    sign = RANDOM.choice(["是", "为", "=", ":", "："] if wide else ["=", ":", "：", " is ", " IS "])
+    value = some("bcdfghjk", RANDOM.randint(3, 12)) + RANDOM.choice(["", " lm", " nq rs"])
+    blank = RANDOM.choice(["", " ", "\t", "\u3000"])
+    found = [(value, KEYWORDS[word], rule)]
+    shape = RANDOM.randint(0, 6)
+    if shape == 0:
+        return f'{word}{blank}{sign}{blank}"{value}, {value}"', [(f"{value}, {value}", KEYWORDS[word], rule)]
+    if shape == 1:
+        return f"{word}{blank}{sign}{blank}{value}{RANDOM.choice([',', ';', '，', '、', ')', ']'])} rest", found
+    if shape == 2:  # the next field ends the value
+        return f"{word}{blank}{sign}{blank}{value} {RANDOM.choice(['', 'and ', 'or '])}user-name: bob", found
+    if shape == 3:  # no operator
+        return f"{word} {value}", []
+    if shape == 4 and not wide:  # part of a longer word
+        return f"x{word}{sign}{value}", []
+    if shape == 5:
+        return f"DB_PASSWORD{blank}={blank}{value}", [(value, "PASSWORD", "context_assignment")]
+    return f"{word}{blank}{sign}{blank}{value}", found
+
+
+def test_generated_cases(spark):
+    cases = [RANDOM.choice([provider_case, context_case])() for _ in range(2500)]
+    filler = ["one line\n", "two words here\n", "é 😀\n", ""]
+    texts = [RANDOM.choice(filler) + t + RANDOM.choice(["", "\n", "\nlast line"]) for t, _ in cases]
+    got = run(spark, texts, DetectOptions(entropy=False))
+    wrong = [(t, g, w) for t, g, (_, w) in zip(texts, got, cases) if [f[2:] for f in g] != w]
+    assert wrong == [], wrong[:3]
     assert sum(map(bool, got)) > 1000
-    assert wrong == [], wrong[:2]
+
+
+def test_random_runs(spark):
+    cases = []
+    for _ in range(300):
+        run_of = some(HEX, RANDOM.randint(20, 39)) if RANDOM.random() < 0.5 else some(ALNUM + "+/", RANDOM.randint(24, 60))
+        value = "1" + run_of
+        is_hex = not set(value) - set(HEX + "ABCDEF")
+        groups = sum(any(c in g for c in value) for g in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/"))
+        hit = model.entropy(value) > 3.5 if is_hex and len(value) != 40 else not is_hex and groups >= 3 and model.entropy(value) > 4.5
+        cases.append((f"see {value} there", [(value, "GENERIC", "entropy_hex" if is_hex else "entropy_base64")] if hit else []))
+    got = run(spark, [t for t, _ in cases], DetectOptions(patterns=False, context=False))
+    wrong = [(t, g, w) for (t, w), g in zip(cases, got) if [f[2:] for f in g] != w]
+    assert wrong == [], wrong[:3]
 
 
 def test_anchors_change_nothing(spark):

@@ -83,9 +83,10 @@ def translate_tools(request: Column) -> Column:
     def tool(entry: Column) -> Column:
         name = typed_string(entry, "$.name")
         strict = F.try_variant_get(entry, "$.strict", "variant")
+        parameters = F.try_variant_get(entry, "$.parameters", "variant")
         body = F.struct(
             name.alias("name"), typed_string(entry, "$.description").alias("description"),
-            F.try_variant_get(entry, "$.parameters", "variant").alias("parameters"),
+            F.when(F.schema_of_variant(parameters) != "VOID", parameters).alias("parameters"),
             F.when((F.schema_of_variant(strict) == "BOOLEAN") & F.try_variant_get(entry, "$.strict", "boolean"),
                    F.lit(True)).alias("strict"),
         )

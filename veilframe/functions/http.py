@@ -22,7 +22,8 @@ OPENAI_PATHS = (
 
 
 def first_header(headers: Column, name: str) -> Column:
-    return F.get(F.try_element_at(headers, F.lit(name)), 0)
+    """First value of the header ``name`` (given in lower case), however the log spells the name."""
+    return F.get(F.get(F.map_values(F.map_filter(headers, lambda k, v: F.lower(k) == name)), 0), 0)
 
 
 def redact_headers(headers: Column) -> Column:

@@ -1,12 +1,18 @@
 """Regular expressions of the detectors, for Java's regex engine.
 
-Everything in this file is a fixed value: results must agree with the published behaviour of the rules. White space
+The marked blocks hold fixed values: results must agree with the published behaviour of the rules. White space
 is always written out, because Java's ``\\s`` is ASCII only; word boundaries are look-arounds, because Java's ``\\b``
 treats accented letters as word characters.
 """
 
 from __future__ import annotations
 
+def not_in(ascii_part: str, wide_part: str) -> str:
+    """Any run of characters outside two sets. Java tests one class of mixed ASCII and wide characters several times
+    slower than the two classes apart."""
+    return rf"(?:[\x00-\x7F&&[^{ascii_part}]]++|[^\x00-\x7F{wide_part}]++)++"
+
+
 # --- fixed values -----------------------------------------------------------------------------------------------
 WIDE_BLANK = r"\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 ASCII_BLANK = r"\t\x0B\f "
@@ -14,12 +20,6 @@ SPACE = ASCII_BLANK + r"\n\r" + WIDE_BLANK
 INLINE_SPACE = ASCII_BLANK + WIDE_BLANK
 
 
-def not_in(ascii_part: str, wide_part: str) -> str:
-    """Any run of characters outside two sets. Java tests one class of mixed ASCII and wide characters several times
-    slower than the two classes apart."""
-    return rf"(?:[\x00-\x7F&&[^{ascii_part}]]++|[^\x00-\x7F{wide_part}]++)++"
-
-
 AWS_ID = r"(?:AKIA|AGPA|AROA|AIPA)[A-Z0-9]{16}"
 AWS_SECRET = r"[A-Za-z0-9/+=]{40}"
 AWS_ANCHORS = ("AKIA", "AGPA", "AROA", "AIPA")
@@ -56,6 +56,8 @@ PATTERNS = (
      + not_in(r"@\t\n\x0B\f\r '\"", WIDE_BLANK) + "@" + not_in(r"\t\n\x0B\f\r '\"", WIDE_BLANK) + ")", ("://",)),
 )
 
+# ----------------------------------------------------------------------------------------------------------------
+
 # Keyword context: group 1 is the keyword, group 2 the raw value in a look-ahead, because scanning goes on right
 # behind the operator and a value may itself hold another keyword.
 ASCII_STOP = r"\n\r,;)\]}\"'"
@@ -88,6 +90,7 @@ CONTEXT = (
      ("PASSW", "API_KEY", "TOKEN", "SECRET")),
 )
 
+# --- fixed values -----------------------------------------------------------------------------------------------
 ENTROPY = (
     ("entropy_hex", r"(?<![A-Fa-f0-9])([A-Fa-f0-9]{20,})(?![A-Fa-f0-9])"),
     ("entropy_base64", r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{20,}={0,2})(?![A-Za-z0-9+/_-])"),
@@ -95,12 +98,12 @@ ENTROPY = (
 
 # Values that look random but are not secrets.
 WHITELIST = (
-    r"^(?i:[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12})$",
-    r"^v?[0-9]+(?:\.[0-9]+){1,3}(?:[-+][A-Za-z0-9.-]+)?$",
-    r"^(?i:[0-9a-f]{40})$",
-    rf"^(?i:[a-z][a-z0-9+.-]*://[^{SPACE}]+)$",
-    rf"^[^{SPACE}@]+@[^{SPACE}@]+\.[^{SPACE}@]+$",
-    r"^(?:[A-Z_][A-Z0-9_]*|[a-z_][a-z0-9_]*)$",
+    r"^(?i:[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12})\z",
+    r"^v?[0-9]+(?:\.[0-9]+){1,3}(?:[-+][A-Za-z0-9.-]+)?\z",
+    r"^(?i:[0-9a-f]{40})\z",
+    rf"^(?i:[a-z][a-z0-9+.-]*://[^{SPACE}]+)\z",
+    rf"^[^{SPACE}@]+@[^{SPACE}@]+\.[^{SPACE}@]+\z",
+    r"^(?:[A-Z_][A-Z0-9_]*|[a-z_][a-z0-9_]*)\z",
 )
 CHAR_GROUPS = ("[a-z]", "[A-Z]", "[0-9]", "[+/_=-]")
 

@@ -43,7 +43,7 @@ def strip_tokens(text: Column) -> Column:
 
 
 def is_token(text: Column) -> Column:
-    return F.rlike(text, F.lit(f"^{rules.TOKEN_LOOSE}$"))
+    return F.rlike(text, F.lit(rf"^{rules.TOKEN_LOOSE}\z"))
 
 
 def unescape_json_text(text: Column) -> Column:
@@ -89,14 +89,18 @@ def strip_ansi(text: Column) -> Column:
 
 def register_sql_functions(spark: SparkSession) -> None:
     """The scalars as SQL functions of the session: plain SQL bodies, inlined by Catalyst."""
+    def literal(pattern: str) -> str:
+        return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    ends = literal(rf"^[{rules.SPACE}]+|[{rules.SPACE}]+$(?![\s\S])")
     bodies = {
         "vault_token(secret STRING, type STRING, session STRING)":
             "concat('__VAULT_', type, '_', substr(sha2(concat(secret, session), 256), 1, 8), '__')",
         "record_id(secret STRING)": "substr(sha2(secret, 256), 1, 12)",
         "redact_secret(secret STRING)":
             "concat(left(secret, CASE WHEN length(secret) <= 3 THEN 1 ELSE 6 END), '***')",
-        "is_vault_token(value STRING)": "value RLIKE '^__VAULT_[A-Z_]+_[0-9a-f]{8,9}__$'",
-        "normalize_name(name STRING)": "nullif(trim(name), '')",
+        "is_vault_token(value STRING)": f"value RLIKE {literal(rf'^{rules.TOKEN_LOOSE}' + chr(92) + 'z')}",
+        "normalize_name(name STRING)": f"nullif(regexp_replace(name, {ends}, ''), '')",
     }
     for head, body in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS "

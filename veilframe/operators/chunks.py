@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilframe.config import SECRET_TYPES
 from veilframe.functions.text import record_id
 from veilframe.operators.ordered import SEGMENT_ROWS, lagged, numbered, running
+from veilframe.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------------------------------------------
 TEXT_FRAME, CONTINUATION_FRAME = 1, 0
@@ -37,15 +38,42 @@ _BODY = rf"__VAULT_(?:{_TYPES})_[0-9a-f]{{8,9}}"
 UNFINISHED = rf"(?:{_BODY}_?)*(?:__VAULT_(?:{_TYPES})_[0-9a-f]{{0,9}}_?|__VAULT_[A-Z_]*|__VAULT|__VAUL|__VAU|__VA|__V|__|_)\z"
 
 
+JOINED = 4096  # characters that short segments are joined up to
+TOKEN_ROOM = 64  # no token, finished or not, is longer
+
+
+def _regroup(segments: DataFrame, keys: list[str], head: Column) -> DataFrame:
+    """Join each segment to the last one before it, or itself, that ``head`` marks."""
+    marked = segments.withColumn("_mark", F.when(head, F.col("segment")))
+    open_ = running(marked, keys, "segment", lasts={"_before": F.col("_mark")})
+    placed = open_.withColumn("_to", F.coalesce("_mark", "_before", "segment"))
+    rest = [c for c in segments.columns if c not in (*keys, "segment", "text")]
+    pieces = F.sort_array(F.collect_list(F.struct("segment", "text")))
+    return placed.groupBy(*keys, "_to").agg(
+        F.array_join(F.transform(pieces, lambda p: p["text"]), "").alias("text"),
+        *[(F.sum(c) if c == "n_chunks" else F.min(c)).alias(c) for c in rest]).withColumnRenamed("_to", "segment").select(*segments.columns)
+
+
 def token_safe(segments: DataFrame, keys: list[str]) -> DataFrame:
-    """Move the text of a token that is cut by a segment border to the later segment, so that segments can be restored
-    one by one. A run of tokens that share their underscores moves as a whole."""
-    last = running(segments.withColumn("_rev", -F.col("segment")), keys, "_rev",
+    """Move the text of a token that is cut by segment borders into one segment, so that segments can be restored one by
+    one. A run of tokens that share their underscores moves as a whole.
+
+    Segments are first joined so that each has room for a token (by their place in the key's characters, then what is
+    still short to the one before it), and a segment that is nothing but such a run is joined with the next. After that a
+    token meets one border at most. Joined segments keep the number of their first part.
+    """
+    segments = cut_lineage(segments)
+    sized = running(segments, keys, "segment", sums={"_at": F.length("text").cast("long")})
+    first = lagged(sized.withColumn("_stretch", F.floor(F.col("_at") / JOINED)), keys, "segment", F.col("_stretch"), "_last")
+    joined = _regroup(first.select(*segments.columns, "_stretch", "_last"), keys, F.col("_last").isNull() | (F.col("_last") != F.col("_stretch")))
+    joined = cut_lineage(joined.select(*segments.columns))  # each step reads the one before it several times
+    held = F.regexp_extract("text", UNFINISHED, 0)
+    whole = lagged(joined, keys, "segment", (held != "") & (held == F.col("text")), "_run")
+    head = F.col("_run").isNull() | ((F.length("text") >= TOKEN_ROOM) & ~F.col("_run"))
+    joined = cut_lineage(_regroup(whole, keys, head).select(*segments.columns))
+    last = running(joined.withColumn("_rev", -F.col("segment")), keys, "_rev",
                    sums={"_later": F.lit(1).cast("long")})
-    held = F.when(F.col("_later") > 0, F.regexp_extract("text", UNFINISHED, 0)).otherwise("")
-    cut = last.withColumn("_held", held).withColumn("_held", F.when(
-        (F.col("_held") != "") & (F.col("_held") == F.col("text")) & (F.length("text") > 64),
-        F.raise_error(F.lit("a segment is one unbroken run of tokens"))).otherwise(F.col("_held")))
+    cut = last.withColumn("_held", F.when(F.col("_later") > 0, held).otherwise(""))
     moved = lagged(cut, keys, "segment", F.col("_held"), "_carried")
     kept = F.left("text", F.length("text") - F.length("_held"))
     return moved.withColumn("text", F.concat(F.coalesce("_carried", F.lit("")), kept)).select(*segments.columns)
@@ -95,7 +123,7 @@ def system_runs(messages: DataFrame, thread: list[str], order: str, role: str, t
     """Merge neighbouring system messages of a thread, joined by a blank line; others stay one row each.
 
     ``blocked`` marks messages with tool fields, which are not extended. Result: (thread, first order, role, text,
-    n_merged); a run longer than ``rows`` messages gives further rows with the same role.
+    n_merged, part); a run longer than ``rows`` messages gives further rows, numbered by ``part``.
     """
     system = F.col(role) == "system"
     blocked = F.lit(False) if blocked is None else blocked
@@ -105,8 +133,8 @@ def system_runs(messages: DataFrame, thread: list[str], order: str, role: str, t
     starts = state.withColumn("_start", F.when(~joins, F.col(order)))
     runs = running(starts, thread, order, lasts={"_open": F.col("_start")})
     run = runs.withColumn("first_order", F.coalesce("_start", "_open"))
-    placed = numbered(run, [*thread, "first_order"], order, "_row").withColumn("_part", F.floor(F.col("_row") / rows))
+    placed = numbered(run, [*thread, "first_order"], order, "_row").withColumn("part", F.floor(F.col("_row") / rows))
     pieces = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
     texts = F.filter(F.transform(pieces, lambda p: F.coalesce(p["t"], F.lit(""))), lambda t: t != "")
-    return placed.groupBy(*thread, "first_order", role, "_part").agg(
-        F.array_join(texts, "\n\n").alias("text"), F.count("*").alias("n_merged")).drop("_part")
+    return placed.groupBy(*thread, "first_order", role, "part").agg(
+        F.array_join(texts, "\n\n").alias("text"), F.count("*").alias("n_merged"))

@@ -16,15 +16,13 @@ def mask_spans(text: Column, found: Column, session: Column, generator=vault_tok
     """Rewrite only the detected places, inside the row: no join and no shuffle. Tokens are the base tokens; use it
     with a session per row, or where the vault reported no collision."""
 
-    def step(acc: Column, f: Column) -> Column:
-        kept = F.substring(text, acc["at"] + 1, f["value_start"] - acc["at"])
-        return F.struct(
-            f["value_end"].alias("at"),
-            F.concat(acc["out"], kept, generator(f["value"], f["type"], session)).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.when(F.size(found) == 0, text).otherwise(F.aggregate(
-        found, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
+    def piece(f: Column, i: Column) -> Column:
+        before = F.when(i == 0, F.lit(0)).otherwise(F.get(found, i - 1)["value_end"])
+        return F.concat(F.substring(text, before + 1, f["value_start"] - before), generator(f["value"], f["type"], session))
+
+    last = F.get(found, F.size(found) - 1)["value_end"]
+    return F.when(F.size(found) == 0, text).otherwise(
+        F.concat(F.array_join(F.transform(found, piece), ""), F.substring(text, last + 1, F.length(text))))
 
 
 def mask(

@@ -7,6 +7,8 @@ fingerprints, and only the rules that occur in a text meet that text again. Both
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -51,6 +53,10 @@ def replace_scoped(
     counts only for rows at or after its registration. ``keys`` identify a row. Rows for which ``gate`` is false are
     known to hold no source: where the rules are too large to be broadcast, such rows skip the shuffle of the join.
     """
+    # Of rules that share a source the earliest counts, then the first target in text order.
+    place = F.struct(*([since] if since else []), "target")
+    rules = rules.groupBy(*scope, "source").agg(F.min(place).alias("_first")).select(
+        *scope, "source", "_first.target", *([f"_first.{since}"] if since else []))
     width = F.length("source") + F.length("target")
     sizes = rules.groupBy(*scope).agg(F.count("*").alias("n"), F.sum(width.cast("long")).alias("bytes"))
     facts = sizes.agg(
@@ -67,15 +73,22 @@ def replace_scoped(
 
     big = cut_lineage(sizes.filter(F.col("n") > map_rules).select(*scope))
     side, _ = broadcast_if_small(big, F.lit(64))
-    few_rules = rules.join(side, scope, "left_anti")
+    few_rules = join_null_safe(rules, side, scope, "left_anti")
     few = _replace_by_maps(
-        df.join(side, scope, "left_anti"), few_rules, scope, text, out, count, order, since, size_bytes)
+        join_null_safe(df, side, scope, "left_anti"), few_rules, scope, text, out, count, order, since, size_bytes)
     many = _replace_by_search(
-        df.join(side, scope, "left_semi"), rules.join(side, scope, "left_semi"), scope, keys, text, out, count,
+        join_null_safe(df, side, scope, "left_semi"), join_null_safe(rules, side, scope, "left_semi"), scope, keys, text, out, count,
         order, since)
     return few.unionByName(many)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join on ``keys`` in which null meets null: a row whose key is null is a row like any other."""
+    renamed = right.withColumnsRenamed({k: f"_key_{i}" for i, k in enumerate(keys)})
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)])
+    return left.join(renamed, match, how).drop(*[f"_key_{i}" for i in range(len(keys))])
+
+
 def _pairs(since: str | None) -> Column:
     fields = ["source", "target"] + ([since] if since else [])
     return F.collect_list(F.struct(*fields)).alias("_pairs")
@@ -94,7 +107,7 @@ def _replace_by_maps(df, rules, scope, text, out, count, order, since, size_byte
     maps = rules.groupBy(*scope).agg(_pairs(since))
     if size_bytes <= BROADCAST_LIMIT_BYTES:
         maps = F.broadcast(maps)
-    return _finish(df.join(maps, scope, "left"), df.columns, text, out, count, order, since)
+    return _finish(join_null_safe(df, maps, scope, "left"), df.columns, text, out, count, order, since)
 
 
 def _replace_by_search(df, rules, scope, keys, text, out, count, order, since) -> DataFrame:
@@ -102,11 +115,11 @@ def _replace_by_search(df, rules, scope, keys, text, out, count, order, since) -
     row = list(dict.fromkeys([*keys, *scope, *([order] if order else [])]))
     hits = occurring_sources(df, rules, row, text)
     known = rules.select(*scope, "source", "target", *([since] if since else []))
-    matched = hits.join(known, [*scope, "source"])
+    matched = join_null_safe(hits, known, [*scope, "source"], "inner")
     if since:
         matched = matched.filter(F.col(since) <= F.col(order))
     per_row = matched.groupBy(*keys).agg(_pairs(since))
-    return _finish(df.join(per_row, keys, "left"), df.columns, text, out, count, order, since)
+    return _finish(join_null_safe(df, per_row, keys, "left"), df.columns, text, out, count, order, since)
 
 
 # ---- fingerprint search ------------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilframe.config import SECRET_TYPES
 from veilframe.functions import rules
 from veilframe.functions.text import strip_ansi
-from veilframe.operators.replace import count_matches, replace_with_pairs
+from veilframe.operators.replace import count_matches, join_null_safe, replace_with_pairs
 from veilframe.session import BROADCAST_LIMIT_BYTES
 
 
@@ -62,13 +62,14 @@ def _restore(df, vault, keys, text, out, count, scope, maybe, head, regex, visib
     row = list(dict.fromkeys([*keys, *scope]))
     asked = touched.select(*row, F.explode(tokens_in(head, regex)).alias("source"))
     asked = asked.withColumn("token", visible(F.col("source")))
-    known = vault.select(*scope, "token", F.col("secret").alias("target"))
+    # Of entries that share a token the first secret in text order counts.
+    known = vault.groupBy(*scope, "token").agg(F.min("secret").alias("target"))
     size = vault.agg(F.sum((F.length("token") + F.length("secret")).cast("long") + 64).alias("b")).first()["b"] or 0
     if size <= BROADCAST_LIMIT_BYTES:
         known = F.broadcast(known)
-    pairs = asked.join(known, [*scope, "token"]).groupBy(*keys).agg(
-        F.collect_list(F.struct("source", "target")).alias("_pairs"))
-    joined = touched.join(pairs, keys, "left")
+    pairs = join_null_safe(asked, known, [*scope, "token"], "inner").groupBy(*keys).agg(
+        F.collect_set(F.struct("source", "target")).alias("_pairs"))
+    joined = join_null_safe(touched, pairs, keys, "left")
     tail = F.substring(F.col(text), F.length(head) + 1, F.length(text))
     columns = [*df.columns, F.concat(replace_with_pairs(head, F.col("_pairs")), tail).alias(out)]
     if count:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.functions.text import normalize_name, vault_token
+from veilframe.functions.text import is_token, normalize_name, vault_token
 from veilframe.session import broadcast_if_small, cut_lineage
 
 VAULT_SCHEMA = (
@@ -72,6 +72,9 @@ def assign_tokens(
     session = F.lit(session) if isinstance(session, str) else session
     based = entries.withColumn(
         "base", F.coalesce(F.col("given_token"), generator(F.col("secret"), F.col("first_type"), session)))
+    # A token outside the grammar would never be recognised again, so its secret would be lost.
+    based = based.withColumn("base", F.when(is_token(F.col("base")), F.col("base")).otherwise(
+        F.raise_error(F.concat(F.lit("not a vault token: "), F.coalesce("base", F.lit("null"))))))
     order = Window.partitionBy(*scope, "base").orderBy("first_ord", "secret")
     ranked = based.withColumn("rank", F.row_number().over(order) - 1)
     hash8 = F.regexp_extract(F.col("base"), r"_([0-9a-f]{8})[0-9a-f]?__$", 1)
@@ -179,4 +182,4 @@ def rehydrate_vault(
     place = new.schema["ord"].dataType["pos"].dataType.simpleString()
     old = stored_events(kept).withColumn(
         "ord", F.struct(F.lit(0).alias("phase"), F.lit(None).cast(place).alias("pos")))
-    return build_vault(old.unionByName(new), session)
+    return require_unique_names(build_vault(old.unionByName(new), session))

@@ -15,8 +15,9 @@ from veilframe.operators.audit import audit_ledger
 from veilframe.operators.findings import (
     detect_named, exclude_records, exclude_types, findings, skip_token_values,
 )
-from veilframe.operators.mask import mask, mask_spans
-from veilframe.operators.vault import build_vault, sightings
+from veilframe.operators.mask import mask, mask_as_of, mask_spans
+from veilframe.operators.replace import occurring_sources
+from veilframe.operators.vault import build_vault, rehydrate_vault, require_unique_names, sightings
 from veilframe.session import cut_lineage
 
 
@@ -72,22 +73,52 @@ def inspected_body(body: Column) -> Column:
 
 def mask_traffic(log: DataFrame, keys: list[str], session: str, seen_at: Column,
                  options: DetectOptions = DetectOptions(), default_provider: str | None = None,
-                 observation: Observation | None = None) -> Masked:
+                 observation: Observation | None = None, scope: list[str] | None = None, order: str | None = None,
+                 known_vault: DataFrame | None = None, excluded: DataFrame | None = None) -> Masked:
     """Route logged requests; mask the bodies that are text, leave the others as they are. ``observation`` receives the
-    number and the characters of the inspected bodies while the job runs."""
+    number and the characters of the inspected bodies while the job runs.
+
+    With ``scope`` (the columns of a session) and ``order`` (a request's place in it), a request is masked by all its session
+    knows by then: what was found in it or in earlier requests, and the stored secrets of ``known_vault``, which every
+    session knows from its start. Without them a request is masked by what was found in itself and by the stored
+    secrets. ``excluded`` (record_id, type) names what is neither detected nor taken from the stored vault.
+    """
+    if (scope is None) != (order is None):
+        raise ValueError("a session needs both its columns and the place of a request in it")
     routed = log.withColumn("route", route_provider(F.col("path"), F.col("headers"), default_provider)).withColumn(
         "is_text", is_text_content(F.col("headers")) & (F.length("body") > 0) & F.col("route.error").isNull())
     text_rows = routed.filter("is_text").withColumn("_seen_body", inspected_body(F.col("body")))
     if observation is not None:
         text_rows = text_rows.observe(
             observation, F.count("*").alias("n_bodies"), F.sum(F.length("body").cast("long")).alias("n_characters"))
-    found = cut_lineage(skip_token_values(findings(text_rows, keys, "_seen_body", options)).withColumn(
-        "source", F.lit("proxy")))
+    row = list(dict.fromkeys([*keys, *(scope or []), *([order] if order else [])]))
+    found = skip_token_values(findings(text_rows, row, "_seen_body", options)).withColumn("source", F.lit("proxy"))
+    if excluded is not None:
+        found = exclude_records(exclude_types(found, excluded.filter("type is not null")), excluded)
+    found = cut_lineage(found)
     events = sightings(found.withColumn("_seen", seen_at), "proxy", F.col("_seen"), [*keys, "start"])
-    vault = cut_lineage(build_vault(events, session))
-    scoped = cut_lineage(found.select(*keys, F.col("value").alias("secret")).distinct().join(
-        vault.select("secret", "token"), "secret"))
-    masked = mask(routed.filter("is_text"), scoped, keys, keys, "body", "masked_body", "n_masked")
+    asked = found.select(*row, F.col("value").alias("secret"))
+    if known_vault is None:
+        vault = cut_lineage(build_vault(events, session))
+    else:
+        none = log.sparkSession.createDataFrame([], "record_id string, type string")
+        skipped = excluded if excluded is not None else none
+        vault = cut_lineage(rehydrate_vault(
+            known_vault, events, session, skipped.filter("type is not null").select("type"),
+            skipped.filter("record_id is not null").select("record_id")))
+        stored = known_vault.select("secret").filter(F.length("secret") > 0).select(F.col("secret").alias("source"))
+        hits = occurring_sources(text_rows, cut_lineage(stored.distinct()), row, "body")
+        asked = asked.union(hits.select(*row, F.col("source").alias("secret")))
+    bodies, where = routed.filter("is_text"), scope or keys
+    first = [F.min(order).alias("_since")] if order else []
+    scoped = asked.groupBy(*where, "secret").agg(*first, F.count("*").alias("_n")).drop("_n")
+    scoped = cut_lineage(scoped.join(vault.select("secret", "token"), "secret"))
+    # Only a body in which something may be found by itself passes the gate; what a session or a vault knows may be anywhere.
+    gate = may_hold_secret(inspected_body(F.col("body")), options) if scope is None and known_vault is None else None
+    if order:
+        masked = mask_as_of(bodies, scoped, scope, keys, order, "_since", "body", "masked_body", "n_masked")
+    else:
+        masked = mask(bodies, scoped, keys, keys, "body", "masked_body", "n_masked", gate=gate)
     plain = routed.filter("not coalesce(is_text, false)").withColumn("masked_body", F.col("body")).withColumn(
         "n_masked", F.lit(0))
     return Masked(masked.unionByName(plain), vault, audit_ledger(events), found)
@@ -99,4 +130,4 @@ def register_by_hand(entries: DataFrame, session: str, seen_at: Column, order: l
     typed = entries.withColumn("type", infer_type(F.col("name"), F.col("secret"), options.custom_rules))
     events = sightings(typed.withColumn("value", F.col("secret")).withColumn("_seen", seen_at), "manual",
                        F.col("_seen"), order, F.col("name"))
-    return build_vault(events, session)
+    return require_unique_names(build_vault(events, session))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 SESSION = "session-1"
-SMALL_FILE_BYTES = 64 * 1024 * 1024
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -26,13 +24,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table. A small file with a single row group would be read by one task, so its rows are spread over the
-    cores; files of a real size are left as the scan splits them."""
-    path = f"{sf_dir}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if os.path.isfile(path) and os.path.getsize(path) < SMALL_FILE_BYTES:
-        return df.repartition(spark.sparkContext.defaultParallelism)
-    return df
+    """A table as its files give it."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def utc(moment):

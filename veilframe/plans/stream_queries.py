@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from veilframe.config import DetectOptions
 from veilframe.functions.text import vault_token
-from veilframe.operators.audit import recent
 from veilframe.operators.chunks import reassemble
-from veilframe.plans.registry import SESSION, Injected, query, utc
+from veilframe.plans.registry import SESSION, Injected, query, table, utc
 from veilframe.plans.traffic_queries import _PLANTED_TURN, _C, _said, _tokenised, sql_token
 from veilframe.session import shared_folder
 from veilframe.streaming import jobs
@@ -16,18 +15,28 @@ from veilframe.streaming import jobs
 PIECE = 11
 
 
-def stream_table(spark, sf_dir: str, name: str):
-    """A table's file as a streaming source."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+def replayed(spark, df, place):
+    """``df`` as a stream of three micro-batches: first the rows whose ``place`` is 0, then 1, then 2."""
+    folder = shared_folder(spark, "replay")
+    for i in range(3):
+        df.where(place == i).write.parquet(f"{folder}/part={i}")
+    files = len(spark.read.schema(df.schema).parquet(folder).inputFiles())
+    return spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option(
+        "maxFilesPerTrigger", -(-files // 3)).parquet(folder)
+
+
+def mixed(*columns):
+    """A place that deals rows out by hash, so that they arrive out of order."""
+    return F.pmod(F.hash(*columns), F.lit(3))
 
 
 def stream_chunks(spark, sf_dir: str, text):
     """Turns as chunk streams: pieces of ``text`` with a number each and a mark on the last."""
     pieces = F.regexp_extract_all(text, F.lit(rf"[\s\S]{{1,{PIECE}}}"), F.lit(0))
-    turns = stream_table(spark, sf_dir, "conversations").select("conv_id", "turn", pieces.alias("pieces"))
-    return turns.select("conv_id", "turn", F.size("pieces").alias("n"), F.posexplode("pieces").alias("seq", "chunk")).select(
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", pieces.alias("pieces"))
+    chunks = turns.select("conv_id", "turn", F.size("pieces").alias("n"), F.posexplode("pieces").alias("seq", "chunk")).select(
         "conv_id", "turn", F.col("seq").cast("long").alias("seq"), "chunk", (F.col("seq") == F.col("n") - 1).alias("is_last"))
+    return replayed(spark, chunks, mixed("conv_id", "turn", "seq"))
 
 
 def _tokenised_text():
@@ -38,11 +47,11 @@ def _tokenised_text():
 def _joined(pieces):
     """Pieces of a stream put back together, the synthetic rest last."""
     placed = pieces.withColumn("place", F.col("seq") * 2 + F.col("synthetic").cast("long"))
-    return reassemble(placed, ["conv_id", "turn"], "place", "restored").select("conv_id", "turn", "text")
+    return reassemble(placed, ["conv_id", "turn"], "place", "restored").select("conv_id", "turn", "segment", "text")
 
 
 @query("stream_replace_chunks", """
-    SELECT conv_id, turn, replace(replace(text, 'la ', 'LA_'), 'th', '<t>') AS text FROM conversations WHERE length(text) > 0""")
+    SELECT conv_id, turn, 0::BIGINT AS segment, replace(replace(text, 'la ', 'LA_'), 'th', '<t>') AS text FROM conversations WHERE length(text) > 0""")
 def stream_replace_chunks(spark, sf):
     chunks = stream_chunks(spark, sf, F.col("text"))
     replaced = jobs.replace_stream(chunks, ["conv_id", "turn"], [("la ", "LA_"), ("th", "<t>")])
@@ -53,18 +62,19 @@ def stream_replace_chunks(spark, sf):
 
 
 @query("stream_bidirectional", f"""
-    SELECT conv_id, turn, CASE WHEN role = 'user' THEN replace(text, 'the', '__VAULT_GENERIC_00000001__') ELSE text || 'the.' END AS text
+    SELECT conv_id, turn, 0::BIGINT AS segment, CASE WHEN role = 'user' THEN replace(text, 'the', '__VAULT_GENERIC_00000001__') ELSE text || 'the.' END AS text
     FROM conversations WHERE length(text) > 0""")
 def stream_bidirectional(spark, sf):
     """User turns are masked, all others carry a token at their end that is restored."""
     token = "__VAULT_GENERIC_00000001__"
-    base = stream_table(spark, sf, "conversations")
+    base = table(spark, sf, "conversations")
     text = F.when(F.col("role") == "user", F.col("text")).otherwise(F.concat("text", F.lit(token + ".")))
     pieces = F.regexp_extract_all(text, F.lit(rf"[\s\S]{{1,{PIECE}}}"), F.lit(0))
     direction = F.when(F.col("role") == "user", "in").when(F.col("role") == "assistant", "out").otherwise("api")
     chunks = base.filter("length(text) > 0").select("conv_id", "turn", direction.alias("direction"), pieces.alias("p")).select(
         "conv_id", "turn", "direction", F.size("p").alias("n"), F.posexplode("p").alias("seq", "chunk")).select(
         "conv_id", "turn", "direction", F.col("seq").cast("long").alias("seq"), "chunk", (F.col("seq") == F.col("n") - 1).alias("is_last"))
+    chunks = replayed(spark, chunks, mixed("conv_id", "turn", "seq"))
     moved = jobs.bidirectional_stream(chunks, ["conv_id", "turn", "direction"], "direction", [("the", token)])
     out = shared_folder(spark, "moved")
     moved.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_folder(spark, "ckpt")).trigger(
@@ -72,7 +82,7 @@ def stream_bidirectional(spark, sf):
     return _joined(spark.read.schema(moved.schema).parquet(out).withColumnRenamed("piece", "restored"))
 
 
-@query("stream_restore_chunks", f"SELECT conv_id, turn, {_PLANTED_TURN.sql} AS text FROM conversations")
+@query("stream_restore_chunks", f"SELECT conv_id, turn, 0::BIGINT AS segment, {_PLANTED_TURN.sql} AS text FROM conversations")
 def stream_restore_chunks(spark, sf):
     """Tokens torn by chunk borders are held back whole and restored by join with the vault."""
     _, vault = _tokenised(spark, sf)
@@ -83,7 +93,7 @@ def stream_restore_chunks(spark, sf):
 
 
 @query("stream_restore_events", f"""
-    SELECT conv_id, turn, 'openai:0:delta.content' AS field_key, {_PLANTED_TURN.sql} AS text FROM conversations""")
+    SELECT conv_id, turn, 0::BIGINT AS segment, 'openai:0:delta.content' AS field_key, {_PLANTED_TURN.sql} AS text FROM conversations""")
 def stream_restore_events(spark, sf):
     """The same inside the text fields of server-sent events."""
     _, vault = _tokenised(spark, sf)
@@ -95,7 +105,7 @@ def stream_restore_events(spark, sf):
                        jobs.restore_to(vault, ["conv_id", "turn"], out), shared_folder(spark, "ckpt")).awaitTermination()
     placed = spark.read.parquet(out).withColumn("place", F.col("seq") * 2 + F.col("synthetic").cast("long"))
     return reassemble(placed, ["conv_id", "turn", "field_key"], "place", "restored").select(
-        "conv_id", "turn", "field_key", "text")
+        "conv_id", "turn", "segment", "field_key", "text")
 
 
 @query("stream_session_mask", f"""
@@ -103,7 +113,8 @@ def stream_restore_events(spark, sf):
     FROM (SELECT conv_id, turn, {_said(False)} AS t, {_C} AS c FROM conversations)""")
 def stream_session_mask(spark, sf):
     """Rolling detection as state, registration and masking per micro-batch."""
-    said = stream_table(spark, sf, "conversations").select("conv_id", "turn", F.expr(_said(True)).alias("text"))
+    said = table(spark, sf, "conversations").select("conv_id", "turn", F.expr(_said(True)).alias("text"))
+    said = replayed(spark, said, F.least(F.col("turn"), F.lit(2)))  # turns come in order, sessions over several batches
     windows = jobs.window_stream(said, ["conv_id"], "turn", "text")
     vault, out = shared_folder(spark, "vault"), shared_folder(spark, "masked")
     sink = jobs.mask_sessions_to(spark, ["conv_id"], "turn", "text", SESSION, vault, out, DetectOptions(patterns=False, entropy=False))
@@ -117,7 +128,7 @@ def stream_session_mask(spark, sf):
 def stream_audit(spark, sf):
     """Ledger as a streaming aggregate; the last state of every record is read back."""
     seen = utc(F.col("ts"))
-    events = stream_table(spark, sf, "events").select(
+    events = replayed(spark, table(spark, sf, "events"), mixed("event_id")).select(
         F.col("event_type").alias("secret"), F.lit("GENERIC").alias("type"), F.lit("stdin").alias("source"), seen.alias("seen_at"),
         F.lit(None).cast("string").alias("name"), F.struct("ts", "event_id").alias("ord"))
     out = shared_folder(spark, "ledger")
@@ -129,5 +140,5 @@ def stream_audit(spark, sf):
         "checkpointLocation", shared_folder(spark, "ckpt")).trigger(availableNow=True).start().awaitTermination()
     states = spark.read.parquet(out).groupBy("id").agg(F.max_by(F.struct("created_at", "last_seen_at", "seen_count"), "batch_id").alias("r"))
     ledger = states.select("id", "r.*")
-    return recent(ledger).select("id", F.unix_micros("created_at").alias("created_us"),
+    return ledger.select("id", F.unix_micros("created_at").alias("created_us"),
                                  F.unix_micros("last_seen_at").alias("last_seen_us"), "seen_count")

@@ -112,7 +112,8 @@ def argv_gate(spark, sf):
     WITH m AS (SELECT user_id, event_id, CASE WHEN event_type IN ('view', 'click') THEN 'system' ELSE 'user' END AS role, props FROM events),
     s AS (SELECT *, CASE WHEN role = 'system' AND coalesce(lag(role) OVER w, '') = 'system' THEN 0 ELSE 1 END AS starts FROM m WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
     r AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM s)
-    SELECT user_id, min(event_id) AS first_order, any_value(role) AS role, string_agg(props, chr(10) || chr(10) ORDER BY event_id) AS text, count(*) AS n_merged
+    SELECT user_id, min(event_id) AS first_order, any_value(role) AS role, string_agg(props, chr(10) || chr(10) ORDER BY event_id) AS text, count(*) AS n_merged,
+           0::BIGINT AS part
     FROM r GROUP BY user_id, run""")
 def merge_system_messages(spark, sf):
     role = F.when(F.col("event_type").isin("view", "click"), "system").otherwise("user")
@@ -150,14 +151,14 @@ def _tokenised(spark, sf):
 
 
 @query("segments_restore", f"""
-    SELECT conv_id, turn, {_PLANTED_TURN.sql} AS text FROM conversations""")
+    SELECT conv_id, turn, 0::BIGINT AS segment, {_PLANTED_TURN.sql} AS text FROM conversations""")
 def segments_restore(spark, sf):
     """Streams of many chunks come as segments; tokens across segment borders are restored as well."""
     texts, vault = _tokenised(spark, sf)
     keys = ["conv_id", "turn"]
     segments = token_safe(reassemble(chunked(texts, keys), keys, "seq", "chunk", rows=16), keys)
     whole = restore(segments, vault, [*keys, "segment"], "text", "restored")
-    return reassemble(whole, keys, "segment", "restored").select("conv_id", "turn", "text")
+    return reassemble(whole, keys, "segment", "restored").select("conv_id", "turn", "segment", "text")
 
 
 @query("tool_call_assembly", """
@@ -327,7 +328,7 @@ def sse_text_fields_query(spark, sf):
 
 
 @query("sse_reassemble_restore", f"""
-    SELECT conv_id, turn, 'anthropic:0:delta.text' AS key, {_PLANTED_TURN.sql} AS text FROM conversations""")
+    SELECT conv_id, turn, 'anthropic:0:delta.text' AS key, 0::BIGINT AS segment, {_PLANTED_TURN.sql} AS text FROM conversations""")
 def sse_reassemble_restore(spark, sf):
     """Tokens split over event deltas: text fields are put together per stream and field, then restored."""
     texts, vault = _tokenised(spark, sf)
@@ -338,7 +339,7 @@ def sse_reassemble_restore(spark, sf):
     keys = ["conv_id", "turn", "key"]
     segments = token_safe(reassemble(fields, keys, "seq", "value"), keys)
     return restore(segments, vault, [*keys, "segment"], "text", "restored").select(
-        "conv_id", "turn", "key", F.col("restored").alias("text"))
+        "conv_id", "turn", "key", "segment", F.col("restored").alias("text"))
 
 
 @query("response_events", f"""
@@ -430,3 +431,29 @@ def thread_index_query(spark, sf):
     FROM conversations JOIN (SELECT conv_id, max(turn) AS last_turn FROM conversations GROUP BY conv_id) USING (conv_id)""")
 def thread_history_query(spark, sf):
     return thread_history(_responses(spark, sf), "response_id", "previous_id", ["text"])
+
+
+# ---- traffic of a session ----------------------------------------------------------------------------------------
+
+_KNOWN = Injected("stored-{d:12}", "conv_id")
+_SESSION_BODY = f"({_said(False)} || ' ' || {_KNOWN.sql})"
+
+
+@query("mask_traffic_session", f"""
+    SELECT conv_id, turn, CASE WHEN turn >= 1 THEN replace(t, c, {sql_token('c', "'PASSWORD'")}) ELSE t END AS masked_body FROM (
+      SELECT conv_id, turn, {_C} AS c,
+             CASE WHEN conv_id % 2 = 0 THEN replace(b, k, '__VAULT_GENERIC_' || substr(sha256(k), 1, 8) || '__') ELSE b END AS t
+      FROM (SELECT conv_id, turn, {_SESSION_BODY} AS b, {_KNOWN.sql} AS k FROM conversations))""")
+def mask_traffic_session(spark, sf):
+    """Each turn as a request: a secret named in one turn masks later ones, and none before; stored secrets mask all."""
+    body = F.concat(F.expr(_said(True)), F.lit(" "), _KNOWN.spark)
+    log = turns(spark, sf).select(
+        "conv_id", "turn", F.lit("/v1/messages").alias("path"), body.alias("body"),
+        F.create_map(F.lit("Content-Type"), F.array(F.lit("application/json"))).alias("headers"))
+    token = F.concat(F.lit("__VAULT_GENERIC_"), F.substring(F.sha2("secret", 256), 1, 8), F.lit("__"))
+    stored = turns(spark, sf).where("conv_id % 2 = 0").select(_KNOWN.spark.alias("secret")).distinct().select(
+        token.alias("token"), "secret", F.lit("GENERIC").alias("type"), F.timestamp_seconds(F.lit(0)).alias("created_at"),
+        F.lit(0).cast("long").alias("hit_count"), F.lit(None).cast("string").alias("name"), F.lit("manual").alias("source"))
+    run = mask_traffic(log, ["conv_id", "turn"], SESSION, F.timestamp_seconds(F.col("turn")), DetectOptions(patterns=False, entropy=False),
+                       scope=["conv_id"], order="turn", known_vault=stored)
+    return run.texts.select("conv_id", "turn", "masked_body")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,26 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+_open_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession):
+    """Tables that lineage cuts write inside the block are deleted at its end, also when it fails.
+
+    They can hold secrets in clear (findings, vaults, rules), so a masking job writes its results inside the block and
+    leaves none of them behind.
+    """
+    _open_scratch.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for written in _open_scratch.pop():
+            path = jvm.org.apache.hadoop.fs.Path(written)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and go on from there.
 
@@ -59,6 +80,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     size. (A checkpointed frame would also hand its plan's constraints on, which grow without end in a loop.)
     """
     path = shared_folder(df.sparkSession, "table")
+    if _open_scratch:
+        _open_scratch[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -38,8 +38,7 @@ def _run(chunks: DataFrame, keys: list[str], processor: FieldStream) -> DataFram
     schema = T.StructType([
         *[chunks.schema[k] for k in keys], T.StructField("seq", T.LongType()), T.StructField("field_key", T.StringType()),
         T.StructField("piece", T.StringType()), T.StructField("synthetic", T.BooleanType())])
-    mode = "None" if processor.idle_ms is None else "ProcessingTime"
-    return chunks.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", mode)
+    return chunks.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "None" if processor.idle_ms is None else "ProcessingTime")
 
 
 def _single(chunks: DataFrame) -> Column:
@@ -128,7 +127,16 @@ def mask_sessions_to(
         found = skip_token_values(findings(batch, [*session, order], "window_text", options))
         fresh = found.join(old.select(*session, F.col("secret").alias("value")), [*session, "value"], "left_anti")
         fresh = fresh.withColumn("_seen", F.timestamp_seconds(F.col(order).cast("double"))).persist()
-        vault = build_vault(sightings(fresh, "stdin", F.col("_seen"), [order, "start"], scope=session), session_id, scope=session)
+        events = sightings(fresh, "stdin", F.col("_seen"), [order, "start"], scope=session)
+        # The stored entries of these sessions take part, so that no new secret gets a token that one of them holds.
+        place = events.schema["ord"].dataType.simpleString()
+        events = events.withColumn("token", F.lit(None).cast("string")).withColumn("hit_count", F.lit(None).cast("long"))
+        before = old.select(*session, "secret", "type", F.lit("stdin").alias("source"), F.lit(None).cast("timestamp").alias("seen_at"),
+                            F.lit(None).cast("string").alias("name"), F.lit(None).cast(place).alias("ord"), "token",
+                            F.lit(None).cast("long").alias("hit_count"))
+        both = events.withColumn("ord", F.struct(F.lit(1).alias("phase"), "ord")).unionByName(
+            before.withColumn("ord", F.struct(F.lit(0).alias("phase"), "ord")))
+        vault = build_vault(both, session_id, scope=session)
         first = fresh.groupBy(*session, F.col("value").alias("secret")).agg(F.min(order).cast("long").alias("first_order"))
         grown = vault.join(first, [*session, "secret"]).select(*session, "secret", "token", "type", "first_order")
         grown.write.mode("overwrite").parquet(f"{vault_path}/batch_id={batch_id}")

@@ -16,6 +16,9 @@ from veilframe.functions import rules
 from veilframe.operators.chunks import UNFINISHED
 
 
+CLOSED_MS = 24 * 60 * 60 * 1000
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """The state store that processors with several state variables need."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
@@ -78,11 +81,15 @@ class FieldStream(StatefulProcessor):
 
     Input rows: key columns, ``seq`` (0, 1, 2 …), ``field_keys``, ``field_values``, ``is_last``. Output rows: key columns,
     ``seq``, ``field_key``, ``piece``, ``synthetic``. What is left at the end of a stream comes as synthetic rows.
-    ``pick`` chooses the cutter by the stream's key, e.g. by direction.
+    ``pick`` chooses the cutter by the stream's key, e.g. by direction. A stream that hears nothing for ``idle_ms`` is
+    closed: a chunk that never comes does not hold others for ever. A closed stream is remembered, so that
+    what is delivered again, or too late, is not taken for a new stream: for ``closed_ms`` where time is kept (``idle_ms``
+    given), else for as long as the query runs, which is meant for finite inputs.
     """
 
-    def __init__(self, key_names: list[str], cutters: dict, pick: int | None = None, idle_ms: int | None = None) -> None:
-        self.key_names, self.cutters, self.pick, self.idle_ms = key_names, cutters, pick, idle_ms
+    def __init__(self, key_names: list[str], cutters: dict, pick: int | None = None, idle_ms: int | None = None,
+                 closed_ms: int = CLOSED_MS) -> None:
+        self.key_names, self.cutters, self.pick, self.idle_ms, self.closed_ms = key_names, cutters, pick, idle_ms, closed_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -90,6 +97,7 @@ class FieldStream(StatefulProcessor):
         self.position = handle.getValueState("position", "next_seq long, timer long, n_early long, n_tails long")
         self.early = handle.getMapState("early", "seq long", "fields string, is_last boolean")
         self.tails = handle.getMapState("tails", "field_key string", "tail string")
+        self.closed = handle.getValueState("closed", "seq long", self.closed_ms if self.idle_ms is not None else None)
 
     def _load(self, key):
         cutter = self.cutters[key[self.pick] if self.pick is not None else None]
@@ -98,6 +106,10 @@ class FieldStream(StatefulProcessor):
         return cutter, int(expected), int(timer), int(n_early), tails
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if self.closed.exists():
+            for _ in rows:
+                pass
+            return
         cutter, expected, timer, n_early, tails = self._load(key)
         stored, known = set(tails), expected > 0 or n_early > 0
         out: list[tuple] = []
@@ -167,6 +179,7 @@ class FieldStream(StatefulProcessor):
         for present, state in ((has_position, self.position), (has_early, self.early), (has_tails, self.tails)):
             if present:
                 state.clear()
+        self.closed.update((expected,))
         if rest:
             yield self._frame(key, rest)
 
@@ -200,8 +213,8 @@ class RollingWindow(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = self.buffer.get()[0] if self.buffer.exists() else ""
-        for batch in rows:
-            batch = batch.sort_values(self.order)
+        # The rows of a micro-batch come in any order and in any number of Arrow batches: they are sorted as a whole.
+        for batch in [pd.concat(list(rows)).sort_values(self.order, kind="stable")]:
             seen = []
             for chunk in batch[self.text]:
                 held = without_tokens(held + (chunk or ""))[-self.window:]
