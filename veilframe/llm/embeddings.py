@@ -222,12 +222,12 @@ def _links(classes: DataFrame, threshold: float) -> DataFrame:
         "cid", "label", "dim", "code", "j", F.col("part").bitwiseXOR(F.col("bit")).alias("key"))
     bucket = ["label", "dim", "j", "key"]
     full = cut_lineage(entries.groupBy(bucket).agg(F.count("*").alias("members")).where("members > 1"))
-    met = entries.join(full, bucket)
+    met = entries.join(full.hint("merge"), bucket)  # small on disk, large in memory: never broadcast
     pairs = met.where(F.col("members") <= SMALL).select(*bucket, "code", "cid").repartition(*bucket).sortWithinPartitions(
         *bucket, "cid").mapInArrow(_small_pairs(width, radius), "x bigint, y bigint")
     one = classes.select(F.col("cid").alias("x"), "dim", "unit", F.col("m").alias("x_rows"))
     two = classes.select(F.col("cid").alias("y"), F.col("unit").alias("other"), F.col("m").alias("y_rows"))
-    found = pairs.join(one, "x").join(two, "y").select("x", "y", "dim", "unit", "other", "x_rows", "y_rows").mapInArrow(
+    found = pairs.join(one.hint("merge"), "x").join(two.hint("merge"), "y").select("x", "y", "dim", "unit", "other", "x_rows", "y_rows").mapInArrow(
         _rerank(threshold), "x bigint, y bigint, x_rows bigint, y_rows bigint")
     sparse = found.select(F.explode(F.array(
         F.struct(F.col("x").alias("a"), F.col("y").alias("b"), F.col("y_rows").alias("links")),
@@ -237,7 +237,7 @@ def _links(classes: DataFrame, threshold: float) -> DataFrame:
         *bucket, "cid", "code", F.pmod(F.xxhash64("cid"), chunks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("with"))
     tiles = large.select(*bucket, "cid", "code", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("b"),
                          (F.col("own") > F.col("with")).cast("int").alias("side"))
-    dense = each_group(tiles.join(classes.select("cid", "unit", "m"), "cid"), [*bucket, "a", "b"],
+    dense = each_group(tiles.join(classes.select("cid", "unit", "m").hint("merge"), "cid"), [*bucket, "a", "b"],
                        _tile(width, radius, threshold), "a bigint, b bigint, links bigint", ["side", "cid"])
     return sparse.union(dense)
 
