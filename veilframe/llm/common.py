@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return what this worker does not use: workers are reused, and a later stage needs the room."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run``, with unused memory given back when its task ends."""
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return outer
+
+
 def free_name(columns: list[str], wanted: str) -> str:
     """``wanted``, lengthened until it clashes with no column (names are compared without case, as Spark does)."""
     taken = {c.lower() for c in columns}

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import U64, random_words
+from veilframe.llm.common import U64, lean, random_words
 from veilframe.llm.graph import components, each_group
 from veilframe.session import cut_lineage
 
@@ -214,7 +214,7 @@ def _links(classes: DataFrame, threshold: float) -> DataFrame:
     models = _models(classes)
     width, radius = -(-BITS // TABLES), 20
     codes = cut_lineage(classes.select("cid", "label", "dim", "unit").mapInArrow(
-        _codes(models), "cid bigint, label bigint, dim int, code bigint"))
+        lean(_codes(models)), "cid bigint, label bigint, dim int, code bigint"))
     tables = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.shiftrightunsigned("code", j * width).bitwiseAND(
         (1 << width) - 1).alias("part")) for j in range(TABLES)]))
     near = F.explode(F.array(*[F.lit(0).cast("bigint")] + [F.lit(1 << i).cast("bigint") for i in range(width)]))
@@ -224,11 +224,11 @@ def _links(classes: DataFrame, threshold: float) -> DataFrame:
     full = cut_lineage(entries.groupBy(bucket).agg(F.count("*").alias("members")).where("members > 1"))
     met = entries.join(full.hint("merge"), bucket)  # small on disk, large in memory: never broadcast
     pairs = met.where(F.col("members") <= SMALL).select(*bucket, "code", "cid").repartition(*bucket).sortWithinPartitions(
-        *bucket, "cid").mapInArrow(_small_pairs(width, radius), "x bigint, y bigint")
+        *bucket, "cid").mapInArrow(lean(_small_pairs(width, radius)), "x bigint, y bigint")
     one = classes.select(F.col("cid").alias("x"), "dim", "unit", F.col("m").alias("x_rows"))
     two = classes.select(F.col("cid").alias("y"), F.col("unit").alias("other"), F.col("m").alias("y_rows"))
     found = pairs.join(one.hint("merge"), "x").join(two.hint("merge"), "y").select("x", "y", "dim", "unit", "other", "x_rows", "y_rows").mapInArrow(
-        _rerank(threshold), "x bigint, y bigint, x_rows bigint, y_rows bigint")
+        lean(_rerank(threshold)), "x bigint, y bigint, x_rows bigint, y_rows bigint")
     sparse = found.select(F.explode(F.array(
         F.struct(F.col("x").alias("a"), F.col("y").alias("b"), F.col("y_rows").alias("links")),
         F.struct(F.col("y").alias("a"), F.col("x").alias("b"), F.col("x_rows").alias("links")))).alias("r")).select("r.*")
@@ -275,7 +275,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                  pa.array(out, pa.binary())], ["cid", "label", "h1", "h2", "m", "least_id", "dim", "unit"])
 
     classes = cut_lineage(grouped.select("cid", "label", "h1", "h2", "m", "least_id", "v").mapInArrow(
-        unit, "cid bigint, label bigint, h1 bigint, h2 bigint, m bigint, least_id bigint, dim int, unit binary"))
+        lean(unit), "cid bigint, label bigint, h1 bigint, h2 bigint, m bigint, least_id bigint, dim int, unit binary"))
     links = cut_lineage(_links(classes, threshold))
     kin = cut_lineage(components(links.select("a", "b")))
     counts = links.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "cid")

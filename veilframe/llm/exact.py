@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import U64, free_name
+from veilframe.llm.common import U64, free_name, lean
 from veilframe.session import cut_lineage
 
 FAN_BITS = 3
@@ -204,10 +204,10 @@ def merge_runs(digest_rows: DataFrame, keep: str = "smallest") -> DataFrame:
     rounds = 1
     while FAN ** rounds < parts:
         rounds += 1
-    runs = digest_rows.mapInArrow(_first_runs(rounds, largest), _BLOCKS)
+    runs = digest_rows.mapInArrow(lean(_first_runs(rounds, largest)), _BLOCKS)
     for step in range(1, rounds + 1):
         exchanged = runs.repartitionById(FAN ** rounds, "slot").sortWithinPartitions("slot", "first")
-        runs = exchanged.mapInArrow(_merge(step, rounds, largest), _MERGED if step == rounds else _BLOCKS)
+        runs = exchanged.mapInArrow(lean(_merge(step, rounds, largest)), _MERGED if step == rounds else _BLOCKS)
     return runs
 
 

@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.llm.common import lean
 from veilframe.session import cut_lineage
 
 
@@ -72,7 +73,7 @@ def components(edges: DataFrame, chunk: int = 200_000) -> DataFrame:
     schema = f"a {edges.schema['a'].dataType.simpleString()}, b {edges.schema['b'].dataType.simpleString()}"
     while True:
         tasks = -(-now.count() // chunk)
-        now = cut_lineage(now.coalesce(max(tasks, 1)).mapInArrow(_contract(chunk), schema))
+        now = cut_lineage(now.coalesce(max(tasks, 1)).mapInArrow(lean(_contract(chunk)), schema))
         if tasks <= 1 or _settled(now):
             break
         both = _both(now)
@@ -116,7 +117,7 @@ def each_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Rec
             if out is not None and out.num_rows:
                 yield out
 
-    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInArrow(lean(run), schema)
 
 
 class Sets:

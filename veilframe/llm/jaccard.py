@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import U64, free_name, mix, pieces, shingles, signed, utf8, word_hashes
+from veilframe.llm.common import U64, free_name, lean, mix, pieces, shingles, signed, utf8, word_hashes
 from veilframe.llm.graph import Sets, components, each_group
 from veilframe.session import cut_lineage
 
@@ -319,14 +319,14 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, rule: Rule) -> tupl
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("h1"),
                        F.xxhash64(text, F.lit(1)).alias("h2"), text.alias("text"))
-    described = cut_lineage(rows.mapInArrow(_describe(rule), _ROWS))
+    described = cut_lineage(rows.mapInArrow(lean(_describe(rule)), _ROWS))
     narrow = described.select("id", "h1", "h2", "sig", "n", "counts").where("n > 0")
     classes = cut_lineage(narrow.groupBy("sig").agg(
         F.min("id").alias("least_id"), F.min(F.struct("h1", "h2")).alias("of"), F.max("n").alias("n"), F.max("counts").alias("counts")))
-    stars = described.select("sig", "keys").mapInArrow(_local_stars, "key bigint, a binary, b binary")
+    stars = described.select("sig", "keys").mapInArrow(lean(_local_stars), "key bigint, a binary, b binary")
     stars = cut_lineage(stars)
     shared = stars.where("key IS NOT NULL").select("key", "a").repartition("key").sortWithinPartitions("key", "a")
-    edges = shared.mapInArrow(_key_edges, _EDGES).union(stars.where("key IS NULL").select("a", "b"))
+    edges = shared.mapInArrow(lean(_key_edges), _EDGES).union(stars.where("key IS NULL").select("a", "b"))
     clusters = cut_lineage(components(edges))
     kin = cut_lineage(components(families(classes, clusters, rule)))
     members = classes.join(kin, F.col("sig") == F.col("node")).select("sig", "of.h1", "of.h2", F.col("root").alias("family"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import U64, mix, pieces
+from veilframe.llm.common import U64, give_back, lean, mix, pieces
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -127,7 +127,7 @@ def learn_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str =
             [pa.array(list(sums), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())],
             ["lang", "bundle"])
 
-    parts = sample.repartition(16).mapInArrow(bundle, "lang string, bundle binary").collect()
+    parts = sample.repartition(16).mapInArrow(lean(bundle), "lang string, bundle binary").collect()
     languages = tuple(sorted({r["lang"] for r in parts}))
     sums = np.zeros((len(languages), dimensions))
     for r in sorted(parts, key=lambda r: (r["lang"], bytes(r["bundle"]))):
@@ -155,6 +155,7 @@ def language_of(text: Column, profiles: Profiles) -> Column:
             best = cosine.argmax(axis=1)
             names += [languages[b] if k else UNKNOWN for b, k in zip(best, known)]
             scores += np.where(known, np.clip(cosine[np.arange(len(chunk)), best], 0, 1), 0).tolist()
+        give_back()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return predict(text.cast("string"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import free_name, pieces, utf8, word_hashes
+from veilframe.llm.common import free_name, give_back, lean, pieces, utf8, word_hashes
 from veilframe.session import cut_lineage
 
 BUCKETS = 4096
@@ -85,7 +85,7 @@ def learn_domains(labelled: DataFrame, text_col: str = "text", domain_col: str =
                     ["domain", "x"])
                 at += len(x)
 
-    found = sample.mapInArrow(describe, "domain string, x binary").collect()
+    found = sample.mapInArrow(lean(describe), "domain string, x binary").collect()
     found.sort(key=lambda r: (r["domain"], bytes(r["x"])))
     domains = tuple(sorted(counts))
     y = np.array([domains.index(r["domain"]) for r in found])
@@ -113,6 +113,7 @@ def memberships(text: Column, model: DomainModel) -> Column:
         for x, words in _feature_chunks(texts, len(model.weights) - 1):
             tokens.append(words)
             found.append(model.posterior(x))
+        give_back()
         flat = np.concatenate(found).astype(np.float64)
         bounds = pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1])
         return pa.StructArray.from_arrays(
@@ -164,7 +165,7 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...], targets: dict[str, f
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(len(out) + 1)), pa.array(np.r_[out, tokens_seen])], ["i", "v"])
 
-        rows = members.select("n_tokens", "posterior").mapInArrow(add, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+        rows = members.select("n_tokens", "posterior").mapInArrow(lean(add), "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
         found = np.array([r["v"] for r in sorted(rows, key=lambda r: r["i"])] or [0.0] * ((k * k if descent is None else k) + 1))
         return found[:-1], found[-1]
 
@@ -242,8 +243,9 @@ def mix_documents(docs: DataFrame, model: DomainModel, targets: dict[str, float]
 
     @F.arrow_udf("double")
     def rate(texts: pa.Array) -> pa.Array:
-        return pa.array(np.concatenate([np.zeros(0), *(
-            descent.rates(model.posterior(x).astype(np.float64)) for x, _ in _feature_chunks(texts, len(model.weights) - 1))]))
+        found = [descent.rates(model.posterior(x).astype(np.float64)) for x, _ in _feature_chunks(texts, len(model.weights) - 1)]
+        give_back()
+        return pa.array(np.concatenate([np.zeros(0), *found]))
 
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")), F.lit(1 << 30)) / (1 << 30)
     rated = docs.withColumn(times, rate(F.col(text_col).cast("string")))

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import U64, byte_hashes, pieces, utf8
+from veilframe.llm.common import U64, byte_hashes, lean, pieces, utf8
 from veilframe.session import cut_lineage
 
 CAPACITY = 1024
@@ -145,9 +145,10 @@ def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
                      pa.array(out[2]), pa.array(out[3]),
                      pa.array([raw[x:y] + end for x, y in zip(limits, limits[1:])], pa.binary())],
                     ["p", "row", "id", "n_tokens", "k", "whole_before", "ids"])
+        encoder.forget()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return cut_lineage(rows.mapInArrow(run, _TOKENS))
+    return cut_lineage(rows.mapInArrow(lean(run), _TOKENS))
 
 
 def best_pattern(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -303,7 +304,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     ranked = tokens.select("row", "p", "k", tail).where("tail > 0").join(bases, ["p", "tail"]).select(
         "row", "tail", (F.col("base") + F.col("k")).alias("rank"))
     placed = ranked.mapInArrow(
-        assign, "row bigint, cut bigint, length bigint, sequence_id bigint, offset bigint")
+        lean(assign), "row bigint, cut bigint, length bigint, sequence_id bigint, offset bigint")
 
     def words(start, length):
         return F.substring(F.col("ids"), (start * 4 + 1).cast("int"), (length * 4).cast("int"))

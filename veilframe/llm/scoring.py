@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import U64, free_name, mix, pieces, random_words, utf8
+from veilframe.llm.common import U64, free_name, lean, mix, pieces, random_words, utf8
 from veilframe.session import cut_lineage
 
 SIDE = 2
@@ -73,7 +73,7 @@ def window_counts(docs: DataFrame, text_col: str) -> DataFrame:
         yield from out()
 
     text = docs.select(F.col(text_col).cast("string").alias("text")).where("text <> ''")
-    return text.mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    return text.mapInArrow(lean(count), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 @dataclass(frozen=True)
@@ -163,7 +163,7 @@ def train(counts: DataFrame, rounds: int = ROUNDS, rate: float = 0.01, batch: in
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(size)), pa.array(sums.astype(np.float64)), pa.array(np.full(size, total))], ["i", "v", "w"])
 
-        rows = counts.mapInArrow(learn, "i bigint, v double, w double").groupBy("i").agg(F.sum("v").alias("v"), F.sum("w").alias("w")).collect()
+        rows = counts.mapInArrow(lean(learn), "i bigint, v double, w double").groupBy("i").agg(F.sum("v").alias("v"), F.sum("w").alias("w")).collect()
         if not rows:
             return network
         flat = np.zeros(size)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import U64, byte_hashes, mix, pieces, random_words, signed, sliding_min, utf8
+from veilframe.llm.common import U64, byte_hashes, lean, mix, pieces, random_words, signed, sliding_min, utf8
 from veilframe.session import cut_lineage
 
 LENGTH = 200
@@ -230,7 +230,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _repeated(texts: DataFrame) -> DataFrame:
     """h1, h2 and the sorted ranges (begin, end) of every text with a repeated string."""
-    runs = cut_lineage(texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_runs, _RUNS))
+    runs = cut_lineage(texts.where(F.octet_length("text") >= LENGTH).mapInArrow(lean(_runs), _RUNS))
     often = runs.groupBy("kh").agg(F.count("*").alias("times")).where("times > 1").select("kh")
     members = cut_lineage(runs.join(often, "kh").groupBy("kh", "rh", "h1", "h2", "at").agg(F.count("*").alias("m")))
     classes = cut_lineage(members.groupBy("kh", "rh").agg(F.sum("m").alias("n"), F.min(F.struct("h1", "h2", "at")).alias("rep")))
@@ -246,15 +246,15 @@ def _repeated(texts: DataFrame) -> DataFrame:
         F.substring(raw, (c["anchor"] - c["hi"] + 1).cast("int"), (c["hi"] - c["lo"] + LENGTH).cast("int")).alias("content")))).alias("c")).select("c.*")
     contexts = contexts.dropDuplicates(["kh", "rh"])
     suffixes = cut_lineage(contexts.mapInArrow(
-        _bands, "kh bigint, rh bigint, band int, least int, most int, lead binary, before binary, after binary"))
+        lean(_bands), "kh bigint, rh bigint, band int, least int, most int, lead binary, before binary, after binary"))
     lead = F.xxhash64("lead", "band").alias("lead_hash")
     large = suffixes.groupBy(lead).agg(F.count("*").alias("m")).where(F.col("m") > WIDE).select("lead_hash")
     keyed = suffixes.withColumn("lead_hash", lead)
     buckets = keyed.join(large, "lead_hash", "left_anti").drop("lead_hash").repartitionByRange("lead").sortWithinPartitions("lead")
     schema = "kh bigint, rh bigint, band int, mask bigint"
-    sorted_masks = buckets.mapInArrow(_sorted_buckets, schema)
+    sorted_masks = buckets.mapInArrow(lean(_sorted_buckets), schema)
     strings = keyed.join(large, "lead_hash").drop("lead_hash").mapInArrow(
-        _string_rows, "kh bigint, rh bigint, band int, e bigint, s1 bigint, s2 bigint")
+        lean(_string_rows), "kh bigint, rh bigint, band int, e bigint, s1 bigint, s2 bigint")
     twice = strings.groupBy("s1", "s2", "band", "e").agg(F.count("*").alias("m")).where("m > 1").drop("m")
     wide_masks = strings.join(twice, ["s1", "s2", "band", "e"]).groupBy("kh", "rh", "band").agg(
         F.sum(F.expr("shiftleft(1L, cast(e as int))")).alias("mask"))
@@ -263,7 +263,7 @@ def _repeated(texts: DataFrame) -> DataFrame:
     none = F.lit(0).cast("int")
     whole = sized.where("n > 1").select("h1", "h2", "at", "n", none.alias("band"), F.lit(0).cast("bigint").alias("mask"))
     part = sized.where("n = 1").join(masks, ["kh", "rh"]).select("h1", "h2", "at", "n", "band", "mask")
-    spans = whole.union(part).mapInArrow(_spans, "h1 bigint, h2 int, begin bigint, end bigint")
+    spans = whole.union(part).mapInArrow(lean(_spans), "h1 bigint, h2 int, begin bigint, end bigint")
     return spans.groupBy("h1", "h2").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("ranges"))
 
 
@@ -301,4 +301,4 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
                        F.hash(text).alias("h2"), text.alias("text"))
     found = cut_lineage(_repeated(rows.select("h1", "h2", "text")))
     return rows.join(found, ["h1", "h2"], "left").select("id", "text", "ranges").mapInArrow(
-        _cut, "id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary").withColumnRenamed("id", id_col)
+        lean(_cut), "id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary").withColumnRenamed("id", id_col)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import free_name
+from veilframe.llm.common import free_name, lean
 from veilframe.session import broadcast_if_small, cut_lineage
 
 END = "\r\n\r\n"
@@ -191,7 +191,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     yield table(rows)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(parse, _RECORDS)
+    return files.mapInArrow(lean(parse), _RECORDS)
 
 
 def page_number(uri: Column) -> Column:
