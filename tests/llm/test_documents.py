@@ -312,6 +312,57 @@ def test_passages_are_found_and_clean_texts_left_alone(spark):
     assert all(not rows[i]["spans"] and rows[i]["component_id"] == i for i in [*range(20), *range(31, 35)])
 
 
+def inserted(rng, text, places, cut=0):
+    words = text.split(" ")
+    for at in sorted(places, reverse=True):
+        words[at:at + cut] = [] if cut else [prose(rng, 1) + "x"]
+    return " ".join(words)
+
+
+def test_passages_over_inserted_deleted_and_moved_words(spark):
+    rng = random.Random(12)
+    base = [prose(rng, 60), prose(rng, 120), prose(rng, 62), prose(rng, 80), prose(rng, 300)]
+    halves = base[3].split(" ")
+    pairs = [(base[0], inserted(rng, base[0], [30])), (base[1], inserted(rng, base[1], [40, 80])), (base[2], inserted(rng, base[2], [30], 1)),
+             (base[3], " ".join(halves[40:] + halves[:40])), (base[4], inserted(rng, base[4], [60, 150, 155, 240], 2))]
+    texts = [prose(rng, 60) + " " + p + " " + prose(rng, 60) for pair in pairs for p in pair]
+
+    def codes(text):
+        return shingles(*word_hashes(*utf8(pa.array([text]))), 5, whole=False)[0]
+
+    rows = {r["doc_id"]: r for r in passages.passage_dedup(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    for n, pair in enumerate(pairs):
+        x, y = (set(codes(p).tolist()) for p in pair)
+        assert len(x & y) >= 0.8 * len(x | y)
+        for i in (0, 1):
+            r = rows[2 * n + i]
+            size = len(pair[i].split(" "))
+            assert r["partners"] == [2 * n + 1 - i] and r["component_id"] == 2 * n
+            assert any(s["start"] <= 65 and s["end"] >= 55 + size for s in r["spans"]) and r["n_repeated"] < size * 1.3
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_verified_ranges_against_all_ranges(seed):
+    """Two texts with inserted and left out words: some range pair around the met place exists if and only if one is found."""
+    rng = random.Random(seed)
+    span = passages._SPAN
+    for edits in (1, 2, 2, 3, 6):
+        base = prose(rng, 56)
+        other = base
+        for _ in range(edits):
+            other = inserted(rng, other, [rng.randrange(5, 50)], rng.choice([0, 1]))
+        x, y = (shingles(*word_hashes(*utf8(pa.array([prose(rng, 6) + " " + t + " " + prose(rng, 6)]))), 5, whole=False)[0] for t in (base, other))
+        here = [(i, j) for i in range(len(x)) for j in range(len(y)) if x[i] == y[j]]
+        i, j = here[len(here) // 2]
+        want = any(passages._jaccard(x[a:b], y[c:d]) for a in range(i + 1) for b in range(max(i + 1, a + span), len(x) + 1)
+                   for c in range(max(0, a - 8), min(j + 1, a + 9)) for d in range(max(j + 1, c + span), len(y) + 1)
+                   if 100 * min(b - a, d - c) >= 80 * max(b - a, d - c))
+        windows = np.array([[f, max(0, i - 40), i, min(len(x) - 1, i + 40), max(0, j - 40), j, min(len(y) - 1, j + 40)] for f in range(4)]).T
+        got = passages.verified_ranges(x, y, windows, False)
+        assert bool(got) == want and all(passages._jaccard(x[a:b], y[c:d]) and min(b - a, d - c) >= span for a, b, c, d in got)
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     profiles = language.learn_profiles(docs.where(~language.held_out()))
