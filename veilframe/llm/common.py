@@ -119,8 +119,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words are runs of bytes outside space and 09-0D, with A-Z in lower case.
+def word_hashes(data: np.ndarray, bounds: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Words are runs of bytes outside ``breaks`` (by default space and 09-0D), with A-Z in lower case.
 
     Gives a 64-bit hash per word, and the n + 1 bounds of the rows in words. Rows never share a word.
     """
@@ -128,7 +128,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     rows = len(bounds) - 1
     if n == 0:
         return np.zeros(0, U64), np.zeros(rows + 1, np.int64)
-    space = _SPACE[data]
+    space = breaks[data]
     first = ~space
     first[1:] &= space[:-1]
     inner = bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < n)]
