@@ -3,7 +3,7 @@
 Fixed rules find what is certain (the base). High-recall generators propose further spans, which overlap each other and the
 base. Features of format and context, each a small number, describe a candidate. Boosted trees are trained on the candidates
 of the corpus itself: one that equals a base span is personal data, one that a rule has looked at and refused is not, and
-one inside a longer refused stretch (two numbers side by side that the rules read as one) teaches nothing. A candidate's
+one inside a longer match (two numbers side by side that a rule reads as one) teaches nothing. A candidate's
 features take few values, so the whole corpus is counted per combination of them, and the trees are grown on these counts.
 On documents held out of growing the scores are calibrated (isotonic), and a kind's threshold is where the calibrated
 probability reaches ``precision``. The trees become a column expression again.
@@ -143,7 +143,7 @@ def candidates(text: Column) -> Column:
 
 
 def _judged(base: dict[str, Column], proposed: Column) -> Column:
-    """Candidates with ``label``: 1 equals a base span of its kind, 0 not, null inside a longer stretch that a rule refused.
+    """Candidates with ``label``: 1 equals a base span of its kind, 0 not, null inside a longer match of a rule.
 
     Per kind candidates and matches are sorted together; the last match that starts at or before a candidate is a running
     maximum, since matches of a kind do not overlap."""
@@ -160,8 +160,7 @@ def _judged(base: dict[str, Column], proposed: Column) -> Column:
             def judge(seen: Column) -> Column:
                 def one(c: Column, b: Column) -> Column:
                     same = (b["start"] == c["start"]) & (b["end"] == c["end"])
-                    inside = (b["end"] >= c["end"]) & ~b["holds"]
-                    return F.when(b.isNull(), 0).when(same, b["holds"].cast("int")).when(inside, None).otherwise(0)
+                    return F.when(b.isNull(), 0).when(same, b["holds"].cast("int")).when(b["end"] >= c["end"], None).otherwise(0)
                 paired = F.zip_with(rows, seen, lambda r, b: F.struct(
                     r["candidate"].alias("candidate"), one(r["candidate"], b).cast("int").alias("label")))
                 return F.filter(paired, lambda p: p["candidate"].isNotNull())
