@@ -76,5 +76,7 @@ def test_dictionary_is_refused_not_cut(spark):
 
     rules = spark.range(20).select(F.col("id").cast("string").alias("source"), F.lit("x").alias("target"))
     with pytest.raises(ValueError):
-        jobs.bounded_pairs(rules, limit=10)
-    assert len(jobs.bounded_pairs(rules, limit=20)) == 20
+        jobs.dictionary(rules, limit=100)
+    assert len(jobs.dictionary(rules).pairs) == 20
+    sent = jobs.dictionary(rules.unionByName(rules.where("id = 3").withColumn("target", F.lit("a"))), inline=0)
+    assert sent.pairs is None and sent.last("1 3 20") == "x a xx"

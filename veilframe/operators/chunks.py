@@ -33,9 +33,9 @@ def reassemble(df: DataFrame, keys: list[str], seq: str, value: str, rows: int =
 
 
 _TYPES = "|".join(SECRET_TYPES)
-_BODY = rf"__VAULT_(?:{_TYPES})_[0-9a-f]{{8,9}}"
+BODY = rf"__VAULT_(?:{_TYPES})_[0-9a-f]{{8,9}}"
 # A beginning of a token at the end of a text, with the tokens before it that share one or both underscores with it.
-UNFINISHED = rf"(?:{_BODY}_?)*(?:__VAULT_(?:{_TYPES})_[0-9a-f]{{0,9}}_?|__VAULT_[A-Z_]*|__VAULT|__VAUL|__VAU|__VA|__V|__|_)\z"
+UNFINISHED = rf"(?:{BODY}_?)*(?:__VAULT_(?:{_TYPES})_[0-9a-f]{{0,9}}_?|__VAULT_[A-Z_]*|__VAULT|__VAUL|__VAU|__VA|__V|__|_)\z"
 
 
 JOINED = 4096  # characters that short segments are joined up to

@@ -9,6 +9,7 @@ from veilframe.functions.spans import let
 from veilframe.functions.sse import typed_number, typed_string
 from veilframe.functions.text import record_id
 from veilframe.operators.chunks import reassemble
+from veilframe.operators.replace import join_null_safe
 from veilframe.operators.ordered import SEGMENT_ROWS, running
 from veilframe.session import cut_lineage
 
@@ -52,11 +53,26 @@ def parse_deltas(lines: DataFrame, stream: list[str], seq: str, line: str) -> Da
                          (F.col("done") | F.coalesce("d.ended", F.lit(False))).alias("ended"))
 
 
-def response_events(lines: DataFrame, stream: list[str], seq: str, line: str, rows: int = SEGMENT_ROWS) -> DataFrame:
+_CONTENT = "array<struct<type:string,text:string,annotations:array<string>>>"
+_ITEM = f"struct<id:string,type:string,role:string,call_id:string,name:string,arguments:string,status:string,content:{_CONTENT}>"
+
+
+def _response(key: Column, created_at: int | None, model: str | None, output: Column, text: Column, status: str) -> Column:
+    """The response object as JSON; absent fields are left out."""
+    return F.to_json(F.struct(
+        F.concat(F.lit("resp_"), record_id(key)).alias("id"), F.lit("response").alias("object"),
+        F.lit(created_at).cast("long").alias("created_at"), F.lit(model).cast("string").alias("model"), output.alias("output"),
+        text.alias("output_text"), F.lit(status).alias("status")))
+
+
+def response_events(lines: DataFrame, stream: list[str], seq: str, line: str, rows: int = SEGMENT_ROWS,
+                    model: str | None = None, created_at: int | None = None) -> DataFrame:
     """Events of every stream: created, item and part added, deltas, done, completed.
 
     Sort by (stream, phase, seq, sub, part) to read them in order. ``text`` holds the delta, or the whole text or
-    arguments in the closing events (one row per segment where a stream is longer than ``rows`` deltas).
+    arguments in the closing events (one row per segment where a stream is longer than ``rows`` deltas). ``response`` is the
+    response object of the events created and completed; the completed object of a stream in several segments is null, since
+    no cell takes a text of any length.
     """
     parsed = parse_deltas(lines, stream, seq, line)
     has_content = F.exists("parts", lambda p: p["kind"] == "content")
@@ -89,14 +105,15 @@ def response_events(lines: DataFrame, stream: list[str], seq: str, line: str, ro
         "call_id", F.coalesce(F.nullif("id", F.lit("")), F.concat(F.lit("call_"), record_id(F.concat_ws(":", *keys)))))
 
     def event(df: DataFrame, phase: int, at, sub, part: int, type_: str, index, item, text, name=None, call=None,
-              segment=None) -> DataFrame:
+              segment=None, response=None) -> DataFrame:
         none = F.lit(None).cast("string")
         return df.select(
             *stream, F.lit(phase).alias("phase"), at.cast("long").alias("seq"), sub.cast("long").alias("sub"),
             F.lit(part).alias("part"), F.lit(type_).alias("type"), index.cast("int").alias("output_index"),
             (none if item is None else item).alias("item_id"), (none if text is None else text).alias("text"),
             (none if name is None else name).alias("name"), (none if call is None else call).alias("call_id"),
-            (F.lit(0) if segment is None else segment).cast("long").alias("segment"))
+            (F.lit(0) if segment is None else segment).cast("long").alias("segment"),
+            (none if response is None else response).alias("response"))
 
     zero, c = F.lit(0), F.col
     ids = lines.select(*stream).distinct()
@@ -105,7 +122,8 @@ def response_events(lines: DataFrame, stream: list[str], seq: str, line: str, ro
     first_rows = tool_rows.filter((c("first")["seq"] == c(seq)) & (c("first")["sub"] == c("sub")))
     tool_name = F.coalesce(c("name"), F.lit("tool"))
     streamed = [
-        event(ids, 0, zero, zero, 0, "response.created", zero, None, None),
+        event(ids, 0, zero, zero, 0, "response.created", zero, None, None,
+              response=_response(stream_key, created_at, model, F.array().cast("array<string>"), F.lit(""), "in_progress")),
         event(opening, 1, c(seq), c("sub"), 0, "response.output_item.added", zero, message_id, None),
         event(opening, 1, c(seq), c("sub"), 1, "response.content_part.added", zero, message_id, F.lit("")),
         event(content, 1, c(seq), c("sub"), 2, "response.output_text.delta", zero, message_id, c("text")),
@@ -124,7 +142,22 @@ def response_events(lines: DataFrame, stream: list[str], seq: str, line: str, ro
     for part, type_ in enumerate(("response.function_call_arguments.done", "response.output_item.done")):
         streamed.append(event(arguments, 2, F.lit(1), c("output_index"), part, type_, c("output_index"), c("item_id"),
                               c("text"), final_name, c("call_id"), c("segment")))
-    streamed.append(event(ids, 3, zero, zero, 0, "response.completed", zero, None, None))
+    nothing = F.lit(None).cast("string")
+    said = F.struct(F.lit("output_text").alias("type"), c("text").alias("text"), F.array().cast("array<string>").alias("annotations"))
+    message = F.struct(message_id, F.lit("message"), F.lit("assistant"), nothing, nothing, nothing, F.lit("completed"), F.array(said)).cast(_ITEM)
+    call = F.struct(c("item_id"), F.lit("function_call"), nothing, c("call_id"), final_name, c("text"), F.lit("completed"),
+                    F.lit(None).cast(_CONTENT)).cast(_ITEM)
+    # A message comes first even where a call holds the same output index.
+    items = whole.select(*stream, F.lit(-1).alias("place"), "segment", message.alias("item")).unionByName(
+        arguments.select(*stream, c("output_index").cast("int").alias("place"), "segment", call.alias("item")))
+    short = items.groupBy(*stream).agg(
+        F.max("segment").alias("longest"), F.array_sort(F.collect_list(F.when(c("segment") == 0, F.struct("place", "item")))).alias("items"))
+    closed = join_null_safe(ids, short, stream, "left")
+    output = F.coalesce(F.transform("items", lambda i: i["item"]), F.array().cast(f"array<{_ITEM}>"))
+    first = F.get(output, 0)
+    text = F.when(first["type"] == "message", F.get(first["content"], 0)["text"])
+    streamed.append(event(closed, 3, zero, zero, 0, "response.completed", zero, None, None, response=F.when(
+        F.coalesce(c("longest"), zero) == 0, _response(stream_key, created_at, model, output, text, "completed"))))
     out = streamed[0]
     for more in streamed[1:]:
         out = out.unionByName(more)

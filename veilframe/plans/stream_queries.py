@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilframe.config import DetectOptions
+from veilframe.functions.sse import sse_data, sse_text_fields
 from veilframe.functions.text import vault_token
 from veilframe.operators.chunks import reassemble
 from veilframe.plans.registry import SESSION, Injected, query, table, utc
@@ -13,6 +14,7 @@ from veilframe.session import shared_folder
 from veilframe.streaming import jobs
 
 PIECE = 11
+_TURN_SECRET = Injected("ghp_{k:36}", "conv_id")
 
 
 def replayed(spark, df, place):
@@ -30,13 +32,20 @@ def mixed(*columns):
     return F.pmod(F.hash(*columns), F.lit(3))
 
 
-def stream_chunks(spark, sf_dir: str, text):
-    """Turns as chunk streams: pieces of ``text`` with a number each and a mark on the last."""
+def _chunked(texts, keys, text):
+    """Texts as chunk streams: pieces with a number each and a mark on the last."""
     pieces = F.regexp_extract_all(text, F.lit(rf"[\s\S]{{1,{PIECE}}}"), F.lit(0))
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", pieces.alias("pieces"))
-    chunks = turns.select("conv_id", "turn", F.size("pieces").alias("n"), F.posexplode("pieces").alias("seq", "chunk")).select(
-        "conv_id", "turn", F.col("seq").cast("long").alias("seq"), "chunk", (F.col("seq") == F.col("n") - 1).alias("is_last"))
-    return replayed(spark, chunks, mixed("conv_id", "turn", "seq"))
+    return texts.select(*keys, pieces.alias("pieces")).select(
+        *keys, F.size("pieces").alias("n"), F.posexplode("pieces").alias("seq", "chunk")).select(
+        *keys, F.col("seq").cast("long").alias("seq"), "chunk", (F.col("seq") == F.col("n") - 1).alias("is_last"))
+
+
+def _pieces(spark, sf_dir: str, text):
+    return _chunked(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], text)
+
+
+def stream_chunks(spark, sf_dir: str, text):
+    return replayed(spark, _pieces(spark, sf_dir, text), mixed("conv_id", "turn", "seq"))
 
 
 def _tokenised_text():
@@ -108,6 +117,133 @@ def stream_restore_events(spark, sf):
         "conv_id", "turn", "segment", "field_key", "text")
 
 
+def _collected(stream, sink, out):
+    jobs.start_batches(stream, sink, shared_folder(stream.sparkSession, "ckpt")).awaitTermination()
+    return stream.sparkSession.read.parquet(out)
+
+
+@query("stream_sse_rewrite", f"""
+    SELECT conv_id, turn, 'openai:0:delta.content' AS field_key, {_PLANTED_TURN.sql} AS text, ceil((length(text) + 64) / {PIECE}.0)::BIGINT AS n_events,
+      'data: [DONE]' AS last_line FROM conversations""")
+def stream_sse_rewrite(spark, sf):
+    """Event lines restored and written back as lines: read again, their text is that of the batch restore."""
+    _, vault = _tokenised(spark, sf)
+    event = F.to_json(F.struct(F.lit("m").alias("model"), F.array(F.struct(F.lit(0).alias("index"), F.struct(
+        F.col("chunk").alias("content")).alias("delta"))).alias("choices")))
+    chunks = _pieces(spark, sf, _tokenised_text())
+    lines = chunks.select("conv_id", "turn", "seq", F.concat(F.lit("data: "), event).alias("line"), F.lit(False).alias("is_last")).unionByName(
+        chunks.where("is_last").select("conv_id", "turn", F.col("seq") + 1, F.lit("data: [DONE]"), F.lit(True)).toDF("conv_id", "turn", "seq", "line", "is_last"))
+    lines = replayed(spark, lines, mixed("conv_id", "turn", "seq"))
+    out, keys = shared_folder(spark, "lines"), ["conv_id", "turn"]
+    written = _collected(jobs.sse_rewrite(lines, keys, "openai"), jobs.rewrite_to(vault, keys, out), out)
+    fields = written.select(*keys, (F.col("seq") * 1000 + F.col("sub")).alias("place"), F.explode(
+        sse_text_fields(sse_data(F.col("line"))["json"], F.lit("openai"))).alias("f")).select(*keys, "place", "f.*")
+    texts = reassemble(fields, [*keys, "key"], "place", "value", rows=1 << 20).select(*keys, F.col("key").alias("field_key"), "text")
+    own = written.where("NOT synthetic").groupBy(*keys).agg(
+        (F.count("*") - 1).alias("n_events"), F.max_by("line", "seq").alias("last_line"))
+    return texts.join(own, keys).select(*keys, "field_key", "text", "n_events", "last_line")
+
+
+@query("stream_response_events", f"""
+    SELECT conv_id, turn, type, CAST(n AS BIGINT) AS n_events, CASE WHEN type = 'response.output_text.done' THEN text END AS text,
+      CASE WHEN type = 'response.completed' THEN text WHEN type = 'response.created' THEN '' END AS output_text,
+      CASE WHEN type = 'response.completed' THEN 'completed' WHEN type = 'response.created' THEN 'in_progress' END AS status,
+      CASE WHEN type = 'response.completed' THEN '{{"q":' || turn || '}}' END AS call_arguments FROM conversations,
+    LATERAL (VALUES ('response.created', 1), ('response.output_item.added', 2), ('response.content_part.added', 1),
+      ('response.output_text.delta', CAST(ceil(length(text) / {PIECE}.0) AS INTEGER)), ('response.output_text.done', 1), ('response.content_part.done', 1),
+      ('response.function_call_arguments.delta', 2), ('response.function_call_arguments.done', 1), ('response.output_item.done', 2),
+      ('response.completed', 1)) AS v(type, n)""")
+def stream_response_events(spark, sf):
+    """Chat deltas with a text and a tool call, re-shaped as they come, over three micro-batches out of order."""
+    pieces = _pieces(spark, sf, F.col("text"))
+
+    def line(delta, finish=None):
+        return F.concat(F.lit('data: {"choices":[{"index":0,"delta":'), delta, F.lit("" if finish is None else f',"finish_reason":"{finish}"'), F.lit("}]}"))
+
+    def call(fields, arguments):
+        return F.concat(F.lit('{"tool_calls":[{"index":0,' + fields), arguments, F.lit("}}]}"))
+
+    content = pieces.select("conv_id", "turn", "seq", line(F.to_json(F.struct(F.col("chunk").alias("content")))).alias("line"), F.lit(False).alias("is_last"))
+    ends = pieces.where("is_last")
+    opened = line(call('"id":"c1","function":{"name":"look","arguments":', F.lit('"{\\"q\\":"')))
+    closed = line(call('"function":{"arguments":', F.concat(F.lit('"'), F.col("turn").cast("string"), F.lit('}"'))), "tool_calls")
+    rest = [ends.select("conv_id", "turn", (F.col("seq") + i).alias("seq"), text.alias("line"), F.lit(last).alias("is_last"))
+            for i, text, last in ((1, opened, False), (2, closed, False), (3, F.lit("data: [DONE]"), True))]
+    lines = content.unionByName(rest[0]).unionByName(rest[1]).unionByName(rest[2])
+    events = jobs.response_event_stream(replayed(spark, lines, mixed("conv_id", "turn", "seq")), ["conv_id", "turn"], model="m")
+    out = shared_folder(spark, "events")
+    events.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_folder(spark, "ckpt")).trigger(
+        availableNow=True).start().awaitTermination()
+    get = F.get_json_object
+    return spark.read.schema(events.schema).parquet(out).groupBy("conv_id", "turn", "type").agg(
+        F.count("*").alias("n_events"), F.max(F.when(F.col("type") == "response.output_text.done", F.col("text"))).alias("text"),
+        F.max(get("response", "$.output_text")).alias("output_text"), F.max(get("response", "$.status")).alias("status"),
+        F.max(get("response", "$.output[1].arguments")).alias("call_arguments"))
+
+
+_USER_SECRET = Injected("pw-{k:12}", "conv_id")
+
+
+@query("stream_rules_follow", f"""
+    SELECT conv_id::VARCHAR AS conv_id, turn::VARCHAR AS stream, CASE WHEN turn >= 1 THEN replace(t, s, tok) || t ELSE t || t END AS text FROM (
+      SELECT conv_id, turn, 'say ' || {_USER_SECRET.sql} || '. ' || text AS t, {_USER_SECRET.sql} AS s,
+             '__VAULT_PASSWORD_' || substr(sha256({_USER_SECRET.sql}), 1, 8) || '__' AS tok FROM conversations)""")
+def stream_rules_follow(spark, sf):
+    """The vault learns each conversation's secret in the second micro-batch: text of the first goes out as it is, later text is
+    masked, and tokens that come back are restored."""
+    secret = _USER_SECRET.spark
+    token = F.concat(F.lit("__VAULT_PASSWORD_"), F.substring(F.sha2(secret, 256), 1, 8), F.lit("__"))
+    said = table(spark, sf, "conversations").select(
+        F.col("conv_id").cast("string").alias("conv_id"), "turn", F.concat(F.lit("say "), secret, F.lit(". "), F.col("text")).alias("t"),
+        F.when(F.col("turn") >= 1, token).otherwise(secret).alias("back"), secret.alias("secret"))
+    answer = F.concat(F.lit("say "), F.col("back"), F.substring("t", F.length("secret") + 5, F.length("t")))
+    both = said.select("conv_id", "turn", F.explode(F.array(
+        F.struct(F.lit("in").alias("direction"), F.col("t").alias("text")), F.struct(F.lit("out").alias("direction"), answer.alias("text")))).alias("x"))
+    chunks = _chunked(both.select("conv_id", "turn", "x.direction", "x.text"), ["conv_id", "turn", "direction"], F.col("text"))
+    changes = table(spark, sf, "conversations").select(
+        F.col("conv_id").cast("string").alias("conv_id"), secret.alias("secret"), token.alias("token")).distinct()
+    changes = changes.select("conv_id", F.explode(F.array(
+        F.struct(F.lit(0).alias("place"), F.lit("never-said-1").alias("secret"), F.lit("__VAULT_GENERIC_0000000a__").alias("token")),
+        F.struct(F.lit(1).alias("place"), F.col("secret"), F.col("token")),
+        F.struct(F.lit(2).alias("place"), F.lit("never-said-2").alias("secret"), F.lit("__VAULT_GENERIC_0000000b__").alias("token")))).alias("c")).select(
+        "conv_id", "c.secret", "c.token", F.col("c.place").alias("revision"))
+    moved = jobs.rule_following_stream(
+        replayed(spark, chunks, F.least(F.col("turn"), F.lit(2))), replayed(spark, changes, F.col("revision")), ["conv_id"], ["turn"], "direction")
+    out = shared_folder(spark, "followed")
+    moved.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_folder(spark, "ckpt")).trigger(
+        availableNow=True).start().awaitTermination()
+    pieces = spark.read.schema(moved.schema).parquet(out).withColumn(
+        "place", (F.col("direction") == "out").cast("long") * (1 << 40) + F.col("seq") * 2 + F.col("synthetic").cast("long"))
+    return reassemble(pieces, ["conv_id", "stream"], "place", "piece", rows=1 << 20).select("conv_id", "stream", "text")
+
+
+@query("stream_restore_ansi", f"""
+    SELECT conv_id, turn, text || chr(27) || '[1mkey ' || {_TURN_SECRET.sql} || chr(27) || '[0m.' AS text FROM conversations""")
+def stream_restore_ansi(spark, sf):
+    """Terminal output in chunks that tear tokens and escapes, with escapes inside the tokens."""
+    _, vault = _tokenised(spark, sf)
+    token = vault_token(_TURN_SECRET.spark, F.lit("APIKEY"), F.lit(SESSION))
+    torn = F.concat(F.left(token, F.lit(12)), F.lit("\x1b[31m"), F.substring(token, 13, 100))
+    chunks = stream_chunks(spark, sf, F.concat("text", F.lit("\x1b[1mkey "), torn, F.lit("\x1b[0m.")))
+    out, keys = shared_folder(spark, "terminal"), ["conv_id", "turn"]
+    restored = _collected(jobs.ansi_pieces(chunks, keys), jobs.restore_ansi_to(vault, keys, out), out)
+    placed = restored.withColumn("place", F.col("seq") * 4 + F.col("sub"))
+    return reassemble(placed, keys, "place", "restored", rows=1 << 20).select(*keys, "text")
+
+
+@query("stream_ordered_windows", """
+    SELECT conv_id, turn, right(string_agg(text, '') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 4096) AS window_text
+    FROM conversations""")
+def stream_ordered_windows(spark, sf):
+    """Turns dealt over three micro-batches at random: the windows are those of the turns in order, and none is late."""
+    turns = replayed(spark, table(spark, sf, "conversations").select("conv_id", "turn", "text"), mixed("conv_id", "turn"))
+    windows = jobs.ordered_window_stream(turns, ["conv_id"], "turn", "text")
+    out, late = shared_folder(spark, "windows"), shared_folder(spark, "late")
+    found = _collected(windows, jobs.apart(out, late), out)
+    return found.select("conv_id", F.col("seq").alias("turn"), "window_text").unionByName(
+        spark.read.parquet(late).select("conv_id", F.col("seq").alias("turn"), F.lit("late").alias("window_text")))
+
+
 @query("stream_session_mask", f"""
     SELECT conv_id, turn, CASE WHEN turn >= 1 THEN replace(t, c, {sql_token('c', "'PASSWORD'")}) ELSE t END AS masked_text
     FROM (SELECT conv_id, turn, {_said(False)} AS t, {_C} AS c FROM conversations)""")

@@ -12,19 +12,43 @@ from veilframe.config import DETECTION_WINDOW, DetectOptions
 from veilframe.functions.sse import sse_data, sse_text_fields
 from veilframe.operators.findings import findings, skip_token_values
 from veilframe.operators.mask import mask_as_of
-from veilframe.operators.restore import restore
+from veilframe.operators.ordered import SEGMENT_ROWS
+from veilframe.operators.restore import restore, restore_ansi
 from veilframe.operators.vault import build_vault, sightings
-from veilframe.streaming.state import DictionaryReplace, FieldStream, RollingWindow, TokenHold, use_rocksdb
+from veilframe.session import shared_folder
+from veilframe.streaming.cutters import Dictionary, TokenHold
+from veilframe.streaming.events import Reshaped, Rewritten, Terminal
+from veilframe.streaming.state import Fields, Handler, OrderedStream, RollingWindow, RuleFollowing, Windows, use_rocksdb
 
-MAX_DICTIONARY = 10_000
+DICTIONARY_BYTES = 64 << 20  # what a worker takes into memory
+INLINE_BYTES = 256 << 10  # what rides along with every task; larger lists are sent to each machine once, as a file
 
 
-def bounded_pairs(rules: DataFrame, limit: int = MAX_DICTIONARY) -> list[tuple[str, str]]:
-    """A rule list small enough to ride along with every task; a larger one is refused, never cut."""
-    rows = rules.select("source", "target").limit(limit + 1).collect()
-    if len(rows) > limit:
+def dictionary(rules: DataFrame, limit: int = DICTIONARY_BYTES, inline: int = INLINE_BYTES) -> Dictionary:
+    """The rules (source, target) as one dictionary for all workers, by measured size. A list too large for a worker is refused,
+    never cut: text is then restored by join, or masked per session."""
+    size = rules.agg(F.sum(F.octet_length("source") + F.octet_length("target") + 64).alias("bytes")).first()["bytes"] or 0
+    if size > limit:
         raise ValueError("too many rules for an in-memory dictionary: restore by join, or mask per session")
-    return [(r["source"], r["target"]) for r in rows]
+    # Of rules that share a source the first target in text order counts.
+    rules = rules.where("source <> ''").groupBy("source").agg(F.min("target").alias("target"))
+    if size <= inline:
+        return Dictionary([(r["source"], r["target"]) for r in rules.collect()])
+    spark = rules.sparkSession
+    folder = shared_folder(spark, "rules")
+    rules.coalesce(1).write.json(folder)
+    file = next(f for f in spark.read.text(folder).inputFiles())
+    spark.sparkContext.addFile(file)
+    return Dictionary(file=file.rsplit("/", 1)[1])
+
+
+def _dictionary(spark: SparkSession, pairs: list[tuple[str, str]] | DataFrame) -> Dictionary:
+    """Pairs given as a list are sent like a table once they are many."""
+    if isinstance(pairs, DataFrame):
+        return dictionary(pairs)
+    if sum(len(s) + len(t) + 64 for s, t in pairs) <= INLINE_BYTES:
+        return Dictionary(pairs)
+    return dictionary(spark.createDataFrame(list(dict(pairs).items()), "source string, target string"))
 
 
 def _fields(chunks: DataFrame, keys: list[str], fields: Column) -> DataFrame:
@@ -33,44 +57,140 @@ def _fields(chunks: DataFrame, keys: list[str], fields: Column) -> DataFrame:
         F.transform(fields, lambda f: f["value"]).alias("field_values"), "is_last")
 
 
-def _run(chunks: DataFrame, keys: list[str], processor: FieldStream) -> DataFrame:
+def _run(chunks: DataFrame, keys: list[str], handler: Handler, shape: str, idle_ms: int | None = None, patience: int | None = None) -> DataFrame:
+    """The streams of ``chunks`` through a handler; ``shape`` are the columns it gives besides the keys."""
     use_rocksdb(chunks.sparkSession)
-    schema = T.StructType([
-        *[chunks.schema[k] for k in keys], T.StructField("seq", T.LongType()), T.StructField("field_key", T.StringType()),
-        T.StructField("piece", T.StringType()), T.StructField("synthetic", T.BooleanType())])
-    return chunks.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "None" if processor.idle_ms is None else "ProcessingTime")
+    schema = T.StructType([*[chunks.schema[k] for k in keys], *T._parse_datatype_string(shape).fields])
+    rows = chunks.select(*keys, F.col("seq").cast("long").alias("seq"), *handler.fields, "is_last")
+    return rows.groupBy(*keys).transformWithState(
+        OrderedStream(schema.names, handler, idle_ms, patience), schema, "Append", "None" if idle_ms is None else "ProcessingTime")
+
+
+PIECES = "seq long, field_key string, piece string, synthetic boolean"
 
 
 def _single(chunks: DataFrame) -> Column:
     return F.array(F.struct(F.lit("").alias("key"), F.col("chunk").alias("value")))
 
 
-def replace_stream(chunks: DataFrame, keys: list[str], pairs: list[tuple[str, str]], idle_ms: int | None = None) -> DataFrame:
-    """Replace over chunk borders with one bounded rule list: pieces whose concatenation is the replaced text."""
-    processor = FieldStream(keys, {None: DictionaryReplace(pairs)}, idle_ms=idle_ms)
-    return _run(_fields(chunks, keys, _single(chunks)), keys, processor)
+def replace_stream(chunks: DataFrame, keys: list[str], pairs: list[tuple[str, str]] | DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Replace over chunk borders with one rule list, or table of (source, target): pieces whose concatenation is the replaced text."""
+    return _run(_fields(chunks, keys, _single(chunks)), keys, Fields({None: _dictionary(chunks.sparkSession, pairs)}), PIECES, idle_ms)
 
 
 def bidirectional_stream(
     chunks: DataFrame, keys: list[str], direction: str, pairs: list[tuple[str, str]], idle_ms: int | None = None,
 ) -> DataFrame:
     """Text going in is masked; output and API responses are restored. ``pairs`` are (secret, token)."""
-    back = DictionaryReplace([(t, s) for s, t in pairs])
-    processor = FieldStream(keys, {"in": DictionaryReplace(pairs), "out": back, "api": back},
-                            pick=keys.index(direction), idle_ms=idle_ms)
-    return _run(_fields(chunks, keys, _single(chunks)), keys, processor)
+    spark = chunks.sparkSession
+    back = _dictionary(spark, [(t, s) for s, t in pairs])
+    handler = Fields({"in": _dictionary(spark, pairs), "out": back, "api": back}, pick=keys.index(direction))
+    return _run(_fields(chunks, keys, _single(chunks)), keys, handler, PIECES, idle_ms)
+
+
+def rule_following_stream(chunks: DataFrame, changes: DataFrame, scope: list[str], stream: list[str], direction: str) -> DataFrame:
+    """As ``bidirectional_stream``, with rules that follow the vault while the streams run.
+
+    ``changes`` is a stream of vault changes (scope, secret, token, revision), which only reach the text of their scope;
+    ``chunks`` has scope, stream, direction, seq, chunk, is_last. A change counts from the micro-batch on in which it
+    arrives. Result: (scope, stream as one text, direction, seq, piece, synthetic).
+    """
+    use_rocksdb(chunks.sparkSession)
+    none = F.lit(None)
+    pieces = chunks.select(
+        *scope, none.cast("string").alias("secret"), none.cast("string").alias("token"), none.cast("long").alias("revision"),
+        F.concat_ws(":", *stream).alias("stream"), F.col(direction).alias("direction"), F.col("seq").cast("long").alias("seq"), "chunk", "is_last")
+    rules = changes.where("secret <> ''").select(
+        *scope, "secret", "token", F.col("revision").cast("long").alias("revision"), none.cast("string").alias("stream"),
+        none.cast("string").alias("direction"), none.cast("long").alias("seq"), none.cast("string").alias("chunk"), F.lit(False).alias("is_last"))
+    schema = T.StructType([*[pieces.schema[k] for k in scope], *T._parse_datatype_string(
+        "stream string, direction string, seq long, piece string, synthetic boolean").fields])
+    return pieces.unionByName(rules).groupBy(*scope).transformWithState(RuleFollowing(schema.names), schema, "Append", "None")
 
 
 def token_pieces(chunks: DataFrame, keys: list[str], idle_ms: int | None = None) -> DataFrame:
     """Pieces in which no token is torn, for a restore by join with a vault of any size."""
-    return _run(_fields(chunks, keys, _single(chunks)), keys, FieldStream(keys, {None: TokenHold()}, idle_ms=idle_ms))
+    return _run(_fields(chunks, keys, _single(chunks)), keys, Fields({None: TokenHold()}), PIECES, idle_ms)
 
 
 def sse_pieces(lines: DataFrame, keys: list[str], provider: str | Column, idle_ms: int | None = None) -> DataFrame:
     """The same per text field of server-sent events; what is left at the end comes as synthetic rows."""
     provider = F.lit(provider) if isinstance(provider, str) else provider
     fields = sse_text_fields(sse_data(F.col("line"))["json"], provider)
-    return _run(_fields(lines, keys, fields), keys, FieldStream(keys, {None: TokenHold()}, idle_ms=idle_ms))
+    return _run(_fields(lines, keys, fields), keys, Fields({None: TokenHold()}), PIECES, idle_ms)
+
+
+REWRITTEN = "seq long, sub int, parts array<string>, pieces array<string>, synthetic boolean"
+
+
+def sse_rewrite(lines: DataFrame, keys: list[str], provider: str, idle_ms: int | None = None) -> DataFrame:
+    """Event lines of every stream, in order, their text fields cut where no token is torn (see ``Rewritten``); with the sink
+    ``rewrite_to`` they are lines again, restored by join with a vault of any size."""
+    return _run(lines.select(*keys, "seq", "line", "is_last"), keys, Rewritten(TokenHold(), provider), REWRITTEN, idle_ms)
+
+
+def sse_replace(lines: DataFrame, keys: list[str], provider: str, pairs: list[tuple[str, str]], idle_ms: int | None = None) -> DataFrame:
+    """Event lines with a bounded rule list replaced in their text fields, also over event borders: (keys, seq, sub, line, synthetic)."""
+    cut = _run(lines.select(*keys, "seq", "line", "is_last"), keys, Rewritten(_dictionary(lines.sparkSession, pairs), provider), REWRITTEN, idle_ms)
+    pieces = F.transform("pieces", lambda p: json_text(p))
+    line = F.array_join(F.zip_with("parts", pieces, lambda part, piece: F.concat(part, F.coalesce(piece, F.lit("")))), "")
+    return cut.select(*keys, "seq", "sub", line.alias("line"), "synthetic")
+
+
+def json_text(text: Column) -> Column:
+    """A text as a JSON string, in quotes."""
+    whole = F.to_json(F.struct(text.alias("v")))
+    return F.when(text.isNotNull(), F.substring(whole, F.lit(6), F.length(whole) - 6))
+
+
+def rewrite_to(vault: DataFrame, keys: list[str], path: str) -> Callable[[DataFrame, int], None]:
+    """Sink of ``sse_rewrite``: pieces are joined with the vault and put back between the parts of their line; one folder of
+    (keys, seq, sub, line, synthetic) per micro-batch. In order of seq and sub the lines can be replayed."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        place = [*keys, "seq", "sub", "synthetic"]
+        cells = batch.select(*place, F.posexplode(F.arrays_zip("parts", "pieces")).alias("at", "c")).select(
+            *place, "at", "c.parts", "c.pieces")
+        whole = restore(cells, vault, [*place, "at"], "pieces", "restored")
+        text = F.concat("parts", F.coalesce(json_text(F.col("restored")), F.lit("")))
+        lines = whole.groupBy(*place).agg(F.sort_array(F.collect_list(F.struct("at", text.alias("t")))).alias("cells"))
+        lines.select(*place, F.array_join(F.transform("cells", lambda c: c["t"]), "").alias("line")).write.mode("overwrite").parquet(
+            f"{path}/batch_id={batch_id}")
+        batch.unpersist()
+
+    return handle
+
+
+EVENTS = ("phase int, seq long, sub long, part int, type string, output_index int, item_id string, text string, name string, "
+          "call_id string, segment long, response string")
+
+
+def response_event_stream(lines: DataFrame, keys: list[str], rows: int = SEGMENT_ROWS, model: str | None = None,
+                          created_at: int | None = None, idle_ms: int | None = None) -> DataFrame:
+    """``response_events`` as a stream: the same rows, as soon as their line has come."""
+    numbered = lines.select(*keys, "seq", "line", "is_last")
+    return _run(numbered, keys, Reshaped(rows, model, created_at), EVENTS, idle_ms)
+
+
+def ansi_pieces(chunks: DataFrame, keys: list[str], idle_ms: int | None = None) -> DataFrame:
+    """Terminal output in pieces in which no visible token and no escape is torn, for ``restore_ansi_to``."""
+    return _run(chunks.select(*keys, "seq", "chunk", "is_last"), keys, Terminal(),
+                "seq long, sub int, piece string, raw boolean, synthetic boolean", idle_ms)
+
+
+def restore_ansi_to(vault: DataFrame, keys: list[str], path: str) -> Callable[[DataFrame, int], None]:
+    """Sink of ``ansi_pieces``: tokens of the visible text are restored by join, raw pieces stay."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        place = [*keys, "seq", "sub"]
+        restored = restore_ansi(batch.where("NOT raw"), vault, place, "piece", "restored")
+        out = restored.unionByName(batch.where("raw").withColumn("restored", F.col("piece")))
+        out.select(*place, "restored", "synthetic").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.unpersist()
+
+    return handle
 
 
 def start_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True):
@@ -100,6 +220,31 @@ def window_stream(turns: DataFrame, session: list[str], order: str, text: str, w
         RollingWindow(session, order, text, window), schema, "Append", "None")
 
 
+def ordered_window_stream(
+    turns: DataFrame, session: list[str], order: str, text: str, patience: int = 1000, window: int = DETECTION_WINDOW, idle_ms: int | None = None,
+) -> DataFrame:
+    """The rolling detection text of every session, its turns (numbered from 0 in ``order``) in order over any number of
+    micro-batches: (session, seq, text, window_text, late).
+
+    A turn that is missing holds up to ``patience`` later ones back; then its place is given up, and if it still comes it is
+    ``late``, without a window, for a side table (see ``apart``).
+    """
+    rows = turns.select(*session, F.col(order).cast("long").alias("seq"), F.col(text).alias("text"), F.lit(False).alias("is_last"))
+    return _run(rows, session, Windows(window), "seq long, text string, window_text string, late boolean", idle_ms, patience)
+
+
+def apart(path: str, late_path: str) -> Callable[[DataFrame, int], None]:
+    """Sink that writes late rows beside the others, one folder per micro-batch in either place."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        batch.where("NOT late").drop("late").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.where("late").drop("late").write.mode("overwrite").parquet(f"{late_path}/batch_id={batch_id}")
+        batch.unpersist()
+
+    return handle
+
+
 KNOWN = "secret string, token string, type string, first_order long"
 
 

@@ -1,22 +1,27 @@
-"""Stateful processors for chunk streams. State per stream is bounded: unfinished tails, and chunks that came early."""
+"""Stateful processors for streams of pieces.
+
+``OrderedStream`` brings the rows of a stream into ``seq`` order, whatever micro-batch they come in, and hands them one by one to
+a handler, whose own state is a small JSON text. A stream has one state value, read and written once per micro-batch; only
+rows that came early take an entry each.
+"""
 
 from __future__ import annotations
 
 import json
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from veilframe.config import DETECTION_WINDOW
 from veilframe.functions import rules
-from veilframe.operators.chunks import UNFINISHED
-
+from veilframe.streaming.cutters import Dictionary
 
 CLOSED_MS = 24 * 60 * 60 * 1000
+WAITING = 4096  # early rows of a stream held in memory while a micro-batch runs; others go to the state store
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -25,169 +30,259 @@ def use_rocksdb(spark: SparkSession) -> None:
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-class TokenHold:
-    """Cuts text where no token can be torn; knows the grammar only, so it works with a vault of any size."""
-
-    def __init__(self) -> None:
-        self.unfinished = re.compile(UNFINISHED.replace(r"\z", r"\Z"))
+class Handler:
+    """What is done with the rows of a stream, in order. ``fields`` are the input columns it reads besides ``seq`` and
+    ``is_last``; they must be texts, numbers or arrays of them. ``state`` is JSON."""
 
-    def cut(self, text: str) -> tuple[str, str]:
-        hit = self.unfinished.search(text, max(0, len(text) - 4096))
-        at = hit.start() if hit else len(text)
-        return text[:at], text[at:]
-
-    def last(self, text: str) -> str:
-        return text
+    fields: list[str] = []
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        """Open state of its own, for what grows with the stream."""
 
-class DictionaryReplace:
-    """Replaces the sources of a bounded rule list; keeps back a suffix that may become one."""
+    def open(self, key: tuple) -> Any:
+        return {}
 
-    def __init__(self, pairs: list[tuple[str, str]]) -> None:
-        self.targets = {s: t for s, t in pairs if s}
-        longest_first = sorted(self.targets, key=lambda s: (-len(s), s))
-        self.regex = re.compile("|".join(map(re.escape, longest_first))) if longest_first else None
-        self.sources = sorted(self.targets)
-        self.longest = len(longest_first[0]) if longest_first else 0
+    def take(self, key: tuple, state: Any, seq: int, row: list) -> Iterable[tuple]:
+        raise NotImplementedError
 
-    def _begins_a_source(self, suffix: str) -> bool:
-        i = bisect_left(self.sources, suffix)
-        while i < len(self.sources) and self.sources[i] == suffix:
-            i += 1
-        return i < len(self.sources) and self.sources[i].startswith(suffix)
+    def end(self, key: tuple, state: Any, seq: int) -> Iterable[tuple]:
+        """What is left when the stream ends; ``seq`` is that of its last row."""
+        return ()
 
-    def _replaced(self, text: str) -> str:
-        return self.regex.sub(lambda m: self.targets[m.group()], text) if self.regex else text
+    def late(self, key: tuple, state: Any, seq: int, row: list) -> Iterable[tuple]:
+        """A row that came after its place had been given up."""
+        return ()
 
-    def cut(self, text: str) -> tuple[str, str]:
-        if self.regex is None:
-            return text, ""
-        limit = len(text)
-        for n in range(min(len(text), self.longest - 1), 0, -1):
-            if self._begins_a_source(text[-n:]):
-                limit = len(text) - n
-                break
-        for m in self.regex.finditer(text):
-            if m.start() < limit < m.end():
-                limit = m.start()
-        return self._replaced(text[:limit]), text[limit:]
+    def keep(self, state: Any) -> None:
+        """Called once before ``state`` is stored, at the end of a micro-batch."""
 
-    def last(self, text: str) -> str:
-        return self._replaced(text)
+    def clear(self) -> None:
+        """Empty state of its own."""
 
 
-class FieldStream(StatefulProcessor):
-    """Runs every text field of a stream through a cutter, chunk by chunk, in ``seq`` order.
+class OrderedStream(StatefulProcessor):
+    """Rows of a stream in ``seq`` order (0, 1, 2 …), through a handler; output rows are the key columns and the handler's.
 
-    Input rows: key columns, ``seq`` (0, 1, 2 …), ``field_keys``, ``field_values``, ``is_last``. Output rows: key columns,
-    ``seq``, ``field_key``, ``piece``, ``synthetic``. What is left at the end of a stream comes as synthetic rows.
-    ``pick`` chooses the cutter by the stream's key, e.g. by direction. A stream that hears nothing for ``idle_ms`` is
-    closed: a chunk that never comes does not hold others for ever. A closed stream is remembered, so that
-    what is delivered again, or too late, is not taken for a new stream: for ``closed_ms`` where time is kept (``idle_ms``
-    given), else for as long as the query runs, which is meant for finite inputs.
+    A row of a number already taken is a repeated delivery and is dropped. A missing row holds later ones back: without end,
+    or until more than ``patience`` rows wait for it at the end of a micro-batch. Then its place is given up, and if it still comes it goes to the
+    handler as late. A stream that hears nothing for ``idle_ms`` is closed: what waits is taken in order, then what is left
+    comes out. A closed stream is remembered, so that what is delivered again, or too late, is not taken for a new stream:
+    for ``closed_ms`` where time is kept (``idle_ms`` given), else for as long as the query runs, which is meant for finite
+    inputs.
     """
 
-    def __init__(self, key_names: list[str], cutters: dict, pick: int | None = None, idle_ms: int | None = None,
+    def __init__(self, names: list[str], handler: Handler, idle_ms: int | None = None, patience: int | None = None,
                  closed_ms: int = CLOSED_MS) -> None:
-        self.key_names, self.cutters, self.pick, self.idle_ms, self.closed_ms = key_names, cutters, pick, idle_ms, closed_ms
+        self.names, self.handler = names, handler
+        self.idle_ms, self.patience, self.closed_ms = idle_ms, patience, closed_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # How many entries the two maps hold is kept here, so that they are asked only when there is something in them.
-        self.position = handle.getValueState("position", "next_seq long, timer long, n_early long, n_tails long")
+        # ``gaps`` are places given up: [from, to) pairs in JSON.
+        self.stream = handle.getValueState("stream", "next_seq long, timer long, n_early long, gaps string, body string, closed boolean")
         self.early = handle.getMapState("early", "seq long", "fields string, is_last boolean")
-        self.tails = handle.getMapState("tails", "field_key string", "tail string")
-        self.closed = handle.getValueState("closed", "seq long", self.closed_ms if self.idle_ms is not None else None)
+        self.ended = handle.getValueState("ended", "seq long", self.closed_ms) if self.idle_ms is not None else None
+        self.handler.init(handle)
 
-    def _load(self, key):
-        cutter = self.cutters[key[self.pick] if self.pick is not None else None]
-        expected, timer, n_early, n_tails = self.position.get() if self.position.exists() else (0, 0, 0, 0)
-        tails = {k[0]: v[0] for k, v in self.tails.iterator()} if n_tails else {}
-        return cutter, int(expected), int(timer), int(n_early), tails
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self.closed.exists():
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = self.stream.exists()
+        expected, timer, n_early, gaps, body, closed = self.stream.get() if known else (0, 0, 0, "[]", None, False)
+        if closed or self.ended is not None and not known and self.ended.exists():
             for _ in rows:
                 pass
             return
-        cutter, expected, timer, n_early, tails = self._load(key)
-        stored, known = set(tails), expected > 0 or n_early > 0
-        out: list[tuple] = []
-        ended = False
-        for batch in rows:
-            for seq, keys, values, is_last in sorted(zip(
-                    batch["seq"], batch["field_keys"], batch["field_values"], batch["is_last"]), key=lambda r: r[0]):
-                seq = int(seq)
-                if seq > expected:
-                    if not self.early.containsKey((seq,)):
-                        self.early.updateValue((seq,), (json.dumps([list(keys), list(values)]), bool(is_last)))
-                        n_early += 1
-                    continue
-                if seq < expected:
-                    continue  # a repeated delivery
-                ended |= self._take(cutter, tails, out, seq, keys, values, bool(is_last))
-                expected += 1
-                while n_early and self.early.containsKey((expected,)):
-                    fields, last = self.early.getValue((expected,))
+        state = json.loads(body) if known else self.handler.open(key)
+        gaps = json.loads(gaps)
+        waiting: dict[int, tuple[list, bool]] = {}
+        done = False
+
+        def run(values: tuple[list, bool] | None) -> Iterator[Row]:
+            """Take ``values`` as the row expected, then those that wait behind it."""
+            nonlocal expected, n_early, done
+            while not done:
+                if values is None:
+                    values = waiting.pop(expected, None)
+                if values is None and n_early and self.early.containsKey((expected,)):
+                    text, last = self.early.getValue((expected,))
                     self.early.removeKey((expected,))
                     n_early -= 1
-                    keys, values = json.loads(fields)
-                    ended |= self._take(cutter, tails, out, expected, keys, values, bool(last))
-                    expected += 1
-            if out:
-                yield self._frame(key, out)
-                out = []
-        if ended:
-            if known and timer:
+                    values = json.loads(text), last
+                if values is None:
+                    return
+                yield from self._out(key, self.handler.take(key, state, expected, values[0]))
+                expected, done, values = expected + 1, values[1], None
+
+        for row in rows:
+            seq = int(row["seq"])
+            if done:
+                continue
+            values = [row[f] for f in self.handler.fields], bool(row["is_last"])
+            if seq == expected:
+                yield from run(values)
+            elif seq > expected:
+                if seq not in waiting and not (n_early and self.early.containsKey((seq,))):
+                    if len(waiting) < WAITING:
+                        waiting[seq] = values
+                    else:
+                        self.early.updateValue((seq,), (json.dumps(values[0]), values[1]))
+                        n_early += 1
+            elif hole := next((g for g in gaps if g[0] <= seq < g[1]), None):  # given up before: no longer missing, but late
+                gaps.remove(hole)
+                gaps += [g for g in ([hole[0], seq], [seq + 1, hole[1]]) if g[0] < g[1]]
+                yield from self._out(key, self.handler.late(key, state, seq, values[0]))
+        while self.patience is not None and not done and len(waiting) + n_early > self.patience:
+            first = min([*waiting, *(int(k[0]) for k in self.early.keys())] if n_early else waiting)
+            gaps.append([expected, first])
+            expected = first
+            yield from run(None)
+        if done:
+            if timer:
                 self.handle.deleteTimer(timer)
-            yield from self._close(key, cutter, tails, expected, known or n_early > 0, n_early > 0, bool(stored))
+            yield from self._close(key, state, expected, n_early)
             return
-        held = {k: v for k, v in tails.items() if v}
-        for k in stored - set(held):
-            self.tails.removeKey((k,))
-        for k, v in held.items():
-            self.tails.updateValue((k,), (v,))
+        for seq, values in waiting.items():
+            self.early.updateValue((seq,), (json.dumps(values[0]), values[1]))
         if self.idle_ms is not None:
             if timer:
                 self.handle.deleteTimer(timer)
             timer = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
             self.handle.registerTimer(timer)
-        self.position.update((expected, timer, n_early, len(held)))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """An idle stream is closed: what waited for a missing chunk is taken in order, then the rest comes out."""
-        cutter, expected, _, n_early, tails = self._load(key)
-        stored = bool(tails)
-        out: list[tuple] = []
-        waiting = sorted((int(k[0]), v[0], v[1]) for k, v in self.early.iterator()) if n_early else []
-        for seq, fields, last in waiting:
-            keys, values = json.loads(fields)
-            self._take(cutter, tails, out, seq, keys, values, bool(last))
+        self.handler.keep(state)
+        self.stream.update((expected, timer, n_early + len(waiting), json.dumps(gaps), json.dumps(state), False))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        expected, _, n_early, _, body, _ = self.stream.get()
+        state = json.loads(body)
+        waiting = sorted((int(k[0]), v[0]) for k, v in self.early.iterator()) if n_early else []
+        for seq, text in waiting:
+            yield from self._out(key, self.handler.take(key, state, seq, json.loads(text)))
             expected = seq + 1
-        if out:
-            yield self._frame(key, out)
-        yield from self._close(key, cutter, tails, expected, True, n_early > 0, stored)
-
-    def _take(self, cutter, tails, out, seq, keys, values, is_last) -> bool:
-        for k, v in zip(keys, values):
-            piece, tails[k] = cutter.cut(tails.get(k, "") + (v or ""))
-            out.append((seq, k, piece, False))
-        return is_last
-
-    def _close(self, key, cutter, tails, expected, has_position, has_early, has_tails) -> Iterator[pd.DataFrame]:
-        rest = [(expected - 1, k, cutter.last(v), True) for k, v in tails.items() if v]
-        for present, state in ((has_position, self.position), (has_early, self.early), (has_tails, self.tails)):
-            if present:
-                state.clear()
-        self.closed.update((expected,))
-        if rest:
-            yield self._frame(key, rest)
-
-    def _frame(self, key, rows) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=["seq", "field_key", "piece", "synthetic"])
-        for name, value in reversed(list(zip(self.key_names, key))):
-            frame.insert(0, name, value)
-        return frame
+        yield from self._close(key, state, expected, n_early)
+
+    def _out(self, key: tuple, rows: Iterable[tuple]) -> Iterator[Row]:
+        made = Row(*self.names)
+        for row in rows:
+            yield made(*key, *row)
+
+    def _close(self, key, state, expected: int, n_early: int) -> Iterator[Row]:
+        yield from self._out(key, self.handler.end(key, state, expected - 1))
+        if n_early:
+            self.early.clear()
+        self.handler.clear()
+        if self.ended is not None:
+            self.ended.update((expected,))
+            self.stream.clear()
+        else:
+            self.stream.update((expected, 0, 0, "[]", "{}", True))
+
+    def close(self) -> None:
+        pass
+
+
+class Fields(Handler):
+    """Every text field of a stream through a cutter: (seq, field_key, piece, synthetic). What is left at the end comes as
+    synthetic rows. ``pick`` chooses the cutter by the stream's key, e.g. by direction."""
+
+    fields = ["field_keys", "field_values"]
+
+    def __init__(self, cutters: dict, pick: int | None = None) -> None:
+        self.cutters, self.pick = cutters, pick
+
+    def _cutter(self, key: tuple):
+        return self.cutters[key[self.pick] if self.pick is not None else None]
+
+    def take(self, key, state, seq, row):
+        cutter = self._cutter(key)
+        for name, value in zip(*row):
+            piece, held = cutter.cut(state.pop(name, ""), value or "")
+            if held:
+                state[name] = held
+            yield seq, name, piece, False
+
+    def end(self, key, state, seq):
+        cutter = self._cutter(key)
+        for name, held in state.items():
+            yield seq, name, cutter.last(held), True
+
+
+class RuleFollowing(StatefulProcessor):
+    """Streams of a scope (a session), replaced by rules that arrive while they run.
+
+    Input rows are rules (``secret``, ``token``, ``revision``) or pieces (``stream``, ``direction``, ``seq``, ``chunk``,
+    ``is_last``) of the key's scope. What a micro-batch brings as rules holds for its pieces and all later ones, also for text
+    that was held back. A secret or token given again is taken as its latest revision says; a rule without token is
+    withdrawn. Text in direction ``in`` is masked, other text restored. Output: (stream, direction, seq, piece, synthetic).
+    """
+
+    def __init__(self, names: list[str]) -> None:
+        self.names = names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rules = handle.getMapState("rules", "secret string", "token string, revision long")
+        self.places = handle.getMapState("places", "stream string, direction string", "next_seq long, held string, n_early long, closed boolean")
+        self.early = handle.getMapState("early", "stream string, direction string, seq long", "chunk string, is_last boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = {k[0]: (v[0], v[1]) for k, v in self.rules.iterator()}
+        changed: dict[str, tuple] = {}
+        waiting: dict[tuple, dict[int, tuple]] = {}
+        held_back, streams, made = 0, {}, Row(*self.names)
+
+        def place(at: tuple) -> list:
+            if at not in streams:
+                streams[at] = list(self.places.getValue(at)) if self.places.containsKey(at) else [0, "", 0, False]
+            return streams[at]
+
+        for row in rows:  # all rules of the batch come before its pieces, so pieces wait until all rows are read
+            if row["secret"] is not None:
+                if row["revision"] >= (changed.get(row["secret"]) or known.get(row["secret"]) or (None, -1))[1]:
+                    changed[row["secret"]] = (row["token"], row["revision"])
+                continue
+            at, seq = (row["stream"], row["direction"]), int(row["seq"])
+            here = place(at)
+            if here[3] or seq < here[0]:
+                continue
+            if held_back < WAITING:
+                held_back += seq not in waiting.setdefault(at, {})
+                waiting[at].setdefault(seq, (row["chunk"], bool(row["is_last"])))
+            elif not self.early.containsKey((*at, seq)):
+                self.early.updateValue((*at, seq), (row["chunk"], bool(row["is_last"])))
+                here[2] += 1
+        known |= changed
+        for secret, rule in changed.items():
+            self.rules.updateValue((secret,), rule)
+        pairs = sorted((s, t) for s, (t, _) in known.items() if t is not None)
+        forward = Dictionary(pairs)
+        back = Dictionary([(t, s) for s, t in reversed(pairs)])  # of secrets that share a token the first in order counts
+        for at, here in streams.items():
+            cutter = forward if at[1] == "in" else back
+            ahead = waiting.get(at, {})
+            while not here[3]:
+                seq = here[0]
+                if seq in ahead:
+                    chunk, last = ahead.pop(seq)
+                    if here[2] and self.early.containsKey((*at, seq)):
+                        self.early.removeKey((*at, seq))
+                        here[2] -= 1
+                elif here[2] and self.early.containsKey((*at, seq)):
+                    chunk, last = self.early.getValue((*at, seq))
+                    self.early.removeKey((*at, seq))
+                    here[2] -= 1
+                else:
+                    break
+                piece, here[1] = cutter.cut(here[1], chunk or "")
+                here[0] += 1
+                yield made(*key, *at, seq, piece, False)
+                if last:
+                    if here[1]:
+                        yield made(*key, *at, seq, cutter.last(here[1]), True)
+                    here[1], here[3] = "", True
+            if not here[3]:
+                for seq, (chunk, last) in ahead.items():
+                    if not self.early.containsKey((*at, seq)):
+                        self.early.updateValue((*at, seq), (chunk, last))
+                        here[2] += 1
+            self.places.updateValue(at, tuple(here))
 
     def close(self) -> None:
         pass
@@ -225,3 +320,23 @@ class RollingWindow(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class Windows(Handler):
+    """The rolling detection text in the order of the turns, over any number of micro-batches: (seq, text, window_text, late).
+    A turn that comes after its place was given up is late: it has no window, and goes to a side table."""
+
+    fields = ["text"]
+
+    def __init__(self, window: int = DETECTION_WINDOW) -> None:
+        self.window = window
+
+    def open(self, key):
+        return [""]
+
+    def take(self, key, state, seq, row):
+        state[0] = without_tokens(state[0] + (row[0] or ""))[-self.window:]
+        yield seq, row[0], state[0], False
+
+    def late(self, key, state, seq, row):
+        yield seq, row[0], None, True
