@@ -21,7 +21,9 @@ from veilframe.functions import rules
 from veilframe.streaming.cutters import Dictionary
 
 CLOSED_MS = 24 * 60 * 60 * 1000
-WAITING = 4096  # early rows of a stream held in memory while a micro-batch runs; others go to the state store
+BLOCK = 1024  # numbers of rows that are stored together while they wait
+BLOCKS = 8  # blocks of a stream held in memory while a micro-batch runs; others go to the state store
+WAITING = 4096  # the same for the streams of a scope, in rows
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -60,6 +62,64 @@ class Handler:
         """Empty state of its own."""
 
 
+class Early:
+    """Rows that wait for one before them, in blocks of neighbouring numbers: a state call per block, not per row."""
+
+    def __init__(self, store, stored: list[int]) -> None:
+        self.store, self.stored = store, set(stored)
+        self.blocks: dict[int, dict[str, list]] = {}
+        self.changed: set[int] = set()
+
+    def _block(self, number: int) -> dict[str, list]:
+        if number not in self.blocks:
+            self.blocks[number] = json.loads(self.store.getValue((number,))[0]) if number in self.stored else {}
+            if len(self.blocks) > BLOCKS:
+                self._write(next(n for n in sorted(self.blocks, reverse=True) if n != number))
+        return self.blocks[number]
+
+    def _write(self, number: int) -> None:
+        rows = self.blocks.pop(number)
+        if number not in self.changed:
+            return
+        self.changed.discard(number)
+        if rows:
+            self.store.updateValue((number,), (json.dumps(rows),))
+            self.stored.add(number)
+        elif number in self.stored:
+            self.store.removeKey((number,))
+            self.stored.discard(number)
+
+    def put(self, seq: int, values: list, last: bool) -> bool:
+        """Whether the row is new."""
+        rows = self._block(seq // BLOCK)
+        if str(seq) in rows:
+            return False
+        rows[str(seq)] = [values, last]
+        self.changed.add(seq // BLOCK)
+        return True
+
+    def pop(self, seq: int) -> list | None:
+        number = seq // BLOCK
+        if number not in self.blocks and number not in self.stored:
+            return None
+        found = self._block(number).pop(str(seq), None)
+        if found:
+            self.changed.add(number)
+        return found
+
+    def first(self) -> int | None:
+        """The least number that waits."""
+        for number in sorted({*self.blocks, *self.stored}):
+            if rows := self._block(number):
+                return min(map(int, rows))
+        return None
+
+    def keep(self) -> list[int]:
+        for number in list(self.blocks):
+            self._write(number)
+        return sorted(self.stored)
+
+
 class OrderedStream(StatefulProcessor):
     """Rows of a stream in ``seq`` order (0, 1, 2 …), through a handler; output rows are the key columns and the handler's.
 
@@ -78,37 +138,33 @@ class OrderedStream(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # ``gaps`` are places given up: [from, to) pairs in JSON.
-        self.stream = handle.getValueState("stream", "next_seq long, timer long, n_early long, gaps string, body string, closed boolean")
-        self.early = handle.getMapState("early", "seq long", "fields string, is_last boolean")
+        # ``n_early`` rows wait in ``blocks`` (their numbers); ``gaps`` are places given up: [from, to) pairs. Both are JSON.
+        self.stream = handle.getValueState(
+            "stream", "next_seq long, timer long, n_early long, blocks string, gaps string, body string, closed boolean")
+        self.early = handle.getMapState("early", "block long", "rows string")
         self.ended = handle.getValueState("ended", "seq long", self.closed_ms) if self.idle_ms is not None else None
         self.handler.init(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         known = self.stream.exists()
-        expected, timer, n_early, gaps, body, closed = self.stream.get() if known else (0, 0, 0, "[]", None, False)
+        expected, timer, n_early, blocks, gaps, body, closed = self.stream.get() if known else (0, 0, 0, "[]", "[]", None, False)
         if closed or self.ended is not None and not known and self.ended.exists():
             for _ in rows:
                 pass
             return
         state = json.loads(body) if known else self.handler.open(key)
         gaps = json.loads(gaps)
-        waiting: dict[int, tuple[list, bool]] = {}
-        done = False
+        early, done = Early(self.early, json.loads(blocks)), False
 
-        def run(values: tuple[list, bool] | None) -> Iterator[Row]:
+        def run(values: list | None) -> Iterator[Row]:
             """Take ``values`` as the row expected, then those that wait behind it."""
             nonlocal expected, n_early, done
             while not done:
                 if values is None:
-                    values = waiting.pop(expected, None)
-                if values is None and n_early and self.early.containsKey((expected,)):
-                    text, last = self.early.getValue((expected,))
-                    self.early.removeKey((expected,))
+                    values = early.pop(expected) if n_early else None
+                    if values is None:
+                        return
                     n_early -= 1
-                    values = json.loads(text), last
-                if values is None:
-                    return
                 yield from self._out(key, self.handler.take(key, state, expected, values[0]))
                 expected, done, values = expected + 1, values[1], None
 
@@ -116,64 +172,58 @@ class OrderedStream(StatefulProcessor):
             seq = int(row["seq"])
             if done:
                 continue
-            values = [row[f] for f in self.handler.fields], bool(row["is_last"])
+            values = [[row[f] for f in self.handler.fields], bool(row["is_last"])]
             if seq == expected:
                 yield from run(values)
             elif seq > expected:
-                if seq not in waiting and not (n_early and self.early.containsKey((seq,))):
-                    if len(waiting) < WAITING:
-                        waiting[seq] = values
-                    else:
-                        self.early.updateValue((seq,), (json.dumps(values[0]), values[1]))
-                        n_early += 1
+                n_early += early.put(seq, *values)
             elif hole := next((g for g in gaps if g[0] <= seq < g[1]), None):  # given up before: no longer missing, but late
                 gaps.remove(hole)
                 gaps += [g for g in ([hole[0], seq], [seq + 1, hole[1]]) if g[0] < g[1]]
                 yield from self._out(key, self.handler.late(key, state, seq, values[0]))
-        while self.patience is not None and not done and len(waiting) + n_early > self.patience:
-            first = min([*waiting, *(int(k[0]) for k in self.early.keys())] if n_early else waiting)
+        while self.patience is not None and not done and n_early > self.patience:
+            first = early.first()
             gaps.append([expected, first])
             expected = first
             yield from run(None)
         if done:
             if timer:
                 self.handle.deleteTimer(timer)
-            yield from self._close(key, state, expected, n_early)
+            yield from self._close(key, state, expected, bool(early.stored))
             return
-        for seq, values in waiting.items():
-            self.early.updateValue((seq,), (json.dumps(values[0]), values[1]))
         if self.idle_ms is not None:
             if timer:
                 self.handle.deleteTimer(timer)
             timer = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
             self.handle.registerTimer(timer)
         self.handler.keep(state)
-        self.stream.update((expected, timer, n_early + len(waiting), json.dumps(gaps), json.dumps(state), False))
+        self.stream.update((expected, timer, n_early, json.dumps(early.keep()), json.dumps(gaps), json.dumps(state), False))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        expected, _, n_early, _, body, _ = self.stream.get()
-        state = json.loads(body)
-        waiting = sorted((int(k[0]), v[0]) for k, v in self.early.iterator()) if n_early else []
-        for seq, text in waiting:
-            yield from self._out(key, self.handler.take(key, state, seq, json.loads(text)))
-            expected = seq + 1
-        yield from self._close(key, state, expected, n_early)
+        expected, _, n_early, blocks, _, body, _ = self.stream.get()
+        state, blocks = json.loads(body), json.loads(blocks)
+        early = Early(self.early, blocks)
+        while n_early:
+            seq = early.first()
+            yield from self._out(key, self.handler.take(key, state, seq, early.pop(seq)[0]))
+            expected, n_early = seq + 1, n_early - 1
+        yield from self._close(key, state, expected, bool(blocks))
 
     def _out(self, key: tuple, rows: Iterable[tuple]) -> Iterator[Row]:
         made = Row(*self.names)
         for row in rows:
             yield made(*key, *row)
 
-    def _close(self, key, state, expected: int, n_early: int) -> Iterator[Row]:
+    def _close(self, key, state, expected: int, waited: bool) -> Iterator[Row]:
         yield from self._out(key, self.handler.end(key, state, expected - 1))
-        if n_early:
+        if waited:
             self.early.clear()
         self.handler.clear()
         if self.ended is not None:
             self.ended.update((expected,))
             self.stream.clear()
         else:
-            self.stream.update((expected, 0, 0, "[]", "{}", True))
+            self.stream.update((expected, 0, 0, "[]", "[]", "{}", True))
 
     def close(self) -> None:
         pass
