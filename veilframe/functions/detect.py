@@ -158,12 +158,11 @@ def entropy_spans(text: Column, threshold: float | None = None) -> Column:
     hexes = entropy_kind_spans(text, *hex_rule, 0, HEX_ENTROPY if threshold is None else threshold)
     runs = entropy_kind_spans(text, *base64_rule, 1, BASE64_ENTROPY if threshold is None else threshold)
 
-    def step(kept: Column, s: Column) -> Column:
-        seen = F.exists(kept, lambda k: (k["start"] == s["start"]) & (k["end"] == s["end"]))
-        return F.when(seen, kept).otherwise(F.concat(kept, F.array(s)))
+    def new(spans: Column) -> Column:  # sorted by place: spans of the same place stand side by side
+        return F.filter(spans, lambda s, i: F.coalesce(
+            (F.get(spans, i - 1)["start"] != s["start"]) | (F.get(spans, i - 1)["end"] != s["end"]), F.lit(True)))
 
-    return let(F.concat(hexes, runs), lambda both: F.when(F.size(both) < 2, both).otherwise(
-        F.aggregate(F.sort_array(both), no_candidates(), step)))
+    return let(F.concat(hexes, runs), lambda both: F.when(F.size(both) < 2, both).otherwise(let(F.sort_array(both), new)))
 
 
 def detect(text: Column, options: DetectOptions = DetectOptions()) -> Column:

@@ -11,7 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilframe.functions.spans import let
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it several times in ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
@@ -34,6 +38,49 @@ def running_max(values: Column) -> Column:
     return running(values, lambda a, b: F.greatest(a, b))
 
 
+PART = 64
+
+
+def taken_in_order(sorted_spans: Column) -> Column:
+    """Of spans (with start and end) sorted by start, each that begins where the last one taken has ended.
+
+    The state is the last end. Places of what is taken are gathered in parts, and parts in parts, so that appending copies little."""
+    none, nested = F.array().cast("array<int>"), F.array().cast("array<array<int>>")
+    zero = F.struct(F.lit(-1).alias("reach"), none.alias("part"), nested.alias("some"), nested.alias("all"))
+
+    def grown(acc: Column, x: Column, i: Column) -> Column:
+        full = F.size(acc["part"]) >= PART
+        much = full & (F.size(acc["some"]) >= PART)
+        return F.struct(
+            x["end"].alias("reach"), F.when(full, F.array(i)).otherwise(F.concat(acc["part"], F.array(i))).alias("part"),
+            F.when(much, F.array(acc["part"])).when(full, F.concat(acc["some"], F.array(acc["part"]))).otherwise(acc["some"]).alias("some"),
+            F.when(much, F.concat(acc["all"], F.array(F.flatten(acc["some"])))).otherwise(acc["all"]).alias("all"))
+
+    def step(acc: Column, i: Column) -> Column:
+        x = F.get(sorted_spans, i)
+        return F.when(x["start"] < acc["reach"], acc).otherwise(grown(acc, x, i))
+
+    places = F.aggregate(F.sequence(F.lit(0), F.size(sorted_spans) - 1), zero, step,
+                         lambda acc: F.concat(F.flatten(acc["all"]), F.flatten(acc["some"]), acc["part"]))
+    return F.when(F.size(sorted_spans) < 2, sorted_spans).otherwise(F.transform(places, lambda i: F.get(sorted_spans, i)))
+
+
+def clear_of(spans: Column, taken: Column, kind: str) -> Column:
+    """The spans that overlap none of ``taken`` (which do not overlap each other), sorted. In order of the spans' ends and the
+    taken ones' starts, the furthest end so far says whether a span is met."""
+    event = f"array<struct<at:int,turn:int,reach:int,item:{kind}>>"
+    events = F.array_sort(F.concat(
+        F.transform(spans, lambda s: F.struct(s["end"], F.lit(0), F.lit(None).cast("int"), s)).cast(event),
+        F.transform(taken, lambda t: F.struct(t["start"], F.lit(1), t["end"], F.lit(None).cast(kind))).cast(event)))
+
+    def keep(rows: Column) -> Column:
+        met = F.zip_with(rows, running_max(F.transform(rows, lambda r: r["reach"])), lambda r, reach: F.when(
+            F.coalesce(reach <= r["item"]["start"], F.lit(True)), r["item"]))
+        return F.sort_array(F.filter(met, lambda item: item.isNotNull()))
+
+    return let(events, keep)
+
+
 MARK, PLAIN = "\u0001", "\u0002"
 
 

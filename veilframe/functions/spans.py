@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilframe.functions.scans import clear_of, let, running_sums, taken_in_order
+
 # Field order is the sort order: stage, then position, then rule order.
 CANDIDATE = (
     "struct<stage:int,start:int,end:int,ord:int,value:string,type:string,confidence:string,"
@@ -19,11 +21,6 @@ def no_candidates() -> Column:
     return F.array().cast(NO_CANDIDATES)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once per row and use it several times in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 MARK = "\u0001"
 
 
@@ -37,38 +34,28 @@ def gaps_between(text: Column, rx: Column) -> Column:
 def located_matches(text: Column, regex: Column | str, groups: int) -> Column:
     """All non-overlapping matches, left to right: array of (at, full, g1..gN).
 
-    The gaps between matches plus the matches themselves give every position in one fold. A zero-width match at the
-    very start may have no gap of its own; it is then left out. Texts without a match cost one scan.
+    Running sums over the lengths of gaps and matches give every position. A zero-width match at the very start may have
+    no gap of its own; it is then left out. Texts without a match cost one scan.
     """
     rx = F.lit(regex) if isinstance(regex, str) else regex
     names = [f"g{i}" for i in range(1, groups + 1)]
     hit_type = "struct<at:int,full:string" + "".join(f",{n}:string" for n in names) + ">"
     none = F.array().cast(f"array<{hit_type}>")
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["pos"] + F.length(x["gap"])
-        hit = F.struct(at.alias("at"), x["full"].alias("full"), *[x[n].alias(n) for n in names])
-        return F.struct(
-            (at + F.coalesce(F.length(x["full"]), F.lit(0))).alias("pos"),
-            F.when(x["full"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(hit))).alias("out"),
-        )
-
-    def fold(m: Column) -> Column:
+    def place(m: Column) -> Column:
         n = F.size(m["full"])
         skip = n + 1 - F.size(m["gap"])
-        zipped = F.arrays_zip(
-            m["gap"].alias("gap"),
-            *[F.slice(m[c], skip + 1, n).alias(c) for c in ("full", *names)],
-        ).cast("array<struct<gap:string,full:string" + "".join(f",{c}:string" for c in names) + ">>")
-        start = F.struct(F.lit(0).alias("pos"), none.alias("out"))
-        return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+        widths = F.transform(F.sequence(F.lit(0), n - 1 - skip), lambda i: F.length(F.get(m["gap"], i)) + F.length(F.get(m["full"], i + skip)))
+        return F.when(skip == n, none).otherwise(let(running_sums(widths), lambda ends: F.transform(ends, lambda end, i: F.struct(
+            (end - F.length(F.get(m["full"], i + skip))).alias("at"), F.get(m["full"], i + skip).alias("full"),
+            *[F.get(m[c], i + skip).alias(c) for c in names]))))
 
     def locate(fulls: Column) -> Column:
         parts = F.struct(
             gaps_between(text, rx).alias("gap"), fulls.alias("full"),
             *[F.regexp_extract_all(text, rx, F.lit(i + 1)).alias(n) for i, n in enumerate(names)],
         )
-        return F.when(F.size(fulls) == 0, none).otherwise(let(parts, fold))
+        return F.when(F.size(fulls) == 0, none).otherwise(let(parts, place))
 
     return let(F.regexp_extract_all(text, rx, F.lit(0)), locate)
 
@@ -89,14 +76,32 @@ def merge(parts: Iterable[Column]) -> Column:
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
+FEW = 48
+STAGES = 4
+
+
 def resolve_overlaps(candidates: Column) -> Column:
-    """Take spans in (stage, start, end, rule) order; drop one that overlaps a span already taken; sort by position."""
+    """Take spans in (stage, start, end, rule) order; drop one that overlaps a span already taken; sort by position.
+
+    Few candidates are compared with each other. Many are taken stage by stage: what is clear of the stages before is swept
+    in order of start, with the last end as the only state. Stages beyond ``STAGES`` are compared as few are.
+    """
     def step(taken: Column, x: Column) -> Column:
         clash = F.exists(taken, lambda t: (t["start"] < x["end"]) & (x["start"] < t["end"]))
         return F.when(clash, taken).otherwise(F.concat(taken, F.array(x)))
 
+    def sweep(ordered: Column, stage: int, taken: Column) -> Column:
+        own = F.filter(ordered, lambda c: c["stage"] == stage)
+        free = own if stage == 0 else F.when((F.size(own) == 0) | (F.size(taken) == 0), own).otherwise(clear_of(own, taken, CANDIDATE))
+        more = F.concat(taken, let(free, taken_in_order))
+        return more if stage == STAGES - 1 else let(more, lambda now: sweep(ordered, stage + 1, now))
+
+    def take(ordered: Column) -> Column:
+        few = (F.size(ordered) <= FEW) | F.exists(ordered, lambda c: ~c["stage"].between(0, STAGES - 1))
+        return F.when(few, F.aggregate(ordered, no_candidates(), step)).otherwise(sweep(ordered, 0, no_candidates()))
+
     def settle(found: Column) -> Column:
-        taken = F.aggregate(F.sort_array(found), no_candidates(), step)
+        taken = let(F.sort_array(found), take)
         return as_findings(F.sort_array(F.transform(taken, lambda t: F.struct(
             t["start"].alias("start"), t["end"].alias("end"), t["stage"].alias("stage"), t["ord"].alias("ord"),
             t["value"].alias("value"), t["type"].alias("type"), t["confidence"].alias("confidence"),
