@@ -1,16 +1,23 @@
 """Near-duplicate embeddings by iterative quantisation and multi-index Hamming tables.
 
-Equal vectors of a label are one class. A rotation of the principal directions is learned that puts unit vectors near
-the corners of a cube (iterative quantisation); the signs are a binary code. The code is cut into ``TABLES`` parts, and
+Equal vectors of a label are one class. Rotations of the principal directions are learned that put unit vectors near
+the corners of a cube (iterative quantisation); the signs are a binary code. The code is cut into parts, one table each, and
 each class enters a table of its label under its part and under every part one bit away, so that any two codes that differ
 in at most two bits of some part meet. Classes that meet are compared with their original vectors in double precision, each
 pair in one bucket only: the first that the two share. Small buckets give pairs; large ones are cut into chunks whose
 pairs are multiplied as matrices and give counts and a spanning forest, not pairs.
+
+How many parts of what width is chosen per vector length from the sample: pairs are made whose cosine is the threshold itself
+(a sampled vector, turned into a random direction, or towards another sampled vector), and of the layouts whose parts bring at
+least ``RECALL`` of either kind together the one of least expected work is taken. Where vectors share a strong common
+direction, signs tell less, and parts become narrower and more; where labels are large, wider. Pairs of small buckets are
+dropped before the rerank only if their codes differ in more bits than any of the made pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,21 +28,24 @@ from veilframe.llm.common import U64, lean, random_words
 from veilframe.llm.graph import components, each_group
 from veilframe.session import cut_lineage
 
-BITS = 64
-TABLES = 4
+BITS = 64  # of one rotation
+#: Width and number of parts.
+LAYOUTS = ((24, 8), (20, 5), (20, 8), (16, 4), (16, 8), (13, 8), (12, 10), (10, 8), (10, 12), (9, 14), (8, 12), (8, 16), (6, 20))
+RECALL = 0.98
+BORDER = 2000  # pairs made of either kind
 SAMPLE = 20_000
 SMALL = 64
 CHUNK = 512
 
 
-def learn_rotation(sample: np.ndarray, bits: int, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+def learn_rotation(sample: np.ndarray, bits: int, rounds: int = 50, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """The mean, and the directions x bits matrix whose signs are the code."""
     mean = sample.mean(axis=0)
     centered = sample - mean
     _, vectors = np.linalg.eigh(centered.T @ centered)
     directions = vectors[:, ::-1][:, :bits]
     projected = centered @ directions
-    noise = random_words(3, bits * bits).astype(np.float64).reshape(bits, bits) / 2.0 ** 63 - 1
+    noise = random_words(seed, bits * bits).astype(np.float64).reshape(bits, bits) / 2.0 ** 63 - 1
     rotation, _ = np.linalg.qr(noise)
     for _ in range(rounds):
         corners = np.where(projected @ rotation >= 0, 1.0, -1.0)
@@ -48,45 +58,120 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
 
 
-def _models(classes: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """A rotation per vector length, from at most about ``SAMPLE`` classes of it, chosen by a hash (fewer when vectors are
+def _signs(units: np.ndarray, mean: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    return (units - mean) @ matrix >= 0
+
+
+def _parts(signs: np.ndarray, width: int, tables: int) -> np.ndarray:
+    """The parts of each code as integers: rows x tables."""
+    return (signs[:, :width * tables].reshape(-1, tables, width).astype(np.int64) << np.arange(width)).sum(axis=2)
+
+
+def _border_pairs(sample: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit vectors whose cosine is the threshold, turned at random and towards other vectors of the sample."""
+    n, dim = min(BORDER, len(sample)), sample.shape[1]
+    here = sample[:n]
+    noise = random_words(5, n * dim).astype(np.float64).reshape(n, dim) / 2.0 ** 63 - 1
+    found = []
+    for direction in (noise, sample[(np.arange(n) * 7919 + len(sample) // 2) % len(sample)]):
+        away = direction - (direction * here).sum(axis=1, keepdims=True) * here
+        size = np.linalg.norm(away, axis=1)
+        some = size > 1e-9
+        turned = threshold * here[some] + np.sqrt(max(0.0, 1 - threshold * threshold)) * away[some] / size[some, None]
+        found.append((here[some], turned))
+    return found
+
+
+@dataclass(frozen=True)
+class Coder:
+    """How vectors of one length are coded: signs in a rotation, cut into parts; ``radius`` bits at most differ in a pair."""
+
+    mean: np.ndarray
+    matrix: np.ndarray
+    width: int
+    tables: int
+    radius: int
+    recall: float
+
+    def parts(self, units: np.ndarray) -> np.ndarray:
+        return _parts(_signs(units, self.mean, self.matrix), self.width, self.tables)
+
+
+def _meet(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (np.bitwise_count(x ^ y) <= 2).any(axis=1)
+
+
+def choose_coder(sample: np.ndarray, threshold: float, n: float, pairs: float) -> Coder:
+    """The rotations and the layout for a sample of unit vectors; ``n`` is the number of vectors they stand for, ``pairs`` that
+    of their pairs within labels. At least one of the layouts is taken, the one of best recall if none reaches ``RECALL``."""
+    dim = sample.shape[1]
+    own = min(BITS, dim)
+    most = max(w * t for w, t in LAYOUTS)
+    parts = [learn_rotation(sample, own, seed=3 + 11 * i) for i in range(-(-most // own))] if len(sample) > 1 else [(np.zeros(dim), np.eye(dim)[:, :own])]
+    mean, matrix = parts[0][0], np.concatenate([m for _, m in parts], axis=1)
+    matrix = np.concatenate([matrix] * -(-most // matrix.shape[1]), axis=1)
+    border = [(_signs(a, mean, matrix), _signs(b, mean, matrix)) for a, b in _border_pairs(sample, threshold)]
+    signs = _signs(sample, mean, matrix)
+    other = signs[(np.arange(len(signs)) * 104729 + 1) % max(len(signs), 1)]
+    best = None
+    for width, tables in LAYOUTS:
+        used = width * tables
+        recall = min([float(_meet(_parts(a, width, tables), _parts(b, width, tables)).mean()) for a, b in border if len(a)], default=1.0)
+        chance = (np.bitwise_count(_parts(signs, width, tables) ^ _parts(other, width, tables)) <= 2).mean() * tables if len(signs) else 0.0
+        work = n * tables * (width + 1) + pairs * (chance + 1e-9) * (1 + dim / 64)
+        radius = max([int((a[:, :used] != b[:, :used]).sum(axis=1).max()) for a, b in border if len(a)], default=used) + 2
+        rank = (recall >= RECALL, -work if recall >= RECALL else recall)
+        if best is None or rank > best[0]:
+            best = rank, Coder(mean, matrix[:, :used], width, tables, min(radius, used), recall)
+    return best[1]
+
+
+def _models(classes: DataFrame, threshold: float) -> dict[int, Coder]:
+    """A coder per vector length, from at most about ``SAMPLE`` classes of it, chosen by a hash (fewer when vectors are
     long: the sample of a length stays below 64 MB)."""
     models = {}
-    for row in classes.groupBy("dim").agg(F.count("*").alias("n")).collect():
+    sizes = classes.groupBy("dim", "label").agg(F.count("*").cast("double").alias("n")).groupBy("dim").agg(
+        F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("n")) / 2).alias("pairs"))
+    for row in sizes.collect():
         dim, share = row["dim"], min(SAMPLE, (8 << 20) // row["dim"] + 1) / row["n"]
-        picked = classes.where((F.col("dim") == dim) & (F.pmod("h1", F.lit(1 << 30)) < share * (1 << 30))).select("unit").collect()
+        picked = classes.where((F.col("dim") == dim) & (F.pmod("h1", F.lit(1 << 30)) < share * (1 << 30))).orderBy("h1", "h2").select("unit").collect()
         sample = np.array([np.frombuffer(r["unit"]) for r in picked]).reshape(-1, dim)
-        bits = min(BITS, dim)
-        if len(sample) > 1:
-            models[dim] = learn_rotation(sample, bits)
-        else:
-            models[dim] = np.zeros(dim), np.eye(dim)[:, :bits]
+        models[dim] = choose_coder(sample, threshold, row["n"], row["pairs"])
     return models
 
 
-def _codes(models: dict):
+def _codes(models: dict[int, Coder]):
+    most = max(m.tables for m in models.values()) if models else 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy()
-            codes = np.zeros(len(dims), U64)
+            parts, shape = np.zeros((len(dims), most), np.int32), np.zeros((len(dims), 2), np.int32)
             for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
-                mean, matrix = models[int(dim)]
-                signs = (_vectors(batch.column("unit").take(pa.array(at)), int(dim)) - mean) @ matrix >= 0
-                codes[at] = (signs.astype(U64) << np.arange(matrix.shape[1], dtype=U64)).sum(axis=1, dtype=U64)
+                at, coder = np.flatnonzero(dims == dim), models[int(dim)]
+                parts[at, :coder.tables] = coder.parts(_vectors(batch.column("unit").take(pa.array(at)), int(dim)))
+                shape[at] = coder.width, coder.tables
+            bounds = pa.array(np.arange(len(dims) + 1, dtype=np.int32) * most)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("cid"), batch.column("label"), batch.column("dim"), pa.array(codes.view(np.int64))],
-                ["cid", "label", "dim", "code"])
+                [batch.column("cid"), batch.column("label"), batch.column("dim"), pa.ListArray.from_arrays(bounds, pa.array(parts.ravel())),
+                 pa.array(shape[:, 0]), pa.array(shape[:, 1])], ["cid", "label", "dim", "code", "width", "tables"])
 
     return run
 
 
-def _canonical(x: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first table, and the least key in it, under which both codes stand; table -1 if there is none."""
-    table, key = np.full(np.broadcast(x, y).shape, -1, np.int64), np.zeros(np.broadcast(x, y).shape, np.int64)
-    low = U64((1 << width) - 1)
-    for j in range(TABLES - 1, -1, -1):
-        a, b = (x >> U64(j * width)) & low, (y >> U64(j * width)) & low
+def _code_rows(column: pa.Array) -> np.ndarray:
+    """The parts of each row: rows x tables (places beyond a length's own tables are all zero)."""
+    flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), -1).view(U64)
+
+
+def _canonical(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first table, and the least key in it, under which both codes stand; table -1 if there is none. The last axis are
+    the tables."""
+    shape = np.broadcast(x[..., 0], y[..., 0]).shape
+    table, key = np.full(shape, -1, np.int64), np.zeros(shape, np.int64)
+    for j in range(x.shape[-1] - 1, -1, -1):
+        a, b = x[..., j], y[..., j]
         differ = a ^ b
         lowest = differ & (~differ + U64(1))
         rest = differ ^ lowest
@@ -102,15 +187,17 @@ def _canonical(x: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, np
     return table, key
 
 
-def _small_pairs(width: int, radius: int):
+def _small_pairs(models: dict[int, Coder]):
     """Pairs of small buckets that have their first meeting there and codes within the radius."""
+    radii = {dim: coder.radius for dim, coder in models.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in _with_end(batches):
             if batch is not None:
-                rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
-                                 for c in ("label", "dim", "j", "key", "code", "cid")])
+                rows = np.concatenate([
+                    np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("label", "dim", "j", "key", "cid")]),
+                    _code_rows(batch.column("code")).view(np.int64).T])
                 rows = rows if held is None else np.concatenate([held, rows], axis=1)
                 if rows.shape[1] == 0:
                     continue
@@ -132,12 +219,13 @@ def _small_pairs(width: int, radius: int):
             if not left:
                 continue
             i, j = np.concatenate(left), np.concatenate(right)
-            x, y = rows[4, i].view(U64), rows[4, j].view(U64)
-            near = np.bitwise_count(x ^ y) <= radius
+            x, y = (np.ascontiguousarray(rows[5:, p].T).view(U64) for p in (i, j))
+            dims, of = np.unique(rows[1, i], return_inverse=True)
+            near = np.bitwise_count(x ^ y).sum(axis=1) <= np.array([radii[int(d)] for d in dims])[of]
             i, j, x, y = i[near], j[near], x[near], y[near]
-            table, key = _canonical(x, y, width)
+            table, key = _canonical(x, y)
             first = (table == rows[2, i]) & (key == rows[3, i])
-            a, b = rows[5, i[first]], rows[5, j[first]]
+            a, b = rows[4, i[first]], rows[4, j[first]]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["x", "y"])
 
@@ -165,13 +253,13 @@ def _rerank(threshold: float):
     return run
 
 
-def _tile(width: int, radius: int, threshold: float):
+def _tile(threshold: float):
     """Counts of linked rows per class of a chunk pair, and edges that span what it links."""
 
     def work(rows: pa.Table) -> pa.RecordBatch | None:
         dim, j, key = (rows.column(c)[0].as_py() for c in ("dim", "j", "key"))
         side = rows.column("side").to_numpy()
-        unit, code = _vectors(rows.column("unit"), dim), rows.column("code").to_numpy().view(U64)
+        unit, code = _vectors(rows.column("unit"), dim), _code_rows(rows.column("code"))
         cid, many = rows.column("cid").to_numpy(), rows.column("m").to_numpy()
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1)
@@ -179,8 +267,7 @@ def _tile(width: int, radius: int, threshold: float):
         if not len(left) or not len(right):
             return None
         linked = unit[left] @ unit[right].T >= threshold
-        linked &= np.bitwise_count(code[left][:, None] ^ code[right][None]) <= radius
-        table, least = _canonical(code[left][:, None], code[right][None], width)
+        table, least = _canonical(code[left][:, None], code[right][None])
         linked &= (table == j) & (least == key) & (cid[left][:, None] != cid[right][None])
         forward = linked @ many[right]
         backward = many[left] @ linked if right is not left else np.zeros(len(left), np.int64)
@@ -211,20 +298,18 @@ def _tile(width: int, radius: int, threshold: float):
 
 def _links(classes: DataFrame, threshold: float) -> DataFrame:
     """Rows (a, b, links): class a is linked with ``links`` more rows, and reaches class b."""
-    models = _models(classes)
-    width, radius = -(-BITS // TABLES), 20
+    models = _models(classes, threshold)
     codes = cut_lineage(classes.select("cid", "label", "dim", "unit").mapInArrow(
-        lean(_codes(models)), "cid bigint, label bigint, dim int, code bigint"))
-    tables = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.shiftrightunsigned("code", j * width).bitwiseAND(
-        (1 << width) - 1).alias("part")) for j in range(TABLES)]))
-    near = F.explode(F.array(*[F.lit(0).cast("bigint")] + [F.lit(1 << i).cast("bigint") for i in range(width)]))
-    entries = codes.select("*", tables.alias("t")).select("cid", "label", "dim", "code", "t.j", "t.part", near.alias("bit")).select(
-        "cid", "label", "dim", "code", "j", F.col("part").bitwiseXOR(F.col("bit")).alias("key"))
+        lean(_codes(models)), "cid bigint, label bigint, dim int, code array<int>, width int, tables int"))
+    tables = F.posexplode(F.slice("code", F.lit(1), F.col("tables"))).alias("j", "part")
+    near = F.explode(F.transform(F.sequence(F.lit(-1), F.col("width") - 1), lambda i: F.when(i < 0, 0).otherwise(F.pow(F.lit(2), i).cast("int"))))
+    entries = codes.select("*", tables).select("cid", "label", "dim", "code", "j", "part", near.alias("bit")).select(
+        "cid", "label", "dim", "code", "j", F.col("part").bitwiseXOR(F.col("bit")).cast("bigint").alias("key"))
     bucket = ["label", "dim", "j", "key"]
     full = cut_lineage(entries.groupBy(bucket).agg(F.count("*").alias("members")).where("members > 1"))
     met = entries.join(full.hint("merge"), bucket)  # small on disk, large in memory: never broadcast
     pairs = met.where(F.col("members") <= SMALL).select(*bucket, "code", "cid").repartition(*bucket).sortWithinPartitions(
-        *bucket, "cid").mapInArrow(lean(_small_pairs(width, radius)), "x bigint, y bigint")
+        *bucket, "cid").mapInArrow(lean(_small_pairs(models)), "x bigint, y bigint")
     one = classes.select(F.col("cid").alias("x"), "dim", "unit", F.col("m").alias("x_rows"))
     two = classes.select(F.col("cid").alias("y"), F.col("unit").alias("other"), F.col("m").alias("y_rows"))
     found = pairs.join(one.hint("merge"), "x").join(two.hint("merge"), "y").select("x", "y", "dim", "unit", "other", "x_rows", "y_rows").mapInArrow(
@@ -238,7 +323,7 @@ def _links(classes: DataFrame, threshold: float) -> DataFrame:
     tiles = large.select(*bucket, "cid", "code", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("b"),
                          (F.col("own") > F.col("with")).cast("int").alias("side"))
     dense = each_group(tiles.join(classes.select("cid", "unit", "m").hint("merge"), "cid"), [*bucket, "a", "b"],
-                       _tile(width, radius, threshold), "a bigint, b bigint, links bigint", ["side", "cid"])
+                       _tile(threshold), "a bigint, b bigint, links bigint", ["side", "cid"])
     return sparse.union(dense)
 
 
