@@ -493,3 +493,23 @@ def test_rates_match_a_plain_projected_gradient(spark, model):
     assert all(r["copies"] in (int(r["rate"]), int(r["rate"]) + 1) for r in got)
     mixed = Counter(r["doc_id"] for r in mixing.mix_documents(docs, model, {"high": 0.9, "low": 0.1}).collect())
     assert mixed == {r["doc_id"]: r["copies"] for r in got if r["copies"]}
+
+
+@pytest.mark.parametrize("share,target", [(0.0005, 0.02), (0.001, 0.10), (0.3, 0.3)])
+def test_rare_domains_reach_their_targets(spark, share, target):
+    """A domain of 0.05 % of the tokens is brought to within 5 % of a target forty times its size."""
+    rng = np.random.default_rng(5)
+    n = 20_000
+    rare = rng.random(n) < share
+    rare[:5] = True
+    sure = rng.uniform(0.85, 0.99, n)
+    other = rng.uniform(0, 1, n)
+    posterior = np.where(rare[:, None], np.c_[sure, (1 - sure) * other, (1 - sure) * (1 - other)],
+                         np.c_[share * 0.02 * other, other, 1 - other - share * 0.02 * other])
+    rows = [(int(t), p.tolist()) for t, p in zip(rng.integers(1, 400, n), posterior)]
+    members = spark.createDataFrame(rows, "n_tokens long, posterior array<double>").repartition(4)
+    targets = {"a": target, "b": 0.7 * (1 - target), "c": 0.3 * (1 - target)}
+    descent = mixing.fit_rates(members, ("a", "b", "c"), targets)
+    rated = members.withColumn("rate", mixing.rate_of(F.col("posterior"), descent))
+    for row in mixing.expected_totals(rated, ("a", "b", "c"), targets).collect():
+        assert row["expected_tokens"] == pytest.approx(row["target_tokens"], rel=0.05), row

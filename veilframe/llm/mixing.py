@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import free_name, give_back, lean, pieces, utf8, word_hashes
@@ -126,7 +126,7 @@ def memberships(text: Column, model: DomainModel) -> Column:
 class Descent:
     """The steps of an accelerated projected gradient: what is needed to find the rate of any posterior."""
 
-    step: float
+    metric: np.ndarray  # domains x domains: what a residual weighs
     stay: float  # weight of staying at rate one
     target: np.ndarray
     sums: tuple[np.ndarray, ...]  # expected shares per domain at the rates of each step so far
@@ -138,16 +138,21 @@ class Descent:
             push = n / (n + 3)
             ahead = now + push * (now - before)
             mass = self.sums[n] + push * (self.sums[n] - self.sums[max(n - 1, 0)])
-            before, now = now, np.maximum(0, ahead - self.step * (posterior @ (mass - self.target) + self.stay * (ahead - 1)))
+            pull = posterior @ (self.metric @ (mass - self.target)) + self.stay * (ahead - 1)
+            before, now = now, np.maximum(0, ahead - pull / (1 + self.stay))
         return now
 
 
 def fit_rates(members: DataFrame, domains: tuple[str, ...], targets: dict[str, float], budget: float | None = None,
-              stay: float = 1e-3, most_steps: int = 40, tolerance: float = 1e-4) -> Descent:
+              stay: float = 1e-4, most_steps: int = 200, tolerance: float = 1e-3) -> Descent:
     """Fit rates for rows (n_tokens, posterior), which should be a written table.
 
     ``targets`` are weights per domain (their sum does not matter; domains not named get none). ``budget`` is the number of
-    tokens to reach; by default as many as there are. Stops when expected shares move by less than ``tolerance`` in a step.
+    tokens to reach; by default as many as there are.
+
+    Residuals are measured in the inverse of the matrix of posteriors, so a domain of few tokens is fitted as fast, and as well
+    for its own size, as a large one. Stops when each expected share is within ``tolerance`` of its target (relative to it), or, where
+    no rates reach the targets, when the shares move by less than a hundredth of that from step to step.
     """
     weights = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
     if weights.sum() == 0:
@@ -171,19 +176,35 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...], targets: dict[str, f
 
     gram, total = sums(None)
     total = total or 1.0
-    largest = float(np.linalg.eigvalsh(gram.reshape(k, k) / total).max())
+    gram = gram.reshape(k, k) / total
+    metric = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
     target = weights / weights.sum() * (1.0 if budget is None else budget / total)
-    descent = Descent(1 / (largest + stay + 1e-12), stay, target, ())
+    size = np.maximum(target, 1e-6)
+    descent = Descent(metric, stay, target, ())
     for _ in range(most_steps):
         mass, _ = sums(descent)
         mass = mass / total
-        done = descent.sums and np.abs(mass - descent.sums[-1]).max() < tolerance
-        descent = Descent(descent.step, stay, target, (*descent.sums, mass))
-        if done:
+        reached = (np.abs(mass - target) <= tolerance * size).all()
+        still = len(descent.sums) > 1 and max(np.abs(mass - descent.sums[-1]).max(), np.abs(mass - descent.sums[-2]).max()) < 1e-2 * tolerance * size.max()
+        if reached or still:
             break
+        descent = Descent(metric, stay, target, (*descent.sums, mass))
     return descent
 
 
+def expected_totals(rated: DataFrame, domains: tuple[str, ...], targets: dict[str, float], budget: float | None = None) -> DataFrame:
+    """What the rates of ``mix_rates`` give: (domain, target_tokens, expected_tokens, tokens), one row per domain."""
+    share = F.posexplode("posterior").alias("place", "share")
+    found = rated.select("n_tokens", "rate", share).groupBy("place").agg(
+        F.sum(F.col("n_tokens") * F.col("share")).alias("tokens"), F.sum(F.col("n_tokens") * F.col("share") * F.col("rate")).alias("expected_tokens"))
+    weights = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
+    weights = np.ones(len(domains)) if weights.sum() == 0 else weights
+    names = rated.sparkSession.createDataFrame([(i, d, float(w / weights.sum())) for i, (d, w) in enumerate(zip(domains, weights))], "place int, domain string, weight double")
+    total = F.lit(float(budget)) if budget is not None else F.sum("tokens").over(Window.partitionBy())
+    joined = F.broadcast(names).join(found, "place", "left").na.fill(0.0, ["tokens", "expected_tokens"])
+    return joined.select("domain", (F.col("weight") * total).alias("target_tokens"), "expected_tokens", "tokens")
+
+
 def rate_of(posterior: Column, descent: Descent) -> Column:
     @F.arrow_udf("double")
     def rate(p: pa.Array) -> pa.Array:
