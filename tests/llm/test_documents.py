@@ -513,3 +513,21 @@ def test_rare_domains_reach_their_targets(spark, share, target):
     rated = members.withColumn("rate", mixing.rate_of(F.col("posterior"), descent))
     for row in mixing.expected_totals(rated, ("a", "b", "c"), targets).collect():
         assert row["expected_tokens"] == pytest.approx(row["target_tokens"], rel=0.05), row
+
+
+def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "SHARD_WINDOWS", 1500)
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, prose(rng, 60)) for i in range(80)], "doc_id long, text string")
+
+    def scores(frame):
+        return {r["doc_id"]: r["per_token"] for r in scoring.pseudo_likelihood(frame).collect()}
+
+    one, other = scores(docs.coalesce(1)), scores(docs.repartition(7).orderBy(F.desc("doc_id")))
+    assert max(abs(one[i] - other[i]) for i in one) < 1e-3
+
+
+def test_copies_of_a_text_are_drawn_one_by_one(spark):
+    rows = [(i, "der hund und die katze", "de") for i in range(3000)] + [(9000 + i, f"the dog and the cat {i}", "en") for i in range(50)]
+    learned = language.learn_profiles(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=100)
+    assert learned.languages == ("de", "en")

@@ -98,20 +98,21 @@ class Profiles:
 
 
 def learn_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 2000,
-                   dimensions: int = DIMENSIONS) -> Profiles:
+                   dimensions: int = DIMENSIONS, id_col: str = "doc_id") -> Profiles:
     """Prototypes from labelled rows; those with null text or language teach nothing.
 
-    ``per_language`` bounds the sample: of a language with more rows about that many are taken, chosen by a hash of
-    the text. What reaches the driver is one vector per language and task of 16.
+    ``per_language`` bounds the sample: of a language with more rows about that many are taken, chosen by a hash of the
+    identifier (``id_col``, if there is one) and the text, so that of many copies of a text some are in and some are not. What reaches the driver is one vector per language and task of 16.
     """
-    rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
-        "text IS NOT NULL AND lang IS NOT NULL")
+    drawn = [F.col(id_col).cast("string")] if id_col in labelled.columns else []
+    rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.pmod(
+        F.xxhash64(*drawn, F.col(text_col).cast("string")), F.lit(1 << 30)).alias("draw")).where("text IS NOT NULL AND lang IS NOT NULL")
     counts = {r["lang"]: r["n"] for r in labelled.where(F.col(lang_col).isNotNull()).groupBy(
         F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Profiles((), np.zeros((0, dimensions), np.float32))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    sample = rows.where(F.col("draw") < share[F.col("lang")] * (1 << 30)).drop("draw")
 
     def bundle(batches):
         sums: dict[str, np.ndarray] = {}

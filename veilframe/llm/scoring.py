@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import U64, free_name, lean, mix, pieces, random_words, utf8
+from veilframe.llm.common import U64, free_name, give_back, lean, mix, pieces, random_words, utf8
 from veilframe.session import cut_lineage
 
 SIDE = 2
@@ -133,37 +133,44 @@ class Network:
                                error.sum(axis=0)]).astype(np.float32)
 
 
+SHARD_WINDOWS = 1 << 18  # distinct windows that one task trains on, about
+
+
+def _learner(start: Network, step_size: float, batch: int):
+    """Adam over a shard, from ``start``: parameters times the shard's weight, and that weight."""
+    size = len(start.flat)
+
+    def learn(rows: pa.Table) -> pa.Table:
+        codes = rows.column("code").to_numpy().view(U64)
+        order = np.argsort(mix(codes))
+        codes, weight = codes[order], rows.column("n").to_numpy()[order].astype(np.float64)
+        current, first, second = start.flat.copy(), np.zeros(size, np.float32), np.zeros(size, np.float32)
+        for step, a in enumerate(range(0, len(codes), batch), 1):
+            gradient = Network(current).gradient(_symbols(codes[a:a + batch]), weight[a:a + batch])
+            first = 0.9 * first + 0.1 * gradient
+            second = 0.99 * second + 0.01 * gradient * gradient
+            current = current - step_size * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.99 ** step)) + 1e-6)
+        total = weight.sum()
+        give_back()
+        return pa.table({"i": np.arange(size), "v": (current * total).astype(np.float64), "w": np.full(size, total)})
+
+    return learn
+
+
 def train(counts: DataFrame, rounds: int = ROUNDS, rate: float = 0.01, batch: int = 2048) -> Network:
     """Rounds of local Adam over every distinct window, weighted by its count, and averaging by the windows' weight.
 
-    ``counts`` should be a written table. The driver gets one number per parameter and round, whatever the corpus.
+    Windows are dealt by hash into shards, whose number follows from how many there are, and taken in order of a hash inside a
+    shard: the network depends on the corpus, not on how it is laid out. ``counts`` should be a written table. The driver gets
+    one number per parameter and round, whatever the corpus.
     """
     network = Network.start()
     size = len(network.flat)
+    shards = -(-counts.count() // SHARD_WINDOWS) or 1
+    dealt = counts.select("code", "n", F.pmod(F.xxhash64("code"), F.lit(shards)).alias("shard"))
     for turn in range(rounds):
-        start, step_size = network, rate / (1 + turn)
-
-        def learn(batches: Iterator[pa.RecordBatch], start=start, step_size=step_size) -> Iterator[pa.RecordBatch]:
-            total, sums = 0.0, np.zeros(size)
-            current, first, second, step = start.flat.copy(), np.zeros(size, np.float32), np.zeros(size, np.float32), 0
-            for rows in batches:
-                codes = rows.column("code").to_numpy(zero_copy_only=False).view(U64)
-                weight = rows.column("n").to_numpy(zero_copy_only=False).astype(np.float64)
-                order = np.argsort(mix(codes), kind="stable")
-                for a in range(0, len(order), batch):
-                    part = order[a:a + batch]
-                    gradient = Network(current).gradient(_symbols(codes[part]), weight[part])
-                    step += 1
-                    first = 0.9 * first + 0.1 * gradient
-                    second = 0.99 * second + 0.01 * gradient * gradient
-                    current = current - step_size * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.99 ** step)) + 1e-6)
-                total += weight.sum()
-            if total:
-                sums = current * total
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(size)), pa.array(sums.astype(np.float64)), pa.array(np.full(size, total))], ["i", "v", "w"])
-
-        rows = counts.mapInArrow(lean(learn), "i bigint, v double, w double").groupBy("i").agg(F.sum("v").alias("v"), F.sum("w").alias("w")).collect()
+        rows = dealt.groupBy("shard").applyInArrow(_learner(network, rate / (1 + turn), batch), "i bigint, v double, w double").groupBy("i").agg(
+            F.sum("v").alias("v"), F.sum("w").alias("w")).collect()
         if not rows:
             return network
         flat = np.zeros(size)
