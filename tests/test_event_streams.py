@@ -251,3 +251,54 @@ def test_turns_over_batches_and_late_ones(spark, tmp_path):
     on_time = spark.createDataFrame([r for r in rows if r != late], "s string, turn long, text string")
     want = {(r["s"], r["turn"]): r["window_text"] for r in window_text(on_time, ["s"], "turn", "text", window=25).collect()}
     assert got == want
+
+
+# ---- the response side of traffic --------------------------------------------------------------------------------
+
+
+def exchanges(spark, provider):
+    texts = ["".join(RANDOM.choices(PARTS, k=8)) + RANDOM.choice(["", *TOKENS]) for _ in range(9)]
+    kinds = [["text/event-stream"], ["application/json; x"], ["image/png"]]
+    bodies = ["\n".join(event_lines(t, provider)) if i % 3 == 0 else t for i, t in enumerate(texts)]
+    bodies[3] += "\n"  # a stream that ends with a line end
+    rows = [(i, {"content-type": kinds[i % 3]}, b) for i, b in enumerate(bodies)] + [(20, None, None), (21, {"content-type": ["text/event-stream"]}, ""), (22, {}, texts[0])]
+    responses = spark.createDataFrame(rows, "x long, headers map<string,array<string>>, body string")
+    asked = [(r[0], f"/{provider}/v1/messages" if r[0] != 6 else "/health", {}) for r in rows]
+    return texts, bodies, spark.createDataFrame(asked, "x long, path string, headers map<string,array<string>>"), responses
+
+
+@pytest.mark.parametrize("provider", ["anthropic", "openai"])
+def test_responses_are_restored_by_their_form(spark, provider):
+    from veilframe.plans.pipelines import restore_traffic
+
+    texts, bodies, requests, responses = exchanges(spark, provider)
+    vault = spark.createDataFrame(list(TOKENS.items()), "token string, secret string")
+    got = {r["x"]: r for r in restore_traffic(requests, responses, vault, ["x"]).collect()}
+    assert len(got) == 12
+    for i, (text, body) in enumerate(zip(texts, bodies)):
+        restored = model.replace_all(text, TOKENS)
+        if i % 3 == 0 and i != 6:
+            assert got[i]["form"] == "events" and set(texts_of(got[i]["restored_body"].split("\n")).values()) == {restored}
+            plain = [line for line in body.split("\n") if "{" not in line and line]
+            assert [line for line in got[i]["restored_body"].split("\n") if "{" not in line and line] == plain
+        elif i % 3 == 1:
+            assert (got[i]["form"], got[i]["restored_body"]) == ("text", restored)
+        else:  # neither text nor of a known provider
+            assert got[i]["restored_body"] == body
+    assert (got[20]["restored_body"], got[21]["restored_body"]) == (None, "")
+    assert got[22]["restored_body"] == model.replace_all(texts[0], TOKENS)  # no content type counts as text
+
+
+def test_requests_and_responses_meet_over_batches(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    asked = [[(i, start + timedelta(seconds=i), "/openai/v1/chat/completions", {}) for i in part] for part in ([0, 3], [1], [2])]
+    answered = [[(i, start + timedelta(seconds=i + 1), {"content-type": ["text/plain"]}, f"__VAULT_JWT_12345678__ {i}") for i in part] for part in ([1], [0, 2], [7])]
+    requests = feed(spark, tmp_path / "a", asked, "x long, ts timestamp, path string, headers map<string,array<string>>")
+    responses = feed(spark, tmp_path / "b", answered, "x long, ts timestamp, headers map<string,array<string>>, body string")
+    vault = spark.createDataFrame([("__VAULT_JWT_12345678__", "s")], "token string, secret string")
+    out = str(tmp_path / "out")
+    jobs.start_batches(jobs.exchange_stream(requests, responses, ["x"]), jobs.restore_exchanges_to(vault, ["x"], out), str(tmp_path / "ck")).awaitTermination()
+    got = {r["x"]: (r["provider"], r["restored_body"]) for r in spark.read.parquet(out).collect()}
+    assert got == {i: ("openai", f"s {i}") for i in (0, 1, 2)}

@@ -1,24 +1,29 @@
-"""End-to-end jobs: mask a corpus, mask traffic, register by hand."""
+"""End-to-end jobs: mask a corpus, mask and restore traffic, register by hand."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from veilframe.config import DetectOptions
 from veilframe.functions.detect import infer_type, may_hold_secret
-from veilframe.functions.http import is_text_content, route_provider
+from veilframe.functions.http import is_sse, is_text_content, route_provider
+from veilframe.functions.sse import json_text
 from veilframe.functions.text import strip_tokens, unescape_json_text, vault_token
 from veilframe.operators.audit import audit_ledger
 from veilframe.operators.findings import (
     detect_named, exclude_records, exclude_types, findings, skip_token_values,
 )
 from veilframe.operators.mask import mask, mask_as_of, mask_spans
-from veilframe.operators.replace import occurring_sources
+from veilframe.operators.replace import join_null_safe, occurring_sources
+from veilframe.operators.restore import restore
 from veilframe.operators.vault import build_vault, rehydrate_vault, require_unique_names, sightings
 from veilframe.session import cut_lineage
+from veilframe.streaming.cutters import TokenHold
+from veilframe.streaming.events import body_cells
 
 
 @dataclass
@@ -131,3 +136,50 @@ def register_by_hand(entries: DataFrame, session: str, seen_at: Column, order: l
     events = sightings(typed.withColumn("value", F.col("secret")).withColumn("_seen", seen_at), "manual",
                        F.col("_seen"), order, F.col("name"))
     return require_unique_names(build_vault(events, session))
+
+
+CELLS = "array<struct<parts:array<string>,pieces:array<string>>>"
+
+
+@F.arrow_udf(CELLS)
+def _event_cells(providers: pa.Array, bodies: pa.Array) -> pa.Array:
+    cutter = TokenHold()
+    return pa.array([body_cells(p or "", b, cutter) for p, b in zip(providers.to_pylist(), bodies.to_pylist())],
+                    pa.list_(pa.struct([("parts", pa.list_(pa.string())), ("pieces", pa.list_(pa.string()))])))
+
+
+def routed_responses(requests: DataFrame, responses: DataFrame, keys: list[str], default_provider: str | None = None) -> DataFrame:
+    """Each response with the provider that its request was routed to. A response without a logged request has none."""
+    asked = requests.select(*keys, route_provider(F.col("path"), F.col("headers"), default_provider)["provider"].alias("provider"))
+    return join_null_safe(responses, asked, keys, "left")
+
+
+def restore_responses(routed: DataFrame, vault: DataFrame, keys: list[str]) -> DataFrame:
+    """The response side of a traffic log: ``body`` restored into ``restored_body``, with ``form`` (events, text or other).
+
+    ``keys`` identify an exchange. Event streams are restored in the text fields of their events, also where a token is torn
+    over events, and written back as lines; other text is restored as a whole; everything else stays as it is. In an event
+    stream of no known provider no field carries tokens, so it stays as well.
+    """
+    text = F.coalesce(F.length("body") > 0, F.lit(False))
+    form = F.when(text & is_sse(F.col("headers")), "events").when(text & is_text_content(F.col("headers")), "text").otherwise("other")
+    formed = cut_lineage(routed.withColumn("form", form))
+    columns = [*routed.columns, "form"]
+    plain = formed.where("form = 'other'").withColumn("restored_body", F.col("body"))
+    whole = restore(formed.where("form = 'text'"), vault, keys, "body", "restored_body")
+    # Only streams in which a token may be torn or whole are taken apart.
+    events = formed.where("form = 'events'")
+    lines = cut_lineage(events.select(*keys, F.posexplode(_event_cells("provider", "body")).alias("line", "cell")).select(
+        *keys, "line", F.posexplode(F.arrays_zip("cell.parts", "cell.pieces")).alias("at", "c")).select(*keys, "line", "at", "c.parts", "c.pieces"))
+    cells = restore(lines, vault, [*keys, "line", "at"], "pieces", "restored")
+    text = F.concat("parts", F.coalesce(json_text(F.col("restored")), F.lit("")))
+    bodies = cells.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "at", text.alias("t")))), lambda c: c["t"]), "")
+                                      .alias("restored_body"))
+    return join_null_safe(events, bodies, keys, "left").select(*columns, "restored_body").unionByName(
+        whole.select(*columns, "restored_body")).unionByName(plain)
+
+
+def restore_traffic(requests: DataFrame, responses: DataFrame, vault: DataFrame, keys: list[str], default_provider: str | None = None) -> DataFrame:
+    """Responses of a traffic log, restored: requests (keys, path, headers) and responses (keys, headers, body) of an exchange are
+    joined, then ``restore_responses``."""
+    return restore_responses(routed_responses(requests, responses, keys, default_provider), vault, keys)

@@ -8,6 +8,7 @@ from veilframe.config import DetectOptions
 from veilframe.functions.sse import sse_data, sse_text_fields
 from veilframe.functions.text import vault_token
 from veilframe.operators.chunks import reassemble
+from veilframe.plans.pipelines import restore_traffic
 from veilframe.plans.registry import SESSION, Injected, query, table, utc
 from veilframe.plans.traffic_queries import _PLANTED_TURN, _C, _said, _tokenised, sql_token
 from veilframe.session import shared_folder
@@ -278,3 +279,52 @@ def stream_audit(spark, sf):
     ledger = states.select("id", "r.*")
     return ledger.select("id", F.unix_micros("created_at").alias("created_us"),
                                  F.unix_micros("last_seen_at").alias("last_seen_us"), "seen_count")
+
+
+_KIND = "CASE WHEN turn % 3 = 0 THEN 'events' WHEN turn % 3 = 1 THEN 'text' ELSE 'other' END"
+
+
+def _exchanges(spark, sf):
+    """Every turn as an exchange: by turn an event stream, a text, or a body that is neither."""
+    _, vault = _tokenised(spark, sf)
+    said = table(spark, sf, "conversations").select("conv_id", "turn", F.timestamp_seconds(F.col("turn") * 10).alias("ts"), _tokenised_text().alias("text"))
+    requests = said.select("conv_id", "turn", "ts", F.lit("/v1/chat/completions").alias("path"), F.create_map().cast("map<string,array<string>>").alias("headers"))
+    event = F.transform(F.regexp_extract_all("text", F.lit(rf"[\s\S]{{1,{PIECE}}}"), F.lit(0)), lambda piece: F.concat(
+        F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(piece.alias("content")).alias("delta"))).alias("choices")))))
+    events = F.concat(F.array_join(event, "\r\n\r\n"), F.lit("\r\n\r\ndata: [DONE]\r\n"))
+    kind = F.expr(_KIND)
+    type_ = F.when(kind == "events", "text/event-stream; charset=utf-8").when(kind == "text", "application/json").otherwise("image/png")
+    responses = said.select("conv_id", "turn", (F.col("ts") + F.expr("INTERVAL 2 seconds")).alias("ts"),
+                            F.create_map(F.lit("Content-Type"), F.array(type_)).alias("headers"), F.when(kind == "events", events).otherwise(F.col("text")).alias("body"))
+    return requests, responses, vault
+
+
+def _read_back(restored):
+    """The text of restored bodies: events are read as events."""
+    said = F.array_join(F.transform(F.split("restored_body", "\r?\n"), lambda line: F.coalesce(
+        F.get_json_object(F.substring(line, F.lit(7), F.length(line)), "$.choices[0].delta.content"), F.lit(""))), "")
+    done = F.endswith("restored_body", F.lit("\r\n\r\ndata: [DONE]\r\n"))
+    return restored.select("conv_id", "turn", "form", F.when(F.col("form") != "events", F.col("restored_body")).otherwise(said).alias("text"),
+                           F.when(F.col("form") == "events", done).alias("ends_as_before"))
+
+
+_RESTORED_SQL = f"""
+    SELECT conv_id, turn, {_KIND} AS form, CASE WHEN turn % 3 < 2 THEN {_PLANTED_TURN.sql}
+      ELSE text || ' key ' || {sql_token(_TURN_SECRET.sql, "'APIKEY'")} || ', again ' || {sql_token(_TURN_SECRET.sql, "'APIKEY'")} || '.' END AS text,
+      CASE WHEN turn % 3 = 0 THEN true END AS ends_as_before FROM conversations"""
+
+
+@query("restore_traffic", _RESTORED_SQL)
+def restore_traffic_query(spark, sf):
+    """Responses joined with their requests and restored by what they are: events, text, or left alone."""
+    requests, responses, vault = _exchanges(spark, sf)
+    return _read_back(restore_traffic(requests, responses, vault, ["conv_id", "turn"]))
+
+
+@query("stream_restore_traffic", _RESTORED_SQL)
+def stream_restore_traffic(spark, sf):
+    """The same while both logs run: requests and responses meet in a join of two streams with a watermark."""
+    requests, responses, vault = _exchanges(spark, sf)
+    keys, out = ["conv_id", "turn"], shared_folder(spark, "answers")
+    joined = jobs.exchange_stream(replayed(spark, requests, mixed("turn", "conv_id")), replayed(spark, responses, mixed("conv_id", "turn")), keys, "2 days")
+    return _read_back(_collected(joined, jobs.restore_exchanges_to(vault, keys, out), out))

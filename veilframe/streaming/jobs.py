@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.config import DETECTION_WINDOW, DetectOptions
-from veilframe.functions.sse import sse_data, sse_text_fields
+from veilframe.functions.http import route_provider
+from veilframe.functions.sse import json_text, sse_data, sse_text_fields
 from veilframe.operators.findings import findings, skip_token_values
 from veilframe.operators.mask import mask_as_of
 from veilframe.operators.ordered import SEGMENT_ROWS
@@ -137,12 +139,6 @@ def sse_replace(lines: DataFrame, keys: list[str], provider: str, pairs: list[tu
     return cut.select(*keys, "seq", "sub", line.alias("line"), "synthetic")
 
 
-def json_text(text: Column) -> Column:
-    """A text as a JSON string, in quotes."""
-    whole = F.to_json(F.struct(text.alias("v")))
-    return F.when(text.isNotNull(), F.substring(whole, F.lit(6), F.length(whole) - 6))
-
-
 def rewrite_to(vault: DataFrame, keys: list[str], path: str) -> Callable[[DataFrame, int], None]:
     """Sink of ``sse_rewrite``: pieces are joined with the vault and put back between the parts of their line; one folder of
     (keys, seq, sub, line, synthetic) per micro-batch. In order of seq and sub the lines can be replayed."""
@@ -193,6 +189,33 @@ def restore_ansi_to(vault: DataFrame, keys: list[str], path: str) -> Callable[[D
     return handle
 
 
+def exchange_stream(requests: DataFrame, responses: DataFrame, keys: list[str], lateness: str = "10 minutes", longest: str = "1 hour",
+                    default_provider: str | None = None) -> DataFrame:
+    """Requests and responses of an exchange correlated while both logs run: each response (keys, ts, headers, body) with the
+    provider of its request (keys, ts, path, headers).
+
+    Either log may be late by ``lateness``; a response comes within ``longest`` of its request. State older than both is
+    dropped, so it is bounded by the traffic of that time.
+    """
+    asked = requests.withWatermark("ts", lateness).select(
+        *[F.col(k).alias(f"_asked_{k}") for k in keys], F.col("ts").alias("asked_at"),
+        route_provider(F.col("path"), F.col("headers"), default_provider)["provider"].alias("provider"))
+    answered = responses.withWatermark("ts", lateness)
+    match = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_asked_{k}") for k in keys])
+    within = (F.col("ts") >= F.col("asked_at")) & (F.col("ts") <= F.col("asked_at") + F.expr(f"INTERVAL {longest}"))
+    return answered.join(asked, match & within).select(*responses.columns, "provider")
+
+
+def restore_exchanges_to(vault: DataFrame, keys: list[str], path: str) -> Callable[[DataFrame, int], None]:
+    """Sink of ``exchange_stream``: every micro-batch is restored as ``restore_responses`` does in batch, in a folder of its own."""
+    from veilframe.plans.pipelines import restore_responses
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        restore_responses(batch, vault, keys).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return handle
+
+
 def start_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True):
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
