@@ -141,11 +141,14 @@ def register_by_hand(entries: DataFrame, session: str, seen_at: Column, order: l
 CELLS = "array<struct<parts:array<string>,pieces:array<string>>>"
 
 
-@F.arrow_udf(CELLS)
-def _event_cells(providers: pa.Array, bodies: pa.Array) -> pa.Array:
-    cutter = TokenHold()
-    return pa.array([body_cells(p or "", b, cutter) for p, b in zip(providers.to_pylist(), bodies.to_pylist())],
-                    pa.list_(pa.struct([("parts", pa.list_(pa.string())), ("pieces", pa.list_(pa.string()))])))
+def _event_cells(provider: Column, body: Column) -> Column:
+    @F.arrow_udf(CELLS)
+    def cells(providers: pa.Array, bodies: pa.Array) -> pa.Array:
+        cutter = TokenHold()
+        return pa.array([body_cells(p or "", b, cutter) for p, b in zip(providers.to_pylist(), bodies.to_pylist())],
+                        pa.list_(pa.struct([("parts", pa.list_(pa.string())), ("pieces", pa.list_(pa.string()))])))
+
+    return cells(provider, body)
 
 
 def routed_responses(requests: DataFrame, responses: DataFrame, keys: list[str], default_provider: str | None = None) -> DataFrame:
@@ -169,7 +172,7 @@ def restore_responses(routed: DataFrame, vault: DataFrame, keys: list[str]) -> D
     whole = restore(formed.where("form = 'text'"), vault, keys, "body", "restored_body")
     # Only streams in which a token may be torn or whole are taken apart.
     events = formed.where("form = 'events'")
-    lines = cut_lineage(events.select(*keys, F.posexplode(_event_cells("provider", "body")).alias("line", "cell")).select(
+    lines = cut_lineage(events.select(*keys, F.posexplode(_event_cells(F.col("provider"), F.col("body"))).alias("line", "cell")).select(
         *keys, "line", F.posexplode(F.arrays_zip("cell.parts", "cell.pieces")).alias("at", "c")).select(*keys, "line", "at", "c.parts", "c.pieces"))
     cells = restore(lines, vault, [*keys, "line", "at"], "pieces", "restored")
     text = F.concat("parts", F.coalesce(json_text(F.col("restored")), F.lit("")))
