@@ -287,7 +287,7 @@ _KIND = "CASE WHEN turn % 3 = 0 THEN 'events' WHEN turn % 3 = 1 THEN 'text' ELSE
 def _exchanges(spark, sf):
     """Every turn as an exchange: by turn an event stream, a text, or a body that is neither."""
     _, vault = _tokenised(spark, sf)
-    said = table(spark, sf, "conversations").select("conv_id", "turn", F.timestamp_seconds(F.col("turn") * 10).alias("ts"), _tokenised_text().alias("text"))
+    said = table(spark, sf, "conversations").select("conv_id", "turn", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn") * 10).alias("ts"), _tokenised_text().alias("text"))
     requests = said.select("conv_id", "turn", "ts", F.lit("/v1/chat/completions").alias("path"), F.create_map().cast("map<string,array<string>>").alias("headers"))
     event = F.transform(F.regexp_extract_all("text", F.lit(rf"[\s\S]{{1,{PIECE}}}"), F.lit(0)), lambda piece: F.concat(
         F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(piece.alias("content")).alias("delta"))).alias("choices")))))
