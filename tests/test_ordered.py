@@ -172,3 +172,41 @@ def test_response_events(spark):
         ("completed", 0, None, None)]
     assert {r["call_id"] for r in rows if r["output_index"] == 1 and r["call_id"]} == {"c5"}
     assert re.fullmatch("msg_[0-9a-f]{12}", rows[1]["item_id"])
+
+
+def test_requests_with_their_history(spark):
+    """Ids stored again, unknown ids, branches and missing responses against a store that is written row by row."""
+    import json
+
+    from veilframe.operators.threads import chat_requests_with_history, stored_history
+
+    log, store, want = [], {}, {}
+    for at in range(60):
+        ident, before = f"r{RANDOM.randrange(25)}", RANDOM.choice([None, "gone", *store])
+        fresh = RANDOM.choice(["hi", "", [{"role": "developer", "content": "rule"}, {"role": "user", "content": f"q{at}"}]])
+        body = {"input": fresh, **({"instructions": "brief"} if RANDOM.random() < 0.7 else {})}
+        answer = json.dumps({"choices": [{"message": {"content": f"a{at}"}}]}) if RANDOM.random() < 0.9 else None
+        log.append((ident, before, at, json.dumps(body), answer))
+        messages = list(store.get(before, []))
+        entries = [("system", "brief")] if not messages and "instructions" in body else []
+        entries += [("user", fresh)] if isinstance(fresh, str) and fresh else [("system" if e["role"] == "developer" else e["role"], e["content"]) for e in fresh or []]
+        for role, text in entries:
+            if role == "system" and messages and messages[-1][0] == "system":
+                messages[-1] = ("system", messages[-1][1] + "\n\n" + text)
+            else:
+                messages.append((role, text))
+        want[at] = list(messages)
+        store[ident] = messages + ([("assistant", f"a{at}")] if answer else [])
+    frame = spark.createDataFrame(log, "id string, before string, at long, request string, response string").repartition(3)
+    names = ("id", "before", "at", "request", "response")
+    got = {r["at"]: r for r in chat_requests_with_history(frame, *names, leaves_only=False).collect()}
+    assert {at: [(m["role"], m["text"] or "") for m in r["chat"]["messages"]] for at, r in got.items()} == want
+    leaves = {r["at"] for r in chat_requests_with_history(frame, *names).collect()}
+    assert leaves < set(want) and all(at in leaves for at in range(60) if not any(b == log[at][0] and t > at for _, b, t, *_ in log))
+    cut = chat_requests_with_history(frame, *names, leaves_only=False, rows=2).collect()
+    deep = {r["at"] for r in cut if r["n_segments"] > 1}
+    assert deep and all((r["chat"] is None) == (r["at"] in deep) for r in cut)
+    parts = {}
+    for r in sorted(stored_history(frame, *names, leaves_only=False, rows=2).collect(), key=lambda r: (r["node"], r["segment"])):
+        parts.setdefault(int(r["node"].split(":")[1]), []).extend((m["role"], m["text"]) for m in r["messages"])
+    assert all(want[at][:len(parts[at])] == parts[at] for at in deep if all(r[4] for r in log))

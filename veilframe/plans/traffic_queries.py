@@ -17,7 +17,7 @@ from veilframe.operators.mask import mask_as_of
 from veilframe.operators.responses import response_events
 from veilframe.operators.restore import restore
 from veilframe.operators.sessions import flag_new, window_findings, window_text
-from veilframe.operators.threads import thread_history, thread_index
+from veilframe.operators.threads import chat_requests_with_history, thread_history, thread_index
 from veilframe.operators.vault import build_vault, sightings
 from veilframe.plans.pipelines import mask_traffic
 from veilframe.plans.registry import SESSION, Injected, query, table, utc
@@ -433,6 +433,37 @@ def thread_history_query(spark, sf):
     return thread_history(_responses(spark, sf), "response_id", "previous_id", ["text"])
 
 
+def _request_log(spark, sf):
+    """Every turn continues the one before it. The second turn is stored twice, first with another text; the first names a
+    response that is not stored."""
+    def made(frame, order, text):
+        request = F.to_json(F.struct(F.lit("m").alias("model"), F.lit("be brief").alias("instructions"), text.alias("input")))
+        message = F.struct(F.struct(F.concat(F.lit("re "), F.col("turn").cast("string")).alias("content")).alias("message"))
+        return frame.select(
+            F.concat_ws("-", "conv_id", "turn").alias("response_id"), F.concat_ws("-", "conv_id", F.col("turn") - 1).alias("previous_id"),
+            order.cast("long").alias("asked"), request.alias("request"), F.to_json(F.struct(F.array(message).alias("choices"))).alias("response"))
+
+    base, place = turns(spark, sf), F.col("conv_id") * 1_000_000 + F.col("turn") * 10
+    return made(base, place, F.col("text")).unionByName(made(base.where("turn = 1"), place - 5, F.lit("old")))
+
+
+@query("chat_request_with_history", """
+    WITH RECURSIVE versions AS (
+      SELECT conv_id || '-' || turn AS response_id, conv_id || '-' || (turn - 1) AS previous_id, conv_id * 1000000 + turn * 10 AS asked, text, turn FROM conversations
+      UNION ALL SELECT conv_id || '-' || turn, conv_id || '-' || (turn - 1), conv_id * 1000000 + turn * 10 - 5, 'old', turn FROM conversations WHERE turn = 1),
+    parents AS (SELECT v.*, (SELECT max(p.asked) FROM versions p WHERE p.response_id = v.previous_id AND p.asked < v.asked) AS parent FROM versions v),
+    threads AS (
+      SELECT asked, 'be brief|' || text AS said, 2 AS n, '|re ' || turn AS reply FROM parents WHERE parent IS NULL
+      UNION ALL SELECT v.asked, t.said || t.reply || '|' || v.text, t.n + 2, '|re ' || v.turn FROM threads t JOIN parents v ON v.parent = t.asked)
+    SELECT p.response_id, p.asked, CASE WHEN p.parent IS NULL THEN 0 ELSE 1 END::BIGINT AS n_segments, t.n::INTEGER AS n_messages, t.said, 'm' AS model
+    FROM threads t JOIN parents p USING (asked) WHERE p.asked NOT IN (SELECT parent FROM parents WHERE parent IS NOT NULL)""")
+def chat_request_with_history(spark, sf):
+    """Requests composed with the history they continue, each id as it was stored when the request came."""
+    asked = chat_requests_with_history(_request_log(spark, sf), "response_id", "previous_id", "asked", "request", "response")
+    texts = F.transform("chat.messages", lambda m: joined_text(m))
+    return asked.select("response_id", "asked", "n_segments", F.size("chat.messages").alias("n_messages"), F.array_join(texts, "|").alias("said"), "chat.model")
+
+
 # ---- traffic of a session ----------------------------------------------------------------------------------------
 
 _KNOWN = Injected("stored-{d:12}", "conv_id")
