@@ -15,7 +15,7 @@ from veilframe.operators.mask import mask_as_of, mask_everywhere
 from veilframe.operators.replace import _Prefixes, replace_scoped
 from veilframe.operators.restore import restore, restore_ansi
 from veilframe.operators.vault import assign_tokens, build_vault, name_conflicts, require_unique_names, rehydrate_vault
-from veilframe.streaming.state import DictionaryReplace, TokenHold
+from veilframe.streaming.cutters import Dictionary, TokenHold
 
 RANDOM = random.Random(11)
 
@@ -72,6 +72,17 @@ def test_window_hash_depends_on_window_only(text, length):
         assert p.windows(np.array([at]), length)[0] == alone
 
 
+def test_search_in_passes(spark, monkeypatch):
+    """A filter far too small for the rules is used in passes over parts of them."""
+    monkeypatch.setattr("veilframe.operators.replace.MAX_FILTER_BITS", 1 << 11)
+    rules = {f"key{i:04d}": f"<{i}>" for i in range(600)}
+    texts = [(i, "a", " ".join(RANDOM.choice([*rules, "key9999", "ke"]) for _ in range(15))) for i in range(40)]
+    frame = spark.createDataFrame(texts, "id int, scope string, text string").repartition(3)
+    flat = spark.createDataFrame([("a", s, t) for s, t in rules.items()], "scope string, source string, target string")
+    out = replace_scoped(frame, flat, ["scope"], ["id"], "text", "out", "n", map_rules=0)
+    assert {r["id"]: r["out"] for r in out.collect()} == {i: model.replace_all(t, rules) for i, _, t in texts}
+
+
 def chop(text, cuts):
     marks = sorted({min(c, len(text)) for c in cuts})
     return [text[a:b] for a, b in zip([0, *marks], [*marks, len(text)])]
@@ -81,10 +92,10 @@ def chop(text, cuts):
        st.text(alphabet="abc", max_size=40), st.lists(st.integers(0, 40), max_size=8))
 @settings(max_examples=1500, deadline=None)
 def test_chunking_never_changes_the_result(pairs, text, cuts):
-    cutter = DictionaryReplace(list(pairs.items()))
+    cutter = Dictionary(list(pairs.items()))
     out, tail = [], ""
     for chunk in chop(text, cuts):
-        piece, tail = cutter.cut(tail + chunk)
+        piece, tail = cutter.cut(tail, chunk)
         out.append(piece)
     assert "".join(out) + cutter.last(tail) == model.replace_all(text, pairs)
 
@@ -97,7 +108,7 @@ def test_no_token_is_torn(parts, cuts):
     pairs = {"__VAULT_JWT_12345678__": "<j>", "__VAULT_APIKEY_abcdef012__": "<a>"}
     hold, out, tail = TokenHold(), [], ""
     for chunk in chop(text, cuts):
-        piece, tail = hold.cut(tail + chunk)
+        piece, tail = hold.cut(tail, chunk)
         out.append(model.replace_all(piece, pairs))
     assert "".join(out) + model.replace_all(tail, pairs) == model.replace_all(text, pairs)
 

@@ -19,7 +19,8 @@ from veilframe.functions.spans import alternation, let, replace_matches
 from veilframe.session import BROADCAST_LIMIT_BYTES, broadcast_if_small, cut_lineage
 
 MAP_RULES = 256
-MAX_FILTER_BITS = 1 << 28  # 32 MB; a fuller filter passes more candidates, never fewer
+MAX_FILTER_BITS = 1 << 28  # 32 MB; rules beyond what it tells apart are searched in passes
+BITS_PER_RULE = 16
 
 
 def replace_with_pairs(text: Column, pairs: Column) -> Column:
@@ -177,11 +178,25 @@ def _is_set(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def occurring_sources(df: DataFrame, rules: DataFrame, row: list[str], text: str) -> DataFrame:
     """(row, source) for every substring of a text that may be a rule's source; an equality join with the rules makes
-    it exact. What is broadcast are two bit sets of fixed size."""
+    it exact. What is broadcast are two bit sets of fixed size. Where the rules are too many for such a set to tell texts apart,
+    they are dealt by hash, and the texts are searched once for each part."""
+    n = rules.count()
+    passes = -(-n * BITS_PER_RULE // MAX_FILTER_BITS) or 1
+    if passes == 1:
+        return _occurring(df, rules, row, text)
+    parts = []
+    for i in range(passes):
+        own = rules.where(F.pmod(F.xxhash64("source"), F.lit(passes)) == i)
+        if not own.isEmpty():
+            parts.append(cut_lineage(_occurring(df, own, row, text)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _occurring(df: DataFrame, rules: DataFrame, row: list[str], text: str) -> DataFrame:
     facts = rules.agg(F.count("*").alias("n"), F.min(F.length("source")).alias("shortest")).first()
     lengths = [r[0] for r in rules.select(F.length("source")).distinct().collect()]
     gram = min(8, facts["shortest"] or 1)
-    bits = min(MAX_FILTER_BITS, 1 << max(20, int(facts["n"] * 16).bit_length()))
+    bits = min(MAX_FILTER_BITS, 1 << max(20, int(facts["n"] * BITS_PER_RULE).bit_length()))
 
     def hashed(batches):
         for batch in batches:
