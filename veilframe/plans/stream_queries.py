@@ -12,7 +12,9 @@ from veilframe.plans.pipelines import restore_traffic
 from veilframe.plans.registry import SESSION, Injected, query, table, utc
 from veilframe.plans.traffic_queries import _PLANTED_TURN, _C, _said, _tokenised, sql_token
 from veilframe.session import shared_folder
+from veilframe.sources.vault_store import read_vault
 from veilframe.streaming import jobs
+from veilframe.streaming.sealed import sealed_sessions, sealed_to
 
 PIECE = 11
 _TURN_SECRET = Injected("ghp_{k:36}", "conv_id")
@@ -259,6 +261,25 @@ def stream_session_mask(spark, sf):
     return spark.read.parquet(out).select("conv_id", "turn", "masked_text")
 
 
+@query("stream_sealed_sessions", f"""
+    WITH s AS (SELECT conv_id, turn, {_said(False)} AS t, {_C} AS c FROM conversations)
+    SELECT conv_id, turn, CASE WHEN turn >= 1 THEN replace(t, c, {sql_token('c', "'PASSWORD'")}) ELSE t END AS masked_text, false AS late,
+      CASE WHEN turn = (SELECT min(turn) FROM s r WHERE r.conv_id = s.conv_id AND r.turn >= 1) THEN c END AS secret FROM s""")
+def stream_sealed_sessions(spark, sf):
+    """Sessions over micro-batches that deal turns at random: the vault is sealed keyed state, what it registers is read back from
+    the encrypted vault."""
+    said = table(spark, sf, "conversations").select("conv_id", "turn", F.expr(_said(True)).alias("text"))
+    turns = sealed_sessions(replayed(spark, said, mixed("conv_id", "turn")), ["conv_id"], "turn", "text", SESSION, "pass phrase",
+                            options=DetectOptions(patterns=False, entropy=False))
+    out, vault = shared_folder(spark, "masked"), shared_folder(spark, "vault")
+    masked = _collected(turns, sealed_to(["conv_id"], out, vault, "pass phrase"), out)
+    stored = read_vault(spark, vault, "pass phrase").select("token", "secret").distinct()
+    first = masked.select("conv_id", F.col("seq").alias("turn"), "masked_text", "late")
+    named = first.where("turn >= 1").groupBy("conv_id").agg(F.min("turn").alias("turn"), F.max(
+        F.regexp_extract("masked_text", "__VAULT_PASSWORD_[0-9a-f]{8,9}__", 0)).alias("token")).join(stored, "token").select("conv_id", "turn", "secret")
+    return first.join(named, ["conv_id", "turn"], "left").select("conv_id", "turn", "masked_text", "late", "secret")
+
+
 @query("stream_audit", """
     SELECT substr(sha256(event_type), 1, 12) AS id, epoch_us(min(ts)) AS created_us, epoch_us(max(ts)) AS last_seen_us, count(*) AS seen_count
     FROM events GROUP BY event_type""")

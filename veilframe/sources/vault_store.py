@@ -40,8 +40,14 @@ def _entry() -> Column:
         "token", "secret", "type", F.unix_micros("created_at").alias("created_us"), "hit_count", "name", "source"))
 
 
-def write_vault(vault: DataFrame, path: str, password: str, mode: str = "overwrite") -> None:
-    ring = _key_ring(vault.sparkSession, password, [random_source.token_bytes(SALT_BYTES).hex() for _ in range(SALTS)])
+def new_salts() -> list[str]:
+    return [random_source.token_bytes(SALT_BYTES).hex() for _ in range(SALTS)]
+
+
+def write_vault(vault: DataFrame, path: str, password: str, mode: str = "overwrite", salts: list[str] | None = None) -> None:
+    """Every row sealed by itself. Parts that are written one after the other share ``salts``, so that reading derives a few keys
+    only, however many parts there are."""
+    ring = _key_ring(vault.sparkSession, password, salts or new_salts())
     slot = F.pmod(F.hash("token"), F.lit(SALTS))
     sealed = vault.select(slot.alias("slot"), _entry().alias("entry")).join(ring, "slot").select(
         "salt", F.aes_encrypt(F.encode("entry", "UTF-8"), "key", F.lit("GCM")).alias("sealed"))
