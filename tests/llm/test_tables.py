@@ -151,6 +151,33 @@ def test_salvage(packed):
     assert list(warc.salvage(b"")) == [] and [r[2] for r in warc.salvage(os.urandom(500))] == [None]
 
 
+def test_salvage_inside_members():
+    """Records of one member: bytes lost at its end, a damaged record before a sound compression, a flipped check sum."""
+    rng = random.Random(4)
+    payloads = [prose(rng, 60).encode() for _ in range(50)]
+    parts = [record(i, p) for i, p in enumerate(payloads)]
+    whole = gzip.compress(b"".join(parts), mtime=0)
+    tail = gzip.compress(record(99, b"next"), mtime=0)
+
+    def read(data):
+        out = list(warc.salvage(data))
+        return [r[2]["payload"] for r in out if r[2]], [(o, n, why) for o, n, r, why in out if r is None]
+
+    assert read(whole + tail) == (payloads + [b"next"], [])
+    got, gaps = read(whole[:-20] + tail)  # the end is lost: nearly all records inflate
+    assert got[:-1] == payloads[:len(got) - 1] and len(got) >= 49 and got[-1] == b"next"
+    assert [(o, n) for o, n, _ in gaps] == [(0, len(whole) - 20)]
+    hurt = list(parts)
+    hurt[7] = hurt[7][:-30] + b"#" + hurt[7][-29:]
+    hurt[8] = hurt[8][:-9]
+    got, gaps = read(gzip.compress(b"".join(hurt), mtime=0) + tail)
+    assert got == [p for i, p in enumerate(payloads) if i not in (7, 8)] + [b"next"] and len(gaps) == 1
+    start, stop = sum(map(len, hurt[:7])), sum(map(len, hurt[:9]))
+    assert gaps[0][0] == 0 and gaps[0][2].endswith(f"{start}-{stop}")
+    got, gaps = read(whole[:-6] + bytes([whole[-6] ^ 1]) + whole[-5:] + tail)
+    assert got == payloads + [b"next"] and [(o, n) for o, n, _ in gaps] == [(0, len(whole))]
+
+
 def test_gaps_are_logged(spark, tmp_path):
     parts = [record(i, prose(random.Random(i), 30).encode()) for i in range(4)]
     (tmp_path / "a.warc").write_bytes(parts[0] + parts[1][:-9] + parts[2])

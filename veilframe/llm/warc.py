@@ -25,6 +25,7 @@ REVISIT_BYTES = 1000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 _STEP = 1 << 16
+_INNER = re.compile(rb"WARC/[0-9]")
 _MOST_HEADER = 1 << 20
 _START = re.compile(rb"WARC/[0-9]\.[0-9]+\r\n|\x1f\x8b\x08")
 _RECORDS = ("path string, offset bigint, length bigint, kind string, reason string, record_type string, record_id string, "
@@ -103,38 +104,78 @@ def _record(data: bytes, at: int) -> tuple[int, dict]:
     return stop + 4, {"type": kind, "fields": fields, "payload": payload, "digest": digest}
 
 
-def _member(data: bytes, at: int) -> tuple[int, bytes]:
-    """The content of the gzip member at ``at`` and the place after it."""
+def _inflated(data: bytes, at: int) -> tuple[int, bytes, str]:
+    """The content of the gzip member at ``at`` as far as it can be had, the place after it, and what is wrong with it. A step that
+    fails is taken again byte by byte, up to the damage."""
     inflate, out, place = zlib.decompressobj(31), [], at
     view = memoryview(data)
-    try:
-        while not inflate.eof and place < len(data):
+    while not inflate.eof and place < len(data):
+        before = inflate.copy()
+        try:
             out.append(inflate.decompress(view[place:place + _STEP]))
-            place += _STEP
-    except zlib.error as error:
-        raise _Bad(f"gzip member: {error}") from None
+        except zlib.error as error:
+            try:
+                for i in range(place, min(place + _STEP, len(data))):
+                    out.append(before.decompress(view[i:i + 1]))
+            except zlib.error:
+                pass
+            return -1, b"".join(out), f"gzip member: {error}"
+        place += _STEP
     if not inflate.eof:
-        raise _Bad("gzip member does not end")
-    return min(place, len(data)) - len(inflate.unused_data), b"".join(out)
+        return -1, b"".join(out), "gzip member does not end"
+    return min(place, len(data)) - len(inflate.unused_data), b"".join(out), ""
+
+
+def _member(data: bytes, at: int) -> tuple[int, list[tuple[dict | None, str]], str]:
+    """The records of the gzip member at ``at`` (a gap in its content as None with the reason), the place after it, and what is
+    wrong with the member itself; then the place is where something may start again, and only sound records count."""
+    after, content, wrong = _inflated(data, at)
+    if wrong:
+        following = _START.search(data, at + 1)
+        after = following.start() if following else len(data)
+    found: list[tuple[dict | None, str]] = []
+    place = 0
+    while place < len(content):
+        try:
+            if not content.startswith(b"WARC/", place):
+                raise _Bad("no version line")
+            place, record = _record(content, place)
+            found.append((record, ""))
+        except _Bad as error:
+            following = _INNER.search(content, place + 1)
+            stop = following.start() if following else len(content)
+            if found and found[-1][0] is None:  # one gap, as long as nothing sound lies in it
+                found[-1] = (None, f"{found[-1][1].rpartition('-')[0]}-{stop}")
+            else:
+                found.append((None, f"in a member, {error}, bytes of its content {place}-{stop}"))
+            place = stop
+    return after, [f for f in found if f[0] is not None] if wrong else found, wrong
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
-    """(offset, length, record or None, reason): the records of an archive in order, and the gaps between them."""
+    """(offset, length, record or None, reason): the records of an archive in order, and the gaps between them.
+
+    A damaged gzip member gives the sound records that inflate from it, and a gap over the member; a damaged record inside a
+    sound member gives a gap at the member's place that names the bytes of its content."""
     at, bad_from, reason = 0, -1, ""
     while at < len(data):
-        found: list[dict] = []
+        found: list[tuple[dict | None, str]] = []
         try:
             if data.startswith(b"\x1f\x8b", at):
-                after, content = _member(data, at)
-                place = 0
-                while place < len(content):
-                    if not content.startswith(b"WARC/", place):
-                        raise _Bad("gzip member holds no record")
-                    place, record = _record(content, place)
-                    found.append(record)
+                after, found, wrong = _member(data, at)
+                if wrong:
+                    if bad_from < 0 and found:
+                        yield from ((at, after - at, record, "") for record, _ in found)
+                    elif found:
+                        yield bad_from, at - bad_from, None, reason
+                        yield from ((at, after - at, record, "") for record, _ in found)
+                        bad_from = -1
+                    raise _Bad(wrong)
+                if not any(record for record, _ in found):
+                    raise _Bad("gzip member holds no record")
             elif data.startswith(b"WARC/", at):
                 after, record = _record(data, at)
-                found.append(record)
+                found.append((record, ""))
             else:
                 raise _Bad("neither a version line nor a gzip member")
         except _Bad as error:
@@ -146,8 +187,8 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
         if bad_from >= 0:
             yield bad_from, at - bad_from, None, reason
             bad_from = -1
-        for record in found:
-            yield at, after - at, record, ""
+        for record, why in found:
+            yield at, after - at, record, why
         at = after
     if bad_from >= 0:
         yield bad_from, len(data) - bad_from, None, reason
