@@ -186,9 +186,10 @@ def occurring_sources(df: DataFrame, rules: DataFrame, row: list[str], text: str
         return _occurring(df, rules, row, text)
     parts = []
     for i in range(passes):
-        own = rules.where(F.pmod(F.xxhash64("source"), F.lit(passes)) == i)
-        if not own.isEmpty():
-            parts.append(cut_lineage(_occurring(df, own, row, text)))
+        mine = F.pmod(F.xxhash64("source"), F.lit(passes)) == i
+        own = rules.where(mine)
+        if not own.isEmpty():  # a set may let through what belongs to another part, which is found there
+            parts.append(cut_lineage(_occurring(df, own, row, text).where(mine)))
     return reduce(DataFrame.unionByName, parts)
 
 
