@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -223,3 +224,22 @@ def test_text_scalars(spark):
     rows = [("a\x1b[31mb\x1b[0mc", "abc"), ("a\x1b[2", "a"), ("a\x1b]0;t\x07b", "a"), ("plain", "plain")]
     df = spark.createDataFrame(rows, "s string, want string")
     assert all(a == b for a, b in df.select(strip_ansi(F.col("s")), "want").collect())
+
+
+def test_few_file_blocks_still_use_all_cores(spark):
+    from veilframe.plans import catalog
+
+    for name in ("overlap_resolution", "detect_context_assignment"):
+        found = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_places_in_texts_that_hold_the_marks(spark):
+    from veilframe.functions.spans import located_matches
+
+    texts = ["", "none", "ab12 é34", "\x01ab12 \x0234", "12\x0134\x01", "😀12", "\x0212"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    rows = df.select("id", located_matches(F.col("text"), r"([a-z]?)([0-9])([0-9])(?=(x)?)", 4).alias("m")).collect()
+    for r in rows:
+        expected = [(m.start(), m[0], m[1], m[2], m[3], m[4] or "") for m in re.finditer(r"([a-z]?)([0-9])([0-9])(?=(x)?)", texts[r["id"]])]
+        assert [tuple(m) for m in r["m"]] == expected

@@ -70,7 +70,7 @@ def classify_keyword(keyword: Column) -> Column:
 
 
 def trim_end(text: Column) -> Column:
-    return F.regexp_replace(text, rf"[{rules.SPACE}]+$(?![\s\S])", "")
+    return F.rtrim(text, F.lit(rules.SPACE_LETTERS))
 
 
 def context_rule_spans(text: Column, rule_id: str, regex: str, anchors: tuple[str, ...], ordinal: int) -> Column:

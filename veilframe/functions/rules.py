@@ -18,6 +18,8 @@ WIDE_BLANK = r"\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 ASCII_BLANK = r"\t\x0B\f "
 SPACE = ASCII_BLANK + r"\n\r" + WIDE_BLANK
 INLINE_SPACE = ASCII_BLANK + WIDE_BLANK
+SPACE_LETTERS = ("\t\x0B\f \n\r\u00A0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
+                 + "\u2028\u2029\u202F\u205F\u3000\uFEFF")  # the letters of SPACE
 
 
 AWS_ID = r"(?:AKIA|AGPA|AROA|AIPA)[A-Z0-9]{16}"

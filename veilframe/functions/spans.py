@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ def no_candidates() -> Column:
     return F.array().cast(NO_CANDIDATES)
 
 
-MARK = "\u0001"
+MARK, PART = "\u0001", "\u0002"
 
 
 def gaps_between(text: Column, rx: Column) -> Column:
@@ -34,30 +34,46 @@ def gaps_between(text: Column, rx: Column) -> Column:
 def located_matches(text: Column, regex: Column | str, groups: int) -> Column:
     """All non-overlapping matches, left to right: array of (at, full, g1..gN).
 
-    Running sums over the lengths of gaps and matches give every position. A zero-width match at the very start may have
-    no gap of its own; it is then left out. Texts without a match cost one scan.
+    One pass of the regex sets every match and its groups between marks; the text is split there, and running sums over
+    the lengths of gaps and matches give every position. A text that holds a mark itself is searched once for the gaps and
+    once for each group; a zero-width match at its very start may have no gap of its own and is then left out.
     """
     rx = F.lit(regex) if isinstance(regex, str) else regex
     names = [f"g{i}" for i in range(1, groups + 1)]
     hit_type = "struct<at:int,full:string" + "".join(f",{n}:string" for n in names) + ">"
     none = F.array().cast(f"array<{hit_type}>")
 
-    def place(m: Column) -> Column:
-        n = F.size(m["full"])
-        skip = n + 1 - F.size(m["gap"])
-        widths = F.transform(F.sequence(F.lit(0), n - 1 - skip), lambda i: F.length(F.get(m["gap"], i)) + F.length(F.get(m["full"], i + skip)))
-        return F.when(skip == n, none).otherwise(let(running_sums(widths), lambda ends: F.transform(ends, lambda end, i: F.struct(
-            (end - F.length(F.get(m["full"], i + skip))).alias("at"), F.get(m["full"], i + skip).alias("full"),
-            *[F.get(m[c], i + skip).alias(c) for c in names]))))
+    def placed(hits: Column, widths: Column, field: Callable[[Column, int], Column]) -> Column:
+        """Hits with the places that the widths of gap and match add up to."""
+        return let(running_sums(widths), lambda ends: F.zip_with(hits, ends, lambda h, end: F.struct(
+            (end - F.length(field(h, 0))).alias("at"), field(h, 0).alias("full"),
+            *[field(h, i + 1).alias(n) for i, n in enumerate(names)])))
 
-    def locate(fulls: Column) -> Column:
-        parts = F.struct(
+    def read(parts: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), lambda i: F.split(F.get(parts, i), F.lit(PART), -1))
+        found = let(cut, lambda hits: placed(hits, F.transform(
+            hits, lambda h, i: F.length(F.get(parts, 2 * i)) + F.length(F.get(h, F.lit(0)))), lambda h, i: F.get(h, F.lit(i))))
+        return F.when(F.size(parts) < 3, none).otherwise(found)
+
+    def search(fulls: Column) -> Column:
+        fields = F.struct(
             gaps_between(text, rx).alias("gap"), fulls.alias("full"),
             *[F.regexp_extract_all(text, rx, F.lit(i + 1)).alias(n) for i, n in enumerate(names)],
         )
-        return F.when(F.size(fulls) == 0, none).otherwise(let(parts, place))
 
-    return let(F.regexp_extract_all(text, rx, F.lit(0)), locate)
+        def place(m: Column) -> Column:
+            n = F.size(m["full"])
+            skip = n + 1 - F.size(m["gap"])
+            hits = F.slice(F.arrays_zip(m["full"], *[m[c] for c in names]), skip + 1, n - skip)
+            widths = F.transform(F.sequence(F.lit(0), n - 1 - skip), lambda i: F.length(F.get(m["gap"], i)) + F.length(F.get(m["full"], i + skip)))
+            return F.when(skip == n, none).otherwise(placed(hits, widths, lambda h, i: h[["full", *names][i]]))
+
+        return F.when(F.size(fulls) == 0, none).otherwise(let(fields, place))
+
+    groups_out = "".join(f"{PART}${i}" for i in range(1, groups + 1))
+    marked = F.split(F.regexp_replace(text, rx, F.lit(f"{MARK}$0{groups_out}{MARK}")), F.lit(MARK), -1)
+    return F.when(F.contains(text, F.lit(MARK)) | F.contains(text, F.lit(PART)), let(F.regexp_extract_all(text, rx, F.lit(0)), search)).otherwise(
+        let(marked, read))
 
 
 def candidate(

@@ -10,6 +10,7 @@ from veilframe.functions.detect import char_groups, infer_type, is_whitelisted,
 from veilframe.functions.text import unescape_html
 from veilframe.operators.findings import dry_run, findings, skip_token_values
 from veilframe.plans.registry import Injected, query, table
+from veilframe.session import spread
 
 FINDING = ["value", "type", "confidence", "start", "end", "pattern_id"]
 PATTERNS_ONLY = DetectOptions(context=False, entropy=False)
@@ -51,6 +52,11 @@ _CASES = {
 }
 
 
+def order_rows(spark, sf):
+    """Orders, from whose keys the texts are made, over all cores."""
+    return spread(table(spark, sf, "orders"), "o_orderkey")
+
+
 def _detect_sql(source: str, key: str, text: str, run: str, full: str, type_: str, confidence: str, id_: str) -> str:
     run, full = run.replace("'", "''"), full.replace("'", "''")
     return f"""
@@ -69,7 +75,7 @@ def _register_pattern(name: str) -> None:
 
     @query(f"detect_{name}", _detect_sql("orders", "o_orderkey", text.sql, run, full, type_, "high", pattern_id))
     def run_query(spark, sf):
-        orders = table(spark, sf, "orders").select("o_orderkey", text.spark.alias("text"))
+        orders = order_rows(spark, sf).select("o_orderkey", text.spark.alias("text"))
         found = findings(orders, ["o_orderkey"], "text", PATTERNS_ONLY)
         return found.filter(F.col("pattern_id") == pattern_id).select("o_orderkey", *FINDING)
 
@@ -86,7 +92,7 @@ _CUSTOM = Injected("badge EMP-{col:lpad(cast(o_orderkey as string), 6, '0')} of
     FROM (SELECT o_orderkey, text, unnest(regexp_extract_all(text, 'EMP-[0-9]{{6}}')) AS v
           FROM (SELECT o_orderkey, {_CUSTOM.sql} AS text FROM orders))""")
 def detect_custom_rule(spark, sf):
-    orders = table(spark, sf, "orders").select("o_orderkey", _CUSTOM.spark.alias("text"))
+    orders = order_rows(spark, sf).select("o_orderkey", _CUSTOM.spark.alias("text"))
     options = DetectOptions(context=False, entropy=False, custom_rules=(EMPLOYEE,))
     return findings(orders, ["o_orderkey"], "text", options).select("o_orderkey", *FINDING)
 
@@ -128,7 +134,7 @@ _QUOTED = Injected("my password = \"{c:10}\" then token is {e:8} and user: bob;
       SELECT o_orderkey, e, 'BEARER_TOKEN', 41, 8 FROM t UNION ALL
       SELECT o_orderkey, f, 'APIKEY', 74, 10 FROM t)""")
 def detect_context_english(spark, sf):
-    orders = table(spark, sf, "orders").select("o_orderkey", _QUOTED.spark.alias("text"))
+    orders = order_rows(spark, sf).select("o_orderkey", _QUOTED.spark.alias("text"))
     found = findings(orders, ["o_orderkey"], "text", DetectOptions(patterns=False, entropy=False))
     return found.select("o_orderkey", "value", "type", "start", "end")
 
@@ -143,7 +149,7 @@ _CHINESE = Injected("密码是 {f:8}，密钥: {g:8} 口令为{h:7}；口令：{
       SELECT o_orderkey, {Injected('{g:8} 口令为{h:7}', 'o_orderkey').sql}, 'APIKEY', 17 FROM orders UNION ALL
       SELECT o_orderkey, {Injected('{i:6}', 'o_orderkey').sql}, 'PASSWORD', 40 FROM orders)""")
 def detect_context_chinese(spark, sf):
-    orders = table(spark, sf, "orders").select("o_orderkey", _CHINESE.spark.alias("text"))
+    orders = order_rows(spark, sf).select("o_orderkey", _CHINESE.spark.alias("text"))
     found = findings(orders, ["o_orderkey"], "text", DetectOptions(patterns=False, entropy=False))
     return found.select("o_orderkey", "value", "type", "start", "end")
 
@@ -162,7 +168,7 @@ _ASSIGNED = Injected("export DB_PASSWORD={a:9}; MY_API_KEY = {b:9}, GH_TOKEN2={c
       SELECT o_orderkey, d, 'GENERIC', 'context_assignment' FROM t UNION ALL
       SELECT o_orderkey, e, 'GENERIC', 'context_en_keyword' FROM t)""")
 def detect_context_assignment(spark, sf):
-    orders = table(spark, sf, "orders").select("o_orderkey", _ASSIGNED.spark.alias("text"))
+    orders = order_rows(spark, sf).select("o_orderkey", _ASSIGNED.spark.alias("text"))
     found = findings(orders, ["o_orderkey"], "text", DetectOptions(patterns=False, entropy=False))
     return found.select("o_orderkey", "value", "type", "pattern_id")
 
@@ -178,7 +184,7 @@ _HEX32 = Injected("{z:32}", "o_orderkey")
     FROM (SELECT o_orderkey, {_HEX32.sql} AS v FROM orders)
     WHERE {_ENTROPY_SQL.format(v='v')} > 3.5 + 1e-12 AND NOT regexp_full_match(v, '[a-z_][a-z0-9_]*')""")
 def detect_entropy_hex(spark, sf):
-    orders = table(spark, sf, "orders").select("o_orderkey", _RUN_HEX.spark.alias("text"))
+    orders = order_rows(spark, sf).select("o_orderkey", _RUN_HEX.spark.alias("text"))
     options = DetectOptions(patterns=False, context=False)
     return findings(orders, ["o_orderkey"], "text", options).select("o_orderkey", *FINDING)
 
@@ -193,7 +199,7 @@ _VALUE_64 = Injected("{x:20}{y:20:U}+/{w:6}==", "o_orderkey")
     FROM (SELECT o_orderkey, {_VALUE_64.sql} AS v FROM orders)
     WHERE {_ENTROPY_SQL.format(v='v')} > 4.5 + 1e-12""")
 def detect_entropy_base64(spark, sf):
-    orders = table(spark, sf, "orders").select("o_orderkey", _RUN_64.spark.alias("text"))
+    orders = order_rows(spark, sf).select("o_orderkey", _RUN_64.spark.alias("text"))
     options = DetectOptions(patterns=False, context=False)
     found = findings(orders, ["o_orderkey"], "text", options).filter("pattern_id = 'entropy_base64'")
     return found.select("o_orderkey", "value", "pattern_id")
@@ -208,7 +214,7 @@ _MIXED = Injected("{a:6}{b:5:U}-{c:2}", "o_orderkey")
            + CAST(regexp_matches(v, '[0-9]') AS INTEGER) + CAST(regexp_matches(v, '[+/_=-]') AS INTEGER) AS n_groups
     FROM (SELECT o_orderkey, {_MIXED.sql} AS v FROM orders)""")
 def entropy_and_groups(spark, sf):
-    values = table(spark, sf, "orders").select("o_orderkey", _MIXED.spark.alias("value"))
+    values = order_rows(spark, sf).select("o_orderkey", _MIXED.spark.alias("value"))
     return values.select("o_orderkey", "value", F.round(shannon_entropy(F.col("value")), 6).alias("entropy"),
                          char_groups(F.col("value")).alias("n_groups"))
 
@@ -226,7 +232,7 @@ _WHITE = {
 def whitelist_values(spark, sf):
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), Injected(t, "o_orderkey").spark.alias("v"))
                       for k, t in _WHITE.items()])
-    values = table(spark, sf, "orders").select("o_orderkey", F.explode(pairs).alias("p"))
+    values = order_rows(spark, sf).select("o_orderkey", F.explode(pairs).alias("p"))
     return values.select("o_orderkey", "p.kind", is_whitelisted(F.col("p.v")).alias("whitelisted"))
 
 
@@ -242,7 +248,7 @@ _OVERLAP = Injected(
       SELECT o_orderkey, k, 'github_pat', 74 FROM t UNION ALL
       SELECT o_orderkey, d, 'db_connection', 124 FROM t)""")
 def overlap_resolution(spark, sf):
-    orders = table(spark, sf, "orders").select("o_orderkey", _OVERLAP.spark.alias("text"))
+    orders = order_rows(spark, sf).select("o_orderkey", _OVERLAP.spark.alias("text"))
     return findings(orders, ["o_orderkey"], "text").select("o_orderkey", "value", "pattern_id", "start", "end")
 
 
@@ -253,7 +259,7 @@ _ARGV = Injected("token={a:8} blob={x:20}{y:20:U}+/{w:6}==", "o_orderkey")
     SELECT o_orderkey, {Injected('{a:8}', 'o_orderkey').sql} AS value, 'BEARER_TOKEN' AS type, 'context_en_keyword' AS pattern_id
     FROM orders""")
 def detect_argv_profile(spark, sf):
-    orders = table(spark, sf, "orders").select("o_orderkey", _ARGV.spark.alias("text"))
+    orders = order_rows(spark, sf).select("o_orderkey", _ARGV.spark.alias("text"))
     return findings(orders, ["o_orderkey"], "text", DetectOptions.argv()).select(
         "o_orderkey", "value", "type", "pattern_id")
 
@@ -271,7 +277,7 @@ def infer_type_query(spark, sf):
                   "WHEN '3-MEDIUM' THEN 'my pem' WHEN '4-NOT SPECIFIED' THEN 'JWT-a' ELSE 'a key' END")
     secret = F.when(F.col("o_orderstatus") == "F", Injected("ghp_{k:36}", "o_orderkey").spark).otherwise(
         Injected("x {k:12}", "o_orderkey").spark)
-    entries = table(spark, sf, "orders").select("o_orderkey", name.alias("name"), secret.alias("secret"))
+    entries = order_rows(spark, sf).select("o_orderkey", name.alias("name"), secret.alias("secret"))
     return entries.select("o_orderkey", "name", infer_type(F.col("name"), F.col("secret")).alias("type"))
 
 
@@ -290,7 +296,7 @@ _TOKENISH = Injected("password = __VAULT_PASSWORD_{a:8}__; secret = {b:8}", "o_o
 @query("skip_token_values", f"""
     SELECT o_orderkey, {Injected('{b:8}', 'o_orderkey').sql} AS value FROM orders""")
 def skip_token_values_query(spark, sf):
-    orders = table(spark, sf, "orders").select("o_orderkey", _TOKENISH.spark.alias("text"))
+    orders = order_rows(spark, sf).select("o_orderkey", _TOKENISH.spark.alias("text"))
     return skip_token_values(findings(orders, ["o_orderkey"], "text", DetectOptions.argv())).select("o_orderkey", "value")
 
 
@@ -315,7 +321,7 @@ def _long_word_detector(text):
 @query("detect_plugged_in", """
     SELECT o_orderkey, 'CAPITALSCAPITALSCAPITALS' AS value, 'capitals' AS pattern_id FROM orders""")
 def detect_plugged_in(spark, sf):
-    orders = table(spark, sf, "orders").select(
+    orders = order_rows(spark, sf).select(
         "o_orderkey", F.concat(F.lit("see CAPITALSCAPITALSCAPITALS "), F.col("o_orderpriority")).alias("text"))
     options = DetectOptions(entropy=False, extra_detectors=(_long_word_detector,))
     return findings(orders, ["o_orderkey"], "text", options).select("o_orderkey", "value", "pattern_id")
