@@ -1,8 +1,9 @@
 """Dictionary replacement in text: secrets to tokens, scoped or global.
 
 A text's dictionary is the rules of its scope (document, conversation, session). Scopes with few rules carry them as
-one map per scope. A scope with more rules than ``MAP_RULES`` is never gathered: its texts are searched for rule
-fingerprints, and only the rules that occur in a text meet that text again. Both ways give the same result.
+one map per scope; where the caller allows larger maps, workers hold them as automata. A scope with more rules than
+``MAP_RULES`` is else never gathered: its texts are searched for rule fingerprints, and only the rules that occur in a
+text meet that text again. All ways give the same result.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,7 +65,7 @@ def replace_scoped(
     sizes = rules.groupBy(*scope).agg(F.count("*").alias("n"), F.sum(width.cast("long")).alias("bytes"))
     facts = sizes.agg(
         F.sum("bytes").alias("bytes"), F.sum("n").alias("rules"),
-        F.count_if(F.col("n") > map_rules).alias("big")).first()
+        F.count_if(F.col("n") > map_rules).alias("big"), F.max("n").alias("most")).first()
     size_bytes = (facts["bytes"] or 0) + 64 * (facts["rules"] or 0)
     if gate is not None and (facts["big"] or size_bytes > BROADCAST_LIMIT_BYTES):
         hopeful = F.coalesce(gate, F.lit(False))
@@ -70,6 +73,8 @@ def replace_scoped(
         done = replace_scoped(df.filter(hopeful), rules, scope, keys, text, out, count, order, since, map_rules)
         return done.unionByName(plain.withColumn(count, F.lit(0)) if count else plain)
     if not facts["big"]:
+        if (facts["most"] or 0) > MAP_RULES and size_bytes <= BROADCAST_LIMIT_BYTES and not count and not since:
+            return _replace_by_dictionaries(df, rules, scope, text, out)
         return _replace_by_maps(df, rules, scope, text, out, count, order, since, size_bytes)
 
     big = cut_lineage(sizes.filter(F.col("n") > map_rules).select(*scope))
@@ -111,6 +116,34 @@ def _replace_by_maps(df, rules, scope, text, out, count, order, since, size_byte
     return _finish(join_null_safe(df, maps, scope, "left"), df.columns, text, out, count, order, since)
 
 
+def _replace_by_dictionaries(df: DataFrame, rules: DataFrame, scope: list[str], text: str, out: str) -> DataFrame:
+    """Maps with more rules than a row may carry: workers hold them as one automaton per scope, so that a text is passed over
+    once, however many rules its scope has. The rules are broadcast, by measured size."""
+    from veilframe.streaming.cutters import Dictionary
+
+    name = F.to_json(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(scope)])) if scope else F.lit("")
+    sink = pa.BufferOutputStream()
+    held = rules.select(name.alias("scope"), "source", "target").toArrow()
+    with pa.ipc.new_stream(sink, held.schema) as writer:
+        writer.write_table(held)
+    sent = df.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+    def replace(batches):
+        known, made = None, {}
+        for batch in batches:
+            done = []
+            for key, body in zip(batch.column("_scope").to_pylist(), batch.column("_text").to_pylist()):
+                if key not in made:
+                    known = known or pa.ipc.open_stream(sent.value).read_all()
+                    own = known.filter(pc.equal(known["scope"], key))
+                    made[key] = Dictionary(list(zip(own["source"].to_pylist(), own["target"].to_pylist())))
+                done.append(None if body is None else made[key].last(body))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(done, pa.string())], [*batch.schema.names[:-2], out])
+
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
+    return df.select("*", name.alias("_scope"), F.col(text).alias("_text")).mapInArrow(replace, schema)
+
+
 def _replace_by_search(df, rules, scope, keys, text, out, count, order, since) -> DataFrame:
     """Find which rules occur in which row, join exactly those, and replace per row."""
     row = list(dict.fromkeys([*keys, *scope, *([order] if order else [])]))
