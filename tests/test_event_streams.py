@@ -302,3 +302,20 @@ def test_requests_and_responses_meet_over_batches(spark, tmp_path):
     jobs.start_batches(jobs.exchange_stream(requests, responses, ["x"]), jobs.restore_exchanges_to(vault, ["x"], out), str(tmp_path / "ck")).awaitTermination()
     got = {r["x"]: (r["provider"], r["restored_body"]) for r in spark.read.parquet(out).collect()}
     assert got == {i: ("openai", f"s {i}") for i in (0, 1, 2)}
+
+
+def test_lines_without_a_token_are_put_together_in_place(spark, monkeypatch, tmp_path):
+    from veilframe.streaming import jobs
+
+    taken, restore = [], jobs.restore
+    monkeypatch.setattr(jobs, "restore", lambda cells, *rest: taken.append(cells.count()) or restore(cells, *rest))
+    token = "__VAULT_JWT_00000001__"
+    batch = spark.createDataFrame(
+        [("s", 0, 0, ["<", ">"], ["plain"], False), ("s", 1, 0, ["<", ">"], [token], False), ("s", 2, 0, ["data: [DONE]"], [], False),
+         ("s", 3, 0, ["<", "|", ">"], ["a", None], True)],
+        "k string, seq long, sub int, parts array<string>, pieces array<string>, synthetic boolean")
+    vault = spark.createDataFrame([(token, "hidden")], "token string, secret string")
+    jobs.rewrite_to(vault, ["k"], str(tmp_path))(batch, 0)
+    lines = {r["seq"]: r["line"] for r in spark.read.parquet(str(tmp_path)).collect()}
+    assert taken == [2] and len(lines) == 4 and lines[2] == "data: [DONE]"
+    assert "plain" in lines[0] and "hidden" in lines[1] and token not in lines[1] and lines[3].startswith("<")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from veilframe.config import DETECTION_WINDOW, DetectOptions
 from veilframe.functions.http import route_provider
+from veilframe.functions.rules import TOKEN_HEAD
 from veilframe.functions.sse import json_text, sse_data, sse_text_fields
 from veilframe.operators.findings import findings, skip_token_values
 from veilframe.operators.mask import mask_as_of
@@ -134,25 +135,32 @@ def sse_rewrite(lines: DataFrame, keys: list[str], provider: str, idle_ms: int |
 def sse_replace(lines: DataFrame, keys: list[str], provider: str, pairs: list[tuple[str, str]], idle_ms: int | None = None) -> DataFrame:
     """Event lines with a bounded rule list replaced in their text fields, also over event borders: (keys, seq, sub, line, synthetic)."""
     cut = _run(lines.select(*keys, "seq", "line", "is_last"), keys, Rewritten(_dictionary(lines.sparkSession, pairs), provider), REWRITTEN, idle_ms)
+    return cut.select(*keys, "seq", "sub", _line().alias("line"), "synthetic")
+
+
+def _line() -> Column:
+    """The pieces put back between the parts of their line."""
     pieces = F.transform("pieces", lambda p: json_text(p))
-    line = F.array_join(F.zip_with("parts", pieces, lambda part, piece: F.concat(part, F.coalesce(piece, F.lit("")))), "")
-    return cut.select(*keys, "seq", "sub", line.alias("line"), "synthetic")
+    return F.array_join(F.zip_with("parts", pieces, lambda part, piece: F.concat(part, F.coalesce(piece, F.lit("")))), "")
 
 
 def rewrite_to(vault: DataFrame, keys: list[str], path: str) -> Callable[[DataFrame, int], None]:
     """Sink of ``sse_rewrite``: pieces are joined with the vault and put back between the parts of their line; one folder of
-    (keys, seq, sub, line, synthetic) per micro-batch. In order of seq and sub the lines can be replayed."""
+    (keys, seq, sub, line, synthetic) per micro-batch. In order of seq and sub the lines can be replayed. A line without a
+    token's head is put together where it is; only the others are taken apart and shuffled."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         place = [*keys, "seq", "sub", "synthetic"]
-        cells = batch.select(*place, F.posexplode(F.arrays_zip("parts", "pieces")).alias("at", "c")).select(
+        named = F.exists("pieces", lambda p: F.coalesce(F.contains(p, F.lit(TOKEN_HEAD)), F.lit(False)))
+        cells = batch.where(named).select(*place, F.posexplode(F.arrays_zip("parts", "pieces")).alias("at", "c")).select(
             *place, "at", "c.parts", "c.pieces")
         whole = restore(cells, vault, [*place, "at"], "pieces", "restored")
         text = F.concat("parts", F.coalesce(json_text(F.col("restored")), F.lit("")))
         lines = whole.groupBy(*place).agg(F.sort_array(F.collect_list(F.struct("at", text.alias("t")))).alias("cells"))
-        lines.select(*place, F.array_join(F.transform("cells", lambda c: c["t"]), "").alias("line")).write.mode("overwrite").parquet(
-            f"{path}/batch_id={batch_id}")
+        restored = lines.select(*place, F.array_join(F.transform("cells", lambda c: c["t"]), "").alias("line"))
+        plain = batch.where(~F.coalesce(named, F.lit(False))).select(*place, _line().alias("line"))
+        restored.unionByName(plain).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
         batch.unpersist()
 
     return handle
