@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -319,6 +320,29 @@ def inserted(rng, text, places, cut=0):
     return " ".join(words)
 
 
+def test_passages_of_repeated_lines_that_share_few_shingles_are_settled_quickly():
+    """Two texts of repeated lines with few shingles in common met at many places; each had thousands of ranges to judge."""
+    left, right = np.zeros(260, np.uint64), np.zeros(600, np.uint64)
+    left[::7], right[::8] = np.arange(1, 39), np.arange(51, 126)
+    at = [(r, w) for w in range(301, 400, 9) for r in range(101, 200, 9) if r % 7 and w % 8]
+    windows = np.array([(f, r - 45, r, r + 45, w - 45, w, w + 45) for r, w in at for f in (0, 1)]).T
+    began = time.perf_counter()
+    assert passages.verified_ranges(left, right, windows, False) == []
+    assert time.perf_counter() - began < 2
+
+
+def test_ranges_of_repeated_lines_are_judged_as_one_by_one():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        x, y = (rng.integers(0, int(rng.integers(2, 50)), int(rng.integers(60, 200))).astype(np.uint64) for _ in range(2))
+        span = passages._SPAN
+        assert passages._variety(x).tolist() == [len(set(x[i:i + span].tolist())) for i in range(len(x) - span + 1)]
+        a, c = rng.integers(0, len(x) - span, 50), rng.integers(0, len(y) - span, 50)
+        b, e = a + span, c + span
+        alike = [passages._jaccard(x[i:j], y[k:n]) for i, j, k, n in zip(a, b, c, e)]
+        assert passages._Sets(x, y).first_alike(a, b, c, e) == (alike.index(True) if any(alike) else -1)
+
+
 def test_passages_over_inserted_deleted_and_moved_words(spark):
     rng = random.Random(12)
     base = [prose(rng, 60), prose(rng, 120), prose(rng, 62), prose(rng, 80), prose(rng, 300)]
