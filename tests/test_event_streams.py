@@ -14,6 +14,7 @@ from veilframe.operators.responses import response_events
 from veilframe.operators.restore import restore_ansi
 from veilframe.streaming import jobs
 from veilframe.streaming.cutters import AnsiTokenHold, Dictionary, TokenHold
+from veilframe.streaming.events import body_cells
 
 RANDOM = random.Random(11)
 TOKENS = {"__VAULT_JWT_12345678__": 'se"cr\\et\n1', "__VAULT_APIKEY_0123abcde__": "secrét2"}
@@ -304,6 +305,24 @@ def test_requests_and_responses_meet_over_batches(spark, tmp_path):
     assert got == {i: ("openai", f"s {i}") for i in (0, 1, 2)}
 
 
+def test_cells_of_a_body_leave_as_they_are_made():
+    """A batch of bodies was taken apart as a whole before, so a worker's memory grew with the batch and with its bodies."""
+    calls = []
+
+    class Counted(TokenHold):
+        def cut(self, held, text):
+            calls.append(text)
+            return super().cut(held, text)
+
+    line = 'data: {"choices":[{"delta":{"content":"a __VA"}}]}'
+    body = "\r\n".join([line] * 1000)
+    cells = body_cells("openai", body, Counted())
+    parts, pieces = next(cells)
+    assert len(calls) == 1 and pieces == ["a "] and parts[-1].endswith("}\r\n")
+    rest = list(cells)
+    assert len(rest) == 1001 and rest[-3][0][-1].endswith("}\n") and rest[-2][1] == ["__VA"] and rest[-1] == (["\n"], [])
+
+
 def test_lines_without_a_token_are_put_together_in_place(spark, monkeypatch, tmp_path):
     from veilframe.streaming import jobs
 

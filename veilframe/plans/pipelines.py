@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import zip_longest
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilframe.config import DetectOptions
 from veilframe.functions.detect import infer_type, may_hold_secret
@@ -21,7 +24,7 @@ from veilframe.operators.mask import mask, mask_as_of, mask_spans
 from veilframe.operators.replace import join_null_safe, occurring_sources
 from veilframe.operators.restore import restore
 from veilframe.operators.vault import build_vault, rehydrate_vault, require_unique_names, sightings
-from veilframe.session import cut_lineage
+from veilframe.session import cut_lineage, spread
 from veilframe.streaming.cutters import TokenHold
 from veilframe.streaming.events import body_cells
 
@@ -138,17 +141,39 @@ def register_by_hand(entries: DataFrame, session: str, seen_at: Column, order: l
     return require_unique_names(build_vault(events, session))
 
 
-CELLS = "array<struct<parts:array<string>,pieces:array<string>>>"
+BODY_BYTES = 4 << 20  # of logged bodies that a worker takes at once
+CELL_ROWS = 1 << 14  # of cells that it gives back at once
 
 
-def _event_cells(provider: Column, body: Column) -> Column:
-    @F.arrow_udf(CELLS)
-    def cells(providers: pa.Array, bodies: pa.Array) -> pa.Array:
+def _event_cells(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Event-stream bodies taken apart: (keys, line, at, parts, pieces). Cells are many times a body's size, so bodies come in
+    batches of some megabytes, whatever their number, and cells leave as they are made."""
+    events.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BODY_BYTES)
+    schema = T.StructType([*[events.schema[k] for k in keys], *T._parse_datatype_string("line int, at int, parts string, pieces string").fields])
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = TokenHold()
-        return pa.array([body_cells(p or "", b, cutter) for p, b in zip(providers.to_pylist(), bodies.to_pylist())],
-                        pa.list_(pa.struct([("parts", pa.list_(pa.string())), ("pieces", pa.list_(pa.string()))])))
+        for batch in batches:
+            names = [batch.column(k) for k in keys]
+
+            def made(rows: list[tuple]) -> pa.RecordBatch:
+                row, *rest = zip(*rows)
+                columns = [*(name.take(pa.array(row, pa.int64())) for name in names),
+                           *(pa.array(c, t) for c, t in zip(rest, (pa.int32(), pa.int32(), pa.string(), pa.string())))]
+                return pa.RecordBatch.from_arrays(columns, schema.names)
+
+            rows: list[tuple] = []
+            for i in range(batch.num_rows):
+                provider, body = (batch.column(c)[i].as_py() for c in ("provider", "body"))
+                for line, cell in enumerate(body_cells(provider or "", body, cutter)):
+                    rows += [(i, line, at, part, piece) for at, (part, piece) in enumerate(zip_longest(*cell))]
+                    if len(rows) >= CELL_ROWS:
+                        yield made(rows)
+                        rows = []
+            if rows:
+                yield made(rows)
 
-    return cells(provider, body)
+    return spread(events.select(*keys, "provider", "body"), *keys).mapInArrow(cells, schema)
 
 
 def routed_responses(requests: DataFrame, responses: DataFrame, keys: list[str], default_provider: str | None = None) -> DataFrame:
@@ -172,8 +197,7 @@ def restore_responses(routed: DataFrame, vault: DataFrame, keys: list[str]) -> D
     whole = restore(formed.where("form = 'text'"), vault, keys, "body", "restored_body")
     # Only streams in which a token may be torn or whole are taken apart.
     events = formed.where("form = 'events'")
-    lines = cut_lineage(events.select(*keys, F.posexplode(_event_cells(F.col("provider"), F.col("body"))).alias("line", "cell")).select(
-        *keys, "line", F.posexplode(F.arrays_zip("cell.parts", "cell.pieces")).alias("at", "c")).select(*keys, "line", "at", "c.parts", "c.pieces"))
+    lines = cut_lineage(_event_cells(events, keys))
     cells = restore(lines, vault, [*keys, "line", "at"], "pieces", "restored")
     text = F.concat("parts", F.coalesce(json_text(F.col("restored")), F.lit("")))
     bodies = cells.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "at", text.alias("t")))), lambda c: c["t"]), "")

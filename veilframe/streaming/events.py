@@ -116,19 +116,19 @@ class Rewritten(Handler):
                 sub += 2
 
 
-def body_cells(provider: str, body: str, cutter) -> list[dict]:
-    """A logged event-stream body as cells of a line each: ``parts`` and ``pieces`` as ``Rewritten`` gives them, line ends
-    included. Line ends stay as they are; what is left over comes as events behind the last line."""
-    handler, lines, cells = Rewritten(cutter, provider), body.split("\n"), []
+def body_cells(provider: str, body: str, cutter) -> Iterator[tuple[list[str], list[str]]]:
+    """A logged event-stream body as cells of a line each: parts and pieces as ``Rewritten`` gives them, line ends
+    included. Line ends stay as they are; what is left over comes as events behind the last line. Cells come one by one, so
+    that a body is never held as cells."""
+    handler, lines = Rewritten(cutter, provider), body.split("\n")
     state = handler.open(())
     for at, line in enumerate(lines):
-        text = line.removesuffix("\r")
-        for _, _, parts, pieces, _ in handler.take((), state, at, [text]):
-            cells.append({"parts": [*parts[:-1], parts[-1] + line[len(text):] + ("\n" if at < len(lines) - 1 else "")], "pieces": pieces})
-    left = [{"parts": [*parts[:-1], parts[-1] + "\n"], "pieces": pieces} for _, _, parts, pieces, _ in handler.end((), state, len(lines))]
-    if left and lines[-1]:
-        cells[-1]["parts"][-1] += "\n"
-    return cells + left
+        text, more = line.removesuffix("\r"), at < len(lines) - 1
+        (_, _, parts, pieces, _), = handler.take((), state, at, [text])
+        left = [] if more else list(handler.end((), state, len(lines)))
+        yield [*parts[:-1], parts[-1] + line[len(text):] + ("\n" if more or left and line else "")], pieces
+    for _, _, parts, pieces, _ in left:
+        yield [*parts[:-1], parts[-1] + "\n"], pieces
 
 
 def record_id(text: str) -> str:
