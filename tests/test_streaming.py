@@ -5,8 +5,13 @@ from __future__ import annotations
 import random
 
 import model
+import pytest
 from veilframe.functions.text import strip_tokens
+from veilframe.session import shared_folder
 from veilframe.streaming import jobs
+from veilframe.streaming.cutters import Dictionary
+from veilframe.streaming.state import DealtStreams, Fields, RuleFollowing
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 RANDOM = random.Random(5)
@@ -80,3 +85,122 @@ def test_dictionary_is_refused_not_cut(spark):
     assert len(jobs.dictionary(rules).pairs) == 20
     sent = jobs.dictionary(rules.unionByName(rules.where("id = 3").withColumn("target", F.lit("a"))), inline=0)
     assert sent.pairs is None and sent.last("1 3 20") == "x a xx"
+
+
+class Store(dict):
+    """State variables of one grouping key, with a count of the calls."""
+
+    calls = 0
+
+    def getListState(self, name, schema):
+        store, at = self, name
+
+        class Listed:
+            def get(self):
+                Store.calls += 1
+                return iter(list(store.get(at, [])))
+
+            def put(self, rows):
+                assert rows
+                Store.calls += 1
+                store[at] = list(rows)
+
+            def appendList(self, rows):
+                Store.calls += 1
+                store[at] = store.get(at, []) + list(rows)
+
+            def appendValue(self, row):
+                self.appendList([row])
+
+            def clear(self):
+                Store.calls += 1
+                store.pop(at, None)
+
+        return Listed()
+
+    def getMapState(self, name, keys, values):
+        store, at = self, name
+
+        class Mapped:
+            def getValue(self, key):
+                Store.calls += 1
+                return store[at, key]
+
+            def updateValue(self, key, value):
+                Store.calls += 1
+                store[at, key] = value
+
+            def removeKey(self, key):
+                Store.calls += 1
+                del store[at, key]
+
+        return Mapped()
+
+
+def dealt(processor, store, batches):
+    """What a processor of packs gives for one group over micro-batches."""
+    made = []
+    for batch in batches:
+        processor.init(store)
+        packs = [Row("_group", *"abcdefghij"[:len(batch[0])])(0, *map(list, zip(*batch[i:i + 40]))) for i in range(0, len(batch), 40)]
+        for out in processor.handleInputRows((0,), iter(packs), None):
+            made += zip(*out)
+    return made
+
+
+@pytest.mark.parametrize("held, inline, most", [(1 << 16, 256, 15), (50, 3, None)])
+def test_streams_of_a_group_share_their_calls(monkeypatch, held, inline, most):
+    """300 streams over three micro-batches: a few calls for the group, or blocks when more rows wait than memory may hold."""
+    monkeypatch.setattr("veilframe.streaming.state.HELD", held)
+    monkeypatch.setattr("veilframe.streaming.state.INLINE", inline)
+    rng, rows, texts = random.Random(5), [], {}
+    for stream in [None, *range(299)]:
+        texts[stream] = "".join(rng.choice("ab ") for _ in range(rng.randrange(1, 90)))
+        pieces = [texts[stream][i:i + 7] for i in range(0, len(texts[stream]), 7)]
+        rows += [(stream, i, i == len(pieces) - 1, [""], [p]) for i, p in enumerate(pieces)]
+    rng.shuffle(rows)
+    rows.sort(key=lambda r: r[0] == 7)  # a stream that comes last as a whole
+    third, store = len(rows) // 3, Store()
+    Store.calls = 0
+    batches = [rows[:third], rows[third:2 * third], rows[2 * third:], rows[:50]]  # the last are delivered again
+    made = dealt(DealtStreams(["s", "seq", "field_key", "piece", "synthetic"], ["s"], Fields({None: Dictionary([("ab", "X"), ("ba ", "Y")])})), store, batches)
+    found = {}
+    for stream, seq, _, piece, synthetic in sorted(made, key=lambda r: (r[1], r[4])):
+        found[stream] = found.get(stream, "") + piece
+    assert found == {s: Dictionary([("ab", "X"), ("ba ", "Y")]).last(t) for s, t in texts.items()}
+    assert not store.get("open") and not any(isinstance(k, tuple) for k in store)
+    assert most is None or Store.calls <= most
+
+
+@pytest.mark.parametrize("held", [1 << 16, 20])
+def test_scopes_of_a_group_follow_their_own_rules(monkeypatch, held):
+    monkeypatch.setattr("veilframe.streaming.state.HELD", held)
+    monkeypatch.setattr("veilframe.streaming.state.INLINE", 2)
+    batches = [[], [], []]
+    for scope in range(40):
+        rule = (scope, None, None, None, False, None, f"pw{scope:02d}", f"<{scope:02d}>", 1)
+        batches[1].append(rule)
+        batches[2].append((*rule[:7], f"[{scope:02d}]", 2))
+        for n, batch in enumerate(batches):
+            text, way = (f"say pw{scope:02d}.", "in") if n < 2 else (f"got [{scope:02d}] pw{scope:02d}", "out")
+            pieces = [text[i:i + 3] for i in range(0, len(text), 3)]
+            batch += [(scope, str(n), way, i, i == len(pieces) - 1, p, None, None, None) for i, p in reversed(list(enumerate(pieces)))]
+    made = dealt(RuleFollowing(["scope", "stream", "direction", "seq", "piece", "synthetic"], ["scope"]), Store(), [b[::-1] for b in batches])
+    found = {}
+    for scope, stream, _, seq, piece, _ in sorted(made, key=lambda r: (r[3], r[5])):
+        found[scope, stream] = found.get((scope, stream), "") + piece
+    for scope in range(40):
+        secret = f"pw{scope:02d}"
+        assert [found[scope, str(n)] for n in range(3)] == [f"say {secret}.", f"say <{scope:02d}>.", f"got {secret} {secret}"]
+
+
+def test_places_of_a_replay_are_micro_batches(spark):
+    """Places with rows in few partitions have as many files as the others."""
+    from veilframe.plans.stream_queries import replayed
+
+    rows = spark.range(100, numPartitions=5).select("id", F.when(F.col("id") < 60, 0).when(F.col("id") < 80, 1).otherwise(2).alias("place"))
+    seen = []
+    replayed(spark, rows, F.col("place")).writeStream.foreachBatch(
+        lambda batch, i: seen.append({r["place"] for r in batch.collect()})).option("checkpointLocation", shared_folder(spark, "ckpt")).trigger(
+        availableNow=True).start().awaitTermination()
+    assert seen == [{0}, {1}, {2}]

@@ -11,7 +11,7 @@ from veilframe.operators.chunks import reassemble
 from veilframe.plans.pipelines import restore_traffic
 from veilframe.plans.registry import SESSION, Injected, query, table, utc
 from veilframe.plans.traffic_queries import _PLANTED_TURN, _C, _said, _tokenised, sql_token
-from veilframe.session import shared_folder
+from veilframe.session import cut_lineage, shared_folder, spread
 from veilframe.sources.vault_store import read_vault
 from veilframe.streaming import jobs
 from veilframe.streaming.sealed import sealed_sessions, sealed_to
@@ -21,13 +21,16 @@ _TURN_SECRET = Injected("ghp_{k:36}", "conv_id")
 
 
 def replayed(spark, df, place):
-    """``df`` as a stream of three micro-batches: first the rows whose ``place`` is 0, then 1, then 2."""
-    folder = shared_folder(spark, "replay")
+    """``df`` as a stream of three micro-batches: first the rows whose ``place`` is 0, then 1, then 2. Each place has the same number of
+    files, if need be empty ones, so that no micro-batch takes files of two places."""
+    folder, df = shared_folder(spark, "replay"), cut_lineage(df)
+    files = df.rdd.getNumPartitions()
     for i in range(3):
-        df.where(place == i).write.parquet(f"{folder}/part={i}")
-    files = len(spark.read.schema(df.schema).parquet(folder).inputFiles())
-    return spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option(
-        "maxFilesPerTrigger", -(-files // 3)).parquet(folder)
+        part = f"{folder}/part={i}"
+        df.where(place == i).write.parquet(part)
+        for _ in range(files - len(spark.read.schema(df.schema).parquet(part).inputFiles())):
+            df.limit(0).write.mode("append").parquet(part)
+    return spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def mixed(*columns):
@@ -44,7 +47,7 @@ def _chunked(texts, keys, text):
 
 
 def _pieces(spark, sf_dir: str, text):
-    return _chunked(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], text)
+    return _chunked(spread(table(spark, sf_dir, "conversations")), ["conv_id", "turn"], text)
 
 
 def stream_chunks(spark, sf_dir: str, text):
@@ -79,7 +82,7 @@ def stream_replace_chunks(spark, sf):
 def stream_bidirectional(spark, sf):
     """User turns are masked, all others carry a token at their end that is restored."""
     token = "__VAULT_GENERIC_00000001__"
-    base = table(spark, sf, "conversations")
+    base = spread(table(spark, sf, "conversations"))
     text = F.when(F.col("role") == "user", F.col("text")).otherwise(F.concat("text", F.lit(token + ".")))
     pieces = F.regexp_extract_all(text, F.lit(rf"[\s\S]{{1,{PIECE}}}"), F.lit(0))
     direction = F.when(F.col("role") == "user", "in").when(F.col("role") == "assistant", "out").otherwise("api")
@@ -196,7 +199,7 @@ def stream_rules_follow(spark, sf):
     masked, and tokens that come back are restored."""
     secret = _USER_SECRET.spark
     token = F.concat(F.lit("__VAULT_PASSWORD_"), F.substring(F.sha2(secret, 256), 1, 8), F.lit("__"))
-    said = table(spark, sf, "conversations").select(
+    said = spread(table(spark, sf, "conversations")).select(
         F.col("conv_id").cast("string").alias("conv_id"), "turn", F.concat(F.lit("say "), secret, F.lit(". "), F.col("text")).alias("t"),
         F.when(F.col("turn") >= 1, token).otherwise(secret).alias("back"), secret.alias("secret"))
     answer = F.concat(F.lit("say "), F.col("back"), F.substring("t", F.length("secret") + 5, F.length("t")))

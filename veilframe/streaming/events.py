@@ -13,6 +13,9 @@ from veilframe.streaming.cutters import AnsiTokenHold
 from veilframe.streaming.state import Handler
 
 
+PAGE = 512  # pieces of a stream that ride in its state; more go to a page of their own
+
+
 def _refuse(name: str):
     raise ValueError(name)
 
@@ -138,8 +141,8 @@ def record_id(text: str) -> str:
 class Reshaped(Handler):
     """Chat deltas as response events, the same rows as ``response_events`` gives in batch.
 
-    State are the tools met so far and running numbers; texts and arguments, which the closing events repeat, go to a list
-    state that only grows at its end, once per micro-batch, and is read when the stream ends.
+    State are the tools met so far and running numbers; texts and arguments, which the closing events repeat, go to a map
+    state in pages once they are many, at most one per micro-batch, and are read when the stream ends.
     """
 
     fields = ["line"]
@@ -148,10 +151,10 @@ class Reshaped(Handler):
         self.rows, self.model, self.created_at = rows, model, created_at
 
     def init(self, handle) -> None:
-        self.texts = handle.getListState("texts", "item string, place long, text string")
+        self.texts = handle.getMapState("texts", "stream string, page long", "pieces string")
 
     def open(self, key):
-        return {"started": False, "ended": False, "n_content": 0, "content": False, "tools": {}, "fresh": []}
+        return {"started": False, "ended": False, "n_content": 0, "content": False, "tools": {}, "fresh": [], "stream": "", "pages": 0}
 
     def _event(self, phase, seq, sub, part, type_, index, item=None, text=None, name=None, call=None, segment=0, response=None):
         return phase, seq, sub, part, f"response.{type_}", index, item, text, name, call, segment, response
@@ -213,15 +216,24 @@ class Reshaped(Handler):
             state["fresh"].append([index, tool["n"], text])
             tool["n"] += 1
 
-    def keep(self, state) -> None:
-        if state["fresh"]:
-            self.texts.appendList([tuple(x) for x in state["fresh"]])
-            state["fresh"] = []
+    def keep(self, stream, state) -> None:
+        if len(state["fresh"]) > PAGE:
+            self.texts.updateValue((stream, state["pages"]), (json.dumps(state["fresh"]),))
+            state["stream"], state["pages"], state["fresh"] = stream, state["pages"] + 1, []
+
+    def _kept(self, state) -> Iterator[list]:
+        """The pieces of all pages, which are emptied, then those not yet kept."""
+        for page in range(state["pages"]):
+            at = (state["stream"], page)
+            yield from json.loads(self.texts.getValue(at)[0])
+            self.texts.removeKey(at)
+        yield from state["fresh"]
+        state["pages"], state["fresh"] = 0, []
 
     def _segments(self, state) -> dict[str, list[str]]:
         """Whole texts per item, in segments of so many deltas."""
         found: dict[str, dict[int, list[str]]] = {}
-        for item, place, text in [*self.texts.get(), *state["fresh"]]:
+        for item, place, text in self._kept(state):
             found.setdefault(item, {}).setdefault(int(place) // self.rows, []).append(text)
         return {item: ["".join(parts[s]) for s in sorted(parts)] for item, parts in found.items()}
 
@@ -245,15 +257,11 @@ class Reshaped(Handler):
         short = all(len(s) == 1 for s in whole.values())
         yield self._event(3, 0, 0, 0, "completed", 0, response=self._response(
             key, output=output, output_text=whole[""][0] if "" in whole else None, status="completed") if short else None)
-        self.clear()
 
     def end(self, key, state, seq):
         if state["started"] and not state["ended"]:
             yield from self._finish(key, state)
 
-    def clear(self) -> None:
-        self.texts.clear()
-
 
 def _joined(key) -> str:
     """As ``concat_ws`` joins the key columns."""

@@ -21,7 +21,7 @@ from veilframe.operators.vault import build_vault, sightings
 from veilframe.session import shared_folder
 from veilframe.streaming.cutters import Dictionary, TokenHold
 from veilframe.streaming.events import Reshaped, Rewritten, Terminal
-from veilframe.streaming.state import Fields, Handler, OrderedStream, RollingWindow, RuleFollowing, Windows, use_rocksdb
+from veilframe.streaming.state import GROUPS, DealtStreams, Fields, Handler, OrderedStream, RollingWindow, RuleFollowing, Windows, packed, use_rocksdb
 
 DICTIONARY_BYTES = 64 << 20  # what a worker takes into memory
 INLINE_BYTES = 256 << 10  # what rides along with every task; larger lists are sent to each machine once, as a file
@@ -61,12 +61,29 @@ def _fields(chunks: DataFrame, keys: list[str], fields: Column) -> DataFrame:
 
 
 def _run(chunks: DataFrame, keys: list[str], handler: Handler, shape: str, idle_ms: int | None = None, patience: int | None = None) -> DataFrame:
-    """The streams of ``chunks`` through a handler; ``shape`` are the columns it gives besides the keys."""
+    """The streams of ``chunks`` through a handler; ``shape`` are the columns it gives besides the keys. Streams that do not expire
+    are dealt to groups, whose state is read and written together."""
     use_rocksdb(chunks.sparkSession)
     schema = T.StructType([*[chunks.schema[k] for k in keys], *T._parse_datatype_string(shape).fields])
-    rows = chunks.select(*keys, F.col("seq").cast("long").alias("seq"), *handler.fields, "is_last")
-    return rows.groupBy(*keys).transformWithState(
-        OrderedStream(schema.names, handler, idle_ms, patience), schema, "Append", "None" if idle_ms is None else "ProcessingTime")
+    rows = chunks.select(*keys, F.col("seq").cast("long").alias("seq"), "is_last", *handler.fields)
+    if idle_ms is not None:
+        return rows.groupBy(*keys).transformWithState(OrderedStream(schema.names, handler, idle_ms, patience), schema, "Append", "ProcessingTime")
+    packs = _packs(rows, keys)
+    return _unpacked(packs.groupBy("_group").transformWithState(DealtStreams(schema.names, keys, handler, patience), _lists(schema), "Append", "None"))
+
+
+def _lists(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in schema])
+
+
+def _packs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of streams dealt to groups by their keys, packed to rows of lists."""
+    dealt = rows.select(F.pmod(F.xxhash64(*keys), F.lit(GROUPS)).alias("_group"), "*")
+    return dealt.mapInArrow(packed, T.StructType([dealt.schema["_group"], *_lists(rows.schema)]))
+
+
+def _unpacked(packs: DataFrame) -> DataFrame:
+    return packs.select(F.inline(F.arrays_zip(*packs.columns)))
 
 
 PIECES = "seq long, field_key string, piece string, synthetic boolean"
@@ -101,14 +118,15 @@ def rule_following_stream(chunks: DataFrame, changes: DataFrame, scope: list[str
     use_rocksdb(chunks.sparkSession)
     none = F.lit(None)
     pieces = chunks.select(
-        *scope, none.cast("string").alias("secret"), none.cast("string").alias("token"), none.cast("long").alias("revision"),
-        F.concat_ws(":", *stream).alias("stream"), F.col(direction).alias("direction"), F.col("seq").cast("long").alias("seq"), "chunk", "is_last")
+        *scope, F.concat_ws(":", *stream).alias("stream"), F.col(direction).alias("direction"), F.col("seq").cast("long").alias("seq"), "is_last", "chunk",
+        none.cast("string").alias("secret"), none.cast("string").alias("token"), none.cast("long").alias("revision"))
     rules = changes.where("secret <> ''").select(
-        *scope, "secret", "token", F.col("revision").cast("long").alias("revision"), none.cast("string").alias("stream"),
-        none.cast("string").alias("direction"), none.cast("long").alias("seq"), none.cast("string").alias("chunk"), F.lit(False).alias("is_last"))
+        *scope, none.cast("string").alias("stream"), none.cast("string").alias("direction"), none.cast("long").alias("seq"), F.lit(False).alias("is_last"),
+        none.cast("string").alias("chunk"), "secret", "token", F.col("revision").cast("long").alias("revision"))
     schema = T.StructType([*[pieces.schema[k] for k in scope], *T._parse_datatype_string(
         "stream string, direction string, seq long, piece string, synthetic boolean").fields])
-    return pieces.unionByName(rules).groupBy(*scope).transformWithState(RuleFollowing(schema.names), schema, "Append", "None")
+    packs = _packs(pieces.unionByName(rules), scope)
+    return _unpacked(packs.groupBy("_group").transformWithState(RuleFollowing(schema.names, scope), _lists(schema), "Append", "None"))
 
 
 def token_pieces(chunks: DataFrame, keys: list[str], idle_ms: int | None = None) -> DataFrame:

@@ -2,7 +2,8 @@
 
 ``OrderedStream`` brings the rows of a stream into ``seq`` order, whatever micro-batch they come in, and hands them one by one to
 a handler, whose own state is a small JSON text. A stream has one state value, read and written once per micro-batch; only
-rows that came early take an entry each.
+rows that came early take an entry each. ``DealtStreams`` does the same for streams that do not expire, many in a group: a call to the
+state store takes about a millisecond, as long as tens of rows, so there a micro-batch makes a few calls for each group, not for each stream.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ import re
 from collections.abc import Iterable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,7 +26,10 @@ from veilframe.streaming.cutters import Dictionary
 CLOSED_MS = 24 * 60 * 60 * 1000
 BLOCK = 1024  # numbers of rows that are stored together while they wait
 BLOCKS = 8  # blocks of a stream held in memory while a micro-batch runs; others go to the state store
-WAITING = 4096  # the same for the streams of a scope, in rows
+GROUPS = 1024  # that streams are dealt to by hash; a checkpoint holds for one number of them
+PACK = 4096  # rows that leave a processor as one row of lists
+INLINE = 256  # rows of a stream that wait inside its entry; more go to blocks
+HELD = 1 << 16  # rows of a group that wait in memory while a micro-batch runs; beyond, they go to blocks
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -55,20 +61,21 @@ class Handler:
         """A row that came after its place had been given up."""
         return ()
 
-    def keep(self, state: Any) -> None:
-        """Called once before ``state`` is stored, at the end of a micro-batch."""
-
-    def clear(self) -> None:
-        """Empty state of its own."""
+    def keep(self, stream: str, state: Any) -> None:
+        """Called once before ``state`` is stored, at the end of a micro-batch. ``stream`` tells streams of a group apart in state of
+        its own."""
 
 
 class Early:
     """Rows that wait for one before them, in blocks of neighbouring numbers: a state call per block, not per row."""
 
-    def __init__(self, store, stored: list[int]) -> None:
+    def __init__(self, store, stored: list[int], rows: dict[str, list] | None = None) -> None:
+        """``rows`` wait besides those of the blocks ``stored``."""
         self.store, self.stored = store, set(stored)
         self.blocks: dict[int, dict[str, list]] = {}
         self.changed: set[int] = set()
+        for seq, (values, last) in (rows or {}).items():
+            self.put(int(seq), values, last)
 
     def _block(self, number: int) -> dict[str, list]:
         if number not in self.blocks:
@@ -119,6 +126,51 @@ class Early:
             self._write(number)
         return sorted(self.stored)
 
+    def few(self) -> dict[str, list] | None:
+        """All rows that wait, if they are few and none is stored."""
+        if self.stored or sum(map(len, self.blocks.values())) > INLINE:
+            return None
+        return {seq: row for rows in self.blocks.values() for seq, row in rows.items()}
+
+
+class Place:
+    """Where a stream stands: the number expected next, the rows that wait (``n_early`` of them), the places given up ([from, to)
+    pairs), and the handler's state."""
+
+    def __init__(self, handler: Handler, key: tuple, early: Early, state: Any, expected: int = 0, n_early: int = 0, gaps: list | None = None) -> None:
+        self.handler, self.key, self.early, self.state = handler, key, early, state
+        self.expected, self.n_early, self.gaps, self.done = expected, n_early, gaps or [], False
+
+    def run(self, values: list | None) -> Iterator[tuple]:
+        """Take ``values`` as the row expected, then those that wait behind it."""
+        while not self.done:
+            if values is None:
+                values = self.early.pop(self.expected) if self.n_early else None
+                if values is None:
+                    return
+                self.n_early -= 1
+            yield from self.handler.take(self.key, self.state, self.expected, values[0])
+            self.expected, self.done, values = self.expected + 1, values[1], None
+
+    def push(self, seq: int, values: list) -> Iterator[tuple]:
+        if self.done:
+            return
+        if seq == self.expected:
+            yield from self.run(values)
+        elif seq > self.expected:
+            self.n_early += self.early.put(seq, *values)
+        elif hole := next((g for g in self.gaps if g[0] <= seq < g[1]), None):  # given up before: no longer missing, but late
+            self.gaps.remove(hole)
+            self.gaps += [g for g in ([hole[0], seq], [seq + 1, hole[1]]) if g[0] < g[1]]
+            yield from self.handler.late(self.key, self.state, seq, values[0])
+
+    def give_up(self, patience: int | None) -> Iterator[tuple]:
+        while patience is not None and not self.done and self.n_early > patience:
+            first = self.early.first()
+            self.gaps.append([self.expected, first])
+            self.expected = first
+            yield from self.run(None)
+
 
 class OrderedStream(StatefulProcessor):
     """Rows of a stream in ``seq`` order (0, 1, 2 …), through a handler; output rows are the key columns and the handler's.
@@ -152,52 +204,24 @@ class OrderedStream(StatefulProcessor):
             for _ in rows:
                 pass
             return
-        state = json.loads(body) if known else self.handler.open(key)
-        gaps = json.loads(gaps)
-        early, done = Early(self.early, json.loads(blocks)), False
-
-        def run(values: list | None) -> Iterator[Row]:
-            """Take ``values`` as the row expected, then those that wait behind it."""
-            nonlocal expected, n_early, done
-            while not done:
-                if values is None:
-                    values = early.pop(expected) if n_early else None
-                    if values is None:
-                        return
-                    n_early -= 1
-                yield from self._out(key, self.handler.take(key, state, expected, values[0]))
-                expected, done, values = expected + 1, values[1], None
-
+        place = Place(self.handler, key, Early(self.early, json.loads(blocks)), json.loads(body) if known else self.handler.open(key),
+                      expected, n_early, json.loads(gaps))
         for row in rows:
-            seq = int(row["seq"])
-            if done:
-                continue
-            values = [[row[f] for f in self.handler.fields], bool(row["is_last"])]
-            if seq == expected:
-                yield from run(values)
-            elif seq > expected:
-                n_early += early.put(seq, *values)
-            elif hole := next((g for g in gaps if g[0] <= seq < g[1]), None):  # given up before: no longer missing, but late
-                gaps.remove(hole)
-                gaps += [g for g in ([hole[0], seq], [seq + 1, hole[1]]) if g[0] < g[1]]
-                yield from self._out(key, self.handler.late(key, state, seq, values[0]))
-        while self.patience is not None and not done and n_early > self.patience:
-            first = early.first()
-            gaps.append([expected, first])
-            expected = first
-            yield from run(None)
-        if done:
+            yield from self._out(key, place.push(int(row["seq"]), [[row[f] for f in self.handler.fields], bool(row["is_last"])]))
+        yield from self._out(key, place.give_up(self.patience))
+        if place.done:
             if timer:
                 self.handle.deleteTimer(timer)
-            yield from self._close(key, state, expected, bool(early.stored))
+            yield from self._close(key, place.state, place.expected, bool(place.early.stored))
             return
         if self.idle_ms is not None:
             if timer:
                 self.handle.deleteTimer(timer)
             timer = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
             self.handle.registerTimer(timer)
-        self.handler.keep(state)
-        self.stream.update((expected, timer, n_early, json.dumps(early.keep()), json.dumps(gaps), json.dumps(state), False))
+        self.handler.keep("", place.state)
+        self.stream.update((place.expected, timer, place.n_early, json.dumps(place.early.keep()), json.dumps(place.gaps),
+                            json.dumps(place.state), False))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         expected, _, n_early, blocks, _, body, _ = self.stream.get()
@@ -218,7 +242,6 @@ class OrderedStream(StatefulProcessor):
         yield from self._out(key, self.handler.end(key, state, expected - 1))
         if waited:
             self.early.clear()
-        self.handler.clear()
         if self.ended is not None:
             self.ended.update((expected,))
             self.stream.clear()
@@ -229,6 +252,141 @@ class OrderedStream(StatefulProcessor):
         pass
 
 
+class _Blocks:
+    """The blocks of one stream among those of its group."""
+
+    def __init__(self, store, stream: str) -> None:
+        self.store, self.stream = store, stream
+
+    def getValue(self, number: tuple) -> tuple:
+        return self.store.getValue((self.stream, *number))
+
+    def updateValue(self, number: tuple, rows: tuple) -> None:
+        self.store.updateValue((self.stream, *number), rows)
+
+    def removeKey(self, number: tuple) -> None:
+        self.store.removeKey((self.stream, *number))
+
+
+def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the same first column, one row of lists for each batch: handing a row to a processor costs more than what is done
+    with it."""
+    for batch in batches:
+        if batch.num_rows:
+            groups = batch.column(0).to_numpy()
+            order = np.argsort(groups, kind="stable")
+            starts = np.flatnonzero(np.diff(groups[order], prepend=-1))
+            offsets, taken = pa.array(np.append(starts, len(order)), pa.int32()), batch.take(pa.array(order))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(groups[order][starts]), *[pa.ListArray.from_arrays(offsets, c) for c in taken.columns[1:]]], names=batch.schema.names)
+
+
+class DealtStreams(StatefulProcessor):
+    """``OrderedStream`` for a group of streams that do not expire; ``keys`` are the input columns that tell them apart.
+
+    Rows come and go in packs (see ``packed``): a row of lists. What is known of all open streams of a group is read and written as one list; rows that wait lie in it while they are few, else in
+    blocks of their own. Closed streams are remembered by name, in one list entry for each micro-batch.
+    """
+
+    def __init__(self, names: list[str], keys: list[str], handler: Handler, patience: int | None = None) -> None:
+        self.names, self.keys, self.handler, self.patience = names, keys, handler, patience
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getListState("open", "stream string, next_seq long, n_early long, blocks string, rows string, gaps string, body string")
+        self.closed = handle.getListState("closed", "streams string")
+        self.early = handle.getMapState("early", "stream string, block long", "rows string")
+        self.handler.init(handle)
+
+    def _place(self, stream: str, key: tuple, entry: tuple | None) -> Place:
+        if entry is None:
+            return Place(self.handler, key, Early(_Blocks(self.early, stream), []), self.handler.open(key))
+        expected, n_early, blocks, rows, gaps, body = entry
+        early = Early(_Blocks(self.early, stream), json.loads(blocks), json.loads(rows))
+        return Place(self.handler, key, early, json.loads(body), expected, n_early, json.loads(gaps))
+
+    def _entry(self, stream: str, place: Place) -> tuple:
+        self.handler.keep(stream, place.state)
+        few = place.early.few()
+        blocks = [] if few is not None else place.early.keep()
+        return (stream, place.expected, place.n_early, json.dumps(blocks), json.dumps(few or {}), json.dumps(place.gaps), json.dumps(place.state))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        out: list[tuple] = []
+        for made in self._made(rows):
+            out.append(made)
+            if len(out) >= PACK:
+                yield Row(*self.names)(*map(list, zip(*out)))
+                out = []
+        if out:
+            yield Row(*self.names)(*map(list, zip(*out)))
+
+    def _load(self) -> None:
+        """What is known of the group; ``streams`` are the names of keys met, ``held`` the rows that wait in memory."""
+        self.entries = {e[0]: tuple(e[1:]) for e in self.open.get()}
+        self.gone = {stream for e in self.closed.get() for stream in json.loads(e[0])}
+        self.places: dict[str, Place] = {}
+        self.streams: dict[tuple, str] = {}
+        self.held = 0
+
+    def _at(self, own: tuple) -> Place | None:
+        """The place of the stream with these keys; None if it is closed."""
+        stream = self.streams.get(own)
+        if stream is None:
+            stream = self.streams[own] = json.dumps(own, default=str)
+        if stream in self.gone:
+            return None
+        place = self.places.get(stream)
+        if place is None:
+            place = self.places[stream] = self._place(stream, own, self.entries.get(stream))
+            self._hold(place.n_early)
+        return place
+
+    def _hold(self, more: int) -> None:
+        self.held += more
+        if self.held > HELD:
+            for place in self.places.values():
+                place.early.keep()
+            self.held = 0
+
+    def _made(self, rows) -> Iterator[tuple]:
+        self._load()
+        n = len(self.keys)
+        for pack in rows:
+            for row in zip(*tuple(pack)[1:]):  # keys, seq, is_last, fields
+                place = self._at(row[:n])
+                if place is None:
+                    continue
+                before = place.n_early
+                for out in place.push(row[n], [list(row[n + 2:]), bool(row[n + 1])]):
+                    yield *place.key, *out
+                self._hold(place.n_early - before)
+        yield from self._keep()
+
+    def _keep(self) -> Iterator[tuple]:
+        ended = []
+        for stream, place in self.places.items():
+            for out in place.give_up(self.patience):
+                yield *place.key, *out
+            if not place.done:
+                self.entries[stream] = self._entry(stream, place)[1:]
+                continue
+            for out in self.handler.end(place.key, place.state, place.expected - 1):
+                yield *place.key, *out
+            for number in place.early.stored:
+                self.early.removeKey((stream, number))
+            self.entries.pop(stream, None)
+            ended.append(stream)
+        if self.entries:
+            self.open.put([(stream, *entry) for stream, entry in self.entries.items()])
+        elif ended:
+            self.open.clear()
+        if ended:
+            self.closed.appendValue((json.dumps(ended),))
+
+    def close(self) -> None:
+        pass
+
+
 class Fields(Handler):
     """Every text field of a stream through a cutter: (seq, field_key, piece, synthetic). What is left at the end comes as
     synthetic rows. ``pick`` chooses the cutter by the stream's key, e.g. by direction."""
@@ -255,87 +413,74 @@ class Fields(Handler):
             yield seq, name, cutter.last(held), True
 
 
-class RuleFollowing(StatefulProcessor):
-    """Streams of a scope (a session), replaced by rules that arrive while they run.
+class _Followed(Handler):
+    """Pieces through the dictionary of their scope and direction: (seq, piece, synthetic)."""
+
+    fields = ["chunk"]
+
+    def __init__(self) -> None:
+        self.cutters: dict[tuple, Dictionary] = {}  # of all scopes with pieces in a micro-batch, by direction
+
+    def open(self, key):
+        return [""]
+
+    def take(self, key, state, seq, row):
+        piece, state[0] = self.cutters[key[:-2], key[-1] == "in"].cut(state[0], row[0] or "")
+        yield seq, piece, False
+
+    def end(self, key, state, seq):
+        if state[0]:
+            yield seq, self.cutters[key[:-2], key[-1] == "in"].last(state[0]), True
+
+
+class RuleFollowing(DealtStreams):
+    """Streams of a scope (a session), replaced by rules that arrive while they run; a group holds many scopes.
 
     Input rows are rules (``secret``, ``token``, ``revision``) or pieces (``stream``, ``direction``, ``seq``, ``chunk``,
-    ``is_last``) of the key's scope. What a micro-batch brings as rules holds for its pieces and all later ones, also for text
+    ``is_last``) of their scope. What a micro-batch brings as rules holds for its pieces and all later ones, also for text
     that was held back. A secret or token given again is taken as its latest revision says; a rule without token is
     withdrawn. Text in direction ``in`` is masked, other text restored. Output: (stream, direction, seq, piece, synthetic).
     """
 
-    def __init__(self, names: list[str]) -> None:
-        self.names = names
+    def __init__(self, names: list[str], scope: list[str]) -> None:
+        super().__init__(names, [*scope, "stream", "direction"], _Followed())
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rules = handle.getMapState("rules", "secret string", "token string, revision long")
-        self.places = handle.getMapState("places", "stream string, direction string", "next_seq long, held string, n_early long, closed boolean")
-        self.early = handle.getMapState("early", "stream string, direction string, seq long", "chunk string, is_last boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        known = {k[0]: (v[0], v[1]) for k, v in self.rules.iterator()}
-        changed: dict[str, tuple] = {}
-        waiting: dict[tuple, dict[int, tuple]] = {}
-        held_back, streams, made = 0, {}, Row(*self.names)
-
-        def place(at: tuple) -> list:
-            if at not in streams:
-                streams[at] = list(self.places.getValue(at)) if self.places.containsKey(at) else [0, "", 0, False]
-            return streams[at]
-
-        for row in rows:  # all rules of the batch come before its pieces, so pieces wait until all rows are read
-            if row["secret"] is not None:
-                if row["revision"] >= (changed.get(row["secret"]) or known.get(row["secret"]) or (None, -1))[1]:
-                    changed[row["secret"]] = (row["token"], row["revision"])
-                continue
-            at, seq = (row["stream"], row["direction"]), int(row["seq"])
-            here = place(at)
-            if here[3] or seq < here[0]:
-                continue
-            if held_back < WAITING:
-                held_back += seq not in waiting.setdefault(at, {})
-                waiting[at].setdefault(seq, (row["chunk"], bool(row["is_last"])))
-            elif not self.early.containsKey((*at, seq)):
-                self.early.updateValue((*at, seq), (row["chunk"], bool(row["is_last"])))
-                here[2] += 1
-        known |= changed
-        for secret, rule in changed.items():
-            self.rules.updateValue((secret,), rule)
-        pairs = sorted((s, t) for s, (t, _) in known.items() if t is not None)
-        forward = Dictionary(pairs)
-        back = Dictionary([(t, s) for s, t in reversed(pairs)])  # of secrets that share a token the first in order counts
-        for at, here in streams.items():
-            cutter = forward if at[1] == "in" else back
-            ahead = waiting.get(at, {})
-            while not here[3]:
-                seq = here[0]
-                if seq in ahead:
-                    chunk, last = ahead.pop(seq)
-                    if here[2] and self.early.containsKey((*at, seq)):
-                        self.early.removeKey((*at, seq))
-                        here[2] -= 1
-                elif here[2] and self.early.containsKey((*at, seq)):
-                    chunk, last = self.early.getValue((*at, seq))
-                    self.early.removeKey((*at, seq))
-                    here[2] -= 1
-                else:
-                    break
-                piece, here[1] = cutter.cut(here[1], chunk or "")
-                here[0] += 1
-                yield made(*key, *at, seq, piece, False)
-                if last:
-                    if here[1]:
-                        yield made(*key, *at, seq, cutter.last(here[1]), True)
-                    here[1], here[3] = "", True
-            if not here[3]:
-                for seq, (chunk, last) in ahead.items():
-                    if not self.early.containsKey((*at, seq)):
-                        self.early.updateValue((*at, seq), (chunk, last))
-                        here[2] += 1
-            self.places.updateValue(at, tuple(here))
-
-    def close(self) -> None:
-        pass
+        super().init(handle)
+        self.rules = handle.getListState("rules", "scope string, secret string, token string, revision long")
+
+    def _made(self, rows) -> Iterator[tuple]:
+        self._load()
+        known: dict[str, dict[str, tuple]] = {}
+        for scope, secret, *rule in self.rules.get():
+            known.setdefault(scope, {})[secret] = tuple(rule)
+        n, fresh, again = len(self.keys), {}, False
+        for pack in rows:  # all rules of the batch come before its pieces, so pieces wait until all rows are read
+            for row in zip(*tuple(pack)[1:]):  # keys, seq, is_last, chunk, secret, token, revision
+                if row[n + 3] is not None:
+                    scope, secret, rule = json.dumps(row[:n - 2], default=str), row[n + 3], row[n + 4:]
+                    before = known.setdefault(scope, {}).get(secret)
+                    if before is None or rule[1] >= before[1]:
+                        again |= before is not None
+                        known[scope][secret] = fresh[scope, secret] = rule
+                elif (place := self._at(row[:n])) and row[n] >= place.expected:
+                    new = place.early.put(row[n], [row[n + 2]], bool(row[n + 1]))
+                    place.n_early += new
+                    self._hold(new)
+        if again:
+            self.rules.put([(scope, secret, *rule) for scope, rules_ in known.items() for secret, rule in rules_.items()])
+        elif fresh:
+            self.rules.appendList([(*at, *rule) for at, rule in fresh.items()])
+        self.handler.cutters = cutters = {}
+        for place in sorted(self.places.values(), key=lambda p: json.dumps(p.key[:-2], default=str)):
+            at = place.key[:-2]
+            if (at, True) not in cutters:
+                pairs = sorted((s, t) for s, (t, _) in known.get(json.dumps(at, default=str), {}).items() if t is not None)
+                cutters[at, True] = Dictionary(pairs)
+                cutters[at, False] = Dictionary([(t, s) for s, t in reversed(pairs)])  # of secrets that share a token the first in order counts
+            for out in place.run(None):
+                yield *place.key, *out
+        yield from self._keep()
 
 
 _LOOSE_TOKEN = re.compile(rules.TOKEN_LOOSE)
