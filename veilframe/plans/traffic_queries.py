@@ -22,7 +22,7 @@ from veilframe.operators.vault import build_vault, sightings
 from veilframe.plans.pipelines import mask_traffic
 from veilframe.plans.registry import SESSION, Injected, query, table, utc
 from veilframe.plans.vault_queries import sql_token
-from veilframe.session import cut_lineage
+from veilframe.session import cut_lineage, spread
 from veilframe.sources.capture import capture_record
 
 CHUNK = 7
@@ -333,11 +333,11 @@ def sse_reassemble_restore(spark, sf):
     """Tokens split over event deltas: text fields are put together per stream and field, then restored."""
     texts, vault = _tokenised(spark, sf)
     payload = F.to_json(F.struct(F.lit(0).alias("index"), F.struct(F.col("chunk").alias("text")).alias("delta")))
-    lines = chunked(texts, ["conv_id", "turn"]).select("conv_id", "turn", "seq", F.concat(F.lit("data: "), payload).alias("line"))
+    lines = chunked(spread(texts), ["conv_id", "turn"]).select("conv_id", "turn", "seq", F.concat(F.lit("data: "), payload).alias("line"))
     fields = lines.select("conv_id", "turn", "seq", F.explode(sse_text_fields(
         sse_data(F.col("line"))["json"], F.lit("anthropic"))).alias("f")).select("conv_id", "turn", "seq", "f.key", "f.value")
     keys = ["conv_id", "turn", "key"]
-    segments = token_safe(reassemble(fields, keys, "seq", "value"), keys)
+    segments = token_safe(reassemble(cut_lineage(fields), keys, "seq", "value"), keys)
     return restore(segments, vault, [*keys, "segment"], "text", "restored").select(
         "conv_id", "turn", "key", "segment", F.col("restored").alias("text"))
 
