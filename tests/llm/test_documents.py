@@ -343,6 +343,47 @@ def test_ranges_of_repeated_lines_are_judged_as_one_by_one():
         assert passages._Sets(x, y).first_alike(a, b, c, e) == (alike.index(True) if any(alike) else -1)
 
 
+def test_chains_are_those_of_all_comparisons_and_long_ones_are_quick():
+    def plain(x, y, u, v):
+        met, lo, hi = y - x, u.copy(), v.copy()
+        for r in range(1, len(x)):
+            low, high, m = np.minimum(lo[:r], u[r]), np.maximum(hi[:r], v[r]), met[:r] + y[r] - x[r]
+            q = int(((100 + passages.PERCENT) * m - passages.PERCENT * (high - low)).argmax())
+            met[r], lo[r], hi[r] = m[q], low[q], high[q]
+        return met, lo, hi
+
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        n = int(rng.integers(1, 40))
+        size, gap = rng.integers(1, 9, n), rng.integers(0, 4, n)
+        x = np.cumsum(size + gap) - size
+        u = x + rng.choice([0, int(rng.integers(-300, 300)), int(rng.integers(-20, 20))], n)
+        for step in (1, -1):
+            runs = [c[::step] for c in (x, x + size, u, u + size)]
+            assert [c.tolist() for c in passages._chains(*runs)] == [c.tolist() for c in plain(*runs)]
+    x = np.arange(0, 360_000, 4)
+    began = time.perf_counter()
+    assert passages._chains(x, x + 3, x, x + 3)[0][-1] == 270_000
+    assert time.perf_counter() - began < 5
+
+
+def test_windows_are_packed_and_unpacked_and_finished_writes_leave_no_shuffles_setting(spark):
+    from veilframe.session import _CLEANUP, shuffles_given_back
+
+    rng = np.random.default_rng(9)
+    context, h1 = (rng.integers(-(1 << 63), 1 << 63, 500) for _ in range(2))
+    h2, c, left, right = rng.integers(-(1 << 31), 1 << 31, 500), rng.integers(45, 1 << 40, 500), rng.integers(0, 46, 500), rng.integers(0, 46, 500)
+    x, y = passages._named(context, h1, h2)
+    assert all((a == b).all() for a, b in zip(passages._names(x, y), (h1, h2)))
+    assert (x >> 32 == context >> 32).all() and (np.argsort(x) == np.lexsort((h1 >> 32, context >> 32))).all()
+    for f in range(passages.FUNCTIONS):
+        assert all((a == b).all() for a, b in zip(passages._places(passages._placed(f, c - left, c, c + right)), (f, c - left, c, c + right)))
+    before = spark.conf.get(_CLEANUP, None)
+    with shuffles_given_back(spark):
+        assert spark.conf.get(_CLEANUP) == "true"
+    assert spark.conf.get(_CLEANUP, None) == before
+
+
 def test_passages_over_inserted_deleted_and_moved_words(spark):
     rng = random.Random(12)
     base = [prose(rng, 60), prose(rng, 120), prose(rng, 62), prose(rng, 80), prose(rng, 300)]
