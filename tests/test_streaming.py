@@ -204,3 +204,20 @@ def test_places_of_a_replay_are_micro_batches(spark):
         lambda batch, i: seen.append({r["place"] for r in batch.collect()})).option("checkpointLocation", shared_folder(spark, "ckpt")).trigger(
         availableNow=True).start().awaitTermination()
     assert seen == [{0}, {1}, {2}]
+
+
+def test_pieces_that_cannot_tear_a_token_are_not_searched(monkeypatch):
+    """What most pieces are: neither an underscore near the end nor an escape. The others are searched as ever."""
+    from veilframe.streaming import cutters
+
+    class Fails:
+        def search(self, *where):
+            raise AssertionError("searched")
+
+    with monkeypatch.context() as patched:
+        for name in ("_OPEN", "_BROKEN"):
+            patched.setattr(cutters, name, Fails())
+        for text in ("", "plain words", "a_b " + "x" * 64):
+            assert cutters.TokenHold().cut("", text) == (text, "") and cutters.AnsiTokenHold().cut("", text) == (text, "", False)
+    assert cutters.AnsiTokenHold().cut("", "key __VAULT_API") == ("key ", "__VAULT_API", False)
+    assert cutters.AnsiTokenHold().cut("", "key _\x1b[1m_V") == ("key ", "_\x1b[1m_V", False)

@@ -26,7 +26,10 @@ def open_token(text: str) -> int:
     A token is no longer than ``TOKEN_ROOM``, so the last one is looked for there; from it the run is followed back token by
     token, however long it is.
     """
-    hit = _OPEN.search(text, max(0, len(text) - TOKEN_ROOM))
+    room = max(0, len(text) - TOKEN_ROOM)
+    if text.find("_", room) < 0:  # what most pieces look like; nothing else of a token can stand alone
+        return len(text)
+    hit = _OPEN.search(text, room)
     if not hit:
         return len(text)
     at = hit.start()
@@ -135,6 +138,9 @@ class AnsiTokenHold:
     def cut(self, held: str, text: str) -> tuple[str, str, bool]:
         """The piece, what is held back, and whether all that follows is raw."""
         text = held + text
+        if "\x1b" not in text:
+            at = open_token(text)
+            return text[:at], text[at:], False
         broken = _BROKEN.search(text)
         if broken:  # the piece ends with the broken escape, so that what stands before it is still restored
             return text[:broken.end()], text[broken.end():], True

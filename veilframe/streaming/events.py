@@ -268,6 +268,9 @@ def _joined(key) -> str:
     return ":".join(str(k) for k in key if k is not None)
 
 
+_ANSI = AnsiTokenHold()
+
+
 class Terminal(Handler):
     """Terminal output cut where no visible token and no escape is torn: (seq, sub, piece, raw, synthetic). ``raw`` pieces lie
     behind a broken escape and are not to be restored."""
@@ -282,7 +285,7 @@ class Terminal(Handler):
         if state[1]:
             yield seq, 0, text, True, False
             return
-        piece, held, state[1] = AnsiTokenHold().cut(state[0], text)
+        piece, held, state[1] = _ANSI.cut(state[0], text)
         yield seq, 0, piece, False, False
         if state[1] and held:
             yield seq, 1, held, True, False

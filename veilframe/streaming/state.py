@@ -29,6 +29,7 @@ BLOCKS = 8  # blocks of a stream held in memory while a micro-batch runs; others
 GROUPS = 1024  # that streams are dealt to by hash; a checkpoint holds for one number of them
 PACK = 4096  # rows that leave a processor as one row of lists
 INLINE = 256  # rows of a stream that wait inside its entry; more go to blocks
+NAMED = json.JSONEncoder(default=str).encode  # made once: ``json.dumps`` makes an encoder in every call that names a default
 HELD = 1 << 16  # rows of a group that wait in memory while a micro-batch runs; beyond, they go to blocks
 
 
@@ -332,7 +333,7 @@ class DealtStreams(StatefulProcessor):
         """The place of the stream with these keys; None if it is closed."""
         stream = self.streams.get(own)
         if stream is None:
-            stream = self.streams[own] = json.dumps(own, default=str)
+            stream = self.streams[own] = NAMED(own)
         if stream in self.gone:
             return None
         place = self.places.get(stream)
@@ -356,10 +357,14 @@ class DealtStreams(StatefulProcessor):
                 place = self._at(row[:n])
                 if place is None:
                     continue
-                before = place.n_early
-                for out in place.push(row[n], [list(row[n + 2:]), bool(row[n + 1])]):
-                    yield *place.key, *out
-                self._hold(place.n_early - before)
+                before, values = place.n_early, [list(row[n + 2:]), bool(row[n + 1])]
+                if row[n] > place.expected and not place.done:  # most rows of a stream out of order: no generator for what only waits
+                    place.n_early += place.early.put(row[n], *values)
+                else:
+                    for out in place.push(row[n], values):
+                        yield *place.key, *out
+                if place.n_early != before:
+                    self._hold(place.n_early - before)
         yield from self._keep()
 
     def _keep(self) -> Iterator[tuple]:
@@ -458,7 +463,7 @@ class RuleFollowing(DealtStreams):
         for pack in rows:  # all rules of the batch come before its pieces, so pieces wait until all rows are read
             for row in zip(*tuple(pack)[1:]):  # keys, seq, is_last, chunk, secret, token, revision
                 if row[n + 3] is not None:
-                    scope, secret, rule = json.dumps(row[:n - 2], default=str), row[n + 3], row[n + 4:]
+                    scope, secret, rule = NAMED(row[:n - 2]), row[n + 3], row[n + 4:]
                     before = known.setdefault(scope, {}).get(secret)
                     if before is None or rule[1] >= before[1]:
                         again |= before is not None
@@ -472,10 +477,10 @@ class RuleFollowing(DealtStreams):
         elif fresh:
             self.rules.appendList([(*at, *rule) for at, rule in fresh.items()])
         self.handler.cutters = cutters = {}
-        for place in sorted(self.places.values(), key=lambda p: json.dumps(p.key[:-2], default=str)):
+        for place in sorted(self.places.values(), key=lambda p: NAMED(p.key[:-2])):
             at = place.key[:-2]
             if (at, True) not in cutters:
-                pairs = sorted((s, t) for s, (t, _) in known.get(json.dumps(at, default=str), {}).items() if t is not None)
+                pairs = sorted((s, t) for s, (t, _) in known.get(NAMED(at), {}).items() if t is not None)
                 cutters[at, True] = Dictionary(pairs)
                 cutters[at, False] = Dictionary([(t, s) for s, t in reversed(pairs)])  # of secrets that share a token the first in order counts
             for out in place.run(None):
