@@ -2,7 +2,8 @@
 
 1. Equal sets are one class; the rest works on classes.
 2. A set is hashed into as many parts as two linked sets can differ in, and more: some part of at least ``FULL`` shingles
-   is then the same in both. Classes that share a part are chained into clusters, by one edge per class and part.
+   is then the same in both. Classes that share a part are chained into clusters, by one edge per class and part. Parts travel as
+   packed words, 16 bytes each, with a class named by 64 bits: two classes of one name would only be candidates more.
 3. The classes of a cluster are points: how many shingles fall into each of ``GROUPS`` groups. They are packed into the
    leaves of an R-tree, by size and then by hash, with the box of each leaf. The overlap of two points is at most the sum
    of their coordinate minima, that of two leaves at most the sum of the minima of their upper corners. Leaf pairs and
@@ -23,13 +24,15 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.common import U64, free_name, lean, mix, pieces, shingles, signed, utf8, word_hashes
 from veilframe.llm.graph import Sets, components, each_group
-from veilframe.session import cut_lineage
+from veilframe.session import cut_lineage, shuffles_given_back
 
 GROUPS = 64
 LEAF = 256
 _CHUNK = 1 << 20
+_BUCKET = 1 << 18  # keys that are looked at together
 _EDGES = "a binary, b binary"
-_ROWS = "id bigint, h1 bigint, h2 bigint, sig binary, n int, counts binary, keys binary"
+_ROWS = "id bigint, h1 bigint, h2 bigint, sig binary, node bigint, n int, counts binary, keys binary"
+_PACKED = "bucket int, is_edges boolean, words binary"
 
 
 class Rule:
@@ -90,88 +93,102 @@ def _describe(rule: Rule):
         for batch in batches:
             at = 0
             for sets in _sets(batch.column("text"), rule):
-                sig, n, counts, keys = [], [], [], []
+                sig, node, n, counts, keys = [], [], [], [], []
                 for codes in sets:
                     n.append(len(codes))
                     sums = np.array([codes.sum(dtype=U64), mix(codes ^ U64(0x1234567)).sum(dtype=U64)], U64)
                     sig.append(sums.tobytes())
+                    node.append(int(sums.view(np.int64)[0]))
                     counts.append(group_counts(codes).tobytes())
                     keys.append(part_keys(codes, rule).tobytes())
                 rows = batch.slice(at, len(sets))
                 at += len(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("id"), rows.column("h1"), rows.column("h2"), pa.array(sig, pa.binary()),
+                    [rows.column("id"), rows.column("h1"), rows.column("h2"), pa.array(sig, pa.binary()), pa.array(node, pa.int64()),
                      pa.array(n, pa.int32()), pa.array(counts, pa.binary()), pa.array(keys, pa.binary())],
-                    ["id", "h1", "h2", "sig", "n", "counts", "keys"])
+                    ["id", "h1", "h2", "sig", "node", "n", "counts", "keys"])
 
     return run
 
 
-def _sigs(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), ">u8").reshape(-1, 2)
-
-
-def _sig_array(sig: np.ndarray) -> pa.Array:
-    raw = np.ascontiguousarray(sig.astype(">u8")).tobytes()
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(sig), [None, pa.py_buffer(raw)]).cast(pa.binary())
+def _stars(keys: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key with its first node, and the distinct edges from that to the other nodes of the key."""
+    order = np.lexsort((node, keys))
+    keys, node = keys[order], node[order]
+    head = np.r_[True, keys[1:] != keys[:-1]]
+    of = node[head][np.cumsum(head) - 1]
+    apart = of != node
+    of, other = of[apart], node[apart]
+    order = np.lexsort((other, of))
+    edges = np.stack([of[order], other[order]], axis=1)
+    return keys[head], node[head], edges[np.r_[True, (edges[1:] != edges[:-1]).any(axis=1)][:len(edges)]]
+
+
+def _local_stars(buckets: int):
+    """Before the shuffle: each key once per million keys, dealt to buckets and packed with its node, and the edges of the rest."""
+
+    def send(keys: list[np.ndarray], node: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        k, v, edges = _stars(np.concatenate(keys), np.concatenate(node))
+        bucket = (k % U64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        words = np.stack([k[order], v[order]], axis=1)
+        at = np.r_[0, np.cumsum(np.bincount(bucket, minlength=buckets))]
+        parts = [(b, False, words[at[b]:at[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(at)).tolist()]
+        for a in range(0, len(edges), 1 << 14):
+            parts.append((int(edges[a, 0] % U64(buckets)), True, edges[a:a + (1 << 14)].tobytes()))
+        for a in range(0, len(parts), 64):
+            number, is_edges, data = zip(*parts[a:a + 64])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(number, pa.int32()), pa.array(is_edges, pa.bool_()), pa.array(data, pa.binary())], ["bucket", "is_edges", "words"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, node, held = [], [], 0
+        for batch in batches:
+            cells = batch.column("keys").to_pylist()
+            sizes = np.array([len(x) // 8 for x in cells], np.int64)
+            if not sizes.sum():
+                continue
+            keys.append(np.frombuffer(b"".join(cells), U64))
+            node.append(np.repeat(batch.column("node").to_numpy().view(U64), sizes))
+            held += len(keys[-1])
+            if held > 1 << 20:
+                yield from send(keys, node)
+                keys, node, held = [], [], 0
+        if held:
+            yield from send(keys, node)
 
-def _stars(keys: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the first row of each key, and the distinct edges from it to the others of its key."""
-    order = np.lexsort((sig[:, 1], sig[:, 0], keys))
-    head = np.r_[True, keys[order][1:] != keys[order][:-1]]
-    first = order[np.flatnonzero(head)]
-    other = order[~head]
-    of = first[np.cumsum(head) - 1][~head]
-    edges = np.concatenate([sig[of], sig[other]], axis=1).astype(U64)
-    return first, np.unique(edges[(sig[of] != sig[other]).any(axis=1)], axis=0)
+    return run
 
 
-def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Before the shuffle: one row per key and million keys, and edges for the rest."""
+def _key_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges from the first node of a key to its others; rows come in the order of buckets, which hold all of a key."""
 
-    def send(keys: list[np.ndarray], sig: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        k, s = np.concatenate(keys), np.concatenate(sig)
-        first, edges = _stars(k, s)
-        for a in range(0, len(first), 1 << 18):
-            part = first[a:a + (1 << 18)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(k[part])), _sig_array(s[part]), pa.nulls(len(part), pa.binary())], ["key", "a", "b"])
-        for a in range(0, len(edges), 1 << 18):
-            part = edges[a:a + (1 << 18)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(part), pa.int64()), _sig_array(part[:, :2]), _sig_array(part[:, 2:])], ["key", "a", "b"])
+    def rows(edges: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(signed(edges[:, 0])), pa.array(signed(edges[:, 1]))], ["a", "b"])
 
-    keys, sig, held = [], [], 0
+    last, held = None, []
     for batch in batches:
-        sizes = np.array([len(x) // 8 for x in batch.column("keys").to_pylist()], np.int64)
-        if not sizes.sum():
-            continue
-        keys.append(np.frombuffer(b"".join(batch.column("keys").to_pylist()), U64))
-        sig.append(np.repeat(_sigs(batch.column("sig")).astype(U64), sizes, axis=0))
-        held += len(keys[-1])
-        if held > 1 << 20:
-            yield from send(keys, sig)
-            keys, sig, held = [], [], 0
+        for number, is_edges, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "is_edges", "words"))):
+            words = np.frombuffer(data, U64).reshape(-1, 2)
+            if is_edges:
+                yield rows(words)
+                continue
+            if number != last and held:
+                yield rows(_stars(*np.concatenate(held).T)[2])
+                held = []
+            last = number
+            held.append(words)
     if held:
-        yield from send(keys, sig)
+        yield rows(_stars(*np.concatenate(held).T)[2])
 
 
-def _key_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges from the first row of a key to its others; rows come in the order of keys."""
-    last_key, last_sig = None, None
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        keys = batch.column("key").to_numpy(zero_copy_only=False).view(U64)
-        sig = _sigs(batch.column("a")).astype(U64)
-        if last_key is not None and keys[0] == last_key:
-            keys, sig = np.r_[last_key, keys], np.concatenate([last_sig, sig])
-        first, edges = _stars(keys, sig)
-        final = first[keys[first] == keys[-1]][0]
-        last_key, last_sig = keys[-1], sig[final:final + 1]
-        if len(edges):
-            yield pa.RecordBatch.from_arrays([_sig_array(edges[:, :2]), _sig_array(edges[:, 2:])], ["a", "b"])
+def _shared_keys(described: DataFrame) -> DataFrame:
+    """Edges that chain the nodes which share a key."""
+    spark = described.sparkSession
+    keys = (described.agg(F.sum(F.octet_length("keys").cast("long"))).first()[0] or 0) // 8
+    buckets = max(-(-keys // _BUCKET), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    packed = described.select("node", "keys").mapInArrow(lean(_local_stars(buckets)), _PACKED)
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_key_edges), "a bigint, b bigint")
 
 
 def _star_batch(sets: Sets, sig: list[bytes]) -> pa.RecordBatch:
@@ -209,7 +226,7 @@ def _leaf_join(rule: Rule):
 
 def families(classes: DataFrame, clusters: DataFrame, rule: Rule) -> DataFrame:
     """The R-tree join inside clusters: edges between classes that the bounds leave together."""
-    points = classes.join(clusters, classes["sig"] == clusters["node"]).select("sig", "n", "counts", F.col("root").alias("cluster"))
+    points = classes.join(clusters, "node").select("sig", "n", "counts", F.col("root").alias("cluster"))
     # Sizes are cut into bands of a quarter of the ratio that two linked sets can have; a full band is dealt out by hash.
     band = F.floor(F.log("n") / float(-np.log(rule.percent / 100) / 4 + 1e-9)).cast("int") if rule.percent < 100 else F.col("n")
     points = points.withColumn("band", band)
@@ -229,7 +246,7 @@ def families(classes: DataFrame, clusters: DataFrame, rule: Rule) -> DataFrame:
 
     lone = per.groupBy("cluster").agg(F.sum("m").alias("m")).where("m > 1").select("cluster")
     boxes = cut_lineage(each_group(points.join(lone, "cluster", "left_semi"), ["cluster", "band", "leaf"], box,
-                                   "cluster binary, band int, leaf int, least int, most int, upper array<int>"))
+                                   "cluster bigint, band int, leaf int, least int, most int, upper array<int>"))
     # Linked sizes are at most five bands apart, so leaves meet by an equi-join on the band.
     left = boxes.select("cluster", *[F.col(c).alias(f"l_{c}") for c in ("band", "leaf", "least", "most", "upper")],
                         F.explode(F.sequence(F.col("band"), F.col("band") + (5 if rule.percent < 100 else 0))).alias("r_band"))
@@ -320,19 +337,16 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, rule: Rule) -> tupl
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("h1"),
                        F.xxhash64(text, F.lit(1)).alias("h2"), text.alias("text"))
     described = cut_lineage(rows.mapInArrow(lean(_describe(rule)), _ROWS))
-    narrow = described.select("id", "h1", "h2", "sig", "n", "counts").where("n > 0")
+    narrow = described.select("id", "h1", "h2", "sig", "node", "n", "counts").where("n > 0")
     classes = cut_lineage(narrow.groupBy("sig").agg(
-        F.min("id").alias("least_id"), F.min(F.struct("h1", "h2")).alias("of"), F.max("n").alias("n"), F.max("counts").alias("counts")))
-    stars = described.select("sig", "keys").mapInArrow(lean(_local_stars), "key bigint, a binary, b binary")
-    stars = cut_lineage(stars)
-    shared = stars.where("key IS NOT NULL").select("key", "a").repartition("key").sortWithinPartitions("key", "a")
-    edges = shared.mapInArrow(lean(_key_edges), _EDGES).union(stars.where("key IS NULL").select("a", "b"))
-    clusters = cut_lineage(components(edges))
+        F.min("id").alias("least_id"), F.min(F.struct("h1", "h2")).alias("of"), F.max("node").alias("node"), F.max("n").alias("n"),
+        F.max("counts").alias("counts")))
+    clusters = cut_lineage(components(_shared_keys(described)))
     kin = cut_lineage(components(families(classes, clusters, rule)))
-    members = classes.join(kin, F.col("sig") == F.col("node")).select("sig", "of.h1", "of.h2", F.col("root").alias("family"))
+    members = classes.join(kin.withColumnRenamed("node", "sig"), "sig").select("sig", "of.h1", "of.h2", F.col("root").alias("family"))
     texts = rows.select("h1", "h2", "text").join(members, ["h1", "h2"]).dropDuplicates(["h1", "h2"]).select("family", "sig", "text")
     linked = cut_lineage(_verified(texts, rule))
-    least = classes.join(linked, F.col("sig") == F.col("node"), "left").select("sig", "least_id", F.coalesce("root", "sig").alias("root"))
+    least = classes.join(linked.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "least_id", F.coalesce("root", "sig").alias("root"))
     return described, least.join(least.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select(
         "sig", "root", "component_id")
 
@@ -345,7 +359,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     an identifier are taken for what their texts are; a null identifier counts as none, and a component that has no
     other gives null. Other columns are not read. Empty in, empty out.
     """
-    described, labels = _classified(docs, id_col, text_col, Rule(size, percent))
+    with shuffles_given_back(docs.sparkSession):  # the tables of each step are written: what was shuffled for them can go
+        described, labels = _classified(docs, id_col, text_col, Rule(size, percent))
     return described.select("id", "sig", "n").join(labels, "sig", "left").select(
         F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
@@ -355,7 +370,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs``, with their columns, but one row only of each component: that of the least identifier (rows
     without one come last, then the text's hash decides). Rows without shingles all stay; of rows that repeat both
     identifier and text one stays."""
-    described, labels = _classified(docs, id_col, text_col, Rule(size, percent))
+    with shuffles_given_back(docs.sparkSession):  # the tables of each step are written: what was shuffled for them can go
+        described, labels = _classified(docs, id_col, text_col, Rule(size, percent))
     rank = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0).cast("bigint")).alias("id"), "h1", "h2")
     rooted = described.where("n > 0").select("sig", rank.alias("rank")).join(labels.select("sig", "root"), "sig")
     best = rooted.groupBy("root").agg(F.min("rank").alias("best"))
