@@ -215,3 +215,39 @@ def test_large_maps_grow_with_the_texts_not_with_texts_times_rules(spark):
         pairs = {s: t for own, s, t in rules if own == scope}
         assert got[i] == (None if text is None else model.replace_all(text, pairs))
     assert len(got) == len(texts)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_maps_too_large_for_a_worker_go_part_by_part(spark, monkeypatch, parts):
+    """Rules over the limit are dealt to parts, and no row carries its scope's rules. Rows that share keys keep their own places."""
+    from veilframe.operators import replace
+
+    monkeypatch.setattr(replace, "MAP_RULES", 4)
+    rules = {s: {word(1, 5): f"<{i}>" for i in range(40)} for s in (0, 1, None)}
+    size = sum(64 + len(a) + len(b) for m in rules.values() for a, b in m.items())
+    monkeypatch.setattr(replace, "BROADCAST_LIMIT_BYTES", -(-size // parts) - (parts == 1))
+    monkeypatch.setattr(replace, "_replace_by_maps", None)
+    monkeypatch.setattr("veilframe.streaming.cutters.Dictionary", None)
+    texts = [(i // 2 if i % 3 else None, [0, 1, None, 7][i % 4], None if i == 8 else word(0, 60)) for i in range(200)] + [(5, 0, "")]
+    texts += texts[:20]
+    df = spark.createDataFrame(texts, "id int, scope int, text string").repartition(4)
+    flat = spark.createDataFrame([(s, a, b) for s, m in rules.items() for a, b in m.items()], "scope int, source string, target string")
+    out = replace.replace_scoped(df, flat, ["scope"], ["id"], "text", "out", map_rules=1 << 20)
+    got = sorted(map(repr, map(tuple, out.collect())))
+    assert got == sorted(repr((i, s, t, t if t is None else model.replace_all(t, rules.get(s, {})))) for i, s, t in texts)
+
+
+def test_search_tries_no_rule_by_rule(spark, monkeypatch):
+    """A text in which thousands of rules occur is passed over once; no expression tries each rule at each place."""
+    from veilframe.operators import replace
+
+    monkeypatch.setattr(replace, "replace_with_pairs", None)
+    monkeypatch.setattr(replace, "count_matches", None)
+    rules = {f"k{i:05d}": f"<{i}>" for i in range(3000)}
+    texts = [(n, "a", " ".join(RANDOM.choice(["k77777 and the", *rules]) for _ in range(4000))) for n in range(3)]
+    df = spark.createDataFrame(texts, "id int, scope string, text string")
+    flat = spark.createDataFrame([("a", s, t) for s, t in rules.items()], "scope string, source string, target string")
+    monkeypatch.setattr(replace, "_replace_by_maps", lambda df, *a: df.withColumn("out", F.col("text")).withColumn("n", F.lit(0)))
+    out = replace.replace_scoped(df, flat, ["scope"], ["id"], "text", "out", "n", map_rules=0).collect()
+    assert all(r["out"] == " ".join(rules.get(w, w) for w in r["text"].split(" ")) for r in out) and len(out) == 3
+    assert all(r["n"] == sum(w in rules for w in r["text"].split(" ")) for r in out)

@@ -1,15 +1,17 @@
 """Dictionary replacement in text: secrets to tokens, scoped or global.
 
 A text's dictionary is the rules of its scope (document, conversation, session). Scopes with few rules carry them as
-one map per scope; where the caller allows larger maps, workers hold them as automata. A scope with more rules than
-``MAP_RULES`` is else never gathered: its texts are searched for rule fingerprints, and only the rules that occur in a
-text meet that text again. All ways give the same result.
+one map per scope; where the caller allows larger maps, workers hold them as automata, those that are too large for a worker
+part by part. A scope with more rules than ``MAP_RULES`` is else never gathered: its texts are searched for rule
+fingerprints, and only the rules that occur in a text meet that text again. All ways give the same result.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,7 +25,8 @@ from veilframe.session import BROADCAST_LIMIT_BYTES, broadcast_if_small, cut_lin
 
 MAP_RULES = 256
 MAX_FILTER_BITS = 1 << 28  # 32 MB; rules beyond what it tells apart are searched in passes
-BITS_PER_RULE = 16
+BITS_PER_RULE = 16  # at least; as many more as a filter may have, up to FULL_BITS: what it lets through wrongly is shuffled
+FULL_BITS = 64
 
 
 def replace_with_pairs(text: Column, pairs: Column) -> Column:
@@ -73,8 +76,10 @@ def replace_scoped(
         done = replace_scoped(df.filter(hopeful), rules, scope, keys, text, out, count, order, since, map_rules)
         return done.unionByName(plain.withColumn(count, F.lit(0)) if count else plain)
     if not facts["big"]:
-        if (facts["most"] or 0) > MAP_RULES and size_bytes <= BROADCAST_LIMIT_BYTES and not count and not since:
-            return _replace_by_dictionaries(df, rules, scope, text, out)
+        if (facts["most"] or 0) > MAP_RULES and not count and not since:
+            if size_bytes <= BROADCAST_LIMIT_BYTES:
+                return _replace_by_dictionaries(df, rules, scope, text, out)
+            return _replace_by_parts(df, rules, scope, keys, text, out, -(-size_bytes // BROADCAST_LIMIT_BYTES))
         return _replace_by_maps(df, rules, scope, text, out, count, order, since, size_bytes)
 
     big = cut_lineage(sizes.filter(F.col("n") > map_rules).select(*scope))
@@ -116,32 +121,144 @@ def _replace_by_maps(df, rules, scope, text, out, count, order, since, size_byte
     return _finish(join_null_safe(df, maps, scope, "left"), df.columns, text, out, count, order, since)
 
 
+def _scope_name(scope: list[str]) -> Column:
+    return F.to_json(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(scope)])) if scope else F.lit("")
+
+
+def _sent(rules: DataFrame, scope: list[str]):
+    """The rules (scope's name, source, target) as Arrow bytes, which all workers get."""
+    sink = pa.BufferOutputStream()
+    held = rules.select(_scope_name(scope).alias("scope"), "source", "target").toArrow()
+    with pa.ipc.new_stream(sink, held.schema) as writer:
+        writer.write_table(held)
+    return rules.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+
+_HELD: dict[str, dict] = {}
+
+
+def _held_by_worker(name: str, sent, key: str, build):
+    """What ``build`` makes of the pairs of a scope, once per worker, not per task; only rules last sent are held."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = {}
+    held = _HELD[name]
+    if key not in held:
+        known = pa.ipc.open_stream(sent.value).read_all()
+        own = known.filter(pc.equal(known["scope"], key))
+        held[key] = build(list(zip(own["source"].to_pylist(), own["target"].to_pylist())))
+    return held[key]
+
+
 def _replace_by_dictionaries(df: DataFrame, rules: DataFrame, scope: list[str], text: str, out: str) -> DataFrame:
     """Maps with more rules than a row may carry: workers hold them as one automaton per scope, so that a text is passed over
     once, however many rules its scope has. The rules are broadcast, by measured size."""
     from veilframe.streaming.cutters import Dictionary
 
-    name = F.to_json(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(scope)])) if scope else F.lit("")
-    sink = pa.BufferOutputStream()
-    held = rules.select(name.alias("scope"), "source", "target").toArrow()
-    with pa.ipc.new_stream(sink, held.schema) as writer:
-        writer.write_table(held)
-    sent = df.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    sent, mark = _sent(rules, scope), uuid.uuid4().hex
 
     def replace(batches):
-        known, made = None, {}
         for batch in batches:
             done = []
             for key, body in zip(batch.column("_scope").to_pylist(), batch.column("_text").to_pylist()):
-                if key not in made:
-                    known = known or pa.ipc.open_stream(sent.value).read_all()
-                    own = known.filter(pc.equal(known["scope"], key))
-                    made[key] = Dictionary(list(zip(own["source"].to_pylist(), own["target"].to_pylist())))
-                done.append(None if body is None else made[key].last(body))
+                machine = _held_by_worker(mark, sent, key, Dictionary)
+                done.append(None if body is None else machine.last(body))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(done, pa.string())], [*batch.schema.names[:-2], out])
 
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
-    return df.select("*", name.alias("_scope"), F.col(text).alias("_text")).mapInArrow(replace, schema)
+    return df.select("*", _scope_name(scope).alias("_scope"), F.col(text).alias("_text")).mapInArrow(replace, schema)
+
+
+def _automaton(pairs: list[tuple[str, str]]) -> ahocorasick.Automaton | None:
+    """Values: length and target. None if there is nothing to find."""
+    machine = ahocorasick.Automaton()
+    for source, target in pairs:
+        if source:
+            machine.add_word(source, (len(source), target))
+    if not len(machine):
+        return None
+    machine.make_automaton()
+    return machine
+
+
+def _leftmost(text: str, found: list[tuple[int, int, str | None]]) -> tuple[str, int]:
+    """The text with its occurrences (start, length, target) replaced: leftmost, longest at a place, without overlaps. And their
+    number; a null target leaves its source."""
+    out, at, n = [], 0, 0
+    for start, size, target in sorted(found, key=lambda f: (f[0], -f[1])):
+        if start >= at:
+            out += [text[at:start], text[start:start + size] if target is None else target]
+            at, n = start + size, n + 1
+    out.append(text[at:])
+    return "".join(out), n
+
+
+def _occurrences(machine, text: str) -> list[tuple[int, int, str | None]]:
+    """The longest occurrence at every place that has one."""
+    longest: dict[int, tuple[int, str | None]] = {}
+    for end, (size, target) in machine.iter(text):
+        start = end + 1 - size
+        if size > longest.get(start, (0, None))[0]:
+            longest[start] = size, target
+    return [(start, size, target) for start, (size, target) in longest.items()]
+
+
+def _replace_by_parts(df: DataFrame, rules: DataFrame, scope: list[str], keys: list[str], text: str, out: str, parts: int) -> DataFrame:
+    """As ``_replace_by_dictionaries`` for rules too large for a worker: dealt by hash to parts of at most that size, for one of
+    which after the other all texts are passed over. Places that a part finds are written; those of all parts meet their text by
+    its row, and are settled there."""
+    row = list(dict.fromkeys([*keys, *scope]))
+    given = df.withColumn("_digest", F.xxhash64(text))  # rows that share their keys keep their own places
+    rules = cut_lineage(rules.select(*scope, "source", "target"))
+    places = []
+
+    def finder(sent, mark: str):
+        def find(batches):
+            for batch in batches:
+                owners, found = [], []
+                for i, (key, body) in enumerate(zip(batch.column("_scope").to_pylist(), batch.column("_text").to_pylist())):
+                    machine = _held_by_worker(mark, sent, key, _automaton) if body else None
+                    if machine and (own := _occurrences(machine, body)):
+                        owners.append(i)
+                        found.append([{"at": a, "size": n, "target": t} for a, n, t in own])
+                kept = batch.select(batch.schema.names[:-2]).take(pa.array(owners, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, _PLACES)], [*kept.schema.names, "_places"])
+
+        return find
+
+    for part in range(parts):
+        sent = _sent(rules.where(F.pmod(F.xxhash64("source"), F.lit(parts)) == part), scope)
+        schema = T.StructType([*[given.schema[c] for c in (*row, "_digest")], _FOUND])
+        places.append(cut_lineage(given.select(*row, "_digest", _scope_name(scope).alias("_scope"), F.col(text).alias("_text")).mapInArrow(
+            finder(sent, uuid.uuid4().hex), schema)))
+        sent.destroy()
+    own = [*row, "_digest"]
+    found = reduce(DataFrame.unionByName, places).groupBy(*own).agg(F.flatten(F.collect_list("_places")).alias("_places"))
+    joined = join_null_safe(given, found, own, "left")
+    settled = F.when(F.col("_places").isNotNull(), _settled(F.when(F.col("_places").isNotNull(), F.col(text)), F.col("_places")))
+    return joined.select(*df.columns, F.coalesce(settled, F.col(text)).alias(out))
+
+
+_FOUND = T.StructField("_places", T.ArrayType(T.StructType([
+    T.StructField("at", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("target", T.StringType())])))
+_PLACES = pa.list_(pa.struct([("at", pa.int32()), ("size", pa.int32()), ("target", pa.string())]))
+
+
+@F.arrow_udf(T.StringType())
+def _settled(texts: pa.Array, places: pa.Array) -> pa.Array:
+    return pa.array([None if body is None else _leftmost(body, [(f["at"], f["size"], f["target"]) for f in found])[0]
+                     for body, found in zip(texts.to_pylist(), places.to_pylist())], pa.string())
+
+
+@F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.IntegerType())]))
+def _replaced_by_pairs(texts: pa.Array, pairs: pa.Array) -> pa.Array:
+    """Each text with its own pairs, in time that grows with the text and the pairs, not with their product."""
+    done = []
+    for body, own in zip(texts.to_pylist(), pairs.to_pylist()):
+        machine = _automaton([(p["source"], p["target"]) for p in own]) if body and own else None
+        whole, n = _leftmost(body, _occurrences(machine, body)) if machine else (body, 0)
+        done.append({"text": whole, "n": n})
+    return pa.array(done, pa.struct([("text", pa.string()), ("n", pa.int32())]))
 
 
 def _replace_by_search(df, rules, scope, keys, text, out, count, order, since) -> DataFrame:
@@ -152,8 +269,12 @@ def _replace_by_search(df, rules, scope, keys, text, out, count, order, since) -
     matched = join_null_safe(hits, known, [*scope, "source"], "inner")
     if since:
         matched = matched.filter(F.col(since) <= F.col(order))
-    per_row = matched.groupBy(*keys).agg(_pairs(since))
-    return _finish(join_null_safe(df, per_row, keys, "left"), df.columns, text, out, count, order, since)
+    per_row = matched.groupBy(*keys).agg(_pairs(None))
+    joined = join_null_safe(df, per_row, keys, "left")
+    some = F.col("_pairs").isNotNull() & F.col(text).isNotNull()  # only such texts go to Python
+    done = joined.withColumn("_done", _replaced_by_pairs(F.when(some, F.col(text)), F.when(some, F.col("_pairs"))))
+    extra = [F.when(some, F.col("_done.n")).otherwise(0).alias(count)] if count else []
+    return done.select(*df.columns, F.when(some, F.col("_done.text")).otherwise(F.col(text)).alias(out), *extra)
 
 
 # ---- fingerprint search ------------------------------------------------------------------------------------------
@@ -171,20 +292,32 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of ``_BASE`` and of its inverse, ``n`` at least; those of usual texts are kept."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS
+    made = []
+    for base in (_BASE, _INVERSE):
+        powers = np.full(1 << max(12, int(n - 1).bit_length()), base, dtype=np.uint64)
+        powers[0] = 1
+        made.append(np.multiply.accumulate(powers))
+    if n <= 1 << 20:
+        _POWERS[:] = made
+    return made
+
+
 class _Prefixes:
     """Hash of any window of a text from prefix sums; all arithmetic wraps modulo 2**64."""
 
     def __init__(self, text: str) -> None:
         codes = _codes(text) + np.uint64(1)
         self.n = len(codes)
-        powers = np.full(self.n + 1, _BASE, dtype=np.uint64)
-        powers[0] = 1
-        np.multiply.accumulate(powers, out=powers)
+        powers, self.inverse = _powers(self.n + 1)
         self.sums = np.zeros(self.n + 1, dtype=np.uint64)
-        np.cumsum(codes * powers[:-1], out=self.sums[1:])
-        inverse = np.full(self.n + 1, _INVERSE, dtype=np.uint64)
-        inverse[0] = 1
-        self.inverse = np.multiply.accumulate(inverse)
+        np.cumsum(codes * powers[:self.n], out=self.sums[1:])
 
     def windows(self, starts: np.ndarray, length: int) -> np.ndarray:
         raw = (self.sums[starts + length] - self.sums[starts]) * self.inverse[starts]
@@ -230,7 +363,7 @@ def _occurring(df: DataFrame, rules: DataFrame, row: list[str], text: str) -> Da
     facts = rules.agg(F.count("*").alias("n"), F.min(F.length("source")).alias("shortest")).first()
     lengths = [r[0] for r in rules.select(F.length("source")).distinct().collect()]
     gram = min(8, facts["shortest"] or 1)
-    bits = min(MAX_FILTER_BITS, 1 << max(20, int(facts["n"] * BITS_PER_RULE).bit_length()))
+    bits = min(MAX_FILTER_BITS, 1 << max(20, int(facts["n"] * FULL_BITS).bit_length()))
 
     def hashed(batches):
         for batch in batches:
