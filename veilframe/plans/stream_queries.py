@@ -142,8 +142,9 @@ def stream_sse_rewrite(spark, sf):
     lines = replayed(spark, lines, mixed("conv_id", "turn", "seq"))
     out, keys = shared_folder(spark, "lines"), ["conv_id", "turn"]
     written = _collected(jobs.sse_rewrite(lines, keys, "openai"), jobs.rewrite_to(vault, keys, out), out)
-    fields = written.select(*keys, (F.col("seq") * 1000 + F.col("sub")).alias("place"), F.explode(
-        sse_text_fields(sse_data(F.col("line"))["json"], F.lit("openai"))).alias("f")).select(*keys, "place", "f.*")
+    # Numbering reads the fields twice: they are written once, not taken from the lines twice. A few MB of lines are work for all cores.
+    fields = cut_lineage(spread(written.select(*keys, "seq", "sub", "line"), *keys, "seq").select(*keys, (F.col("seq") * 1000 + F.col("sub")).alias("place"), F.explode(
+        sse_text_fields(sse_data(F.col("line"))["json"], F.lit("openai"))).alias("f")).select(*keys, "place", "f.*"))
     texts = reassemble(fields, [*keys, "key"], "place", "value", rows=1 << 20).select(*keys, F.col("key").alias("field_key"), "text")
     own = written.where("NOT synthetic").groupBy(*keys).agg(
         (F.count("*") - 1).alias("n_events"), F.max_by("line", "seq").alias("last_line"))

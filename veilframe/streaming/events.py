@@ -23,7 +23,7 @@ def _refuse(name: str):
 def parsed(payload: str):
     """A JSON object, or None. NaN and Infinity are no JSON; whole floats read as integers, as JSON has one kind of number."""
     try:
-        found = json.loads(payload, parse_constant=_refuse, parse_float=_number)
+        found = _DECODE(payload)
     except (ValueError, RecursionError):
         return None
     return found if isinstance(found, dict) else None
@@ -34,8 +34,15 @@ def _number(text: str):
     return int(value) if value.is_integer() and abs(value) < 1e21 else value
 
 
+# Made once: ``json`` makes a decoder or an encoder in every call that names an option.
+_DECODE = json.JSONDecoder(parse_constant=_refuse, parse_float=_number).decode
+_ENCODE = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
+
+
 def compact(value) -> str:
-    text = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    text = _ENCODE(value)
+    if text.isascii():
+        return text
     return text.encode("utf-8", "surrogatepass").decode("utf-8", "replace")
 
 
@@ -71,6 +78,10 @@ def text_slots(event: dict, provider: str) -> Iterator[tuple[str, dict, str]]:
                     yield from slot(f"openai:{index}:delta.tool_calls.{number}.function.arguments", call.get("function"), "arguments")
 
 
+_MARK = uuid.uuid4().hex  # of this worker; no event holds it, and none is given out with it
+_MARKED = re.compile(f'"{_MARK}:([0-9]+)"')
+
+
 class Rewritten(Handler):
     """Event lines with their text fields cut where no token is torn: (seq, sub, parts, pieces, synthetic).
 
@@ -95,13 +106,13 @@ class Rewritten(Handler):
         if not slots:
             yield seq, 0, [line], [], False
             return
-        mark, cut = uuid.uuid4().hex, []
+        cut = []
         for at, (field, holder, name) in enumerate(slots):
             piece, state["held"][field] = self.cutter.cut(state["held"].get(field, ""), holder[name])
             cut.append((field, piece))
-            holder[name] = f"{mark}:{at}"
+            holder[name] = f"{_MARK}:{at}"
         # Fields are written in the order of the event, which need not be the order they are looked up in.
-        found = re.split(f'"{mark}:([0-9]+)"', compact(event))
+        found = _MARKED.split(compact(event))
         parts, order = found[::2], [int(at) for at in found[1::2]]
         pieces = [cut[at][1] for at in order]
         for place, at in enumerate(order):  # with the other fields empty, what stands before and behind this one
