@@ -251,3 +251,14 @@ def test_search_tries_no_rule_by_rule(spark, monkeypatch):
     out = replace.replace_scoped(df, flat, ["scope"], ["id"], "text", "out", "n", map_rules=0).collect()
     assert all(r["out"] == " ".join(rules.get(w, w) for w in r["text"].split(" ")) for r in out) and len(out) == 3
     assert all(r["n"] == sum(w in rules for w in r["text"].split(" ")) for r in out)
+
+
+def test_search_keeps_rows_that_share_keys_apart(spark):
+    texts = [(1, "a", "one two"), (1, "b", "one two"), (1, "a", "one"), (1, "a", "one"), (None, "b", "two"), (None, None, "two two")]
+    rules = [("a", "one", "<a>"), ("b", "one", "<b>"), ("b", "two", "<2>"), (None, "two", "<n>")]
+    df = spark.createDataFrame(texts, "id int, scope string, text string")
+    flat = spark.createDataFrame(rules, "scope string, source string, target string")
+    out = replace_scoped(df, flat, ["scope"], ["id"], "text", "out", "n", map_rules=0)
+    got = sorted(map(repr, ((r["id"], r["scope"], r["out"], r["n"]) for r in out.collect())))
+    assert got == sorted(map(repr, [(1, "a", "<a> two", 1), (1, "b", "<b> <2>", 2), (1, "a", "<a>", 1), (1, "a", "<a>", 1),
+                                    (None, "b", "<2>", 1), (None, None, "<n> <n>", 2)]))

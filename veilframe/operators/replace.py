@@ -269,8 +269,8 @@ def _replace_by_search(df, rules, scope, keys, text, out, count, order, since) -
     matched = join_null_safe(hits, known, [*scope, "source"], "inner")
     if since:
         matched = matched.filter(F.col(since) <= F.col(order))
-    per_row = matched.groupBy(*keys).agg(_pairs(None))
-    joined = join_null_safe(df, per_row, keys, "left")
+    per_row = matched.groupBy(*row).agg(_pairs(None))  # by scope, too: rows of two scopes may share their keys
+    joined = join_null_safe(df, per_row, row, "left")
     some = F.col("_pairs").isNotNull() & F.col(text).isNotNull()  # only such texts go to Python
     done = joined.withColumn("_done", _replaced_by_pairs(F.when(some, F.col(text)), F.when(some, F.col("_pairs"))))
     extra = [F.when(some, F.col("_done.n")).otherwise(0).alias(count)] if count else []
